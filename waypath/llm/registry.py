@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from waypath.llm import substring_dedup
+from waypath.llm import decontaminate, simhash, substring_dedup
 
 QUERIES = {
     "op6_suffix_dedup": substring_dedup.op6,
+    "op8_simhash_dedup": simhash.op8,
     "op9_substring_dedup": substring_dedup.op9,
+    "op10_decontamination": decontaminate.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
