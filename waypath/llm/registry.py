@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, simhash, substring_dedup
+from waypath.llm import decontaminate, mixing, simhash, substring_dedup, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1,
+    "op2_mixing": mixing.op2,
+    "op4_token_shards": tokens.op4,
     "op6_suffix_dedup": substring_dedup.op6,
     "op8_simhash_dedup": simhash.op8,
     "op9_substring_dedup": substring_dedup.op9,
