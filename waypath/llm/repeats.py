@@ -11,7 +11,7 @@ anywhere else. Windows are far too many to shuffle, so they travel as runs:
 3. Consecutive windows with one anchor are a run. Runs that the sketch passes are grouped exactly by content:
    a run whose whole content occurs elsewhere is repeated throughout.
 4. One run of each content, where its anchor has several contents, is expanded into its windows, which
-   are grouped exactly by 128-bit hash. These are the edges of repeated passages.
+   are grouped by a 64-bit hash of their whole content. These are the edges of repeated passages.
 
 Nothing is lost: each step drops only windows known to be unique.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, signed, text_bytes, text_key, word_bounds, written
+from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, mix, signed, text_bytes, text_key, word_bounds, written
 
 #: Cells of a sketch row are 2^SKETCH_BITS bits: with two rows 16 MB are broadcast, whatever the input's size.
 SKETCH_BITS, SKETCH_ROWS, BLOCK_BITS = 26, 2, 16
@@ -182,16 +182,17 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
                 n = hi - lo + 1
                 start = np.repeat(first[row] + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 row = np.repeat(row, n)
-                a, b = (Spans(codes, base).hash(start, start + width) for base in BASES)
+                a = mix(Spans(codes).hash(start, start + width) ^ Spans(codes, BASES[1]).hash(start, start + width) >> np.uint64(1))
                 ids = piece.select(["doc_id", "t"]).take(pa.array(row))
                 for i in range(0, len(start), 200_000):
                     part = slice(i, i + 200_000)
-                    yield pa.record_batch([*(c.slice(i, 200_000) for c in ids.columns), pa.array(signed(a)[part]), pa.array(signed(b)[part]), pa.array((start - first[row])[part].astype(np.int32)), pa.array(np.repeat(known, n)[part])], names=["doc_id", "t", "a", "b", "lo", "known"])
+                    yield pa.record_batch([*(c.slice(i, 200_000) for c in ids.columns), pa.array(signed(a)[part]), pa.array((start - first[row])[part].astype(np.int32)), pa.array(np.repeat(known, n)[part])], names=["doc_id", "t", "a", "lo", "known"])
 
     at = edges.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("at"))
-    windows = written(same_doc(docs, at, "inner").mapInArrow(windows_of, f"{ids}, a long, b long, lo int, known boolean"), "windows")
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    single = windows.where("not known").join(twice, ["a", "b"], "left_semi").select("doc_id", "t", "lo", (F.col("lo") + width).alias("end"))
+    # Not written: the texts' exchange serves both uses of the windows and the caller's own join with ranges.
+    windows = same_doc(docs, at, "inner").mapInArrow(windows_of, f"{ids}, a long, lo int, known boolean")
+    twice = windows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    single = windows.where("not known").join(twice, "a", "left_semi").select("doc_id", "t", "lo", (F.col("lo") + width).alias("end"))
     return whole.unionByName(single).groupBy("doc_id", "t").agg(F.flatten(F.collect_list(F.array("lo", "end"))).alias("ranges"))
 
 
