@@ -8,10 +8,12 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
@@ -19,20 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.common import documents, mix, scratch, text_key
+from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, mix, scratch, text_bytes, text_key
 
 TOKEN_LIMIT, END_ID = 1024, 0
-#: Pieces whose ids a worker remembers; beyond, it starts anew.
-CACHE_PIECES = 300_000
-SPACE = re.compile(r"(?= \S)")
+#: Pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
+KNOWN_PIECES = 4_000_000
+#: A piece starts at a blank before a byte that is no white space and starts none beyond ASCII.
+OPENS = np.ones(256, bool)
+OPENS[[32, *range(9, 14), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizers (.json) or sentencepiece (.model) library gives them.
 
     A byte-level vocabulary splits text before every blank that precedes a non-blank, whatever stands around it, so
-    the library encodes each distinct piece once and a text is its pieces' ids end to end. Other
-    vocabularies encode every text whole.
+    the library encodes each distinct piece once, and a text is its pieces' ids end to end. Pieces are told apart by 64-bit
+    hashes of their bytes. Other vocabularies encode every text whole.
     """
 
     def __init__(self, path: str):
@@ -52,37 +56,43 @@ class Encoder:
             self.pieces = spec["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
             self.size, self.encode_all = own.get_vocab_size(), lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self._forget()
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in cache and p and not (lead and p[0].isspace())]
-        cache.update((p, np.array(i, self.dtype).tobytes()) for p, i in zip(new, self.encode_all([lead + p for p in new])))
+    def _forget(self) -> None:
+        self.known, self.first, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian bytes of self.dtype."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.encode_all(texts)
+        return np.fromiter(chain.from_iterable(coded), self.dtype), np.array([len(c) for c in coded], np.int64)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the offset of each text's (one more at the end)."""
         if not self.pieces:
-            return [np.array(i, self.dtype).tobytes() for i in self.encode_all(texts)]
-        if len(self.spaced) > CACHE_PIECES:
-            self.spaced.clear()
-        if len(self.plain) > CACHE_PIECES:
-            self.plain.clear()
-        self.plain[""] = b""
-        cut = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces[1:])
-        self._learn(self.spaced, new, " ")
-        self._learn(self.plain, {p[0] for p in cut}, "")
-        out = []
-        for text, pieces in zip(texts, cut):
-            try:
-                out.append(self.plain[pieces[0]] + b"".join([self.spaced[p] for p in pieces[1:]]))
-            except KeyError:  # blanks in a row
-                own = SPACE.split(text)
-                self._learn(self.plain, set(own), "")
-                out.append(b"".join([self.plain[p] for p in own]))
-        return out
+            ids, n = self._encode(pc.fill_null(column, "").to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(n)])
+        data, offsets = text_bytes(column)
+        opens = np.zeros(len(data), bool)
+        opens[:-1] = (data[:-1] == 32) & OPENS[data[1:]]
+        opens[offsets[offsets < len(data)]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        pieces, at, which = np.unique(Spans(BYTE_CODES[data]).hash(starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        place = np.searchsorted(self.known, pieces)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != pieces) if len(self.known) else np.arange(len(pieces))
+        if len(new):
+            raw = data.tobytes()
+            ids, n = self._encode([raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            self.first = np.insert(self.first, place[new], len(self.ids) + np.cumsum(n) - n)
+            self.length = np.insert(self.length, place[new], n)
+            self.known = np.insert(self.known, place[new], pieces[new])
+            self.ids = np.concatenate([self.ids, ids])
+            place = np.searchsorted(self.known, pieces)
+        n = self.length[place][which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        gather = np.repeat(self.first[place][which] - total[:-1], n) + np.arange(total[-1])
+        return self.ids[gather], total[np.searchsorted(starts, offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -100,16 +110,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _steps(texts: list, most: int = 500_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` characters."""
-    a = size = 0
-    for b, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= most or b == len(texts):
-            yield a, b
-            a, size = b, 0
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """docs without text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -129,9 +129,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [len(x) // encode.dtype.itemsize for a, b in _steps(texts) for x in encode(texts[a:b])]
-            yield pa.record_batch([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
+            for piece in chunks(batch):
+                n = np.diff(encode(piece.column("text"))[1])
+                yield pa.record_batch([piece.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     missing = docs.select(digest.alias("digest"), text.alias("text"))
     try:
@@ -217,43 +217,42 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context = encoder(tokenizer), TaskContext.get()
-        shard, end = context.partitionId(), np.array([end_id], encode.dtype).tobytes()
+        shard = context.partitionId()
         files, base = _open(path)
         files.create_dir(base, recursive=True)
         name, own = f"{base}/shard-{shard:05d}", f"{base}/_{shard:05d}-{context.taskAttemptId()}"
-        sizes: list[int] = []
-        ids: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+        keys: list[pa.Array] = []
         out = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = out or files.open_output_stream(f"{own}.bin")
-            texts = batch.column("text").to_pylist()
-            ids.append(batch.column("doc_id").cast(pa.int64()))
-            for a, b in _steps(texts):
-                coded = encode(texts[a:b])
-                sizes += [len(x) // encode.dtype.itemsize + 1 for x in coded]
-                out.write(end.join([*coded, b""]))
+            keys.append(batch.column("doc_id").cast(pa.int64()))
+            for piece in chunks(batch):
+                ids, at = encode(piece.column("text"))
+                sizes.append(np.diff(at) + 1)
+                out.write(np.insert(ids, at[1:], end_id).tobytes())
         if out is None:
             return
         out.close()
-        column = pa.chunked_array(ids)
+        column, size = pa.chunked_array(keys), np.concatenate(sizes)
         none = np.asarray(column.is_null())
         key = np.asarray(column.fill_null(0), np.int64)
         distinct, first = np.unique(key[~none], return_index=True)
-        keys = _key(distinct)
-        table = PerfectHash.build(keys)
-        slot = table(keys)
-        marks, rows = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
-        marks[slot], rows[slot] = _mark(keys), first + int(none.sum())
+        hashed = _key(distinct)
+        table = PerfectHash.build(hashed)
+        slot = table(hashed)
+        marks, rows = np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.int64)
+        marks[slot], rows[slot] = _mark(hashed), first + int(none.sum())
         buffer = io.BytesIO()
-        np.savez(buffer, key=key, none=none, offsets=np.concatenate([[0], np.cumsum(sizes)]), sizes=table.sizes, words=table.words, marks=marks, rows=rows, dtype=np.array(encode.dtype.str))
+        np.savez(buffer, key=key, none=none, offsets=np.concatenate([[0], np.cumsum(size)]), sizes=table.sizes, words=table.words, marks=marks, rows=rows, dtype=np.array(encode.dtype.str))
         with files.open_output_stream(f"{own}.idx") as f:
             f.write(buffer.getvalue())
         for kind in ("bin", "idx"):
             files.move(f"{own}.{kind}", f"{name}.{kind}")
         seen = key[~none]
-        yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_rows": pa.array([len(key)], pa.int64()), "n_ids": pa.array([sum(sizes)], pa.int64()), "least": pa.array([int(seen[0]) if len(seen) else None], pa.int64()), "most": pa.array([int(seen[-1]) if len(seen) else None], pa.int64())})
+        yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_rows": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(size.sum())], pa.int64()), "least": pa.array([int(seen[0]) if len(seen) else None], pa.int64()), "most": pa.array([int(seen[-1]) if len(seen) else None], pa.int64())})
 
     rows = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
