@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, mixing, simhash, substring_dedup, tokens
+from waypath.llm import decontaminate, mixing, pii, quality, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
     "op2_mixing": mixing.op2,
+    "op3_personal_data": pii.op3,
     "op4_token_shards": tokens.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_suffix_dedup": substring_dedup.op6,
+    "op7_quality": quality.op7,
     "op8_simhash_dedup": simhash.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_decontamination": decontaminate.op10,

@@ -15,7 +15,7 @@ from waypath.llm.common import documents, text_key
 from waypath.llm.repeats import covered, repeated, same_doc
 
 #: A repeated byte string of this length goes; anchors are sub-strings of BYTE_GRAM bytes.
-MIN_BYTES, BYTE_GRAM = 400, 304
+MIN_BYTES, BYTE_GRAM = 400, 336
 #: A repeated window of this many words goes; anchors are sub-windows of WORD_GRAM words.
 MIN_WORDS, WORD_GRAM = 35, 24
 
