@@ -2,5 +2,204 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waypath.operators import cloud, gnss, spatial, trajectory
+from waypath.operators.asof import asof_nearest
+from waypath.plans.fixtures import table, with_tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = with_tables(sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles at a precision at which engines agree; -0 becomes 0."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def msgs(spark: SparkSession, sf_dir: str, topic: str | None = None) -> DataFrame:
+    df = table(spark, sf_dir, "fx_msgs")
+    return df.where(F.col("topic") == topic) if topic else df
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fx_points")
+
+
+NEAREST = """SELECT l.vehicle_id, l.seq, {cols} FROM (SELECT * FROM fx_msgs WHERE topic = '{left}') l LEFT JOIN (
+ SELECT vehicle_id AS v, lseq, {inner} FROM (SELECT a.vehicle_id, a.seq AS lseq, b.*, row_number() OVER (PARTITION BY a.vehicle_id, a.seq ORDER BY abs(a.t_us - b.t_us), b.t_us DESC, b.seq DESC) AS rn
+ FROM fx_msgs a JOIN fx_msgs b ON a.vehicle_id = b.vehicle_id AND a.topic = '{left}' AND b.topic = '{right}' AND abs(a.t_us - b.t_us) <= {tol}) WHERE rn = 1) r ON l.vehicle_id = r.v AND l.seq = r.lseq"""
+FUSED = f"""m AS (SELECT t.*, r.rx, r.ry, r.rz, r.rqz, r.rqw, o.ox, o.oy, o.oz, o.oqz, o.oqw FROM fx_msgs t
+ JOIN ({NEAREST.format(cols="rx, ry, rz, rqz, rqw", inner="x AS rx, y AS ry, z AS rz, qz AS rqz, qw AS rqw", left="truth", right="rtk", tol=150000)}) r ON t.vehicle_id = r.vehicle_id AND t.seq = r.seq
+ JOIN ({NEAREST.format(cols="ox, oy, oz, oqz, oqw", inner="x AS ox, y AS oy, z AS oz, qz AS oqz, qw AS oqw", left="truth", right="lio", tol=100000)}) o ON t.vehicle_id = o.vehicle_id AND t.seq = o.seq WHERE t.topic = 'truth'),
+ a AS (SELECT *, last_value(CASE WHEN rx IS NOT NULL THEN {{'x': rx, 'y': ry, 'z': rz, 'qz': rqz, 'qw': rqw}} END IGNORE NULLS) OVER w AS ra,
+ last_value(CASE WHEN rx IS NOT NULL AND ox IS NOT NULL THEN {{'x': ox, 'y': oy, 'z': oz, 'qz': oqz, 'qw': oqw}} END IGNORE NULLS) OVER w AS la
+ FROM m WINDOW w AS (PARTITION BY vehicle_id ORDER BY t_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ b AS (SELECT *, 2 * (atan2(ra.qz, ra.qw) - atan2(la.qz, la.qw)) AS th FROM a),
+ f AS (SELECT vehicle_id, t_us, seq, x, y, z, CASE WHEN rx IS NOT NULL THEN rx ELSE ra.x + cos(th) * (ox - la.x) - sin(th) * (oy - la.y) END AS fx,
+ CASE WHEN rx IS NOT NULL THEN ry ELSE ra.y + sin(th) * (ox - la.x) + cos(th) * (oy - la.y) END AS fy, CASE WHEN rx IS NOT NULL THEN rz ELSE ra.z + oz - la.z END AS fz, rx IS NOT NULL AS direct FROM b)"""
+
+
+@query(NEAREST.format(cols="r.t_us AS rtk_us, r.rseq AS rtk_seq", inner="t_us, seq AS rseq", left="truth", right="rtk", tol=150000))
+def asof_nearest_rtk(spark, sf_dir):
+    found = asof_nearest(msgs(spark, sf_dir, "truth").select("vehicle_id", "t_us", "seq"), msgs(spark, sf_dir, "rtk").select("vehicle_id", "t_us", "seq"), 150_000, "rtk")
+    return found.select("vehicle_id", "seq", F.col("rtk.t_us").alias("rtk_us"), F.col("rtk.seq").alias("rtk_seq"))
+
+
+def fused(spark, sf_dir):
+    return trajectory.naive_fusion(*(msgs(spark, sf_dir, t) for t in ("truth", "rtk", "lio")))
+
+
+@query(f"WITH {FUSED} SELECT vehicle_id, seq, round(fx, 6) + 0 AS fx, round(fy, 6) + 0 AS fy, round(fz, 6) + 0 AS fz, direct FROM f WHERE fx IS NOT NULL")
+def naive_fusion(spark, sf_dir):
+    return rounded(fused(spark, sf_dir).select("vehicle_id", "seq", "fx", "fy", "fz", "direct"))
+
+
+@query(f"WITH {FUSED}, e AS (SELECT vehicle_id, sqrt((fx - x)**2 + (fy - y)**2 + (fz - z)**2) AS e FROM f WHERE fx IS NOT NULL) SELECT vehicle_id, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, round(max(e), 6) AS max FROM e GROUP BY 1")
+def evaluate_fusion(spark, sf_dir):
+    return rounded(trajectory.ape_stats(fused(spark, sf_dir)))
+
+
+STEPS = """d AS (SELECT *, (t_us - lag(t_us) OVER w) / 1e6 AS dt, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2) AS step,
+ 2 * atan2(qz, qw) AS yaw0 FROM fx_msgs WHERE topic = 'truth' WINDOW w AS (PARTITION BY vehicle_id ORDER BY t_us, seq)),
+ y AS (SELECT *, atan2(sin(yaw0), cos(yaw0)) AS yaw FROM d)"""
+
+
+@query(f"WITH {STEPS}, g AS (SELECT vehicle_id, count(*) AS n, sum(step) AS length, arg_min(x, (t_us, seq)) AS x0, arg_max(x, (t_us, seq)) AS x1, arg_min(y, (t_us, seq)) AS y0, arg_max(y, (t_us, seq)) AS y1 FROM y GROUP BY 1 HAVING count(*) >= 10), h AS (SELECT *, sqrt((x1 - x0)**2 + (y1 - y0)**2) AS distance FROM g) SELECT vehicle_id, n, round(length, 6) AS length, round(distance, 6) AS distance, distance < 5 AND length > 20 AS closed, CASE WHEN NOT (distance < 5 AND length > 20) THEN CASE WHEN distance = 0 THEN 1.0::DOUBLE ELSE round(length / distance, 6) END END AS efficiency FROM h")
+def path_summary(spark, sf_dir):
+    return rounded(trajectory.path_summary(msgs(spark, sf_dir, "truth")))
+
+
+@query(f"WITH {STEPS}, r AS (SELECT vehicle_id, dt, yaw - lag(yaw) OVER (PARTITION BY vehicle_id ORDER BY t_us, seq) AS dy FROM y), q AS (SELECT vehicle_id, abs((dy + pi() - 2 * pi() * floor((dy + pi()) / (2 * pi())) - pi()) / dt) AS rate FROM r WHERE dt >= 0.05) SELECT vehicle_id, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(stddev_pop(rate), 6) AS std_rate FROM q WHERE rate < 3.0 GROUP BY 1")
+def yaw_rate_stats(spark, sf_dir):
+    return rounded(trajectory.yaw_rate_stats(msgs(spark, sf_dir, "truth")))
+
+
+@query(f"WITH {STEPS} SELECT vehicle_id, seq, round(coalesce(sum(step) OVER (PARTITION BY vehicle_id ORDER BY t_us, seq ROWS UNBOUNDED PRECEDING), 0), 5) AS travelled FROM y")
+def cumulative_distance(spark, sf_dir):
+    return rounded(trajectory.cumulative_distance(msgs(spark, sf_dir, "truth")).select("vehicle_id", "seq", "travelled"), 5)
+
+
+ELAPSED = "e AS (SELECT *, t_us - first_value(t_us) OVER (PARTITION BY vehicle_id, topic ORDER BY seq) AS elapsed_us FROM fx_msgs)"
+
+
+@query(f"WITH {ELAPSED} SELECT vehicle_id, topic, seq, elapsed_us FROM e")
+def elapsed_since_first(spark, sf_dir):
+    return trajectory.elapsed_since_first(msgs(spark, sf_dir)).select("vehicle_id", "topic", "seq", "elapsed_us")
+
+
+@query(f"WITH {ELAPSED} SELECT vehicle_id, topic, count(*) AS kept FROM e WHERE topic <> 'rtk' OR ((elapsed_us % 30000000) + 30000000) % 30000000 < 20000000 GROUP BY 1, 2")
+def simulate_outage(spark, sf_dir):
+    return trajectory.simulate_outage(msgs(spark, sf_dir), "rtk").groupBy("vehicle_id", "topic").agg(F.count("*").alias("kept"))
+
+
+@query("WITH g AS (SELECT vehicle_id, lag(t_us) OVER (PARTITION BY vehicle_id ORDER BY t_us, seq) AS from_us, t_us AS to_us FROM fx_msgs WHERE topic = 'rtk') SELECT * FROM g WHERE to_us - from_us > 150000")
+def outage_segments(spark, sf_dir):
+    return trajectory.outage_segments(msgs(spark, sf_dir, "rtk"), 150_000)
+
+
+@query("WITH s AS (SELECT *, sqrt(std_x**2 + std_y**2) AS std, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us, seq) AS i, count(*) OVER (PARTITION BY vehicle_id) AS n FROM fx_msgs WHERE topic = 'rtk'), o AS (SELECT vehicle_id, coalesce(min(t_us) FILTER (std > 1.5), min(t_us) FILTER (i = n // 2 + 1)) AS onset_us FROM s GROUP BY 1) SELECT vehicle_id, onset_us, count(*) AS n, count(*) FILTER (t_us < onset_us) AS n_before, round(max(std), 6) AS max_std, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(max(std) FILTER (t_us < onset_us), 6) AS max_std_before FROM s JOIN o USING (vehicle_id) GROUP BY 1, 2")
+def signal_degradation(spark, sf_dir):
+    return rounded(trajectory.signal_degradation(msgs(spark, sf_dir, "rtk"), 1.5))
+
+
+@query("SELECT vehicle_id, seq, round(x - ((qw*qw - qz*qz) * 0.1 - 2 * qw * qz * 0.42), 6) + 0 AS x, round(y - (2 * qw * qz * 0.1 + (qw*qw - qz*qz) * 0.42), 6) + 0 AS y, round(z + 0.15, 6) AS z FROM fx_msgs WHERE topic = 'truth' AND t_us > 0")
+def extract_ground_truth(spark, sf_dir):
+    return rounded(trajectory.extract_ground_truth(msgs(spark, sf_dir, "truth"), (0.10, 0.42, -0.15)).select("vehicle_id", "seq", "x", "y", "z"))
+
+
+@query("SELECT scan_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM fx_points WHERE NOT (x > -3 AND x < 0 AND y > -0.5 AND y < 0.5 AND z > -0.8 AND z < 1) AND seq % 2 = 0 AND x*x + y*y + z*z > 4 GROUP BY 1")
+def clean_scan(spark, sf_dir):
+    return cloud.clean_scan(points(spark, sf_dir), 2, 2.0, (-3.0, 0.0, -0.5, 0.5, -0.8, 1.0)).groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("WITH v AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS i FROM fx_points WHERE ring < 6 AND (tag & 48) IN (0, 16)) SELECT scan_id, seq FROM v WHERE i % 3 = 0")
+def tagged_ring_decimate(spark, sf_dir):
+    return cloud.decimate(cloud.return_tag_filter(cloud.ring_filter(points(spark, sf_dir), 6)), 3, "valid").select("scan_id", "seq")
+
+
+@query("WITH k AS (SELECT *, seq % 4 <> 0 AS kept FROM fx_points), p AS (SELECT *, lag(CASE WHEN kept THEN x ELSE 0 END, 1, 0) OVER w AS px, lag(CASE WHEN kept THEN y ELSE 0 END, 1, 0) OVER w AS py, lag(CASE WHEN kept THEN z ELSE 0 END, 1, 0) OVER w AS pz FROM k WINDOW w AS (PARTITION BY scan_id ORDER BY seq)) SELECT scan_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM p WHERE kept AND (abs(x - px) > 0.5 OR abs(y - py) > 0.5 OR abs(z - pz) > 0.5) GROUP BY 1")
+def drop_consecutive_duplicates(spark, sf_dir):
+    return cloud.drop_consecutive_duplicates(points(spark, sf_dir), F.col("seq") % 4 != 0, 0.5).groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("WITH g AS (SELECT *, (lead(x) OVER w - x)**2 + (lead(y) OVER w - y)**2 + (lead(z) OVER w - z)**2 AS gap FROM fx_points WINDOW w AS (PARTITION BY scan_id, ring ORDER BY seq)) SELECT scan_id, ring, count(gap) AS n, round(avg(gap), 3) AS mean_gap, round(max(sqrt(x*x + y*y)), 3) AS max_planar FROM g GROUP BY 1, 2")
+def ring_geometry(spark, sf_dir):
+    df = cloud.ring_geometry(points(spark, sf_dir))
+    return rounded(df.groupBy("scan_id", "ring").agg(F.count("gap").alias("n"), F.avg("gap").alias("mean_gap"), F.max("planar").alias("max_planar")), 3)
+
+
+@query("SELECT scan_id, floor(x / 2)::BIGINT AS cx, floor(y / 2)::BIGINT AS cy, floor(z / 2)::BIGINT AS cz, count(*) AS n, round(avg(x), 5) + 0 AS x, round(avg(y), 5) + 0 AS y, round(avg(z), 5) + 0 AS z, round(avg(intensity), 5) AS intensity FROM fx_points GROUP BY 1, 2, 3, 4")
+def voxel_centroid(spark, sf_dir):
+    return rounded(spatial.voxel_centroid(points(spark, sf_dir), 2.0), 5)
+
+
+@query("SELECT floor((x + 79.5017) / 0.5)::INT AS ix, floor((y + 8.40812) / 0.5)::INT AS iy, count(*) AS hits FROM fx_points GROUP BY 1, 2")
+def occupancy_raster(spark, sf_dir):
+    return spatial.occupancy_raster(points(spark, sf_dir), 0.5, (-79.5017, -8.40812))
+
+
+def map_points(spark, sf_dir):
+    return table(spark, sf_dir, "fx_map").select("point_id", "label", "x", "y", "z")
+
+
+def scan_queries(spark, sf_dir):
+    return points(spark, sf_dir).where("seq = 0").select(F.col("scan_id").alias("query_id"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
+
+
+PAIRS = "q AS (SELECT scan_id AS query_id, x / 10 AS x, y / 10 AS y, z / 10 AS z FROM fx_points WHERE seq = 0), p AS (SELECT q.query_id, m.point_id, (q.x - m.x)**2 + (q.y - m.y)**2 + (q.z - m.z)**2 AS d2, m.x AS mx FROM q, fx_map m)"
+
+
+@query(f"WITH {PAIRS} SELECT query_id, point_id, round(d2, 6) AS d2 FROM p WHERE d2 <= 1.5 * 1.5")
+def radius_join(spark, sf_dir):
+    return rounded(spatial.radius_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 1.5).select("query_id", "point_id", "d2"))
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, mx, point_id) AS rank FROM p) SELECT query_id, point_id, rank::INT AS rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5")
+def knn_join(spark, sf_dir):
+    return rounded(spatial.knn_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 5, 2.0).select("query_id", "point_id", "rank", "d2"))
+
+
+@query("WITH b AS (SELECT label AS box_id, min(floor(x / 5) * 5) AS x0, min(floor(y / 5) * 5) AS y0, min(floor(z / 5) * 5) AS z0 FROM fx_map GROUP BY 1) SELECT box_id, point_id FROM b, fx_map m WHERE x >= x0 AND x < x0 + 10 AND y >= y0 AND y < y0 + 10 AND z >= z0 AND z < z0 + 10")
+def box_join(spark, sf_dir):
+    m = map_points(spark, sf_dir)
+    boxes = m.groupBy(F.col("label").alias("box_id")).agg(*((F.min(F.floor(F.col(c) / 5) * 5)).cast("double").alias(f"{c}0") for c in "xyz"))
+    boxes = boxes.withColumns({f"{c}1": F.col(f"{c}0") + 10 for c in "xyz"})
+    return spatial.box_join(boxes, m.drop("label")).select("box_id", "point_id")
+
+
+@query("WITH u AS (SELECT *, (point_id % 3 = 0)::INT AS is_new, floor(x / 2) AS cx, floor(y / 2) AS cy, floor(z / 2) AS cz FROM fx_map), r AS (SELECT *, max(is_new) OVER w AS touched, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY (x - (cx + 0.5) * 2)**2 + (y - (cy + 0.5) * 2)**2 + (z - (cz + 0.5) * 2)**2, is_new DESC, point_id) AS rank FROM u WINDOW w AS (PARTITION BY cx, cy, cz)) SELECT point_id, is_new FROM r WHERE touched = 0 OR rank = 1")
+def voxel_keep_center(spark, sf_dir):
+    m = map_points(spark, sf_dir).drop("label")
+    return spatial.voxel_keep_center(m.where("point_id % 3 <> 0"), m.where("point_id % 3 = 0"), 2.0).select("point_id", "is_new")
+
+
+@query("SELECT count(*) AS n, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + " FROM fx_map")
+def map_extent(spark, sf_dir):
+    return rounded(spatial.map_extent(map_points(spark, sf_dir)))
+
+
+NMEA = """p AS (SELECT *, string_split(split_part(sentence, '*', 1), ',') AS p FROM fx_nmea),
+ n AS (SELECT vehicle_id, seq, recv_us, CASE WHEN p[1] = '$GNGGA' THEN (floor(p[3]::DOUBLE / 100) + (p[3]::DOUBLE - floor(p[3]::DOUBLE / 100) * 100) / 60) END AS lat,
+ CASE WHEN p[1] = '$GNGGA' THEN (floor(p[5]::DOUBLE / 100) + (p[5]::DOUBLE - floor(p[5]::DOUBLE / 100) * 100) / 60) END AS lon, CASE WHEN p[1] = '$GNGGA' THEN p[7]::INT END AS quality, CASE WHEN p[1] = '$GNGGA' THEN p[10]::DOUBLE END AS alt,
+ CASE WHEN p[1] = '$GNGST' THEN p[7]::DOUBLE END AS sigma_lat, CASE WHEN p[1] = '$GNGSA' THEN len(list_filter(p[4:15], lambda s: s <> '')) END AS satellites, CASE WHEN p[1] = '$GNHDT' THEN p[2]::DOUBLE END AS heading FROM p)"""
+
+
+@query(f"WITH {NMEA} SELECT vehicle_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, quality, alt, sigma_lat, satellites::INT AS satellites, heading FROM n")
+def parse_nmea(spark, sf_dir):
+    return rounded(gnss.parse_nmea(table(spark, sf_dir, "fx_nmea")).select("vehicle_id", "seq", "lat", "lon", "quality", "alt", "sigma_lat", "satellites", "heading"))
+
+
+@query(f"WITH {NMEA}, s AS (SELECT *, coalesce(last_value(sigma_lat IGNORE NULLS) OVER w, 1) AS sl, last_value(heading IGNORE NULLS) OVER w AS h FROM n WINDOW w AS (PARTITION BY vehicle_id ORDER BY recv_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), y AS (SELECT *, 176.25 - h AS y0 FROM s) SELECT vehicle_id, seq, round(lat, 6) AS lat, quality, sl AS sigma_lat, h AS heading, (CASE WHEN y0 > 180 THEN y0 - 360 WHEN y0 < -180 THEN y0 + 360 ELSE y0 END)::DOUBLE AS yaw FROM y WHERE lat IS NOT NULL")
+def gnss_to_fix(spark, sf_dir):
+    return rounded(gnss.gnss_to_fix(table(spark, sf_dir, "fx_nmea")).select("vehicle_id", "seq", "lat", "quality", "sigma_lat", "heading", "yaw"))
