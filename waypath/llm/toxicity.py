@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         if term < 0:
             model.pooled[edits, quoted] = (pos + share) / (pos + neg + 1)
         else:
-            model.shares[term, edits, quoted] = (pos + 2 * model.pooled[edits, quoted]) / (pos + neg + 2)
+            weight = 8 if edits else 2  # a misspelling that few texts show is mostly another word
+            model.shares[term, edits, quoted] = (pos + weight * model.pooled[edits, quoted]) / (pos + neg + weight)
     return model
 
 
