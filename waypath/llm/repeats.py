@@ -166,10 +166,11 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = f"doc_id {kind}, t long"
     runs = written(docs.mapInArrow(runs_of, f"{ids}, anchor long, content long, lo int, hi int, itself boolean"), "runs")
-    contents = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "lo", "hi")).alias("one"), F.max("itself").alias("itself")), "contents")
-    whole = runs.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "t", "lo", (F.col("hi") + width).alias("end"))
+    contents = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("itself").alias("itself")), "contents")
+    whole = runs.drop("itself").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "t", "lo", (F.col("hi") + width).alias("end"))
     varied = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("itself").alias("itself")).where("m > 1 or itself").select("anchor")
-    edges = contents.join(varied, "anchor", "left_semi").select("one.*", (F.col("n") > 1).alias("known"))
+    unsettled = contents.join(varied, "anchor", "left_semi").select("anchor", "content", (F.col("n") > 1).alias("known"))
+    edges = runs.drop("itself").join(unsettled, ["anchor", "content"]).groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "t", "lo", "hi")).alias("one"), F.max("known").alias("known")).select("one.*", "known")
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
