@@ -30,44 +30,49 @@ def plain(word: str) -> str:
 
 
 class Lexicon:
-    """A trie of terms, walked together with the automaton of all words within one edit of a word."""
+    """Two tries of the terms, forwards and backwards, walked with the automaton of all words within one edit of a word.
+
+    One edit leaves the first or the last half of a term as it is, so each walk starts below an exact half.
+    """
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.trie: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
+        self.tries: tuple[dict, dict] = ({}, {})
         for t in terms:
-            if len(t) < MIN_FUZZY:
-                continue
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-            self.heads.setdefault(len(t), set()).add(t[: len(t) // 2])
-            self.tails.setdefault(len(t), set()).add(t[len(t) // 2 :])
+            if len(t) >= MIN_FUZZY:
+                for node, letters in zip(self.tries, (t, t[::-1])):
+                    for c in letters:
+                        node = node.setdefault(c, {})
+                    node[""] = t
 
     def near(self, word: str) -> int:
         """2 * term's number + edits (0 or 1) of the closest term, the first of equals; -1 if none is within one edit."""
         if word in self.number:
             return 2 * self.number[word]
-        for m in (len(word), len(word) - 1, len(word) + 1):  # one edit leaves one half of a term as it is
-            if m in self.heads and (word[: m // 2] in self.heads[m] or word[len(word) - m + m // 2 :] in self.tails[m]):
-                break
-        else:
+        half = (len(word) - 1) // 2
+        if len(word) < MIN_FUZZY - 1:
             return -1
-        best, states = None, [(self.trie, tuple(range(len(word) + 1)))]
-        while states:
-            node, row = states.pop()
-            if "" in node and row[-1] <= 1 and (best is None or node[""] < best):
-                best = node[""]
-            for c, below in node.items():
-                if c:
-                    new = [row[0] + 1]
-                    for i, w in enumerate(word):
-                        new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-                    if min(new) <= 1:
-                        states.append((below, tuple(new)))
+        best = None
+        for node, letters in zip(self.tries, (word, word[::-1])):
+            for c in letters[:half]:
+                node = node.get(c)
+                if node is None:
+                    break
+            if node is None:
+                continue
+            rest = letters[half:]
+            states = [(node, tuple(range(len(rest) + 1)))]
+            while states:
+                node, row = states.pop()
+                if "" in node and row[-1] <= 1 and (best is None or node[""] < best):
+                    best = node[""]
+                for c, below in node.items():
+                    if c:
+                        new = [row[0] + 1]
+                        for i, w in enumerate(rest):
+                            new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
+                        if min(new) <= 1:
+                            states.append((below, tuple(new)))
         return -1 if best is None else 2 * self.number[best] + 1
 
 
