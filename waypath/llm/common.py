@@ -82,14 +82,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and its inverse mod 2^64, for i in 0..n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        n = max(n + 1, 1 << 16, 0 if have is None else 2 * len(have[0]))
+        n = -(-(n + 1) // (1 << 18)) << 18
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(n + 1, b, np.uint64)
             a[0] = 1
             out.append(np.cumprod(a, dtype=np.uint64))
         have = (out[0], out[1])
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 2 * CHUNK_BYTES:
             _powers[base] = have
     return have
 

@@ -12,7 +12,7 @@ from waypath.llm.common import BYTE_CODES, Spans, word_bounds
 class WordTable:
     """Numbers that `judge` gives to distinct words, remembered by a 64-bit hash of the word's bytes."""
 
-    def __init__(self, judge: Callable[[list[str]], list[int]], most: int = 4_000_000):
+    def __init__(self, judge: Callable[[list[str]], list[int]], most: int = 2_500_000):
         self.judge, self.most = judge, most
         self.known, self.value = np.empty(0, np.uint64), np.empty(0, np.int64)
 

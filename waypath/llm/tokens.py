@@ -25,7 +25,7 @@ from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, mix, scratc
 
 TOKEN_LIMIT, END_ID = 1024, 0
 #: Pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
-KNOWN_PIECES = 4_000_000
+KNOWN_PIECES = 2_500_000
 #: A piece starts at a blank before a byte that is no white space and starts none beyond ASCII.
 OPENS = np.ones(256, bool)
 OPENS[[32, *range(9, 14), 0xC2, 0xE1, 0xE2, 0xE3]] = False
