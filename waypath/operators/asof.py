@@ -15,8 +15,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, name: str
     tagged = left.withColumns({"_tag": F.lit(0), name: F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)})
     tagged = tagged.unionByName(right.select(key, "t_us", "seq", F.lit(1).alias("_tag"), payload.alias(name)), allowMissingColumns=True)
     back = Window.partitionBy(key).orderBy("t_us", "_tag", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("t_us", "_tag", F.desc("seq")).rowsBetween(0, Window.unboundedFollowing)
-    tagged = tagged.withColumns({"_b": F.last(name, ignorenulls=True).over(back), "_a": F.first(name, ignorenulls=True).over(ahead)})
+    ahead = Window.partitionBy(key).orderBy(F.desc("t_us"), F.desc("_tag"), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = tagged.withColumns({"_b": F.last(name, ignorenulls=True).over(back), "_a": F.last(name, ignorenulls=True).over(ahead)})
     to_b, to_a = F.col("t_us") - F.col("_b.t_us"), F.col("_a.t_us") - F.col("t_us")
     best = F.when(F.coalesce(to_a <= to_b, F.col("_b").isNull()), F.col("_a")).otherwise(F.col("_b"))
     near = F.when(F.abs(best["t_us"] - F.col("t_us")) <= tolerance_us, best)
