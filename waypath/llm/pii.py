@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,17 @@ PATTERNS = {
     "card": r"[0-9]+(?:[\x20-][0-9]+)*",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for its pattern to be tried at all.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
+#: What a text must hold for its pattern to have any valid match.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: Words on either side of a value; distinct windows in which a term must stand by it; share of all documents with the term
 #: that hold the value, from which the term gives it away.
 CONTEXT, SUPPORT, DISCLOSURE = 8, 5, 0.5
+#: Terms (of at most 200 characters each) up to which a set of terms is broadcast; a larger one is joined by shuffle.
+BROADCAST_TERMS = 20_000
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of the leftmost matches, in code points."""
+def located(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """array<struct<start,end,value>> of the leftmost matches that `keep` accepts, in code points."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"))
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
@@ -31,7 +35,8 @@ def located(text: Column, pattern: str) -> Column:
         start = s["at"] + p["gap"]
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.when(p["hit"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
+        kept = F.coalesce(p["hit"].isNotNull() & keep(p["hit"]), F.lit(False))  # the array is copied for kept matches only
+        return F.struct(end.alias("at"), F.when(kept, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(pairs, empty, step, lambda s: s["out"])
 
@@ -63,7 +68,7 @@ def valid(kind: str, value: Column) -> Column:
 
 def spans_of(text: Column, rank: int, kind: str) -> Column:
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    found = F.when(text.rlike(HINTS[kind]), F.filter(located(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))).otherwise(none)
+    found = F.when(text.rlike(HINTS[kind]), located(text, PATTERNS[kind], lambda v: valid(kind, v))).otherwise(none)
     return F.transform(found, lambda m: F.struct(F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
 
 
@@ -76,8 +81,18 @@ def n_of(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(term, entity, bits) that disclose, and (doc_id, t, term) of all documents with a candidate term.
+def within(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose `name` is in keys (a written table of distinct values, broadcast if it is small)."""
+    few = keys.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return df.join(F.broadcast(keys) if few else keys, name, "left_semi")
+
+
+def terms_of(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "t", F.explode(F.array_distinct(F.split(F.lower("text"), BLANKS))).alias("term"))
+
+
+def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term, entity, bits) that disclose.
 
     rows: doc_id, t, text. found: doc_id, t, text, spans, of documents with a protected value. The pointwise
     information of a term about a value is log2(p(value | term) / p(value)), by documents; it is taken where the two
@@ -91,18 +106,17 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT,
     window = window.withColumn("w", F.xxhash64("words"))
     pairs = window.dropDuplicates(["entity", "w"]).select("entity", F.explode(F.array_distinct("words")).alias("term"))
     pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("windows")).where(F.col("windows") >= support), "pairs")
-    terms = pairs.select("term").distinct()
-    words = rows.select("doc_id", "t", F.explode(F.array_distinct(F.split(F.lower("text"), BLANKS))).alias("term"))
-    holders = written(words.join(terms, "term", "left_semi"), "holders")
-    n = rows.count()
-    by_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
-    by_entity = window.select("entity", "doc_id", "t").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    holding = window.select("entity", F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
-    both = holding.join(holders, holding["_d"].eqNullSafe(holders["doc_id"]) & (holding["_t"] == holders["t"])).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    terms = written(pairs.select("term").distinct(), "terms")
+    entities = written(pairs.select("entity").distinct(), "entities")
+    holding = window.select("entity", "doc_id", "t").distinct()
+    by_entity = holding.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    by_term = within(terms_of(rows), terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    holding = within(holding, entities, "entity").withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    own = within(terms_of(found), terms, "term")
+    both = holding.join(own, holding["_d"].eqNullSafe(own["doc_id"]) & (holding["_t"] == own["t"])).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     scored = pairs.join(both, ["entity", "term"]).join(by_term, "term").join(by_entity, "entity")
-    bits = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
-    telling = scored.where(F.col("n_both") >= disclosure * F.col("n_term")).select("term", "entity", bits.alias("bits")).where("bits > 0")
-    return telling, holders
+    bits = F.log2(F.col("n_both") * F.lit(float(rows.count())) / (F.col("n_term") * F.col("n_entity")))
+    return scored.where(F.col("n_both") >= disclosure * F.col("n_term")).select("term", "entity", bits.alias("bits")).where("bits > 0")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -117,10 +131,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     spans = rows.withColumn("base", F.when(F.col("text").contains("@") | F.col("text").rlike("[0-9]"), base_spans(F.col("text"))).otherwise(none))
     base = written(spans.select("doc_id", "t", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
     found = base.where("text is not null").select("doc_id", "t", "text", F.col("base").alias("spans"))
-    telling, holders = disclosing_terms(rows, found)
-    own = written(holders.join(telling.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("term").alias("telling")).withColumnsRenamed({"doc_id": "_d", "t": "_t"}), "telling")
+    telling = written(disclosing_terms(rows, found).select("term").distinct(), "disclosing")
+    own = written(within(terms_of(rows), telling, "term").groupBy("doc_id", "t").agg(F.collect_set("term").alias("telling")).withColumnsRenamed({"doc_id": "_d", "t": "_t"}), "telling")
     held = rows.join(own, rows["doc_id"].eqNullSafe(own["_d"]) & (rows["t"] == own["_t"]))
-    marked = held.select("_d", "_t", F.filter(located(F.col("text"), WORD), lambda m: F.array_contains("telling", F.lower(m["value"]))).alias("terms")).dropDuplicates(["_d", "_t"])
+    marked = held.select("_d", "_t", located(F.col("text"), WORD, lambda v: F.array_contains("telling", F.lower(v))).alias("terms")).dropDuplicates(["_d", "_t"])
     return base.drop("text").join(marked, base["doc_id"].eqNullSafe(marked["_d"]) & (base["t"] == marked["_t"]), "left").drop("_d", "_t")
 
 
