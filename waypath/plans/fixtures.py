@@ -106,4 +106,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_tables(sql: str) -> str:
     """DuckDB SQL with the tables that it names in front."""
     own = [f"{n} AS ({q.strip()})" for n, q in DUCKDB.items() if n in sql]
+    if not own:
+        return sql
     return f"WITH {', '.join(own)} {',' if sql.lstrip().upper().startswith('WITH ') else ''} {sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.operators import cloud, gnss, spatial, trajectory
+from waypath.functions import geodesy, rotation
+from waypath.operators import cloud, gnss, imu, packets, spatial, store, trajectory
 from waypath.operators.asof import asof_nearest
 from waypath.plans.fixtures import table, with_tables
 
@@ -203,3 +204,106 @@ def parse_nmea(spark, sf_dir):
 @query(f"WITH {NMEA}, s AS (SELECT *, coalesce(last_value(sigma_lat IGNORE NULLS) OVER w, 1) AS sl, last_value(heading IGNORE NULLS) OVER w AS h FROM n WINDOW w AS (PARTITION BY vehicle_id ORDER BY recv_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), y AS (SELECT *, 176.25 - h AS y0 FROM s) SELECT vehicle_id, seq, round(lat, 6) AS lat, quality, sl AS sigma_lat, h AS heading, (CASE WHEN y0 > 180 THEN y0 - 360 WHEN y0 < -180 THEN y0 + 360 ELSE y0 END)::DOUBLE AS yaw FROM y WHERE lat IS NOT NULL")
 def gnss_to_fix(spark, sf_dir):
     return rounded(gnss.gnss_to_fix(table(spark, sf_dir, "fx_nmea")).select("vehicle_id", "seq", "lat", "quality", "sigma_lat", "heading", "yaw"))
+
+
+@query("SELECT scan_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM fx_points WHERE seq % 5 <> 0 AND seq % 7 <> 0 GROUP BY 1")
+def drop_nonfinite(spark, sf_dir):
+    p = points(spark, sf_dir).withColumns({"x": F.when(F.col("seq") % 5 == 0, float("nan")).otherwise(F.col("x")), "z": F.when(F.col("seq") % 7 == 0, float("-inf")).otherwise(F.col("z"))})
+    return cloud.drop_nonfinite(p).groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("SELECT scan_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM fx_points WHERE NOT ((seq * 37) % 36000 > 35000 OR (seq * 37) % 36000 < 1000) GROUP BY 1")
+def azimuth_sector_mask(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("azimuth", (F.col("seq") * 37) % 36000)
+    return cloud.azimuth_sector_mask(p, 35000, 1000).groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+UTM = """u AS (SELECT *, CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6)::INT % 60 + 1 END AS zone FROM g),
+ k AS (SELECT *, sin(radians(lat)) AS s, radians(lon - (6 * zone - 183)) AS d, sqrt(0.00669437999014131651) AS e FROM u),
+ c AS (SELECT *, (s / sqrt(1 - s * s) * sqrt(1 + sg * sg) - sg * sqrt(1 + s * s / (1 - s * s))) AS t FROM (SELECT *, sinh(e * atanh(e * s)) AS sg FROM k)),
+ x AS (SELECT *, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM c),
+ utm AS (SELECT *, 500000 + {r} * (eta + {east}) AS east, {r} * (xi + {north}) + CASE WHEN lat < 0 THEN 1e7 ELSE 0 END AS north FROM x)""".format(
+    r=f"{geodesy.SCALE * geodesy.RADIUS:.16e}",
+    east=" + ".join(f"{k:.16e} * cos({2 * i} * xi) * sinh({2 * i} * eta)" for i, k in enumerate(geodesy.FORWARD, 1)),
+    north=" + ".join(f"{k:.16e} * sin({2 * i} * xi) * cosh({2 * i} * eta)" for i, k in enumerate(geodesy.FORWARD, 1)),
+)
+PLACES = "g AS (SELECT event_id AS seq, (event_id * 7919 % 16000) / 1e2 - 79 AS lat, (event_id * 104729 % 36000) / 1e2 - 180 AS lon FROM events WHERE (event_id * 7919 % 16000) / 1e2 - 79 < 80)"
+
+
+def places(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = e.select(F.col("event_id").alias("seq"), (F.col("event_id") * 7919 % 16000 / 1e2 - 79).alias("lat"), (F.col("event_id") * 104729 % 36000 / 1e2 - 180).alias("lon"))
+    return at.where("lat < 80")
+
+
+@query(f"WITH {PLACES}, {UTM} SELECT seq, zone, round(east, 2) AS x, round(north, 2) AS y FROM utm")
+def utm_forward(spark, sf_dir):
+    df = places(spark, sf_dir).withColumn("u", geodesy.utm_forward(F.col("lat"), F.col("lon")))
+    return rounded(df.select("seq", "u.zone", "u.x", "u.y"), 2)
+
+
+@query(f"WITH {PLACES} SELECT seq, round(lat, 7) + 0 AS lat, round(lon, 7) + 0 AS lon FROM g")
+def utm_inverse(spark, sf_dir):
+    u = geodesy.utm_forward(F.col("lat"), F.col("lon"))
+    df = places(spark, sf_dir).select("seq", u.alias("u")).select("seq", geodesy.utm_inverse(*(F.col(f"u.{c}") for c in ("zone", "north", "x", "y"))).alias("p"))
+    return rounded(df.select("seq", "p.lat", "p.lon"), 7)
+
+
+@query("SELECT scan_id, round(x / 20, 5) + 0 AS x, round(y / 20, 5) + 0 AS y, round(z / 20, 5) + 0 AS z FROM fx_points WHERE seq = 0 AND sqrt(x*x + y*y + z*z) / 20 BETWEEN 0.01 AND 3")
+def so3_log_of_exp(spark, sf_dir):
+    p = points(spark, sf_dir).where("seq = 0 and sqrt(x*x + y*y + z*z) / 20 between 0.01 and 3")
+    back = rotation.so3_log(rotation.so3_exp(tuple(F.col(c) / 20 for c in "xyz")))
+    return rounded(p.select("scan_id", *(v.alias(c) for c, v in zip("xyz", back))), 5)
+
+
+PACKET = "('0x' || substr(packet_hex, {0} + 3, 2) || substr(packet_hex, {0} + 1, 2))::INT"
+
+
+def packets_of(spark, sf_dir):
+    return table(spark, sf_dir, "fx_packets").withColumn("data", F.unhex("packet_hex"))
+
+
+@query("SELECT device, seq, len(list_filter(range(12), lambda b: substr(packet_hex, (b * 200 + 1)::INT, 4) = 'FFEE')) = 12 AS valid FROM fx_packets")
+def packet_validity(spark, sf_dir):
+    return packets_of(spark, sf_dir).select("device", "seq", packets.packet_valid(F.col("data")).alias("valid"))
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(stamp_us - lag(stamp_us) OVER (PARTITION BY device ORDER BY seq), 0) AS gap FROM fx_packets), v AS (SELECT * FROM p WHERE len(list_filter(range(12), lambda b: substr(packet_hex, (b * 200 + 1)::INT, 4) = 'FFEE')) = 12),
+ b AS (SELECT *, {PACKET.format("b * 200 + 4")} AS az FROM (SELECT *, unnest(range(12))::INT AS b FROM v)),
+ s AS (SELECT *, CASE WHEN b < 11 THEN lead(az) OVER w - az ELSE az - lag(az) OVER w END AS st FROM b WINDOW w AS (PARTITION BY device, seq ORDER BY b)),
+ f AS (SELECT *, unnest(range(32))::INT AS k FROM s), o AS (SELECT *, b * 200 + 8 + k * 6 AS o, CASE WHEN st < 0 THEN st + 36000 ELSE st END AS step FROM f)
+ SELECT device, seq, b AS block, count(*) AS n, sum((az + (k * step) // 32) % 36000)::BIGINT AS azimuths, round(sum({PACKET.format("o")} * 4e-3), 3) AS distances, sum(('0x' || substr(packet_hex, o + 5, 2))::INT)::BIGINT AS intensities,
+ round(sum((stamp_us - (383 - b * 32 - k) * (gap / 384)) / 1e6), 3) + 0 AS times FROM o GROUP BY 1, 2, 3""")
+def decode_lidar_firings(spark, sf_dir):
+    f = packets.firings(packets_of(spark, sf_dir))
+    return rounded(f.groupBy("device", "seq", "block").agg(F.count("*").alias("n"), F.sum("azimuth").alias("azimuths"), F.sum("distance").alias("distances"), F.sum("intensity").alias("intensities"), F.sum(F.col("t_us") / 1e6).alias("times")), 3)
+
+
+@query("""WITH b AS (SELECT *, list_transform(range(11), lambda i: ('0x' || substr(frame_hex, (i * 2 + 1)::INT, 2))::INT) AS v FROM fx_imu_frames), g AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY recv_us, seq) AS i, v[2] AS kind,
+ list_transform([3, 5, 7, 9], lambda o: (v[o] + 256 * v[o + 1] + 32768) % 65536 - 32768) AS n FROM b WHERE v[1] = 85 AND list_sum(v[1:10]) % 256 = v[11]),
+ s AS (SELECT *, last_value(CASE WHEN kind = 81 THEN n END IGNORE NULLS) OVER u AS acc, max(CASE WHEN kind = 81 THEN i END) OVER u AS ai, last_value(CASE WHEN kind = 89 THEN n END IGNORE NULLS) OVER u AS q, lag(CASE WHEN kind = 82 THEN i END IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY i) AS gi
+ FROM g WINDOW u AS (PARTITION BY vehicle_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT vehicle_id, seq, round(acc[1] * 16 * 9.80665e0 / 32768, 6) + 0 AS ax, round(n[3] * 2000 * pi() / 180 / 32768, 6) + 0 AS gz, round(coalesce(q[2] / 32768, 0), 6) + 0 AS qx, round(coalesce(q[1] / 32768, 1), 6) + 0 AS qw FROM s WHERE kind = 82 AND ai > coalesce(gi, 0)""")
+def decode_imu(spark, sf_dir):
+    frames = table(spark, sf_dir, "fx_imu_frames").withColumn("frame", F.unhex("frame_hex"))
+    return rounded(imu.decode_imu(frames).select("vehicle_id", "seq", "ax", "gz", "qx", "qw"))
+
+
+FLAGGED = "m AS (SELECT *, FALSE AS deleted, point_id % 7 = 0 AS downsampled FROM fx_map), a AS (SELECT *, x >= -5 AND x < 5 AND y >= -5 AND y < 5 AND z >= -5 AND z < 5 AS d, x >= 0 AND x < 9 AND y >= -9 AND y < 9 AND z >= -9 AND z < 9 AS r FROM m)"
+
+
+@query(f"WITH {FLAGGED} SELECT point_id, d AND (NOT r OR downsampled) AS deleted FROM a")
+def delete_and_restore_boxes(spark, sf_dir):
+    def box(*c):
+        return spark.createDataFrame([(1, *map(float, c))], "box_id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+
+    m = map_points(spark, sf_dir).drop("label").withColumns({"deleted": F.lit(False), "downsampled": F.col("point_id") % 7 == 0})
+    gone = store.delete_boxes(m, box(-5, 5, -5, 5, -5, 5)).drop("newly")
+    return store.restore_boxes(gone, box(0, 9, -9, 9, -9, 9)).select("point_id", "deleted")
+
+
+@query("SELECT point_id, point_id % 3 = 0 AS deleted FROM fx_map")
+def delete_points(spark, sf_dir):
+    m = map_points(spark, sf_dir).drop("label").withColumns({"deleted": F.lit(False), "downsampled": F.lit(False)})
+    asked = m.where("point_id % 3 = 0").select(F.col("point_id").alias("request_id"), *((F.col(c) + 5e-7).alias(c) for c in "xyz"))
+    return store.delete_points(m, asked).select("point_id", "deleted")
