@@ -110,7 +110,7 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT,
     entities = written(pairs.select("entity").distinct(), "entities")
     holding = window.select("entity", "doc_id", "t").distinct()
     by_entity = holding.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    by_term = terms_of(rows).groupBy("term").agg(F.count("*").alias("n_term"))
+    by_term = written(terms_of(rows).groupBy("term").agg(F.count("*").alias("n_term")), "counts")  # of the whole corpus, whatever the candidates
     holding = within(holding, entities, "entity").withColumnsRenamed({"doc_id": "_d", "t": "_t"})
     own = within(terms_of(found), terms, "term")
     both = holding.join(own, holding["_d"].eqNullSafe(own["doc_id"]) & (holding["_t"] == own["t"])).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
