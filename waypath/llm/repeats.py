@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, mix, signed, text_bytes, text_key, word_bounds, written
+from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, mix, signed, text_bytes, word_bounds, written
 
 #: Cells of a sketch row are 2^SKETCH_BITS bits: with two rows 16 MB are broadcast, whatever the input's size.
 SKETCH_BITS, SKETCH_ROWS, BLOCK_BITS = 26, 2, 16
@@ -140,15 +140,24 @@ def passes(sketch: list[bytes], anchor: np.ndarray) -> np.ndarray:
     return ok
 
 
+def row_key():
+    """One 64-bit value for a row, all that the shuffles of runs and windows carry of it."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
-    """Unit ranges of docs (doc_id, text) covered by repeated windows: (doc_id, t, ranges).
+    """Unit ranges of docs (doc_id, text) covered by repeated windows: (t, ranges).
 
-    t is the hash of the text; ranges holds [from, to) pairs end to end, unsorted, possibly overlapping.
+    t is row_key(); ranges holds [from, to) pairs as from * 2^32 + to, unsorted, possibly overlapping.
     Rows without a repeated window are absent. Two rows with the same doc_id and text repeat each other.
     """
-    docs = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", row_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, of, width, gram))
 
+    def pair(last: str) -> Column:
+        """From `lo` to the end of the window that starts at `last`."""
+        return (F.shiftleft(F.col("lo").cast("long"), 32) + F.col(last) + width).alias("range")
+
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
@@ -160,17 +169,16 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
                     continue
                 lo, hi, row = x.starts[keep], x.ends[keep], x.row[keep]
                 content = Spans(codes, BASES[1]).hash(lo, hi + width)
-                ids = piece.select(["doc_id", "t"]).take(pa.array(row))
-                yield pa.record_batch([*ids.columns, *(pa.array(v) for v in (signed(x.anchor[keep]), signed(content), (lo - first[row]).astype(np.int32), (hi - first[row]).astype(np.int32), x.itself[keep]))], names=["doc_id", "t", "anchor", "content", "lo", "hi", "itself"])
+                ids = piece.column("t").take(pa.array(row))
+                yield pa.record_batch([ids, *(pa.array(v) for v in (signed(x.anchor[keep]), signed(content), (lo - first[row]).astype(np.int32), (hi - first[row]).astype(np.int32), x.itself[keep]))], names=["t", "anchor", "content", "lo", "hi", "itself"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = f"doc_id {kind}, t long"
-    runs = written(docs.mapInArrow(runs_of, f"{ids}, anchor long, content long, lo int, hi int, itself boolean"), "runs")
+    texts = docs.select("t", "text")
+    runs = written(texts.mapInArrow(runs_of, "t long, anchor long, content long, lo int, hi int, itself boolean"), "runs")
     contents = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("itself").alias("itself")), "contents")
-    whole = runs.drop("itself").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "t", "lo", (F.col("hi") + width).alias("end"))
+    whole = runs.drop("itself").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("t", pair("hi"))
     varied = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("itself").alias("itself")).where("m > 1 or itself").select("anchor")
     unsettled = contents.join(varied, "anchor", "left_semi").select("anchor", "content", (F.col("n") > 1).alias("known"))
-    edges = runs.drop("itself").join(unsettled, ["anchor", "content"]).groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "t", "lo", "hi")).alias("one"), F.max("known").alias("known")).select("one.*", "known")
+    edges = runs.drop("itself").join(unsettled, ["anchor", "content"]).groupBy("anchor", "content").agg(F.min(F.struct("t", "lo", "hi")).alias("one"), F.max("known").alias("known")).select("one.*", "known")
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,28 +192,27 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
                 start = np.repeat(first[row] + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 row = np.repeat(row, n)
                 a = mix(Spans(codes).hash(start, start + width) ^ Spans(codes, BASES[1]).hash(start, start + width) >> np.uint64(1))
-                ids = piece.select(["doc_id", "t"]).take(pa.array(row))
+                ids = piece.column("t").take(pa.array(row))
                 for i in range(0, len(start), 200_000):
                     part = slice(i, i + 200_000)
-                    yield pa.record_batch([*(c.slice(i, 200_000) for c in ids.columns), pa.array(signed(a)[part]), pa.array((start - first[row])[part].astype(np.int32)), pa.array(np.repeat(known, n)[part])], names=["doc_id", "t", "a", "lo", "known"])
+                    yield pa.record_batch([ids.slice(i, 200_000), pa.array(signed(a)[part]), pa.array((start - first[row])[part].astype(np.int32)), pa.array(np.repeat(known, n)[part])], names=["t", "a", "lo", "known"])
 
-    at = edges.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("at"))
+    at = edges.groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("at"))
     # Not written: the texts' exchange serves both uses of the windows and the caller's own join with ranges.
-    windows = same_doc(docs, at, "inner").mapInArrow(windows_of, f"{ids}, a long, lo int, known boolean")
+    windows = same_doc(docs, at, "inner").mapInArrow(windows_of, "t long, a long, lo int, known boolean")
     twice = windows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    single = windows.where("not known").join(twice, "a", "left_semi").select("doc_id", "t", "lo", (F.col("lo") + width).alias("end"))
-    return whole.unionByName(single).groupBy("doc_id", "t").agg(F.flatten(F.collect_list(F.array("lo", "end"))).alias("ranges"))
+    single = windows.where("not known").join(twice, "a", "left_semi").select("t", pair("lo"))
+    return whole.unionByName(single).groupBy("t").agg(F.collect_list("range").alias("ranges"))
 
 
 def same_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """docs joined with other on doc_id (null equals null) and the text's hash."""
-    other = other.withColumnsRenamed({"doc_id": "_doc_id", "t": "_t"})
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_doc_id"]) & (docs["t"] == other["_t"]), how).drop("_doc_id", "_t")
+    """docs joined with other on row_key()."""
+    return docs.join(other, "t", how)
 
 
 def covered(ranges: np.ndarray | None, n: int) -> np.ndarray:
     """Which of n units lie in one of the ranges."""
     if ranges is None or not len(ranges):
         return np.zeros(n, bool)
-    step = np.bincount(ranges[::2], minlength=n + 1) - np.bincount(ranges[1::2], minlength=n + 1)
+    step = np.bincount(ranges >> 32, minlength=n + 1) - np.bincount(ranges & 0xFFFFFFFF, minlength=n + 1)
     return np.cumsum(step[:n]) > 0

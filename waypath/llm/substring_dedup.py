@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import documents, text_key
-from waypath.llm.repeats import covered, repeated, same_doc
+from waypath.llm.common import documents
+from waypath.llm.repeats import covered, repeated, row_key, same_doc
 
 #: A repeated byte string of this length goes; anchors are sub-strings of BYTE_GRAM bytes.
 MIN_BYTES, BYTE_GRAM = 400, 304
@@ -21,7 +21,7 @@ MIN_WORDS, WORD_GRAM = 35, 24
 
 
 def _kept(docs: DataFrame, of: str, width: int, gram: int, with_text: bool) -> DataFrame:
-    rows = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", row_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     found = same_doc(rows, repeated(docs, of, width, gram), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
