@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import waypath.registry_scans  # noqa: F401  (adds its queries)
 from waypath.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
