@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, text_bytes, word_bounds
+from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, text_bytes, word_bounds, written
 
 WINDOW = 10
 #: Text of benchmark items that one pass over the documents looks for. A larger benchmark is searched block by block.
@@ -174,6 +174,29 @@ def _found(column: pa.Array, phrases: Phrases, batch_text: list) -> tuple[list,
     return pairs, first, [np.cumsum(hit)[:-1] > 0, begins, ends]
 
 
+def broadcasts(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
+    """The blocks, broadcast as they are made: the driver keeps their files, not their tables."""
+    return [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window)]
+
+
+def _with_spans(spans: pa.Array, pairs: list, first: np.ndarray, hit: np.ndarray) -> list[list[int]]:
+    """Each row's spans with the hit words of a block added."""
+    spans = spans.to_pylist()
+    for r in {r for r, _ in pairs}:
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[r] : first[r + 1]].astype(np.int8), [0]])))
+        spans[r] = merged([*spans[r], *edge.tolist()])
+    return spans
+
+
+def _cut(raw: bytes, begins: np.ndarray, ends: np.ndarray, spans: list[int]) -> str:
+    """A text without the words in spans, each span leaving one space."""
+    kept, at = [], 0
+    for s, e in zip(spans[::2], spans[1::2]):
+        kept.append(raw[at : begins[s]])
+        at = int(ends[e - 1])
+    return b" ".join([*kept, raw[at:]]).decode()
+
+
 def _texts(batch: pa.RecordBatch) -> list:
     return [p.column("text") for p in chunks(batch)]
 
@@ -190,8 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     kind = benchmark.schema["item_id"].dataType.simpleString()
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.expr("cast(array() as array<int>)"), "items": F.expr(f"cast(array() as array<{kind}>)")})
     schema, spark = out.schema, docs.sparkSession
-    for phrases in [*blocks(benchmark, window)] or [None]:
-        shared = spark.sparkContext.broadcast(phrases)
+    for shared in broadcasts(spark, benchmark, window) or [spark.sparkContext.broadcast(None)]:
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -206,11 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 items = batch.column("items").to_pylist()
                 for r, i in dict.fromkeys(pairs):
                     items[r].append(phrases.ids[i])
-                spans = batch.column("spans").to_pylist()
-                for r in {r for r, _ in pairs}:
-                    own = np.concatenate([[0], hit[first[r] : first[r + 1]].astype(np.int8), [0]])
-                    edge = np.flatnonzero(np.diff(own))
-                    spans[r] = merged([*spans[r], *edge.tolist()])
+                spans = _with_spans(batch.column("spans"), pairs, first, hit)
                 for name, value in (("n_words", pa.array(np.diff(first))), ("spans", pa.array(spans, pa.list_(pa.int32()))), ("items", pa.array(items, batch.schema.field("items").type))):
                     batch = batch.set_column(batch.schema.get_field_index(name), name, value)
                 yield batch
@@ -234,51 +252,92 @@ def merged(spans: list[int]) -> list[int]:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every word in a benchmark window cut from its text, and nothing else changed.
 
-    The spans of all windows are merged and cut, each leaving one space; a text is cut again while joined ends
-    form a window. Rows without a hit stay as they are, null and empty texts too; a row of which no word is left goes.
+    The spans of all windows, of whatever block, are found in the same text, merged and cut, each leaving one space; a text is
+    cut again while joined ends form a window. Rows without a hit stay as they are, null and empty texts too; a row of which no word
+    is left goes. With one block a task repeats this by itself; with more, each round is a written table, and rows without a hit leave it.
     """
-    schema, spark = docs.schema, docs.sparkSession
-    for phrases in blocks(benchmark, window):
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                texts, new, gone = _texts(batch), {}, set()
-                rows = np.arange(batch.num_rows)
-                while texts:
-                    pairs, first, (hit, begins, ends) = _found(None, shared.value, texts)
-                    again = sorted({r for r, _ in pairs})
-                    if not again:
-                        break
-                    source = pa.chunked_array(texts).cast(pa.string())
-                    cut = []
-                    for r in again:
-                        raw, a, b = source[r].as_buffer().to_pybytes(), first[r], first[r + 1]
-                        own = hit[a:b]
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                        kept, at = [], 0
-                        for s, e in zip(edge[::2], edge[1::2]):
-                            kept.append(raw[at : begins[a + s]])
-                            at = int(ends[a + e - 1])
-                        kept.append(raw[at:])
-                        cut.append(b" ".join(kept).decode())
-                        if own.all():
-                            gone.add(int(rows[r]))
-                    rows = rows[again]
-                    new |= dict(zip(rows.tolist(), cut))
-                    texts = [pa.array(cut, pa.string())]
-                if new:
-                    text = batch.column("text").to_pylist()
-                    for r, t in new.items():
-                        text[r] = t
-                    batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, batch.schema.field("text").type))
-                    batch = batch.filter(pa.array([r not in gone for r in range(batch.num_rows)]))
-                yield batch
-
-        docs = docs.mapInArrow(step, schema)
-    return docs
+    shared = broadcasts(docs.sparkSession, benchmark, window)
+    if not shared:
+        return docs
+    if len(shared) == 1:
+        return _removed(docs, shared[0])
+    kind, out, todo = docs.schema, None, docs
+    while True:
+        marked = todo.withColumn("_spans", F.expr("cast(array() as array<int>)"))
+        for one in shared:
+            marked = _marked(marked, one)
+        marked = written(marked, "marked")
+        clean = marked.where("size(_spans) = 0").drop("_spans")
+        out = clean if out is None else out.unionByName(clean)
+        hit = marked.where("size(_spans) > 0")
+        if hit.isEmpty():
+            return out
+        todo = written(_cut_once(hit, kind), "cut")
+
+
+def _marked(docs: DataFrame, shared) -> DataFrame:
+    """docs with the spans of one block added to _spans."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pairs, first, (hit, _, _) = _found(batch.column("text"), shared.value, _texts(batch))
+                at = batch.schema.get_field_index("_spans")
+                yield batch.set_column(at, "_spans", pa.array(_with_spans(batch.column(at), pairs, first, hit), pa.list_(pa.int32())))
+
+    return docs.mapInArrow(step, docs.schema)
+
+
+def _cut_once(docs: DataFrame, schema) -> DataFrame:
+    """docs without the words in _spans; rows of which no word is left go."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch):
+                _, begins, ends, first = hashed_words(piece.column("text"))
+                spans, text = piece.column("_spans").to_pylist(), piece.column("text")
+                left = [sum(own[1::2]) - sum(own[::2]) < b - a for own, a, b in zip(spans, first, first[1:])]
+                new = [_cut(text[r].as_buffer().to_pybytes(), begins[first[r] :], ends[first[r] :], own) for r, own in enumerate(spans)]
+                piece = piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(new, text.type))
+                yield piece.filter(pa.array(left)).drop_columns(["_spans"])
+
+    return docs.mapInArrow(step, schema)
+
+
+def _removed(docs: DataFrame, shared) -> DataFrame:
+    """remove_contamination for the one block of a benchmark."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, new, gone = _texts(batch), {}, set()
+            rows = np.arange(batch.num_rows)
+            while texts:
+                pairs, first, (hit, begins, ends) = _found(None, shared.value, texts)
+                again = sorted({r for r, _ in pairs})
+                if not again:
+                    break
+                source = pa.chunked_array(texts).cast(pa.string())
+                cut = []
+                for r in again:
+                    a, b = first[r], first[r + 1]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
+                    cut.append(_cut(source[r].as_buffer().to_pybytes(), begins[a:], ends[a:], edge.tolist()))
+                    if hit[a:b].all():
+                        gone.add(int(rows[r]))
+                rows = rows[again]
+                new |= dict(zip(rows.tolist(), cut))
+                texts = [pa.array(cut, pa.string())]
+            if new:
+                text = batch.column("text").to_pylist()
+                for r, t in new.items():
+                    text[r] = t
+                batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, batch.schema.field("text").type))
+                batch = batch.filter(pa.array([r not in gone for r in range(batch.num_rows)]))
+            yield batch
+
+    return docs.mapInArrow(step, docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
