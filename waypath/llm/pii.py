@@ -18,9 +18,11 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to have any valid match.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Words on either side of a value; distinct windows in which a term must stand by it; share of all documents with the term
-#: that hold the value, from which the term gives it away.
-CONTEXT, SUPPORT, DISCLOSURE = 8, 5, 0.5
+#: Words on either side of a value; share of all documents with a term that hold the value, and discounted bits of information
+#: about it, from which the term gives it away.
+CONTEXT, DISCLOSURE, BITS = 8, 0.5, 2.0
+#: Characters by a value that are split first; the whole text is split where they hold too few words.
+NEAR = 200
 #: Terms (of at most 200 characters each) up to which a set of terms is broadcast; a larger one is joined by shuffle.
 BROADCAST_TERMS = 20_000
 
@@ -91,32 +93,45 @@ def terms_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t", F.explode(F.array_distinct(F.split(F.lower("text"), BLANKS))).alias("term"))
 
 
-def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+
+
+def beside(near: Column, whole: Column) -> Column:
+    """Words of near where it has more than CONTEXT, so that only one left out can be cut; else of whole."""
+    return F.when(F.size(words_of(near)) > CONTEXT, words_of(near)).otherwise(words_of(whole))
+
+
+def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_bits: float = BITS) -> DataFrame:
     """(term, entity, bits) that disclose.
 
     rows: doc_id, t, text. found: doc_id, t, text, spans, of documents with a protected value. The pointwise
-    information of a term about a value is log2(p(value | term) / p(value)), by documents; it is taken where the two
-    share `support` distinct windows (copies of one window count once, so copied documents don't make a term telling).
+    information of a term about a value is log2(p(value | term) / p(value)), by documents. It is estimated for every value and every
+    term beside it, from the first document on, and discounted for little evidence (Pantel and Lin): times w / (w + 1), of the w
+    distinct windows that the two share (copies of one window count once), times m / (m + 1), of the lesser of their document counts.
     """
     one = found.select("doc_id", "t", "text", F.explode("spans").alias("s"))
-    left = F.filter(F.split(F.lower(F.substr("text", F.greatest(F.lit(1), F.col("s.start") - 199), F.least(F.lit(200), F.col("s.start")))), BLANKS), lambda w: w != "")
-    right = F.filter(F.split(F.lower(F.substr("text", F.col("s.end") + 1, F.lit(200))), BLANKS), lambda w: w != "")
-    left = F.slice(left, F.greatest(F.lit(1), F.size(left) - CONTEXT + 1), CONTEXT)
-    window = one.select("doc_id", "t", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.concat(left, F.slice(right, 1, CONTEXT)).alias("words"))
-    window = window.withColumn("w", F.xxhash64("words"))
+    start, end = F.col("s.start"), F.col("s.end")
+    left = beside(F.substr("text", F.greatest(F.lit(1), start - NEAR + 1), F.least(F.lit(NEAR), start)), F.substr("text", F.lit(1), start))
+    right = beside(F.substr("text", end + 1, F.lit(NEAR)), F.substr("text", end + 1, F.length("text")))
+    one = one.select("doc_id", "t", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), left.alias("l"), right.alias("r"))
+    left = F.slice("l", F.greatest(F.lit(1), F.size("l") - CONTEXT + 1), CONTEXT)
+    window = written(one.select("doc_id", "t", "entity", F.concat(left, F.slice("r", 1, CONTEXT)).alias("words")), "windows").withColumn("w", F.xxhash64("words"))
     pairs = window.dropDuplicates(["entity", "w"]).select("entity", F.explode(F.array_distinct("words")).alias("term"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("windows")).where(F.col("windows") >= support), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    entities = written(pairs.select("entity").distinct(), "entities")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("windows"))
     holding = window.select("entity", "doc_id", "t").distinct()
-    by_entity = holding.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    by_entity = written(holding.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
     by_term = written(terms_of(rows).groupBy("term").agg(F.count("*").alias("n_term")), "counts")  # of the whole corpus, whatever the candidates
-    holding = within(holding, entities, "entity").withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    possible = F.col("n_entity") >= disclosure * F.col("n_term")  # no more documents hold both
+    pairs = written(pairs.join(by_entity, "entity").join(by_term, "term").where(possible), "pairs")
+    terms = written(pairs.select("term").distinct(), "terms")
     own = within(terms_of(found), terms, "term")
+    holding = holding.withColumnsRenamed({"doc_id": "_d", "t": "_t"})
     both = holding.join(own, holding["_d"].eqNullSafe(own["doc_id"]) & (holding["_t"] == own["t"])).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    scored = pairs.join(both, ["entity", "term"]).join(by_term, "term").join(by_entity, "entity")
-    bits = F.log2(F.col("n_both") * F.lit(float(rows.count())) / (F.col("n_term") * F.col("n_entity")))
-    return scored.where(F.col("n_both") >= disclosure * F.col("n_term")).select("term", "entity", bits.alias("bits")).where("bits > 0")
+    m = F.least("n_term", "n_entity")
+    bits = F.log2(F.col("n_both") * F.lit(float(rows.count())) / (F.col("n_term") * F.col("n_entity"))) * F.col("windows") / (F.col("windows") + 1) * m / (m + 1)
+    scored = pairs.join(both, ["entity", "term"]).where(F.col("n_both") >= disclosure * F.col("n_term"))
+    return scored.select("term", "entity", bits.alias("bits")).where(F.col("bits") >= least_bits)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
