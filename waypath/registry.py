@@ -171,6 +171,23 @@ def knn_join(spark, sf_dir):
     return rounded(spatial.knn_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 5, 2.0).select("query_id", "point_id", "rank", "d2"))
 
 
+def map_queries(spark, sf_dir):
+    return map_points(spark, sf_dir).where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), "x", "y", "z")
+
+
+MAP_PAIRS = "q AS (SELECT point_id AS query_id, x, y, z FROM fx_map WHERE point_id % 50 = 0), p AS (SELECT q.query_id, m.point_id, (q.x - m.x)**2 + (q.y - m.y)**2 + (q.z - m.z)**2 AS d2, m.x AS mx FROM q, fx_map m)"
+
+
+@query(f"WITH {MAP_PAIRS} SELECT query_id, point_id, round(d2, 6) AS d2 FROM p WHERE d2 <= 1.5 * 1.5")
+def radius_join_map(spark, sf_dir):
+    return rounded(spatial.radius_join(map_queries(spark, sf_dir), map_points(spark, sf_dir), 1.5).select("query_id", "point_id", "d2"))
+
+
+@query(f"WITH {MAP_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, mx, point_id) AS rank FROM p) SELECT query_id, point_id, rank::INT AS rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5")
+def knn_join_map(spark, sf_dir):
+    return rounded(spatial.knn_join(map_queries(spark, sf_dir), map_points(spark, sf_dir), 5, 2.0).select("query_id", "point_id", "rank", "d2"))
+
+
 @query("WITH b AS (SELECT label AS box_id, min(floor(x / 5) * 5) AS x0, min(floor(y / 5) * 5) AS y0, min(floor(z / 5) * 5) AS z0 FROM fx_map GROUP BY 1) SELECT box_id, point_id FROM b, fx_map m WHERE x >= x0 AND x < x0 + 10 AND y >= y0 AND y < y0 + 10 AND z >= z0 AND z < z0 + 10")
 def box_join(spark, sf_dir):
     m = map_points(spark, sf_dir)
@@ -256,6 +273,12 @@ def so3_log_of_exp(spark, sf_dir):
     return rounded(p.select("scan_id", *(v.alias(c) for c, v in zip("xyz", back))), 5)
 
 
+@query("SELECT scan_id, seq, round(x / 20, 5) + 0 AS x, round(y / 20, 5) + 0 AS y, round(z / 20, 5) + 0 AS z FROM fx_points")
+def so3_log_of_exp_all(spark, sf_dir):
+    back = rotation.so3_log(rotation.so3_exp(tuple(F.col(c) / 20 for c in "xyz")))
+    return rounded(points(spark, sf_dir).select("scan_id", "seq", *(v.alias(c) for c, v in zip("xyz", back))), 5)
+
+
 PACKET = "('0x' || substr(packet_hex, {0} + 3, 2) || substr(packet_hex, {0} + 1, 2))::INT"
 
 

@@ -70,6 +70,14 @@ def inflate_cells(spark, sf_dir):
     return rounded(scans.inflate_cells(cells))
 
 
+@query(f"""WITH c AS (SELECT DISTINCT scan_id AS map_id, CAST(floor(x / 0.5e0) AS BIGINT) AS ix, CAST(floor(y / 0.5e0) AS BIGINT) AS iy FROM fx_points),
+ o(dx, dy) AS (VALUES {", ".join(map(str, COST))})
+SELECT map_id, ix + dx AS ix, iy + dy AS iy, round(max(exp(-1e0 * sqrt(dx * dx + dy * dy))), 6) AS cost FROM c, o GROUP BY ALL""")
+def inflate_cells_all(spark, sf_dir):
+    cells = points(spark, sf_dir).select(F.col("scan_id").alias("map_id"), F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy"), F.lit(1.0).alias("cost")).distinct()
+    return rounded(scans.inflate_cells(cells))
+
+
 @query("""WITH p AS (SELECT *, max_by(CASE WHEN scan_id % 2 = 0 THEN 0 ELSE time_s END, seq) OVER (PARTITION BY scan_id) AS timed, degrees(atan2(y, x)) AS yaw FROM fx_points),
  b AS (SELECT *, row_number() OVER w AS i, first_value(yaw) OVER w - yaw AS behind FROM p WHERE timed <= 0 WINDOW w AS (PARTITION BY scan_id, ring ORDER BY seq)),
  r AS (SELECT *, CASE WHEN behind >= 0 THEN behind ELSE behind + 360 END / 3.61e0 AS raw FROM b),
