@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,20 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Bytes of text that one numpy step handles; a single longer text is a step of its own.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text that one numpy step handles; a single longer text is hashed in blocks of this size.
+CHUNK_BYTES = 1_000_000
+#: A key with at least this share of a join's rows is heavy; there are at most HEAVY of them, which bounds their broadcast.
+HEAVY = 1000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); of this machine only where all of Spark runs on it."""
+    base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    base = base or sc.getCheckpointDir()
     if not base:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -36,6 +40,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores in front until no column of the frames is called so (whatever its case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left_semi) with table, whose keys are distinct; weight tells how many rows hold each key.
+
+    Keys that hold 1 / HEAVY of the rows or more are broadcast, at most HEAVY of them; the others are shuffled, so no task
+    gets a hot key's rows. rows and table are read twice: both are written tables or cheap to make. weight goes.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy, light = (table.where(c).drop(weight) for c in (F.col(weight) * HEAVY >= total, F.col(weight) * HEAVY < total))
+    hot = F.broadcast(heavy)
+    return rows.join(hot, on, how).unionByName(rows.join(hot, on, "left_anti").join(light, on, how))
+
+
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept by a worker until another thing is asked for: operators that follow each other don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -111,6 +146,19 @@ class Spans:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending, disjoint spans of bytes, in blocks of about CHUNK_BYTES, so memory is a small multiple of the text."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return Spans(BYTE_CODES[data]).hash(starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+        a, b = starts[i], ends[j - 1]
+        out[i:j] = Spans(BYTE_CODES[data[a:b]]).hash(starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
