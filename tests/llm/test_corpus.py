@@ -122,19 +122,6 @@ def test_tokens(spark, docs, empty):
     assert tokens.token_shards(empty, tokens.default_tokenizer()).count() == 0
 
 
-def test_mixing(docs, empty):
-    got = mixing.mix_sources(mixing.sized(docs).drop("text")).collect()
-    size, taken, target = Counter(), Counter(), {}
-    for r in got:
-        size[r.source] += r.size
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-        assert 0 <= r.taken <= 2 * r.size
-    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
-    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
-    assert mixing.op2.__name__ and mixing.mix_sources(mixing.sized(empty).drop("text")).count() == 0
-
-
 def test_personal_data(docs, empty):
     r = pii.sanitize(docs).where("doc_id = 14").first()
     assert r.text.startswith("mail <email>, <ip>, <phone>, <card>  x")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, text_bytes, word_bounds, written
+from waypath.llm.common import chunks, documents, fresh, span_hashes, text_bytes, word_bounds, written
 
 WINDOW = 10
 #: Text of benchmark items that one pass over the documents looks for. A larger benchmark is searched block by block.
@@ -28,7 +29,7 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     data = LOWER[data]
     starts, ends, first = word_bounds(data, offsets, OTHER)
     base = np.repeat(offsets[:-1], np.diff(first))
-    return Spans(BYTE_CODES[data]).hash(starts, ends), starts - base, ends - base, first
+    return span_hashes(data, starts, ends), starts - base, ends - base, first
 
 
 class Wavelet:
@@ -140,18 +141,28 @@ class Phrases:
             yield place[index.locate(rows)], width, items, np.repeat(which, n)
 
 
-def blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of about BLOCK_BYTES, one at a time on the driver."""
+def n_blocks(benchmark: DataFrame) -> int:
+    return -(-(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+
+
+def blocks(benchmark: DataFrame, window: int) -> Iterator[Broadcast]:
+    """The benchmark in blocks of about BLOCK_BYTES (of one item, if it is longer), made and broadcast one at a time.
+
+    Whoever takes a block and wants another writes what the first one is for; the driver and the executors then let it go.
+    """
     rows = benchmark.select("item_id", "text").where("length(text) > 0")
-    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    n = n_blocks(rows)
     for i in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().collect()
         phrases = Phrases([tuple(r) for r in own], window)
         if phrases.by_width:
-            yield phrases
+            shared = benchmark.sparkSession.sparkContext.broadcast(phrases)
+            yield shared
+            if n > 1:
+                shared.destroy()
 
 
-def _found(column: pa.Array, phrases: Phrases, batch_text: list) -> tuple[list, np.ndarray, list[np.ndarray]]:
+def _found(phrases: Phrases, batch_text: list) -> tuple[list, np.ndarray, list[np.ndarray]]:
     """Per row of the batch: hit words as (byte starts, byte ends) and item numbers; number of words."""
     parts, base = [], 0
     for piece in batch_text:
@@ -174,11 +185,6 @@ def _found(column: pa.Array, phrases: Phrases, batch_text: list) -> tuple[list,
     return pairs, first, [np.cumsum(hit)[:-1] > 0, begins, ends]
 
 
-def broadcasts(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
-    """The blocks, broadcast as they are made: the driver keeps their files, not their tables."""
-    return [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window)]
-
-
 def _with_spans(spans: pa.Array, pairs: list, first: np.ndarray, hit: np.ndarray) -> list[list[int]]:
     """Each row's spans with the hit words of a block added."""
     spans = spans.to_pylist()
@@ -209,33 +215,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Null texts have no words; items that are null, empty or without words are ignored; without items nothing is hit.
     items holds distinct item_ids. Repeated rows on either side are judged alike.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")])
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "spans")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
     kind = benchmark.schema["item_id"].dataType.simpleString()
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.expr("cast(array() as array<int>)"), "items": F.expr(f"cast(array() as array<{kind}>)")})
-    schema, spark = out.schema, docs.sparkSession
-    for shared in broadcasts(spark, benchmark, window) or [spark.sparkContext.broadcast(None)]:
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                phrases, texts = shared.value, _texts(batch)
-                if phrases is None:
-                    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(hashed_words(t)[3]) for t in texts]))])
-                    yield batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(np.diff(first)))
-                    continue
-                pairs, first, (hit, _, _) = _found(batch.column("text"), phrases, texts)
-                items = batch.column("items").to_pylist()
-                for r, i in dict.fromkeys(pairs):
-                    items[r].append(phrases.ids[i])
-                spans = _with_spans(batch.column("spans"), pairs, first, hit)
-                for name, value in (("n_words", pa.array(np.diff(first))), ("spans", pa.array(spans, pa.list_(pa.int32()))), ("items", pa.array(items, batch.schema.field("items").type))):
-                    batch = batch.set_column(batch.schema.get_field_index(name), name, value)
-                yield batch
-
-        out = out.mapInArrow(step, schema)
+    several, found = n_blocks(benchmark) > 1, False
+    for shared in blocks(benchmark, window):
+        out, found = _searched(out, shared), True
+        out = written(out, "searched") if several else out
+    out = out if found else _searched(out, None)
     hits = F.expr("aggregate(sequence(0, cast(size(spans) / 2 as int)), 0L, (s, i) -> s + coalesce(get(spans, 2 * i + 1) - get(spans, 2 * i), 0))")
-    return out.select(*docs.columns, "n_words", hits.alias("n_hit"), F.array_distinct("items").alias("items"))
+    return out.select(*(F.col(f"`{c}`") for c in names), "n_words", hits.alias("n_hit"), F.array_distinct("items").alias("items"))
+
+
+def _searched(docs: DataFrame, shared: Broadcast | None) -> DataFrame:
+    """docs with n_words, and with the spans and items of one block added to those that it has."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = _texts(batch)
+            if shared is None:
+                first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(hashed_words(t)[3]) for t in texts]))])
+                yield batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(np.diff(first)))
+                continue
+            pairs, first, (hit, _, _) = _found(shared.value, texts)
+            items = batch.column("items").to_pylist()
+            for r, i in dict.fromkeys(pairs):
+                items[r].append(shared.value.ids[i])
+            spans = _with_spans(batch.column("spans"), pairs, first, hit)
+            for name, value in (("n_words", pa.array(np.diff(first))), ("spans", pa.array(spans, pa.list_(pa.int32()))), ("items", pa.array(items, batch.schema.field("items").type))):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, value)
+            yield batch
+
+    return docs.mapInArrow(step, docs.schema)
 
 
 def merged(spans: list[int]) -> list[int]:
@@ -256,55 +270,53 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     cut again while joined ends form a window. Rows without a hit stay as they are, null and empty texts too; a row of which no word
     is left goes. With one block a task repeats this by itself; with more, each round is a written table, and rows without a hit leave it.
     """
-    shared = broadcasts(docs.sparkSession, benchmark, window)
-    if not shared:
+    if n_blocks(benchmark) <= 1:
+        for shared in blocks(benchmark, window):
+            return _removed(docs, shared)
         return docs
-    if len(shared) == 1:
-        return _removed(docs, shared[0])
-    kind, out, todo = docs.schema, None, docs
+    name, out, todo = fresh("_spans", docs), None, docs
     while True:
-        marked = todo.withColumn("_spans", F.expr("cast(array() as array<int>)"))
-        for one in shared:
-            marked = _marked(marked, one)
-        marked = written(marked, "marked")
-        clean = marked.where("size(_spans) = 0").drop("_spans")
+        marked = todo.withColumn(name, F.expr("cast(array() as array<int>)"))
+        for shared in blocks(benchmark, window):
+            marked = written(_marked(marked, shared, name), "marked")
+        clean = marked.where(F.size(name) == 0).drop(name)
         out = clean if out is None else out.unionByName(clean)
-        hit = marked.where("size(_spans) > 0")
+        hit = marked.where(F.size(name) > 0)
         if hit.isEmpty():
             return out
-        todo = written(_cut_once(hit, kind), "cut")
+        todo = written(_cut_once(hit, docs.schema, name), "cut")
 
 
-def _marked(docs: DataFrame, shared) -> DataFrame:
-    """docs with the spans of one block added to _spans."""
+def _marked(docs: DataFrame, shared: Broadcast, name: str) -> DataFrame:
+    """docs with the spans of one block added to those in column `name`."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                pairs, first, (hit, _, _) = _found(batch.column("text"), shared.value, _texts(batch))
-                at = batch.schema.get_field_index("_spans")
-                yield batch.set_column(at, "_spans", pa.array(_with_spans(batch.column(at), pairs, first, hit), pa.list_(pa.int32())))
+                pairs, first, (hit, _, _) = _found(shared.value, _texts(batch))
+                at = batch.schema.get_field_index(name)
+                yield batch.set_column(at, name, pa.array(_with_spans(batch.column(at), pairs, first, hit), pa.list_(pa.int32())))
 
     return docs.mapInArrow(step, docs.schema)
 
 
-def _cut_once(docs: DataFrame, schema) -> DataFrame:
-    """docs without the words in _spans; rows of which no word is left go."""
+def _cut_once(docs: DataFrame, schema, name: str) -> DataFrame:
+    """docs without the words in the spans of column `name`; rows of which no word is left go."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
                 _, begins, ends, first = hashed_words(piece.column("text"))
-                spans, text = piece.column("_spans").to_pylist(), piece.column("text")
+                spans, text = piece.column(name).to_pylist(), piece.column("text")
                 left = [sum(own[1::2]) - sum(own[::2]) < b - a for own, a, b in zip(spans, first, first[1:])]
                 new = [_cut(text[r].as_buffer().to_pybytes(), begins[first[r] :], ends[first[r] :], own) for r, own in enumerate(spans)]
                 piece = piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(new, text.type))
-                yield piece.filter(pa.array(left)).drop_columns(["_spans"])
+                yield piece.filter(pa.array(left)).drop_columns([name])
 
     return docs.mapInArrow(step, schema)
 
 
-def _removed(docs: DataFrame, shared) -> DataFrame:
+def _removed(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """remove_contamination for the one block of a benchmark."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +326,7 @@ def _removed(docs: DataFrame, shared) -> DataFrame:
             texts, new, gone = _texts(batch), {}, set()
             rows = np.arange(batch.num_rows)
             while texts:
-                pairs, first, (hit, begins, ends) = _found(None, shared.value, texts)
+                pairs, first, (hit, begins, ends) = _found(shared.value, texts)
                 again = sorted({r for r, _ in pairs})
                 if not again:
                     break

@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 
-from waypath.llm.common import BYTE_CODES, Spans, word_bounds
+from waypath.llm.common import span_hashes
 
 
 class WordTable:
     """Numbers that `judge` gives to distinct words, remembered by a 64-bit hash of the word's bytes."""
 
-    def __init__(self, judge: Callable[[list[str]], list[int]], most: int = 2_500_000):
+    def __init__(self, judge: Callable[[list[str]], list[int]], most: int = 1_000_000):
         self.judge, self.most = judge, most
         self.known, self.value = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        words, at, which = np.unique(Spans(BYTE_CODES[data]).hash(starts, ends), return_index=True, return_inverse=True)
+        words, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.known, self.value = self.known[:0], self.value[:0]
         place = np.searchsorted(self.known, words)
@@ -30,5 +30,3 @@ class WordTable:
             place = np.searchsorted(self.known, words)
         return self.value[place][which]
 
-
-__all__ = ["WordTable", "word_bounds"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BLANKS, documents, text_key, written
+from waypath.llm.common import BLANKS, documents, written
 
 #: Weights of the sources in order, repeating; the share of all words that the mix holds; times that a source may be used.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2
@@ -40,43 +40,51 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return one.select("source", "number", "source_size", "n", target.alias("target"))
 
 
-def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
-    """sized (doc_id, source, size, t and others) with source_size, target and taken.
+def text_digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest, size, source_size, target, taken) of the rows of sized (doc_id, source, size, digest of the text).
 
     taken is how many words the mix takes of a document, repeats counted. Each source is used in whole epochs as often as its target
-    holds its size; the rest is a prefix of a random order (a hash of doc_id and text), cut at the exact word.
+    holds its size; the rest is a prefix of a random order (52 bits of a hash of doc_id and digest), cut at the exact word.
     A source's order is cut in about sqrt(rows) ranges of the hash; sums by range, then by row within a
     range, make the prefix sums, so no task orders a whole source. Reruns agree. Rows without words take nothing; a null
     source is a source; null doc_ids and repeated rows are rows like others (equal rows may take different amounts).
-    An empty table gives an empty result.
+    An empty table gives an empty result. Other columns of sized are left out, so none can clash, but for those in carry.
     """
+    sized = sized.select("doc_id", "source", "size", "digest", *carry)
     goal = written(targets(sized, weights, total, most), "targets")
     by_source = goal.withColumnRenamed("source", "_source")
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "t", F.lit("mix")), 11)
+    draw = F.conv(F.substr(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest").cast("binary")), F.lit(1), F.lit(13)), 16, 10).cast("long")
     ranges = F.ceil(F.sqrt("n"))
-    rows = sized.withColumn("_draw", draw).join(by_source, sized["source"].eqNullSafe(by_source["_source"])).drop("_source")
-    rows = rows.withColumn("_range", F.floor(F.col("_draw") / F.lit(2.0**53) * ranges))
-    before = rows.groupBy("number", "_range").agg(F.sum("size").alias("own"))
-    before = before.select("number", "_range", (F.sum("own").over(W.partitionBy("number").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("own")).alias("_before"))
-    rows = rows.join(written(before, "ranges"), ["number", "_range"])
-    running = F.sum("size").over(W.partitionBy("number", "_range").orderBy("_draw", "doc_id", "t", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    rows = sized.withColumn("draw", draw).join(by_source, sized["source"].eqNullSafe(by_source["_source"])).drop("_source")
+    rows = rows.withColumn("range", F.floor(F.col("draw") / F.lit(2.0**52) * ranges))
+    before = rows.groupBy("number", "range").agg(F.sum("size").alias("own"))
+    before = before.select("number", "range", (F.sum("own").over(W.partitionBy("number").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("own")).alias("before"))
+    rows = rows.join(written(before, "ranges"), ["number", "range"])
+    running = F.sum("size").over(W.partitionBy("number", "range").orderBy("draw", "doc_id", "digest", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - running))
-    return rows.withColumn("taken", taken.cast("long")).drop("number", "n", "_draw", "_range", "_before")
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - running))
+    return rows.select("doc_id", "digest", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"size": n_words(), "t": text_key()})
+    return docs.select("doc_id", "source", n_words().alias("size"), text_digest().alias("digest"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs' columns, each document as often as the mix uses it (a part counts as one use); unused ones go."""
-    rows = mix_sources(sized(docs))
-    uses = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return rows.where("taken > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), uses))).select(*docs.columns)
+    """docs' columns, each document as often as the mix uses it (a part counts as one use); unused ones go.
+
+    All columns stay, whatever their names; nulls, empty texts and repeated rows as in mix_sources.
+    """
+    whole = docs.select("doc_id", "source", n_words().alias("size"), text_digest().alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    rows = mix_sources(whole, carry=("whole",)).where("taken > 0")
+    return rows.select("whole", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))).select("whole.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(sized(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "sizes")
+    rows = written(sized(documents(spark, sf_dir)), "sizes")
     return mix_sources(rows).select("doc_id", "size", "source_size", "target", "taken")

@@ -9,22 +9,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BLANK, BYTE_CODES, Spans, chunks, documents, mix, signed, text_bytes, word_bounds
+from waypath.llm.common import BLANK, CHUNK_BYTES, Spans, chunks, documents, mix, signed, span_hashes, text_bytes, word_bounds, written
 
-#: A word is common in a language if it makes this share of its words.
+#: A word is common in a language if it makes this share of its words, so a language has at most 1 / COMMON common words.
 COMMON = 0.004
-#: Shortest texts that are judged by character classes and by common words, and least words of a reference.
-MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 60, 2000
+#: A language is a reference if it makes this share of all words and has MIN_REFERENCE of them: at most 1 / LANGUAGE languages.
+LANGUAGE, MIN_REFERENCE = 0.001, 2000
+#: Shortest texts that are judged by character classes and by common words.
+MIN_CHARS, MIN_WORDS = 200, 60
 #: Jensen-Shannon distances (0 to 1) beyond which a text is rejected.
 MAX_CHARS, MAX_WORDS = 0.32, 0.42
+#: Distinct words of which a task keeps counts before it hands them on.
+TASK_WORDS = 400_000
 CLASSES = 8
 CLASS = np.full(256, 5)  # other ASCII signs
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[:32] = 0, 1, 2, 6
 CLASS[[32, *range(9, 14)]] = 3
 CLASS[[ord(c) for c in ".,;:!?'\"-()"]] = 4
 CLASS[128:192], CLASS[192:] = CLASSES, 7  # bytes that continue a character don't count
-SYMBOL = np.zeros(256, bool)
-SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+#: 1 for symbols, 2 for other characters of words, 0 for blanks and bytes that continue a character.
+SIGN = np.where(BLANK | (np.arange(256) & 0xC0 == 0x80), 0, 2)
+SIGN[[ord(c) for c in "#*$%&|<>"]] = 1
 
 
 class Piece:
@@ -33,19 +38,30 @@ class Piece:
     def __init__(self, piece: pa.RecordBatch):
         self.data, self.offsets = text_bytes(piece.column("text"))
         self.starts, self.ends, self.first = word_bounds(self.data, self.offsets)
-        self.words = Spans(BYTE_CODES[self.data]).hash(self.starts, self.ends)
+        self.words = span_hashes(self.data, self.starts, self.ends)
         self.n = piece.num_rows
         self.row = np.repeat(np.arange(self.n), np.diff(self.first))
 
+    def tally(self, table: np.ndarray, width: int) -> np.ndarray:
+        """How many bytes of each row the table gives each of 0..width-1, block by block."""
+        out = np.zeros((self.n, width), np.int64)
+        for a in range(0, len(self.data), CHUNK_BYTES):
+            b = min(a + CHUNK_BYTES, len(self.data))
+            row = np.repeat(np.arange(self.n), np.diff(np.clip(self.offsets, a, b)))
+            out += np.bincount(row * width + table[self.data[a:b]], minlength=self.n * width).reshape(self.n, width)
+        return out
+
     def classes(self) -> np.ndarray:
-        row = np.repeat(np.arange(self.n), np.diff(self.offsets))
-        return np.bincount(row * (CLASSES + 1) + CLASS[self.data], minlength=self.n * (CLASSES + 1)).reshape(self.n, -1)[:, :CLASSES]
+        return self.tally(CLASS, CLASSES + 1)[:, :CLASSES]
 
-    def common(self, known: np.ndarray) -> np.ndarray:
-        """How often each of the known words (sorted hashes) occurs in each row, and all others."""
-        at = np.minimum(np.searchsorted(known, self.words), max(0, len(known) - 1))
-        at = np.where(known[at] == self.words, at, len(known)) if len(known) else np.zeros(len(self.words), int)
-        return np.bincount(self.row * (len(known) + 1) + at, minlength=self.n * (len(known) + 1)).reshape(self.n, -1)
+    def counted(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number, count) of the known words (sorted hashes) in each row."""
+        if not len(known):
+            return (np.empty(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(known, self.words), len(known) - 1)
+        held = known[at] == self.words
+        cell, n = np.unique(self.row[held] * len(known) + at[held], return_counts=True)
+        return cell // len(known), cell % len(known), n
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -58,59 +74,81 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=-1) > 0, np.sqrt(np.maximum(d, 0)), 0)
 
 
-def references(docs: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Sorted hashes of the common words, and each language's counts of character classes and of these words.
+def words_distance(x: Piece, counted: tuple[np.ndarray, np.ndarray, np.ndarray], share: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row's words from a language's: its common words (share > 0), and all others as one.
 
-    A language is a value of lang (null is one). A word with a share of COMMON in a language has it in some
-    chunk, so the words that have it in a chunk hold all common words; a second pass counts these exactly over all
-    documents. Both results are bounded by 1 / COMMON words a language. Languages of under MIN_REFERENCE words are none.
+    Only words that a row holds are looked at; those that it doesn't hold add their share each.
     """
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    row, at, n = counted
+    own = share[at] > 0
+    row, q, p = row[own], share[at[own]], n[own] / np.diff(x.first)[row[own]]
 
-    def languages(piece: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-        names = piece.column("lang").dictionary_encode()
-        return names.dictionary.to_pylist(), np.asarray(names.indices)
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=w, minlength=x.n)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in chunks(batch):
-                x, (names, lang) = Piece(piece), languages(piece)
-                for i in range(len(names)):
-                    own, n = np.unique(x.words[lang[x.row] == i], return_counts=True)
-                    yield pa.record_batch({"word": pa.array(signed(own[n >= COMMON * n.sum()]))})
+    both = by_row(p * np.log2(2 * p / (p + q)) + q * np.log2(2 * q / (p + q)))
+    p, q, absent = 1 - by_row(p), 1 - share.sum(), share.sum() - by_row(q)
+    p = np.maximum(p, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+    return np.where(np.diff(x.first) > 0, np.sqrt(np.maximum(both + absent + rest, 0) / 2), 0)
 
-    words = rows.mapInArrow(candidates, "word long").distinct()
-    known = np.sort(np.array([r.word for r in words.collect()], np.int64).view(np.uint64))
-    width = CLASSES + len(known) + 1
+
+def references(docs: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Sorted hashes of the common words, and each language's counts of character classes and shares of these words.
+
+    A language is a value of lang (null is one). Words are counted within tasks, then by Spark, by language and word over all
+    documents; what is left after COMMON, LANGUAGE and MIN_REFERENCE is all that is collected: at most 1 / LANGUAGE languages
+    of 1 / COMMON words each, whatever the corpus.
+    """
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        """(lang, class, word, n): a class's count has no word, a word's no class."""
+        words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        signs: dict[str, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for name, (own, n) in words.items():
+                yield pa.record_batch({"lang": pa.array([name] * len(own), pa.string()), "class": pa.nulls(len(own), pa.int32()), "word": pa.array(signed(own)), "n": pa.array(n)})
+            words.clear()
+
         for batch in batches:
             for piece in chunks(batch):
-                x, (names, lang) = Piece(piece), languages(piece)
-                both = np.concatenate([x.classes(), x.common(known)], axis=1)
-                for i, name in enumerate(names):
-                    sums[name] = sums.get(name, 0) + both[lang == i].sum(axis=0)
-        for name, n in sums.items():
-            yield pa.record_batch({"lang": pa.array([name] * width), "i": pa.array(np.arange(width, dtype=np.int32)), "n": pa.array(n.astype(np.int64))})
-
-    counts: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(count, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).where("n > 0").collect():
-        counts.setdefault(r.lang, np.zeros(width))[r.i] = r.n
-    kept = [c for _, c in sorted(counts.items()) if c[CLASSES:].sum() >= MIN_REFERENCE]
-    held = np.zeros(len(known) + 1, bool)
-    for c in kept:
-        held |= c[CLASSES:] >= COMMON * c[CLASSES:].sum()
-    held[-1] = True
-    out = []
-    for c in kept:
-        w = c[CLASSES:]
-        out.append((c[:CLASSES], np.append(w[:-1][held[:-1]], w[:-1][~held[:-1]].sum() + w[-1])))
-    return known[held[:-1]], out
+                names = piece.column("lang").dictionary_encode()
+                x, lang = Piece(piece), np.asarray(names.indices)
+                sign = x.classes()
+                for i, name in enumerate(names.dictionary.to_pylist()):
+                    have, m = words.get(name, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+                    own, n = np.unique(x.words[lang[x.row] == i], return_counts=True)
+                    own, at = np.unique(np.concatenate([have, own]), return_inverse=True)
+                    words[name] = own, np.bincount(at, weights=np.concatenate([m, n]), minlength=len(own)).astype(np.int64)
+                    signs[name] = signs.get(name, 0) + sign[lang == i].sum(axis=0)
+                if sum(len(own) for own, _ in words.values()) > TASK_WORDS:
+                    yield from handed_on()
+        yield from handed_on()
+        for name, n in signs.items():
+            yield pa.record_batch({"lang": pa.array([name] * CLASSES, pa.string()), "class": pa.array(np.arange(CLASSES, dtype=np.int32)), "word": pa.nulls(CLASSES, pa.int64()), "n": pa.array(n.astype(np.int64))})
+
+    counts = written(rows.mapInArrow(count, "lang string, class int, word long, n long").groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counts")
+    words = counts.where("word is not null")
+    every = words.agg(F.sum("n")).first()[0] or 0
+    sizes = words.groupBy("lang").agg(F.sum("n").alias("size")).where((F.col("size") >= MIN_REFERENCE) & (F.col("size") >= LANGUAGE * every))
+    held = counts.join(F.broadcast(sizes), "lang").where(F.col("class").isNotNull() | (F.col("n") >= COMMON * F.col("size"))).collect()
+    known = np.sort(np.array(list({r.word for r in held if r.word is not None}), np.int64).view(np.uint64))
+    place = {int(w): i for i, w in enumerate(signed(known))}
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for r in held:
+        classes, share = out.setdefault(r.lang, (np.zeros(CLASSES), np.zeros(len(known))))
+        if r.word is None:
+            classes[r["class"]] = r.n
+        else:
+            share[place[r.word]] = r.n / r.size
+    return known, [m for _, m in sorted(out.items())]
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) with counts, distances and verdicts.
+    """(doc_id, counts, distances, verdicts) of docs (doc_id, text, lang); other columns are ignored.
 
     n_words; word_chars, code points in words; n_symbols of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier
     line; n_repeat_words, words in 5-word windows found twice or more. base_failed: under 10 words, or over a fifth of
@@ -126,9 +164,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             for piece in chunks(batch):
                 x = Piece(piece)
                 n = np.diff(x.first)
-                byte_row = np.repeat(np.arange(x.n), np.diff(x.offsets))
-                chars = np.bincount(byte_row[~BLANK[x.data] & ((x.data & 0xC0) != 0x80)], minlength=x.n)
-                symbols = np.bincount(byte_row[SYMBOL[x.data]], minlength=x.n)
+                signs = x.tally(SIGN, 3)
+                symbols, chars = signs[:, 1], signs[:, 1] + signs[:, 2]
                 repeats = np.zeros(x.n, np.int64)
                 if len(x.words) >= 5:
                     valid = x.row[:-4] == x.row[4:]
@@ -142,9 +179,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 for text in piece.column("text"):
                     own = [p for p in text.as_buffer().to_pybytes().split(b"\n") if p.split()]
                     lines.append(len(own) - len(set(own)))
-                classes, words = x.classes(), x.common(known)
+                classes, words = x.classes(), x.counted(known)
                 by_chars = np.min([distance(classes, c) for c, _ in models], axis=0) if models else np.zeros(x.n)
-                by_words = np.min([distance(words, w) for _, w in models], axis=0) if models else np.zeros(x.n)
+                by_words = np.min([words_distance(x, words, w) for _, w in models], axis=0) if models else np.zeros(x.n)
                 by_chars[classes.sum(axis=1) < MIN_CHARS] = 0
                 by_words[n < MIN_WORDS] = 0
                 failed = (n < 10) | (100 * repeats > 20 * n)

@@ -25,19 +25,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, mix, signed, text_bytes, word_bounds, written
+from waypath.llm.common import BASES, BYTE_CODES, Spans, chunks, looked_up, mix, signed, span_hashes, text_bytes, word_bounds, written
 
 #: Cells of a sketch row are 2^SKETCH_BITS bits: with two rows 16 MB are broadcast, whatever the input's size.
 SKETCH_BITS, SKETCH_ROWS, BLOCK_BITS = 26, 2, 16
 TOP = np.uint64(2**64 - 1)
 
 
+#: Units that one step hashes; a longer text is taken in stretches that overlap by a window less one unit.
+STRETCH = 1_000_000
+
+
 def units(data: np.ndarray, offsets: np.ndarray, of: str) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit code for each byte or word, and the first unit of each row."""
+    """A byte or a 64-bit code for each word, and the first unit of each row."""
     if of == "bytes":
-        return BYTE_CODES[data], offsets
+        return data, offsets
     starts, ends, first = word_bounds(data, offsets)
-    return Spans(BYTE_CODES[data]).hash(starts, ends), first
+    return span_hashes(data, starts, ends), first
+
+
+def coded(own: np.ndarray) -> np.ndarray:
+    return BYTE_CODES[own] if own.dtype == np.uint8 else own
 
 
 def sliding(a: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -87,6 +95,29 @@ class Anchored:
         self.itself = b > a
 
 
+def stretches(own: np.ndarray, first: np.ndarray, width: int, gram: int) -> Iterator[tuple[int, Anchored]]:
+    """Anchors and runs of a chunk, with the place where each stretch starts.
+
+    A stretch ends runs that go on in the next one, and shows an anchor of the overlap twice: the sketch only overestimates,
+    and runs that differ by their ends are compared by their windows, so nothing is lost.
+    """
+    for at in range(0, max(1, len(own) - width + 1), STRETCH):
+        end = min(len(own), at + STRETCH + width - 1)
+        yield at, Anchored(coded(own[at:end]), np.clip(first - at, 0, end - at), width, gram)
+
+
+def hashed(own: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows at `start` (ascending), stretch by stretch."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = int(np.searchsorted(start, start[i] + STRETCH))
+        codes = coded(own[start[i] : start[j - 1] + width])
+        a = start[i:j] - start[i]
+        out[i:j] = mix(Spans(codes).hash(a, a + width) ^ Spans(codes, BASES[1]).hash(a, a + width) >> np.uint64(1))
+        i = j
+    return out
+
+
 def cells(anchor: np.ndarray, row: int) -> np.ndarray:
     h = anchor if row == 0 else anchor * np.uint64(0x9E3779B97F4A7C15) ^ (anchor >> np.uint64(29))
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -101,7 +132,7 @@ def merged_sketch(docs: DataFrame, of: str, width: int, gram: int) -> list[bytes
             found = []
             for piece in chunks(batch):
                 data, offsets = text_bytes(piece.column("text"))
-                found.append(Anchored(*units(data, offsets, of), width, gram).chosen)
+                found += [x.chosen for _, x in stretches(*units(data, offsets, of), width, gram)]
             if not found or not len(anchors := np.concatenate(found)):
                 continue
             for row in range(SKETCH_ROWS):
@@ -162,46 +193,55 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
         for batch in batches:
             for piece in chunks(batch):
                 data, offsets = text_bytes(piece.column("text"))
-                codes, first = units(data, offsets, of)
-                x = Anchored(codes, first, width, gram)
-                keep = np.flatnonzero(x.itself | passes(sketch.value, x.anchor)) if len(x.starts) else x.starts
-                if not len(keep):
-                    continue
-                lo, hi, row = x.starts[keep], x.ends[keep], x.row[keep]
-                content = Spans(codes, BASES[1]).hash(lo, hi + width)
-                ids = piece.column("t").take(pa.array(row))
-                yield pa.record_batch([ids, *(pa.array(v) for v in (signed(x.anchor[keep]), signed(content), (lo - first[row]).astype(np.int32), (hi - first[row]).astype(np.int32), x.itself[keep]))], names=["t", "anchor", "content", "lo", "hi", "itself"])
+                own, first = units(data, offsets, of)
+                for begin, x in stretches(own, first, width, gram):
+                    keep = np.flatnonzero(x.itself | passes(sketch.value, x.anchor)) if len(x.starts) else x.starts
+                    if not len(keep):
+                        continue
+                    lo, hi, row = x.starts[keep], x.ends[keep], x.row[keep]
+                    content = Spans(coded(own[begin : begin + STRETCH + width - 1]), BASES[1]).hash(lo, hi + width)
+                    base = first[row] - begin
+                    ids = piece.column("t").take(pa.array(row))
+                    yield pa.record_batch([ids, *(pa.array(v) for v in (signed(x.anchor[keep]), signed(content), (lo - base).astype(np.int32), (hi - base).astype(np.int32), x.itself[keep]))], names=["t", "anchor", "content", "lo", "hi", "itself"])
 
     texts = docs.select("t", "text")
     runs = written(texts.mapInArrow(runs_of, "t long, anchor long, content long, lo int, hi int, itself boolean"), "runs")
-    contents = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("itself").alias("itself")), "contents")
-    whole = runs.drop("itself").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("t", pair("hi"))
-    varied = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("itself").alias("itself")).where("m > 1 or itself").select("anchor")
-    unsettled = contents.join(varied, "anchor", "left_semi").select("anchor", "content", (F.col("n") > 1).alias("known"))
-    edges = runs.drop("itself").join(unsettled, ["anchor", "content"]).groupBy("anchor", "content").agg(F.min(F.struct("t", "lo", "hi")).alias("one"), F.max("known").alias("known")).select("one.*", "known")
+    one = F.min(F.struct("t", "lo", "hi")).alias("one")
+    contents = written(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("itself").alias("itself"), one), "contents")
+    whole = looked_up(runs.drop("itself"), contents.where("n > 1").select("anchor", "content", "n"), ["anchor", "content"], "n", "left_semi").select("t", pair("hi"))
+    varied = written(contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("itself").alias("itself")).where("m > 1 or itself").select("anchor", "m"), "varied")
+    edges = looked_up(contents.drop("itself"), varied, ["anchor"], "m", "left_semi").select("one.*", (F.col("n") > 1).alias("known"))
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
                 data, offsets = text_bytes(piece.column("text"))
-                codes, first = units(data, offsets, of)
+                own, first = units(data, offsets, of)
                 at = piece.column("at").flatten()
                 lo, hi, known = (np.asarray(at.field(k)) for k in range(3))
                 row = np.repeat(np.arange(piece.num_rows), np.diff(np.asarray(piece.column("at").offsets)))
-                n = hi - lo + 1
-                start = np.repeat(first[row] + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                row = np.repeat(row, n)
-                a = mix(Spans(codes).hash(start, start + width) ^ Spans(codes, BASES[1]).hash(start, start + width) >> np.uint64(1))
-                ids = piece.column("t").take(pa.array(row))
-                for i in range(0, len(start), 200_000):
-                    part = slice(i, i + 200_000)
-                    yield pa.record_batch([ids.slice(i, 200_000), pa.array(signed(a)[part]), pa.array((start - first[row])[part].astype(np.int32)), pa.array(np.repeat(known, n)[part])], names=["t", "a", "lo", "known"])
+                order = np.lexsort((lo, row))
+                lo, hi, known, row = (v[order] for v in (lo, hi, known, row))
+                ready = np.cumsum(hi - lo + 1)
+                cuts = np.unique(np.searchsorted(ready, np.arange(0, ready[-1] + 200_000, 200_000) if len(ready) else []))
+                for i, j in zip(cuts, [*cuts[1:], len(lo)]):
+                    n = hi[i:j] - lo[i:j] + 1
+                    own_row = np.repeat(row[i:j], n)
+                    start = np.repeat(first[row[i:j]] + lo[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    up = np.argsort(start, kind="stable")
+                    a = np.empty(len(start), np.uint64)
+                    a[up] = hashed(own, start[up], width)
+                    _, one, which, m = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+                    m = np.where(m[which] == 1, 1, np.where(one[which] == np.arange(len(a)), 2, 0))  # the first of equal windows stands for all
+                    yield pa.record_batch([piece.column("t").take(pa.array(own_row)), pa.array(signed(a)), pa.array((start - first[own_row]).astype(np.int32)), pa.array(np.repeat(known[i:j], n)), pa.array(m.astype(np.int8))], names=["t", "a", "lo", "known", "n"])
 
     at = edges.groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("at"))
     # Not written: the texts' exchange serves both uses of the windows and the caller's own join with ranges.
-    windows = same_doc(docs, at, "inner").mapInArrow(windows_of, "t long, a long, lo int, known boolean")
-    twice = windows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    single = windows.where("not known").join(twice, "a", "left_semi").select("t", pair("lo"))
+    windows = same_doc(docs, at, "inner").mapInArrow(windows_of, "t long, a long, lo int, known boolean, n tinyint")
+    twice = windows.where("n > 0").groupBy("a").agg(F.sum("n").alias("m")).where("m > 1").select(F.col("a").alias("b"))
+    # Windows found twice in one step need no partner, so they are spread: a window of very many texts is no one task's work.
+    asked = windows.where("not known").withColumn("a", F.when(F.col("n") == 1, F.col("a")).otherwise(F.xxhash64("t", "lo")))
+    single = asked.join(twice, F.col("a") == F.col("b"), "left").where("n <> 1 or b is not null").select("t", pair("lo"))
     return whole.unionByName(single).groupBy("t").agg(F.collect_list("range").alias("ranges"))
 
 

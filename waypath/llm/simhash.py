@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import documents, signed, text_key, written
+from waypath.llm.common import documents, looked_up, signed, text_key, written
 from waypath.llm.graph import components
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
@@ -30,11 +30,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
         return 0
     gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     width = min(shingle, len(gaps) + 1)
-    starts = np.concatenate([[0], gaps[: len(gaps) + 1 - width] + 1]).tolist()
-    ends = np.concatenate([gaps[width - 1 :], [len(text)]]).tolist()
+    starts = np.concatenate([[0], gaps[: len(gaps) + 1 - width] + 1])
+    ends = np.concatenate([gaps[width - 1 :], [len(text)]])
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for i in range(0, len(starts), 100_000):
-        h = np.array([digest(text[a:b], SEED) for a, b in zip(starts[i : i + 100_000], ends[i : i + 100_000])], np.uint64)
+        h = np.array([digest(text[a:b], SEED) for a, b in zip(starts[i : i + 100_000].tolist(), ends[i : i + 100_000].tolist())], np.uint64)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
 
@@ -167,11 +167,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     texts have fingerprint 0 and are linked like any other. Repeated rows stay. Empty table: empty result.
     """
     prints = written(fingerprints(docs, shingle), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp"), distance))
-    reached = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(written(reached.join(least, "root").select("fp", "component_id"), "reached"), "fp")
+    reached = written(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "reached")
+    least = written(reached.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    return looked_up(prints, written(looked_up(reached, least, ["root"], "members").select("fp", "n", "component_id"), "components"), ["fp"], "n")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BYTE_CODES, Spans, chunks, documents, mix, scratch, text_bytes, text_key
+from waypath.llm.common import chunks, documents, fresh, kept, looked_up, mix, scratch, span_hashes, text_bytes, text_key, written
 
 TOKEN_LIMIT, END_ID = 1024, 0
 #: Pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
-KNOWN_PIECES = 2_500_000
+KNOWN_PIECES = 1_000_000
 #: A piece starts at a blank before a byte that is no white space and starts none beyond ASCII.
 OPENS = np.ones(256, bool)
 OPENS[[32, *range(9, 14), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -76,7 +76,7 @@ class Encoder:
         opens[offsets[offsets < len(data)]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        pieces, at, which = np.unique(Spans(BYTE_CODES[data]).hash(starts, ends), return_index=True, return_inverse=True)
+        pieces, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_PIECES:
             self._forget()
         place = np.searchsorted(self.known, pieces)
@@ -95,13 +95,8 @@ class Encoder:
         return self.ids[gather], total[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def default_tokenizer() -> str:
@@ -116,7 +111,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN
     The cache is a Parquet table (digest, tokenizer, n_tokens) at path `cache`, made if absent: digest is the SHA-256
     of a text (null is empty; nothing else is normalised, as it could change counts), tokenizer that of the
     vocabulary file. Texts whose pair is stored are not encoded; each distinct other text is encoded once, whole,
-    and appended. Counts leave out begin, end and padding tokens. Repeated rows stay; empty table, empty result.
+    and appended. Counts leave out begin, end and padding tokens. Repeated rows stay; empty table, empty result. Columns of
+    docs named like a result give way to it; all others stay. Texts with many copies are joined by broadcast of their digests.
     """
     spark, version = docs.sparkSession, hashlib.sha256(Path(tokenizer).read_bytes()).hexdigest()
     schema = "digest binary, tokenizer string, n_tokens long"
@@ -124,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
 
     def stored() -> DataFrame:
-        return spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        return spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -135,19 +131,46 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN
 
     missing = docs.select(digest.alias("digest"), text.alias("text"))
     try:
-        missing = missing.join(stored().distinct(), "digest", "left_anti")
+        missing = missing.join(stored(), "digest", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     missing.dropDuplicates(["digest"]).mapInArrow(counted, schema).write.mode("append").parquet(cache)
-    rows = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "digest": digest}).drop("text", "n_tokens", "over_limit")
-    return rows.join(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest").drop("digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    results = ("n_bytes", "n_tokens", "over_limit")
+    names, key = [c for c in docs.columns if c != "text" and c.lower() not in results], fresh("digest", docs)
+    rows = written(docs.select(*(F.col(f"`{c}`") for c in names), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias(key)), "rows")
+    counts = rows.groupBy(key).agg(F.count("*").alias("rows")).join(stored().withColumnRenamed("digest", key), key)
+    found = looked_up(rows, written(counts, "counts"), [key], "rows")
+    return found.select(*(F.col(f"`{c}`") for c in names), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir).select("doc_id", "text"), default_tokenizer(), scratch(spark, "token-cache"))
 
 
+class Stored:
+    """An array in a file, of which only the numbers asked for are read."""
+
+    def __init__(self, file: pa.NativeFile, at: int, n: int, dtype: np.dtype):
+        self.file, self.at, self.n, self.dtype = file, at, n, dtype
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int | slice | np.ndarray) -> np.ndarray | np.generic:
+        if isinstance(i, slice):
+            first, last, _ = i.indices(self.n)
+            return np.frombuffer(self.file.read_at(max(0, last - first) * self.dtype.itemsize, self.at + first * self.dtype.itemsize), self.dtype)
+        if isinstance(i, np.ndarray):
+            return np.array([self[int(k)] for k in i], self.dtype)
+        return np.frombuffer(self.file.read_at(self.dtype.itemsize, self.at + int(i) * self.dtype.itemsize), self.dtype)[0]
+
+
+#: The arrays of an index file in their order: a row's key, whether it has none, the first id of each row and the end; the hash's
+#: levels, bits and ranks; by the hash's number a fingerprint and the first row. Before them, the length of each as <i8.
+PARTS = {"key": "<i8", "none": "|b1", "offsets": "<i8", "sizes": "<i8", "words": "<u8", "ranks": "<i8", "marks": "<u4", "rows": "<i8"}
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: n keys to 0..n-1, in about three bits a key.
 
@@ -155,9 +178,9 @@ class PerfectHash:
     number is the count of set bits before its cell.
     """
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray):
-        self.sizes, self.words = sizes, words
-        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+    def __init__(self, sizes: np.ndarray, words: np.ndarray | Stored, ranks: np.ndarray | Stored):
+        """ranks: how many bits are set before each word. words and ranks may be in a file, of which a key reads two numbers a level."""
+        self.sizes, self.words, self.ranks = sizes, words, ranks
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 1.5) -> PerfectHash:
@@ -171,7 +194,8 @@ class PerfectHash:
             levels.append(np.packbits(bits, bitorder="little").view("<u8"))
             sizes.append(size)
             keys = keys[~alone]
-        return cls(np.array(sizes, np.int64), np.concatenate([np.empty(0, np.uint64), *levels]))
+        words = np.concatenate([np.empty(0, np.uint64), *levels])
+        return cls(np.array(sizes, np.int64), words, np.cumsum(np.bitwise_count(words).astype(np.int64)) - np.bitwise_count(words))
 
     @staticmethod
     def _cell(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -207,13 +231,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Rows are range-partitioned and sorted by doc_id (null first), then by the text's hash. Each partition with rows is
     shard-N.bin, the raw ids of its rows end to end, each with end_id after it, as little-endian u16 (u32 if the vocabulary
-    needs it), and shard-N.idx, an npz file: rows' ids (doc_id, null) and offsets, a minimal perfect hash of the distinct
-    doc_ids, and by its number a 32-bit fingerprint and the first row. A task writes under a name of its own and
+    needs it; the manifest tells), and shard-N.idx, the PARTS: rows' ids (doc_id, null) and offsets, a minimal perfect
+    hash of the distinct doc_ids, and by its number a 32-bit fingerprint and the first row. A task writes under a name of its own and
     renames when done, so a task that runs again leaves the same files. path is any URI that pyarrow opens on all executors.
-    The manifest (shard, n_rows, n_ids, least, most; also at path/manifest) has one row a shard. Null or empty texts
+    The manifest (shard, n_rows, n_ids, id_bytes, least, most; also at path/manifest) has one row a shard. Null or empty texts
     are the end id alone; repeated doc_ids are all written, one after another. An empty table writes no shard.
     """
-    schema = "shard int, n_rows long, n_ids long, least long, most long"
+    schema = "shard int, n_rows long, n_ids long, id_bytes int, least long, most long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context = encoder(tokenizer), TaskContext.get()
@@ -245,14 +269,15 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         slot = table(hashed)
         marks, rows = np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.int64)
         marks[slot], rows[slot] = _mark(hashed), first + int(none.sum())
-        buffer = io.BytesIO()
-        np.savez(buffer, key=key, none=none, offsets=np.concatenate([[0], np.cumsum(size)]), sizes=table.sizes, words=table.words, marks=marks, rows=rows, dtype=np.array(encode.dtype.str))
+        arrays = {"key": key, "none": none, "offsets": np.concatenate([[0], np.cumsum(size)]), "sizes": table.sizes, "words": table.words, "ranks": table.ranks, "marks": marks, "rows": rows}
         with files.open_output_stream(f"{own}.idx") as f:
-            f.write(buffer.getvalue())
+            f.write(np.array([len(arrays[p]) for p in PARTS], "<i8").tobytes())
+            for p, kind in PARTS.items():
+                f.write(np.ascontiguousarray(arrays[p], kind).tobytes())
         for kind in ("bin", "idx"):
             files.move(f"{own}.{kind}", f"{name}.{kind}")
         seen = key[~none]
-        yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_rows": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(size.sum())], pa.int64()), "least": pa.array([int(seen[0]) if len(seen) else None], pa.int64()), "most": pa.array([int(seen[-1]) if len(seen) else None], pa.int64())})
+        yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_rows": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(size.sum())], pa.int64()), "id_bytes": pa.array([encode.dtype.itemsize], pa.int32()), "least": pa.array([int(seen[0]) if len(seen) else None], pa.int64()), "most": pa.array([int(seen[-1]) if len(seen) else None], pa.int64())})
 
     rows = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
@@ -267,32 +292,39 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Shard:
-    """One shard's files."""
+    """One shard's files. The index is read where it lies, or at once with whole=True (for a task that reads all rows)."""
 
-    def __init__(self, path: str, number: int):
-        self.files, base = _open(path)
-        with self.files.open_input_file(f"{base}/shard-{number:05d}.idx") as f:
-            x = np.load(io.BytesIO(f.read()))
-            self.key, self.none, self.offsets, self.marks, self.rows = (x[k] for k in ("key", "none", "offsets", "marks", "rows"))
-            self.table, self.dtype = PerfectHash(x["sizes"], x["words"]), np.dtype(str(x["dtype"]))
-        self.bin = self.files.open_input_file(f"{base}/shard-{number:05d}.bin")
+    def __init__(self, path: str, number: int, id_bytes: int, whole: bool = False):
+        files, base = _open(path)
+        index = files.open_input_file(f"{base}/shard-{number:05d}.idx")
+        self.bin, self.dtype = files.open_input_file(f"{base}/shard-{number:05d}.bin"), np.dtype(f"<u{id_bytes}")
+        at, parts = 8 * len(PARTS), {}
+        for (p, kind), n in zip(PARTS.items(), np.frombuffer(index.read_at(at, 0), "<i8").tolist()):
+            part = Stored(index, at, n, np.dtype(kind))
+            parts[p] = part[:] if whole or p == "sizes" else part
+            at += n * part.dtype.itemsize
+        self.key, self.none, self.offsets, self.marks, self.rows = (parts[p] for p in ("key", "none", "offsets", "marks", "rows"))
+        self.table = PerfectHash(parts["sizes"], parts["words"], parts["ranks"])
 
     def read(self, first: int, last: int) -> np.ndarray:
         """The ids of rows first..last-1."""
         a, b = int(self.offsets[first]), int(self.offsets[last])
         return np.frombuffer(self.bin.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
 
-    def find(self, doc_id: int) -> int:
-        """The first row of doc_id, or -1: one probe of the hash, its fingerprint and its key."""
-        key = _key(np.array([doc_id]))
-        slot = int(self.table(key)[0])
-        if slot < 0 or self.marks[slot] != _mark(key)[0] or self.key[self.rows[slot]] != doc_id:
-            return -1
-        return int(self.rows[slot])
+    def find(self, doc_ids: np.ndarray) -> np.ndarray:
+        """The first row of each doc_id, or -1: a probe of the hash, its fingerprint and its key."""
+        key = _key(doc_ids)
+        slot = self.table(key)
+        out, held = np.full(len(key), -1, np.int64), np.flatnonzero(slot >= 0)
+        held = held[self.marks[slot[held]] == _mark(key[held])]
+        row = self.rows[slot[held]]
+        same = self.key[row] == doc_ids[held]
+        out[held[same]] = row[same]
+        return out
 
 
 class TokenStore:
-    """Keyed access to shards that write_token_shards wrote."""
+    """Keyed access to shards that write_token_shards wrote. The manifest (a row a shard) is held; no index is."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.path, self.open = path, {}
@@ -300,35 +332,45 @@ class TokenStore:
 
     def get(self, doc_id: int) -> np.ndarray | None:
         """The ids of a document, with its end id (the first one's if doc_id repeats); None if there is none."""
-        for r in self.manifest:
-            if r.least <= doc_id <= r.most:
-                if r.shard not in self.open:
-                    self.open[r.shard] = Shard(self.path, r.shard)
-                if (row := self.open[r.shard].find(doc_id)) >= 0:
-                    return self.open[r.shard].read(row, row + 1)
+        for r in self.manifest[bisect_left(self.manifest, doc_id, key=lambda r: r.most) :]:  # the first shard that can hold it, or the next of a repeated id
+            if r.least > doc_id:
+                return None
+            if r.shard not in self.open:
+                self.open[r.shard] = Shard(self.path, r.shard, r.id_bytes)
+            row = int(self.open[r.shard].find(np.array([doc_id], np.int64))[0])
+            if row >= 0:
+                return self.open[r.shard].read(row, row + 1)
         return None
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every row, from the files.
 
-    start counts the ids of all rows before it, n_tokens takes in the end id, ids_crc32 is of the ids as
-    little-endian u32.
+    Each doc_id is looked up through its shard's hash and fingerprint; rows with the same doc_id follow the one found, those
+    without doc_id come first. An index that doesn't lead to a row is an error. start counts the ids of all rows before
+    it, n_tokens takes in the end id, ids_crc32 is of the ids as little-endian u32.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
-                shard = Shard(path, number)
-                offsets, n = shard.offsets, len(shard.key)
-                for a in range(0, n, 256):
-                    b = min(a + 256, n)
-                    ids = shard.read(a, b).astype("<u4")
-                    at = (offsets[a : b + 1] - offsets[a]).tolist()
-                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(at, at[1:])]
-                    yield pa.record_batch({"doc_id": pa.array(shard.key[a:b], mask=shard.none[a:b]), "start": pa.array(offsets[a:b] + start), "n_tokens": pa.array(np.diff(offsets[a : b + 1])), "ids_crc32": pa.array(crc, pa.int64())})
-
-    manifest = read_manifest(spark, path).select("shard", "start")
+            for number, start, id_bytes in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "id_bytes"))):
+                shard = Shard(path, number, id_bytes, whole=True)
+                key, none, offsets = shard.key, shard.none, shard.offsets
+                at, n = np.arange(len(key)), int(none.sum())
+                first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+                first[n : n + 1] = True
+                at[n:] = shard.find(key[n:]) + (at - np.maximum.accumulate(np.where(first, at, 0)))[n:]
+                if (at != np.arange(len(key))).any():
+                    raise ValueError(f"the index of shard {number} doesn't lead to its rows")
+                for a in range(0, len(key), 256):
+                    b = min(a + 256, len(key))
+                    own = at[a:b]
+                    ids = shard.read(own[0], own[-1] + 1).astype("<u4")
+                    begin, end = offsets[own] - offsets[own[0]], offsets[own + 1] - offsets[own[0]]
+                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
+                    yield pa.record_batch({"doc_id": pa.array(key[own], mask=none[own]), "start": pa.array(offsets[own] + start), "n_tokens": pa.array(end - begin), "ids_crc32": pa.array(crc, pa.int64())})
+
+    manifest = read_manifest(spark, path).select("shard", "start", "id_bytes")
     return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, text_bytes, text_key, word_bounds
+from waypath.llm.common import chunks, documents, kept, text_bytes, text_key, word_bounds
 from waypath.llm.lookup import WordTable
 
 #: The model is fitted on at most this many labelled rows, drawn by a hash of doc_id, equal texts once.
@@ -94,19 +94,18 @@ class Model:
         return max(self.base, 1 / (1 + math.exp(-min(30.0, z))))
 
 
-_tables: dict[tuple[str, ...], WordTable] = {}
+def word_table(terms: tuple[str, ...]) -> WordTable:
+    lexicon = Lexicon(list(terms))
+    return WordTable(lambda words: [lexicon.near(plain(w)) for w in words])
 
 
 def matches(batch: pa.RecordBatch, terms: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[set[tuple[int, int, int]]]]]:
     """Pieces of batch, and of each row the set of (term, edits, quoted) found in its whole text."""
-    if terms not in _tables:
-        lexicon = Lexicon(list(terms))
-        _tables.clear()
-        _tables[terms] = WordTable(lambda words: [lexicon.near(plain(w)) for w in words])
+    table = kept(("lexicon", terms), lambda: word_table(terms))
     for piece in chunks(batch):
         data, offsets = text_bytes(piece.column("text"))
         starts, ends, first = word_bounds(data, offsets)
-        value = _tables[terms](data, starts, ends)
+        value = table(data, starts, ends)
         found: list[set] = [set() for _ in range(piece.num_rows)]
         for i in np.flatnonzero(value >= 0).tolist():
             row = int(np.searchsorted(first, i, "right")) - 1
@@ -121,17 +120,18 @@ def matches(batch: pa.RecordBatch, terms: tuple[str, ...]) -> Iterator[tuple[pa.
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from the rows of labels (doc_id, toxic) whose text docs has; a null label is left out.
+    """Learns from the rows of labels (doc_id, toxic) whose text docs has; a null label is left out. Of several labels of one
+    doc_id or of equal texts the largest holds.
 
     The lexicon is the terms of many toxic and few other texts. Then what the automaton finds in the same texts is
     counted by term, edits and quotation, which gives each its share of label 1: misspellings or quotations weigh only what
     the labels show. Without labelled rows every score is 0.
     """
     spark = docs.sparkSession
-    drawn = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    drawn = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = spark.createDataFrame(drawn.collect(), drawn.schema)  # at most `rows` pairs of numbers
     train = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    train = train.withColumn("t", text_key()).dropDuplicates(["t"]).select("text", "toxic")
+    train = train.withColumn("t", text_key()).groupBy("t").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("t")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
