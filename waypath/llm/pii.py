@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import BLANKS, WORD, documents, fresh, looked_up, text_key, written
+from waypath.llm.common import BLANKS, WORD, documents, fresh, text_key, written
 
 #: Fixed patterns of the protected kinds, in the order of the results. Their repeats are possessive and addresses start at the
 #: start of a run (or where the last match ended), which changes no match: time is linear and the stack flat on any text.
@@ -151,7 +151,7 @@ def contexts(text: Column, spans: Column) -> Column:
 
 
 def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_bits: float = BITS) -> DataFrame | None:
-    """(term, entity, n_term, bits) that disclose, or None where no document has a protected value.
+    """(term, entity, bits) that disclose, or None where no document has a protected value.
 
     rows: doc_id, t, text. found: doc_id, t, text, spans, of documents with a protected value. The pointwise
     information of a term about a value is log2(p(value | term) / p(value)), by documents. It is estimated for every value and every
@@ -163,7 +163,7 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISC
     window = written(one.select("doc_id", "t", "c.entity", "c.words"), "windows").withColumn("w", F.xxhash64("words"))
     if window.isEmpty():
         return None
-    holding = written(window.select("entity", "doc_id", "t").distinct(), "holding")
+    holding = window.select("entity", "doc_id", "t").distinct()
     by_entity = written(holding.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
     pairs = window.dropDuplicates(["entity", "w"]).select("entity", F.explode(F.array_distinct("words")).alias("term"))
     pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("windows")).join(by_entity, "entity"), "pairs")
@@ -172,13 +172,13 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float = DISC
     possible = written(by_term.where(F.col("most") >= disclosure * F.col("n_term")).drop("most"), "possible")  # no more documents hold both
     pairs = sieved(pairs, sieve(possible, "term"), "term").join(possible, "term").where(F.col("n_entity") >= disclosure * F.col("n_term"))
     pairs = written(pairs, "pairs")
-    own = written(terms_of(found, sieve(pairs, "term")), "own")
+    own = terms_of(found, sieve(pairs, "term"))
     both = own.join(pairs.select("term", "entity"), "term").join(holding.withColumnsRenamed({"doc_id": "_d", "t": "_t", "entity": "_e"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("entity") == F.col("_e")), "left_semi")
     both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     m = F.least("n_term", "n_entity")
     bits = F.log2(F.col("n_both") * F.lit(float(rows.count())) / (F.col("n_term") * F.col("n_entity"))) * F.col("windows") / (F.col("windows") + 1) * m / (m + 1)
     scored = pairs.join(both, ["entity", "term"]).where(F.col("n_both") >= disclosure * F.col("n_term"))
-    return scored.select("term", "entity", "n_term", bits.alias("bits")).where(F.col("bits") >= least_bits)
+    return scored.select("term", "entity", bits.alias("bits")).where(F.col("bits") >= least_bits)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -195,15 +195,15 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     base = written(spans.select("doc_id", "t", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
     found = base.where("text is not null").select("doc_id", "t", "text", F.col("base").alias("spans"))
     scored = disclosing_terms(rows, found)
-    telling = scored and written(scored.groupBy("term").agg(F.max("n_term").alias("n_term")), "telling")
+    telling = None if scored is None else written(scored.select("term").distinct(), "telling")
     base = base.drop("text")
     if telling is None or telling.isEmpty():
         return base.withColumn("terms", F.expr(f"cast(null as {NO_MATCH.split(' as ')[1][:-1]})"))
     bits = sieve(telling, "term")
-    own = looked_up(written(terms_of(rows, bits), "held"), telling, ["term"], "n_term", "left_semi")
+    own = terms_of(rows, bits).join(telling, "term", "left_semi")
     held = sieved(rows, sieve(own.select("doc_id", "t"), "doc_id", "t"), "doc_id", "t")
     words = sieved(held.select("doc_id", "t", F.explode(located(F.col("text"), WORD, lambda v: F.lit(True))).alias("s")).withColumn("term", F.lower("s.value")), bits, "term")
-    marked = looked_up(written(words, "words"), telling, ["term"], "n_term", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    marked = words.join(telling, "term", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("s")).alias("terms"))
     return base.join(marked, base["doc_id"].eqNullSafe(marked["_d"]) & (base["t"] == marked["_t"]), "left").drop("_d", "_t")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, mixing, pii, quality, simhash, substring_dedup, tokens, toxicity
+from waypath.llm import decontaminate, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_mixing": oracle.MIXING,
+    "op6_suffix_dedup": oracle.BYTES,
+    "op9_substring_dedup": oracle.REPEATED_WORDS,
+    "op10_decontamination": oracle.CONTAMINATION,
+}
