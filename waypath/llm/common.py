@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; a single longer text is hashed in blocks of this size.
 CHUNK_BYTES = 1_000_000
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
 #: A key with at least this share of a join's rows is heavy; there are at most HEAVY of them, which bounds their broadcast.
 HEAVY = 1000
 
@@ -71,7 +73,15 @@ def kept(key: object, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_ROWS rows between Spark and Python, where the session leaves Spark's own 10,000: texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

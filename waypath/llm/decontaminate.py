@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, fresh, span_hashes, text_bytes, word_bounds, written
+from waypath.llm.common import chunks, documents, fresh, small_batches, span_hashes, text_bytes, word_bounds, written
 
 WINDOW = 10
 #: Text of benchmark items that one pass over the documents looks for. A larger benchmark is searched block by block.
@@ -270,6 +270,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     cut again while joined ends form a window. Rows without a hit stay as they are, null and empty texts too; a row of which no word
     is left goes. With one block a task repeats this by itself; with more, each round is a written table, and rows without a hit leave it.
     """
+    small_batches(docs.sparkSession)
     if n_blocks(benchmark) <= 1:
         for shared in blocks(benchmark, window):
             return _removed(docs, shared)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, fresh, kept, looked_up, mix, scratch, span_hashes, text_bytes, text_key, written
+from waypath.llm.common import chunks, documents, fresh, kept, looked_up, mix, scratch, small_batches, span_hashes, text_bytes, text_key, written
 
 TOKEN_LIMIT, END_ID = 1024, 0
 #: Pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
@@ -279,6 +279,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         seen = key[~none]
         yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_rows": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(size.sum())], pa.int64()), "id_bytes": pa.array([encode.dtype.itemsize], pa.int32()), "least": pa.array([int(seen[0]) if len(seen) else None], pa.int64()), "most": pa.array([int(seen[-1]) if len(seen) else None], pa.int64())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, schema).write.parquet(f"{path}/manifest")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, kept, text_bytes, text_key, word_bounds
+from waypath.llm.common import chunks, documents, kept, small_batches, text_bytes, text_key, word_bounds
 from waypath.llm.lookup import WordTable
 
 #: The model is fitted on at most this many labelled rows, drawn by a hash of doc_id, equal texts once.
@@ -182,6 +182,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     Null, empty and blank texts have the score of a text without a match. Rows stay as they are, repeated
     ones too; columns named score or predicted give way.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop("score", "predicted")
     names = rows.columns
     out = rows.withColumns({"score": F.lit(None).cast("double"), "predicted": F.lit(None).cast("int")})
