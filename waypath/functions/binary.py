@@ -15,6 +15,20 @@ def u16le(data: Column, offset: Column | int) -> Column:
     return byte_at(data, offset) + 256 * byte_at(data, offset + 1)
 
 
+def u16be(data: Column, offset: Column | int) -> Column:
+    return 256 * byte_at(data, offset) + byte_at(data, offset + 1)
+
+
+def u32le(data: Column, offset: Column | int) -> Column:
+    return u16le(data, offset).cast("long") + 65536 * u16le(data, offset + 2).cast("long")
+
+
+def i16be(data: Column, offset: Column | int, compat: bool = False) -> Column:
+    """Two's complement; with compat negative numbers are one higher, as a driver that takes off 65535 has them."""
+    v = u16be(data, offset)
+    return F.when(v > 32767, v - (65535 if compat else 65536)).otherwise(v)
+
+
 def i16le(data: Column, offset: Column | int) -> Column:
     v = u16le(data, offset)
     return F.when(v > 32767, v - 65536).otherwise(v)

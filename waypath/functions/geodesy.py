@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
@@ -58,3 +59,54 @@ def utm_inverse(zone: Column, north: Column, x: Column, y: Column) -> Column:
     chi = F.asin(F.sin(a) / F.cosh(b))
     lat = chi + series(LATITUDE, F.sin, chi)
     return F.struct(F.degrees(lat).alias("lat"), F.degrees(meridian(zone) + F.atan2(F.sinh(b), F.cos(a))).alias("lon"))
+
+
+#: Scale and false origin of the polar caps' projection.
+CAP_SCALE, CAP_ORIGIN = 0.994, 2_000_000.0
+ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
+#: Distance from the pole per unit of the tangent of half the conformal co-latitude.
+CAP_RADIUS = 2 * A * CAP_SCALE / math.sqrt((1 + ECCENTRICITY) ** (1 + ECCENTRICITY) * (1 - ECCENTRICITY) ** (1 - ECCENTRICITY))
+
+
+def ups_forward(lat: Column, lon: Column) -> Column:
+    """struct<zone, north, x, y> by polar stereographic projection, zone 0; north by the sign of lat."""
+    s = F.sin(F.radians(F.abs(lat)))
+    t = F.sqrt((1 - s) / (1 + s)) * F.pow((1 + ECCENTRICITY * s) / (1 - ECCENTRICITY * s), F.lit(ECCENTRICITY / 2))
+    rho = CAP_RADIUS * t
+    y = F.when(lat >= 0, -rho * F.cos(F.radians(lon))).otherwise(rho * F.cos(F.radians(lon)))
+    return F.struct(F.lit(0).alias("zone"), (lat >= 0).alias("north"), (CAP_ORIGIN + rho * F.sin(F.radians(lon))).alias("x"), (CAP_ORIGIN + y).alias("y"))
+
+
+def grid_forward(lat: Column, lon: Column) -> Column:
+    """utm_forward between -80 and 84 degrees, ups_forward (zone 0) beyond; null out of range."""
+    utm, ok = utm_forward(lat, lon), (F.abs(lat) <= 90) & lon.isNotNull()
+    return F.when(ok, F.when((lat >= -80) & (lat < 84), utm).otherwise(ups_forward(lat, lon)))
+
+
+def grid_inverse(zone: Column, north: Column, x: Column, y: Column) -> Column:
+    """struct<lat, lon> of grid_forward's results."""
+    dx, dy = x - CAP_ORIGIN, F.when(north, CAP_ORIGIN - y).otherwise(y - CAP_ORIGIN)
+    chi = math.pi / 2 - 2 * F.atan(F.sqrt(dx * dx + dy * dy) / CAP_RADIUS)
+    lat = chi + series(LATITUDE, F.sin, chi)
+    cap = F.struct((F.degrees(lat) * F.when(north, 1.0).otherwise(-1.0)).alias("lat"), F.degrees(F.atan2(dx, dy)).alias("lon"))
+    return F.when(zone == 0, cap).otherwise(utm_inverse(zone, north, x, y))
+
+
+def with_grid(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with zone, north, grid_x and grid_y, as grid_forward gives them.
+
+    Step by step, so that no expression holds another many times over: for use where the coordinates come from long expressions themselves.
+    """
+    la, lo = F.col(lat), F.col(lon)
+    df = df.withColumns({"_s": F.sin(F.radians(la)), "zone": F.when((la >= 84) & (la <= 90) | (la < -80) & (la >= -90), 0).otherwise(utm_zone(la, lo)), "north": la >= 0})
+    df = df.withColumns({"_t": F.sinh(F.atanh("_s") - ROOT * F.atanh(ROOT * F.col("_s"))), "_away": F.radians(lo) - meridian(F.col("zone")), "_a": F.abs("_s")})
+    df = df.withColumns({"_xi": F.atan2("_t", F.cos("_away")), "_eta": F.atanh(F.sin("_away") / F.sqrt(1 + F.col("_t") * F.col("_t")))})
+    rho = CAP_RADIUS * F.sqrt((1 - F.col("_a")) / (1 + F.col("_a"))) * F.pow((1 + ECCENTRICITY * F.col("_a")) / (1 - ECCENTRICITY * F.col("_a")), F.lit(ECCENTRICITY / 2))
+    xi, eta, cap = F.col("_xi"), F.col("_eta"), F.col("zone") == 0
+    x = 500_000 + SCALE * RADIUS * (eta + series(FORWARD, F.cos, xi, F.sinh, eta))
+    y = SCALE * RADIUS * (xi + series(FORWARD, F.sin, xi, F.cosh, eta)) + F.when(la < 0, 1e7).otherwise(0.0)
+    df = df.withColumn("_rho", rho)
+    known = F.col("zone").isNotNull() & lo.isNotNull()
+    polar_y = F.when(F.col("north"), -F.col("_rho")).otherwise(F.col("_rho")) * F.cos(F.radians(lo))
+    df = df.withColumns({"grid_x": F.when(known, F.when(cap, CAP_ORIGIN + F.col("_rho") * F.sin(F.radians(lo))).otherwise(x)), "grid_y": F.when(known, F.when(cap, CAP_ORIGIN + polar_y).otherwise(y))})
+    return df.drop("_s", "_t", "_a", "_away", "_xi", "_eta", "_rho")

@@ -41,6 +41,42 @@ def quat_to_yaw(q: Quat) -> Column:
     return F.atan2(2 * (w * z - x * y) / n, 1 - 2 * (y * y + z * z) / n)
 
 
+def yaw_to_quat(yaw: Column) -> Quat:
+    """Of a turn about z, in radians."""
+    return F.lit(0.0), F.lit(0.0), F.sin(yaw / 2), F.cos(yaw / 2)
+
+
+def rigid_compose(p: Vec, q: Quat, p2: Vec, q2: Quat) -> tuple[Vec, Quat]:
+    """The motion (p2, q2) followed by (p, q)."""
+    return tuple(a + b for a, b in zip(p, quat_rotate(q, p2))), quat_mul(q, q2)
+
+
+def rigid_inverse(p: Vec, q: Quat) -> tuple[Vec, Quat]:
+    """Of a motion with a unit quaternion."""
+    return tuple(-a for a in quat_rotate(quat_conj(q), p)), quat_conj(q)
+
+
+def relative_pose(p: Vec, q: Quat, p2: Vec, q2: Quat) -> tuple[Vec, Quat]:
+    """(p, q)^-1 (p2, q2)."""
+    return relative_translation(p, q, p2), quat_mul(quat_conj(q), q2)
+
+
+#: Pi as the filter's own degrees have it.
+SHORT_PI = 3.14159265358
+
+
+def deg2rad(a: Column) -> Column:
+    return a * SHORT_PI / 180
+
+
+def rad2deg(a: Column) -> Column:
+    return a * 180 / SHORT_PI
+
+
+def clamp(a: Column, least: float, most: float) -> Column:
+    return F.least(F.greatest(a, F.lit(float(least))), F.lit(float(most)))
+
+
 def wrap_pi(a: Column) -> Column:
     """Into [-pi, pi)."""
     return F.pmod(a + math.pi, F.lit(2 * math.pi)) - math.pi

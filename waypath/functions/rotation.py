@@ -2,12 +2,88 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waypath.functions.pose import Vec
 
 
+Matrix = tuple[Column, ...]
+
+
+def mat_vec(m: Matrix, v: Vec) -> Vec:
+    return tuple(m[3 * i] * v[0] + m[3 * i + 1] * v[1] + m[3 * i + 2] * v[2] for i in range(3))
+
+
+def mat_t_vec(m: Matrix, v: Vec) -> Vec:
+    """The transposed matrix times v."""
+    return tuple(m[i] * v[0] + m[3 + i] * v[1] + m[6 + i] * v[2] for i in range(3))
+
+
+def mat_mul(a: Matrix, b: Matrix) -> Matrix:
+    return tuple(a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3))
+
+
+def transposed(m: Matrix) -> Matrix:
+    return tuple(m[3 * j + i] for i in range(3) for j in range(3))
+
+
+def so3_exp_dt(rate: Vec, dt: Column) -> Matrix:
+    """Rotation by a turn rate held for dt; the identity for rates of 1e-7 or less, however long they are held."""
+    small = F.sqrt(rate[0] * rate[0] + rate[1] * rate[1] + rate[2] * rate[2]) <= 1e-7
+    turned = so3_exp(tuple(w * dt for w in rate))
+    return tuple(F.when(small, 1.0 if i % 4 == 0 else 0.0).otherwise(v) for i, v in enumerate(turned))
+
+
+def quat_to_matrix(q: tuple[Column, ...]) -> Matrix:
+    """Of a quaternion x, y, z, w of any length; null for a zero one."""
+    x, y, z, w = q
+    n = F.nullif(x * x + y * y + z * z + w * w, F.lit(0.0))
+    return (
+        1 - 2 * (y * y + z * z) / n, 2 * (x * y - z * w) / n, 2 * (x * z + y * w) / n, 2 * (x * y + z * w) / n, 1 - 2 * (x * x + z * z) / n,
+        2 * (y * z - x * w) / n, 2 * (x * z - y * w) / n, 2 * (y * z + x * w) / n, 1 - 2 * (x * x + y * y) / n,
+    )
+
+
+def matrix_to_quat(m: Matrix) -> tuple[Column, ...]:
+    """x, y, z, w with w >= 0, from the largest of the four squares, so that no division is by a small number."""
+    four = (1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8], 1 + m[0] + m[4] + m[8])
+    rows = (
+        (four[0], m[1] + m[3], m[2] + m[6], m[7] - m[5]), (m[1] + m[3], four[1], m[5] + m[7], m[2] - m[6]),
+        (m[2] + m[6], m[5] + m[7], four[2], m[3] - m[1]), (m[7] - m[5], m[2] - m[6], m[3] - m[1], four[3]),
+    )
+    most, out = F.greatest(*four), []
+    for k in range(4):
+        value = F.lit(None).cast("double")
+        for i in range(4):
+            value = F.when(four[i] == most, rows[i][k] / (2 * F.sqrt(four[i])) * F.when(rows[i][3] < 0, -1.0).otherwise(1.0)).otherwise(value)
+        out.append(value)
+    return tuple(out)
+
+
+def state_boxplus(pos: Vec, rot: Matrix, others: tuple[Column, ...], delta: tuple[Column, ...]) -> tuple[Vec, Matrix, tuple[Column, ...]]:
+    """A state moved by delta: position (3), rotation (3, applied on the right), then as many as there are other numbers."""
+    return tuple(a + b for a, b in zip(pos, delta[:3])), mat_mul(rot, so3_exp(delta[3:6])), tuple(a + b for a, b in zip(others, delta[6:]))
+
+
+def state_boxminus(a: tuple[Vec, Matrix, tuple[Column, ...]], b: tuple[Vec, Matrix, tuple[Column, ...]]) -> tuple[Column, ...]:
+    """The delta that takes b to a."""
+    return (*(x - y for x, y in zip(a[0], b[0])), *so3_log(mat_mul(transposed(b[1]), a[1])), *(x - y for x, y in zip(a[2], b[2])))
+
+
+def quat_to_euler_deg(q: tuple[Column, ...]) -> Vec:
+    """Roll, pitch and yaw of a quaternion of any length, times 57.3 as the filter's own degrees are; close to a pole yaw is 0."""
+    x, y, z, w = q
+    unit, test = x * x + y * y + z * z + w * w, w * y - z * x
+    pole = F.when(test > 0.49999 * unit, 1.0).when(test < -0.49999 * unit, -1.0)
+    roll = F.coalesce(pole * 2 * F.atan2(x, w), F.atan2(2 * (x * w + y * z), w * w + z * z - x * x - y * y))
+    pitch = F.coalesce(pole * (math.pi / 2), F.asin(2 * test / unit))
+    yaw = F.when(pole.isNull(), F.atan2(2 * (z * w + x * y), w * w + x * x - y * y - z * z)).otherwise(0.0)
+    return roll * 57.3, pitch * 57.3, yaw * 57.3
+
+
 def so3_exp(w: Vec) -> tuple[Column, ...]:
     """Rotation by |w| about w; the identity for |w| of 1e-7 or less."""
     x, y, z = w

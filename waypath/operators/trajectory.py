@@ -93,3 +93,39 @@ def extract_ground_truth(msgs: DataFrame, lever: tuple[float, float, float]) ->
     """Positions moved from the antenna to the body: p - R(q) * lever; uncorrected where the quaternion is zero. Header times <= 0 go."""
     turned = quat_rotate(quat(), tuple(F.lit(float(v)) for v in lever))
     return msgs.where("t_us > 0").withColumns({c: F.coalesce(F.col(c) - t, F.col(c)) for c, t in zip("xyz", turned)})
+
+
+def outage_counts(msgs: DataFrame, topic: str, keep_s: int = 20, drop_s: int = 10) -> DataFrame:
+    """(vehicle_id, kept, dropped): how many messages of the topic a simulated outage keeps and drops."""
+    phase = F.pmod(F.col("elapsed_us"), F.lit((keep_s + drop_s) * 1_000_000)) < keep_s * 1_000_000
+    rows = elapsed_since_first(msgs.where(F.col("topic") == topic))
+    return rows.groupBy("vehicle_id").agg(F.count_if(phase).alias("kept"), F.count_if(~phase).alias("dropped"))
+
+
+def uncertainty_summary(msgs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Extents and largest deviation of each run, overall and before the onset, with the margins that a chart of them has.
+
+    The margin of an axis is 15 % of its extent, or half a unit where that is nothing; deviations get 15 and 50 % more.
+    """
+    onset = signal_degradation(msgs, threshold).select("vehicle_id", "onset_us")
+    rows = msgs.withColumn("std", F.sqrt(F.col("std_x") ** 2 + F.col("std_y") ** 2)).join(onset, "vehicle_id")
+    low = F.col("t_us") < F.col("onset_us")
+    own = [f(F.when(w, F.col(c))).alias(f"{n}_{c}{e}") for c in "xy" for n, f in (("min", F.min), ("max", F.max)) for w, e in ((F.lit(True), ""), (low, "_before"))]
+    out = rows.groupBy("vehicle_id", "onset_us").agg(F.count("*").alias("n"), *own, F.max("std").alias("max_std"), F.max(F.when(low, F.col("std"))).alias("max_std_before"))
+    for c in "xy":
+        wide = F.col(f"max_{c}") - F.col(f"min_{c}")
+        out = out.withColumn(f"margin_{c}", F.when(wide > 0, wide * 0.15).otherwise(0.5))
+    return out.withColumns({"top": F.col("max_std") * 1.15, "top_before": F.col("max_std_before") * 1.5})
+
+
+def throttle(rows: DataFrame, period_us: int = 1_000_000, key: str = "vehicle_id") -> DataFrame:
+    """The first row (by t_us, then seq) of each period of each key."""
+    names = [F.col(c) for c in rows.columns]
+    first = F.min_by(F.struct(*names), F.struct("t_us", "seq")).alias("r")
+    return rows.groupBy(key, F.floor(F.col("t_us") / period_us).alias("_period")).agg(first).select("r.*")
+
+
+def evaluate_navigation(traj: DataFrame) -> DataFrame:
+    """path_summary with yaw_rate_stats (null without usable steps) of each run of ten rows or more."""
+    rates = yaw_rate_stats(traj).withColumnRenamed("n", "n_rates")
+    return path_summary(traj).join(rates, "vehicle_id", "left")

@@ -26,6 +26,9 @@ FROM lineitem
 """,
     "fx_map": r"""
 SELECT vec_id AS point_id, label, CAST(embedding[0] AS DOUBLE) * 10e0 AS x, CAST(embedding[1] AS DOUBLE) * 10e0 AS y, CAST(embedding[2] AS DOUBLE) * 10e0 AS z FROM embeddings
+""",
+    "fx_trees": r"""
+SELECT point_id AS tree_id, x, y, 23.5915e0 + (x * 0.17e0 - y * 0.98e0) / 110800e0 AS lat, 113.3925e0 + (y * 0.17e0 - x * 0.98e0) / 102000e0 AS lon FROM (SELECT vec_id AS point_id, CAST(embedding[0] AS DOUBLE) * 10e0 AS x, CAST(embedding[1] AS DOUBLE) * 10e0 AS y FROM embeddings) t
 """,
     "fx_nmea": r"""
 SELECT e.user_id % 8 AS vehicle_id, e.event_id AS seq, CAST(floor((unix_micros(CAST(e.ts AS TIMESTAMP)) - 1704067200000000) / 86400e0) AS BIGINT) AS recv_us,
@@ -71,6 +74,9 @@ FROM lineitem
 """,
     "fx_map": r"""
 SELECT vec_id AS point_id, label, CAST(embedding[1] AS DOUBLE) * 10e0 AS x, CAST(embedding[2] AS DOUBLE) * 10e0 AS y, CAST(embedding[3] AS DOUBLE) * 10e0 AS z FROM embeddings
+""",
+    "fx_trees": r"""
+SELECT point_id AS tree_id, x, y, 23.5915e0 + (x * 0.17e0 - y * 0.98e0) / 110800e0 AS lat, 113.3925e0 + (y * 0.17e0 - x * 0.98e0) / 102000e0 AS lon FROM (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) * 10e0 AS x, CAST(embedding[2] AS DOUBLE) * 10e0 AS y FROM embeddings) t
 """,
     "fx_nmea": r"""
 SELECT e.user_id % 8 AS vehicle_id, e.event_id AS seq, CAST(floor((epoch_us(e.ts) - 1704067200000000) / 86400e0) AS BIGINT) AS recv_us,
@@ -95,7 +101,7 @@ SELECT device, seq, max(stamp_us) AS stamp_us, concat(string_agg(hx,'' ORDER BY
 }
 
 #: The table that each is made from.
-SOURCE = {"fx_points": "lineitem", "fx_map": "embeddings"}
+SOURCE = {"fx_points": "lineitem", "fx_map": "embeddings", "fx_trees": "embeddings"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
