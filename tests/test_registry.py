@@ -7,6 +7,7 @@ import pytest
 
 import waypath.registry_more  # noqa: F401  (adds its queries)
 import waypath.registry_scans  # noqa: F401
+import waypath.registry_streams  # noqa: F401
 from waypath.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

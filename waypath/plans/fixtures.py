@@ -104,9 +104,14 @@ SELECT device, seq, max(stamp_us) AS stamp_us, concat(string_agg(hx,'' ORDER BY
 SOURCE = {"fx_points": "lineitem", "fx_map": "embeddings", "fx_trees": "embeddings"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table_of(spark: SparkSession, name: str, src: DataFrame) -> DataFrame:
+    """The table made from rows of its source."""
     source = SOURCE.get(name, "events")
-    return spark.sql(SPARK[name].replace(f"FROM {source}", "FROM {source}", 1).replace("{source}", "{src}"), src=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    return spark.sql(SPARK[name].replace(f"FROM {source}", "FROM {src}", 1), src=src)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table_of(spark, name, spark.read.parquet(f"{sf_dir}/{SOURCE.get(name, 'events')}.parquet"))
 
 
 def with_tables(sql: str) -> str:
