@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,42 +33,74 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
     return around(queries, radius).join(right, ["cx", "cy", "cz"]).withColumn("d2", distance2()).where(F.col("d2") <= radius * radius).drop("cx", "cy", "cz")
 
 
+def at_levels(points: DataFrame, size: float, levels: range, low: tuple[float, ...]) -> DataFrame:
+    """points (point_id, m_x, m_y, m_z) once for each level, with their cell: of size * 2^level, counted from low."""
+    rows = points.select("point_id", *(F.col(c).alias(f"m_{c}") for c in "xyz")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    side = size * F.pow(F.lit(2.0), F.col("level"))
+    return rows.withColumns({f"c{c}": F.floor((F.col(f"m_{c}") - o) / side) for c, o in zip("xyz", low)})
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
-    """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id.
+    """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
 
-    Cells of `size` are tried first; queries whose k-th neighbour is farther than a cell go on with cells of twice the size, and so
-    do those with fewer than k until a cell holds the whole map. Only unresolved queries are tried again.
+    The map is counted in cells of size, twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
+    map's nearest place to it) with k points; these give the radius in which its k nearest lie, and a radius join in at most 27 cells of
+    that order finds them. Two joins settle all queries, dense or far away; each sends a map point once a level.
     """
-    n = points.count()
-    lows_highs = points.agg(*(f(c).alias(f"{n_}{c}") for c in "xyz" for n_, f in (("lo", F.min), ("hi", F.max)))).unionByName(queries.agg(*(f(c).alias(f"{n_}{c}") for c in "xyz" for n_, f in (("lo", F.min), ("hi", F.max)))))
-    box = lows_highs.agg(*(F.min(f"lo{c}").alias(f"lo{c}") for c in "xyz"), *(F.max(f"hi{c}").alias(f"hi{c}") for c in "xyz")).first()
-    width = max((box[f"hi{c}"] or 0) - (box[f"lo{c}"] or 0) for c in "xyz")
-    limit, out, todo = max_dist if max_dist is not None else float("inf"), None, queries
-    while True:
-        w = Window.partitionBy("query_id").orderBy("d2", "m_x", "point_id")
-        near = radius_join(todo, points, size).where(F.col("d2") <= limit * limit)
-        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        last = size > width * 1.8 or size >= limit
-        if last or n == 0:
-            return near if out is None else out.unionByName(near)
-        full = near.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("query_id")
-        done = near.join(full, "query_id", "left_semi").checkpoint() if todo.sparkSession.sparkContext.getCheckpointDir() else near.join(full, "query_id", "left_semi").persist()
-        out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, "query_id", "left_anti")
-        if todo.isEmpty():
-            return out
-        size *= 2
+    spread = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    need = min(k, spread.n)
+    low, high = (tuple(spread[f"{n}{c}"] or 0.0 for c in "xyz") for n in ("lo", "hi"))
+    width = max(h - o for h, o in zip(high, low))
+    top = max(0, math.ceil(math.log2(max(width, size) / size)) + 1)
+    levels, cells = range(top + 1), ["level", "cx", "cy", "cz"]
+    stored = at_levels(points, size, levels, low)
+    full = stored.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= need).drop("_n")
+    side = size * F.pow(F.lit(2.0), F.col("level"))
+
+    def place(c: str, shift: Column | float, o: float, h: float) -> Column:
+        return F.floor((F.least(F.greatest(F.col(c) + shift, F.lit(float(o))), F.lit(float(h))) - o) / side)
+
+    asked = queries.select("query_id", "x", "y", "z")
+    start = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    start = start.withColumns({f"c{c}": place(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
+    start = start.groupBy("query_id").agg(F.min(F.struct(*cells, "x", "y", "z")).alias("s")).select("query_id", "s.*")
+    d2 = distance2()
+    reach = start.join(stored, cells).select("query_id", "x", "y", "z", d2.alias("d2"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("d2"))
+    reach = reach.withColumn("_r", nth).where(F.col("_r") == need).drop("_r").withColumn("r", F.sqrt("d2") * (1 + 1e-9) + 1e-12)
+    if max_dist is not None:
+        reach = reach.withColumn("r", F.least("r", F.lit(float(max_dist))))
+    reach = reach.withColumn("level", F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / size)).cast("int"))))
+    for c, o, h in zip("xyz", low, high):
+        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(place(c, -F.col("r"), o, h), place(c, F.col("r"), o, h))))
+    near = reach.drop("d2").join(stored, cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r") * F.col("r")).drop(*cells, "r")
+    if max_dist is not None:
+        near = near.where(F.col("d2") <= max_dist * max_dist)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "m_x", "point_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    more = [c for c in queries.columns if c not in ("query_id", "x", "y", "z")]
+    return near.join(queries.select("query_id", *more), "query_id") if more else near
 
 
 def box_join(boxes: DataFrame, points: DataFrame, size: float = 5.0) -> DataFrame:
-    """Pairs of a box (box_id, x0, x1, y0, y1, z0, z1) and a point in it: lower faces belong to it, upper ones don't."""
-    left = boxes
+    """Pairs of a box (box_id, x0, x1, y0, y1, z0, z1) and a point in it: lower faces belong to it, upper ones don't.
+
+    A box is looked up in cells no smaller than itself, of size, twice size and so on, so it has at most eight; a point is sent once for each
+    of the sizes that boxes need. Empty boxes hold nothing.
+    """
+    extent = F.greatest(*(F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"))
+    left = boxes.where(F.least(*(F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz")) > 0)
+    left = left.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(extent / size)).cast("int")))
+    levels = [r[0] for r in left.select("_level").distinct().collect()]  # one a power of two
+    side = size * F.pow(F.lit(2.0), F.col("_level"))
     for c in "xyz":
-        left = left.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / size), F.floor(F.col(f"{c}1") / size))))
-    rows = left.join(in_cells(points, size), ["cx", "cy", "cz"])
+        left = left.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / side), F.floor(F.col(f"{c}1") / side))))
+    right = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    right = right.withColumns({f"c{c}": F.floor(F.col(c) / side) for c in "xyz"})
+    rows = left.join(right, ["_level", "cx", "cy", "cz"])
     for c in "xyz":
         rows = rows.where((F.col(c) >= F.col(f"{c}0")) & (F.col(c) < F.col(f"{c}1")))
-    return rows.drop("cx", "cy", "cz")
+    return rows.drop("_level", "cx", "cy", "cz")
 
 
 def voxel_centroid(points: DataFrame, size: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypath.functions.pose import quat, quat_rotate, quat_to_yaw, relative_translation, vec, wrap_pi
-from waypath.operators.asof import asof_nearest
+from waypath.operators.asof import asof_nearest, last_seen, running_sum
 
 ORDER = ("t_us", "seq")
 
@@ -23,8 +23,7 @@ def naive_fusion(truth: DataFrame, rtk: DataFrame, lio: DataFrame, rtk_us: int =
     """
     pose = ["vehicle_id", "t_us", "seq", "x", "y", "z", "qx", "qy", "qz", "qw"]
     rows = asof_nearest(asof_nearest(truth.select(pose), rtk.select(pose), rtk_us, "rtk"), lio.select(pose), lio_us, "lio")
-    so_far = by_run().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"ra": F.last("rtk", ignorenulls=True).over(so_far), "la": F.last(F.when(F.col("rtk").isNotNull(), F.col("lio")), ignorenulls=True).over(so_far)})
+    rows = last_seen(rows, {"ra": F.col("rtk"), "la": F.when(F.col("rtk").isNotNull(), F.col("lio"))})
     step = quat_rotate(quat("ra."), relative_translation(vec("la."), quat("la."), vec("lio.")))
     fused = {f"f{c}": F.when(F.col("rtk").isNotNull(), F.col(f"rtk.{c}")).otherwise(F.col(f"ra.{c}") + s) for c, s in zip("xyz", step)}
     return rows.withColumns(fused).where("fx is not null").select("vehicle_id", "t_us", "seq", "x", "y", "z", "fx", "fy", "fz", F.col("rtk").isNotNull().alias("direct"))
@@ -37,9 +36,10 @@ def ape_stats(pairs: DataFrame) -> DataFrame:
 
 def delta_columns(traj: DataFrame) -> DataFrame:
     """traj with dt, step (planar) and dyaw to the row before."""
-    w, yaw = by_run(), quat_to_yaw(quat())
-    dx, dy = (F.col(c) - F.lag(c).over(w) for c in "xy")
-    return traj.withColumn("yaw", yaw).withColumns({"dt": (F.col("t_us") - F.lag("t_us").over(w)) / 1e6, "step": F.sqrt(dx * dx + dy * dy), "dyaw": wrap_pi(F.col("yaw") - F.lag("yaw").over(w))})
+    rows = traj.withColumn("yaw", quat_to_yaw(quat()))
+    rows = last_seen(rows, {"_p": F.struct("t_us", "x", "y", "yaw")}, before=True)
+    dx, dy = (F.col(c) - F.col(f"_p.{c}") for c in "xy")
+    return rows.withColumns({"dt": (F.col("t_us") - F.col("_p.t_us")) / 1e6, "step": F.sqrt(dx * dx + dy * dy), "dyaw": wrap_pi(F.col("yaw") - F.col("_p.yaw"))}).drop("_p")
 
 
 def path_summary(traj: DataFrame) -> DataFrame:
@@ -58,12 +58,13 @@ def yaw_rate_stats(traj: DataFrame, min_dt: float = 0.05, max_rate: float = 3.0)
 
 
 def cumulative_distance(traj: DataFrame) -> DataFrame:
-    return delta_columns(traj).withColumn("travelled", F.coalesce(F.sum("step").over(by_run().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    return running_sum(delta_columns(traj), "travelled", F.col("step"))
 
 
 def elapsed_since_first(msgs: DataFrame, key: tuple[str, ...] = ("vehicle_id", "topic")) -> DataFrame:
     """Microseconds since the first message of each run and topic in log order (seq)."""
-    return msgs.withColumn("elapsed_us", F.col("t_us") - F.first("t_us").over(Window.partitionBy(*key).orderBy("seq")))
+    first = msgs.groupBy(*key).agg(F.min_by("t_us", "seq").alias("_first"))
+    return msgs.join(first, list(key)).withColumn("elapsed_us", F.col("t_us") - F.col("_first")).drop("_first")
 
 
 def simulate_outage(msgs: DataFrame, topic: str, keep_s: int = 20, drop_s: int = 10) -> DataFrame:
@@ -74,7 +75,7 @@ def simulate_outage(msgs: DataFrame, topic: str, keep_s: int = 20, drop_s: int =
 
 def outage_segments(msgs: DataFrame, gap_us: int) -> DataFrame:
     """Spans of over gap_us between messages of one run."""
-    rows = msgs.withColumn("from_us", F.lag("t_us").over(by_run()))
+    rows = last_seen(msgs, {"from_us": F.col("t_us")}, before=True)
     return rows.where(F.col("t_us") - F.col("from_us") > gap_us).select("vehicle_id", "from_us", F.col("t_us").alias("to_us"))
 
 
