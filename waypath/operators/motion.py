@@ -74,8 +74,8 @@ def imu_propagate(imu: DataFrame, scans: DataFrame, init: DataFrame, previous_en
     reach from the last one's end to their own begin, as simulators have them. A run starts at rest at the origin. The recursion makes a run one
     task; runs are independent. Vehicles without init or samples have no knots.
     """
-    n = F.struct(*(F.col(c).cast("double") for c in ("t", "ax", "ay", "az", "gx", "gy", "gz")))
-    samples = imu.select("vehicle_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("scan_id"), *(n[i].alias(c) for i, c in enumerate(("t", "ax", "ay", "az", "gx", "gy", "gz"))))
+    numbers = ("t", "ax", "ay", "az", "gx", "gy", "gz")
+    samples = imu.select("vehicle_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("scan_id"), *(F.col(c).cast("double").alias(c) for c in numbers))
     marks = scans.select("vehicle_id", F.lit(1).alias("kind"), "scan_id", F.col("end").cast("double").alias("t"), F.col("beg").cast("double").alias("ax"), *(F.lit(0.0).alias(c) for c in ("ay", "az", "gx", "gy", "gz")))
     names = [f"{k}_{c}" for k in ("gravity", "bias") for c in "xyz"] + ["norm"]
     rows = samples.unionByName(marks).join(init.select("vehicle_id", *names), "vehicle_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import binary, geodesy, pose, rotation
-from waypath.operators import cloud, lidar, mapping, motion, navigation, store, trajectory, vendors
+from waypath.operators import cloud, features, filtering, lidar, mapping, motion, navigation, store, trajectory, vendors
 from waypath.registry import PACKET, QUERIES, UTM, map_points, msgs, packets_of, points, query, rounded, table
 
 ANGLES = ", ".join(f"{float(v)}e0" for v in lidar.VERTICAL["c32_2"])
@@ -417,3 +417,45 @@ def runs(spark, sf_dir):
 def imu_propagate(spark, sf_dir):
     imu, scans, init = runs(spark, sf_dir)
     return motion.imu_propagate(imu.drop("seq"), scans, init)
+
+
+@without_sql
+def label_ring_features(spark, sf_dir):
+    return features.label_ring_features(points(spark, sf_dir)).select("scan_id", "ring", "seq", "label")
+
+
+@without_sql
+def eskf_trajectory(spark, sf_dir):
+    imu, _, init = runs(spark, sf_dir)
+    fixes = msgs(spark, sf_dir, "rtk").select("vehicle_id", (F.col("t_us") / 1e6).alias("t"), "x", "y", "z", *((F.col(c) + 0.01).alias(n) for c, n in (("std_x", "sx"), ("std_y", "sy"), ("std_x", "sz"))))
+    return filtering.eskf_trajectory(imu.drop("seq"), fixes, init, (-0.3, 0.45, 0.13)).select("vehicle_id", "t", "x", "y", "z", "sigma")
+
+
+@without_sql
+def scan_to_map_register(spark, sf_dir):
+    """Every scan against the whole map, from poses at the origin."""
+    from waypath.streaming.runs import shared_folder
+
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark, "rounds"))
+    p = points(spark, sf_dir).select("scan_id", "seq", *((F.col(c) / 5).alias(c) for c in "xyz"))
+    start = p.select("scan_id").distinct().select("scan_id", *(F.lit(0.0).alias(c) for c in ("px", "py", "pz", "qx", "qy", "qz")), F.lit(1.0).alias("qw"))
+    return mapping.scan_to_map_register(p, start, map_points(spark, sf_dir), most=0.5)
+
+
+@query("WITH d AS (SELECT *, (t_us - lag(t_us) OVER w) / 1e6 AS dt, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2) AS step, atan2(sin(2 * atan2(qz, qw)), cos(2 * atan2(qz, qw))) AS yaw FROM fx_msgs WHERE topic = 'truth' WINDOW w AS (PARTITION BY vehicle_id ORDER BY t_us, seq)), g AS (SELECT vehicle_id, count(*) AS n, sum(step) AS length FROM d GROUP BY 1 HAVING count(*) >= 10), r AS (SELECT vehicle_id, dt, yaw - lag(yaw) OVER (PARTITION BY vehicle_id ORDER BY t_us, seq) AS dy FROM d), q AS (SELECT vehicle_id, abs((dy + pi() - 2 * pi() * floor((dy + pi()) / (2 * pi())) - pi()) / dt) AS rate FROM r WHERE dt >= 0.05), s AS (SELECT vehicle_id, count(*) AS n_rates, avg(rate) AS mean_rate FROM q WHERE rate < 3.0 GROUP BY 1) SELECT g.vehicle_id, n, round(length, 6) AS length, n_rates, round(mean_rate, 6) AS mean_rate FROM g LEFT JOIN s ON g.vehicle_id = s.vehicle_id")
+def evaluate_navigation(spark, sf_dir):
+    return rounded(trajectory.evaluate_navigation(msgs(spark, sf_dir, "truth")).select("vehicle_id", "n", "length", "n_rates", "mean_rate"))
+
+
+def fused_rows(spark, sf_dir) -> dict:
+    """x, y, z, fx, fy, fz of each vehicle's fused positions, as arrays: for tests."""
+    import numpy as np
+
+    from waypath.registry import fused
+
+    out: dict = {}
+    for r in fused(spark, sf_dir).collect():
+        out.setdefault(r.vehicle_id, []).append((r.x, r.y, r.z, r.fx, r.fy, r.fz))
+    return {k: np.array(v) for k, v in out.items()}
