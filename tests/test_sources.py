@@ -32,3 +32,98 @@ def test_deletion_edges(spark):
     assert {r.point_id: r.deleted for r in gone.collect()} == {1: True, 2: True, 3: False}
     assert {r.point_id for r in store.removed_points(gone).collect()} == {1, 2}
     assert store.delete_points(m, asked.limit(0)).where("deleted").count() == 0
+
+
+def test_messages_packets_and_origins(spark, tmp_path):
+    from waypath.operators import navigation
+
+    msgs = spark.createDataFrame([("rtk", 1, 5), ("lio", 2, 6), ("rtk", 3, 7)], "topic string, seq long, t_us long")
+    msgs.write.partitionBy("topic").parquet(f"{tmp_path}/log")
+    got = text.read_messages(spark, f"{tmp_path}/log", ["rtk"])
+    assert [r.seq for r in got.orderBy("seq").collect()] == [1, 3] and text.read_messages(spark, f"{tmp_path}/log").count() == 3
+    assert "PartitionFilters: [isnotnull(topic" in got._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "dump.bin").write_bytes(b"".join(bytes([7] * 4) + bytes([i] * 10) for i in range(3)) + b"cut")
+    rows = text.read_packets(spark, f"{tmp_path}/dump.bin", 10, 4).orderBy("seq").collect()
+    assert [(r.seq, bytes(r.data)) for r in rows] == [(i, bytes([i] * 10)) for i in range(3)]
+    gga = "$GNGGA,1,2330.0000,N,11330.0000,E,{},12,0.8,10.5,M,-3.0,M,,*5A"
+    lines = spark.createDataFrame([(1, 1, 10, gga.format(1)), (1, 2, 20, "$GNHDT,90.0,T*1B"), (1, 3, 30, gga.format(4)), (1, 4, 40, gga.format(0)), (2, 5, 50, gga.format(2))], "vehicle_id long, seq long, recv_us long, sentence string")
+    origins = navigation.map_origins(navigation.fixes_of(lines))
+    navigation.write_map_origin(origins, f"{tmp_path}/origin")
+    back = navigation.read_map_origin(spark, f"{tmp_path}/origin")
+    assert [(r.vehicle_id, r.lat, r.utm_zone) for r in back.collect()] == [(1, 23.5, "49 N")]
+    assert [r.seq for r in navigation.gnss_to_odometry(lines).collect()] == [3]  # none before the origin, none of quality 0
+    assert sorted(r.seq for r in navigation.gnss_to_odometry(lines, origins=back).collect()) == [1, 3]
+    first = navigation.gnss_to_odometry(lines, "absolute").orderBy("seq").collect()
+    assert [r.seq for r in first] == [1, 3, 5] and first[0].qw == 1 and first[1].covariance[35] == 1e-6 and first[0].covariance[35] == 0
+    assert len(first[0].covariance) == 36 and len(navigation.fixes_of(lines).select(navigation.position_covariance((F.lit(1.0), F.lit(2.0), F.lit(3.0)), 9).alias("c")).first().c) == 9
+
+
+def test_nmea_stream(spark, tmp_path):
+    from waypath.streaming.runs import settled
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("$GNHDT,1.0,T*1B\r\nnoise\r\n$X\r\n")
+    assert sorted(r.sentence for r in settled(text.stream_nmea(spark, f"{tmp_path}/in"), "nmea").collect()) == ["$GNHDT,1.0,T*1B", "$X"]
+
+
+def test_times_and_intervals(spark, tmp_path):
+    from waypath.operators import cloud
+
+    points = spark.createDataFrame([(0, 1.7e9 + 0.05), (1, -1.0), (2, 0.2), (3, 0.21), (4, 0.0)], "scan_id long, time_s double")
+    assert [round(r.time_s, 6) for r in cloud.relative_point_time(points, F.lit(1.7e9)).orderBy("scan_id").collect()] == [0.05, 0.0, 0.2, 0.1, 0.0]
+    text.write_cloud_by_interval(points, f"{tmp_path}/two", 2)
+    text.write_cloud_by_interval(points, f"{tmp_path}/all", -1)
+    assert {(r.file_bucket, r.scan_id) for r in spark.read.parquet(f"{tmp_path}/two").collect()} == {(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)}
+    assert {r.file_bucket for r in spark.read.parquet(f"{tmp_path}/all").collect()} == {0}
+
+
+def test_streams_carry_state_from_batch_to_batch(spark, tmp_path):
+    """Two files, one a batch: the second goes on where the first ended."""
+    from waypath.streaming import operators
+    from waypath.streaming.runs import settled
+
+    schema = "device long, seq long, azimuth int"
+    for name, rows in (("a", [(1, 1, 35900), (1, 2, 100), (2, 1, 5)]), ("b", [(1, 3, 35950), (1, 4, 50), (2, 2, 40)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, settled(operators.sweeps(stream), "sweeps").collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 2)]
+
+
+def test_ranges_of_time_change_nothing(spark):
+    """As-of joins, last values and sums give the same whatever the length of the ranges."""
+    from waypath.operators import asof
+
+    left = spark.createDataFrame([(1, t, i) for i, t in enumerate(range(0, 5_000, 130))] + [(2, 7, 1)], "vehicle_id long, t_us long, seq long")
+    right = spark.createDataFrame([(1, t, i) for i, t in enumerate(range(50, 5_000, 370))] + [(1, 420, 99)], "vehicle_id long, t_us long, seq long")
+    results = []
+    for span in (100, 999, 10**9):
+        near = {(r.vehicle_id, r.seq): r.m and r.m.seq for r in asof.asof_nearest(left, right, 150, "m", span_us=span).collect()}
+        odd = F.when(F.col("seq") % 3 == 0, F.col("seq"))
+        last = sorted(map(tuple, asof.last_seen(left, {"v": odd}, span_us=span).select("vehicle_id", "seq", "v").collect()), key=str)
+        prior = sorted(map(tuple, asof.last_seen(left, {"v": odd}, before=True, span_us=span).select("vehicle_id", "seq", "v").collect()), key=str)
+        sums = sorted(map(tuple, asof.running_sum(left, "s", odd, span_us=span).select("vehicle_id", "seq", "s").collect()))
+        results.append((near, last, prior, sums))
+    assert results[0] == results[1] == results[2] and results[0][0][1, 3] == 99 and (1, 4, 3) in results[0][1] and (1, 3, 0) in results[0][2]
+
+
+def test_neighbours_of_clusters_and_far_queries(spark):
+    import numpy as np
+
+    from waypath.operators import spatial
+
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.normal(50, 5, (100, 3)), [[1000, 0, 0]]])
+    q = np.concatenate([rng.normal(0, 20, (40, 3)), [[5000, -100, 3], [0, 0, 0], [1000, 0, 0]]])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "point_id long, x double, y double, z double")
+    queries = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "query_id long, x double, y double, z double")
+    got = {}
+    for r in spatial.knn_join(queries, points, 5, 0.5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.point_id)
+    want = {i: np.lexsort((np.arange(len(p)), p[:, 0], ((p - v) ** 2).sum(axis=1)))[:5].tolist() for i, v in enumerate(q)}
+    assert got == want
+    few = spatial.knn_join(queries, points.limit(3), 5)
+    assert few.groupBy("query_id").count().where("count = 3").count() == len(q) and spatial.knn_join(queries, points.limit(0), 5).count() == 0
+    assert spatial.knn_join(queries, points, 5, 0.5, max_dist=10.0).where("d2 > 100").count() == 0
+    boxes = spark.createDataFrame([(1, -1000.0, 2000.0, -1000.0, 1000.0, -1000.0, 1000.0), (2, -0.1, 0.1, -0.1, 0.1, -0.1, 0.1), (3, 5.0, 5.0, 0.0, 1.0, 0.0, 1.0)], "box_id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    held = {b: {r.point_id for r in spatial.box_join(boxes, points).where(F.col("box_id") == b).collect()} for b in (1, 2, 3)}
+    assert held[1] == set(range(len(p))) and held[2] == set(np.flatnonzero(((p >= -0.1) & (p < 0.1)).all(axis=1)).tolist()) and not held[3]
