@@ -86,5 +86,6 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources of all documents: a row for each row; of equal rows each takes what its place in the order gives it."""
     rows = written(sized(documents(spark, sf_dir)), "sizes")
     return mix_sources(rows).select("doc_id", "size", "source_size", "target", "taken")

@@ -228,6 +228,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_personal_data of all documents: a row for each row, repeated ones alike; null and empty texts have no spans."""
     found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
     shown = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     terms = F.coalesce(F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string"))), F.array().cast("array<string>"))

@@ -193,4 +193,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules of all documents: a row for each row, equal rows judged alike; null texts have no words and fail."""
     return quality_rules(documents(spark, sf_dir))

@@ -189,4 +189,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents: a row for each row; null doc_ids name a component only where it has no other."""
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

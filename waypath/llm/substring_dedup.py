@@ -70,8 +70,10 @@ def drop_repeated_words(docs: DataFrame, min_words: int = MIN_WORDS, gram: int =
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeated_bytes of all documents: a row for each row; rows repeated whole remove each other."""
     return drop_repeated_bytes(documents(spark, sf_dir), with_text=False).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeated_words of all documents: a row for each row; rows repeated whole remove each other."""
     return drop_repeated_words(documents(spark, sf_dir), with_text=False).select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")

@@ -145,6 +145,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = TOKEN
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens of all documents with an empty cache: a row for each row, null texts and repeated rows too."""
     return count_tokens(documents(spark, sf_dir).select("doc_id", "text"), default_tokenizer(), scratch(spark, "token-cache"))
 
 
@@ -383,4 +384,5 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_shards of all documents: a row for each row, in the files by doc_id (null first), then by the text's hash."""
     return token_shards(documents(spark, sf_dir), default_tokenizer())

@@ -210,6 +210,7 @@ def trained(docs: DataFrame, spark: SparkSession, sf_dir: str) -> Model:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_toxicity of all documents by the model of trained(): a row for each row, equal texts with equal scores; a null doc_id is not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = score_toxicity(docs, trained(docs, spark, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
