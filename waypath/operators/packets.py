@@ -21,9 +21,9 @@ def block_azimuths(data: Column) -> Column:
 
 
 def firings(packets: DataFrame, unit: float = 0.4) -> DataFrame:
-    """packets (device, seq, stamp_us, data) to a row for each firing of each valid packet.
+    """packets (device, seq, stamp_us, data, and dual where return_mode has told it) to a row for each firing of each valid packet.
 
-    Columns: device, seq, block, laser, azimuth (0.01 degrees, interpolated to the next block), distance (metres), intensity,
+    Where dual holds, pairs of blocks share a direction, so azimuths run from a block to the second after it. Columns: device, seq, block, laser, azimuth (0.01 degrees, interpolated to the next block), distance (metres), intensity,
     t_us (interpolated to the packet before; a device's first packet has its own stamp throughout).
     """
     before = F.lag("stamp_us").over(Window.partitionBy("device").orderBy("seq"))
@@ -31,7 +31,11 @@ def firings(packets: DataFrame, unit: float = 0.4) -> DataFrame:
     rows = rows.withColumn("az", block_azimuths(F.col("data")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * FIRINGS - 1))).alias("i")).withColumns({"block": F.floor(F.col("i") / FIRINGS).cast("int"), "laser": F.col("i") % FIRINGS})
     this = F.get("az", F.col("block"))
-    step = F.when(F.col("block") < BLOCKS - 1, F.get("az", F.col("block") + 1) - this).otherwise(this - F.get("az", F.col("block") - 1))
+
+    def stride(n: int) -> Column:
+        return F.when(F.col("block") < BLOCKS - n, F.get("az", F.col("block") + n) - this).otherwise(this - F.get("az", F.col("block") - n))
+
+    step = F.when(F.col("dual"), stride(2)).otherwise(stride(1)) if "dual" in packets.columns else stride(1)
     step = F.when(step < 0, step + 36000).otherwise(step)
     at = F.col("block") * BLOCK_BYTES + 4 + F.col("laser") * 3
     values = {

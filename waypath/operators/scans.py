@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waypath.operators.asof import last_seen
+
 GRAVITY = 9.81
 
 
@@ -36,6 +38,15 @@ def interval_join(scans: DataFrame, imu: DataFrame, bucket_us: int = 200_000) ->
     return asked.join(held, ["vehicle_id", "_b"]).where("imu_us between beg_us and end_us").drop("_b")
 
 
+def scan_groups(scans: DataFrame, imu: DataFrame, bucket_us: int = 200_000) -> DataFrame:
+    """interval_join, and for each scan the last sample before its begin as well (where there is one); first is true for that one."""
+    inside = interval_join(scans, imu, bucket_us).withColumn("first", F.lit(False))
+    at = scans.withColumns({"t_us": F.col("beg_us"), "seq": F.lit(-1).cast("long"), "_imu": F.lit(None).cast("struct<imu_seq:bigint,imu_us:bigint>")})
+    samples = imu.select("vehicle_id", "t_us", "seq", F.struct(F.col("seq").cast("long").alias("imu_seq"), F.col("t_us").alias("imu_us")).alias("_imu"))
+    seen = last_seen(at.unionByName(samples, allowMissingColumns=True), {"_last": F.col("_imu")}, before=True).where("seq = -1 and _last is not null")
+    return inside.unionByName(seen.select(*scans.columns, "_last.imu_seq", "_last.imu_us").withColumn("first", F.lit(True)), allowMissingColumns=True)
+
+
 def imu_init(imu: DataFrame, least: int = 10) -> DataFrame:
     """Initial state of each vehicle from its first whole groups that hold `least` samples together.
 

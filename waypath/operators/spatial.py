@@ -121,5 +121,10 @@ def occupancy_raster(points: DataFrame, resolution: float, origin: tuple[float,
     return points.groupBy(ix.alias("ix"), iy.alias("iy")).agg(F.count("*").alias("hits"))
 
 
+def occupancy_classes(cells: DataFrame, occupied: float = 0.65, free: float = 0.196) -> DataFrame:
+    """cells (p, from 0 to 1) with class: occupied above the first limit, free below the second, unknown between."""
+    return cells.withColumn("class", F.when(F.col("p") > occupied, "occupied").when(F.col("p") < free, "free").otherwise("unknown"))
+
+
 def map_extent(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in "xyz" for k, f in (("min", F.min), ("max", F.max))))

@@ -119,6 +119,11 @@ def uncertainty_summary(msgs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumns({"top": F.col("max_std") * 1.15, "top_before": F.col("max_std_before") * 1.5})
 
 
+def unpack_covariance(msgs: DataFrame) -> DataFrame:
+    """msgs (covariance, 36 numbers) with std: the root of the first two variances' sum."""
+    return msgs.withColumn("std", F.sqrt(F.get("covariance", F.lit(0)) + F.get("covariance", F.lit(7))))
+
+
 def throttle(rows: DataFrame, period_us: int = 1_000_000, key: str = "vehicle_id") -> DataFrame:
     """The first row (by t_us, then seq) of each period of each key."""
     names = [F.col(c) for c in rows.columns]

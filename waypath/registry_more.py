@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import binary, geodesy, pose, rotation
-from waypath.operators import cloud, features, filtering, lidar, mapping, motion, navigation, store, trajectory, vendors
+from waypath.operators import cloud, features, filtering, lidar, mapping, motion, navigation, packets, scans, spatial, store, trajectory, vendors
 from waypath.registry import PACKET, QUERIES, UTM, map_points, msgs, packets_of, points, query, rounded, table
 
 ANGLES = ", ".join(f"{float(v)}e0" for v in lidar.VERTICAL["c32_2"])
@@ -459,3 +459,32 @@ def fused_rows(spark, sf_dir) -> dict:
     for r in fused(spark, sf_dir).collect():
         out.setdefault(r.vehicle_id, []).append((r.x, r.y, r.z, r.fx, r.fy, r.fz))
     return {k: np.array(v) for k, v in out.items()}
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(max(seq % 17 = 5) OVER (PARTITION BY device ORDER BY seq), FALSE) AS dual FROM fx_packets), v AS (SELECT * FROM p WHERE len(list_filter(range(12), lambda b: substr(packet_hex, (b * 200 + 1)::INT, 4) = 'FFEE')) = 12),
+ b AS (SELECT *, {PACKET.format("b * 200 + 4")} AS az FROM (SELECT *, unnest(range(12))::INT AS b FROM v)),
+ s AS (SELECT *, CASE WHEN dual THEN CASE WHEN b < 10 THEN lead(az, 2) OVER w - az ELSE az - lag(az, 2) OVER w END ELSE CASE WHEN b < 11 THEN lead(az) OVER w - az ELSE az - lag(az) OVER w END END AS st FROM b WINDOW w AS (PARTITION BY device, seq ORDER BY b)),
+ f AS (SELECT *, unnest(range(32))::INT AS k, CASE WHEN st < 0 THEN st + 36000 ELSE st END AS step FROM s) SELECT device, seq, b AS block, k AS laser, (az + (k * step) // 32) % 36000 AS azimuth FROM f""")
+def dual_return_azimuths(spark, sf_dir):
+    p = packets_of(spark, sf_dir)
+    mode = scans.return_mode(p.select("device", "seq", F.when(F.col("seq") % 17 == 5, 0x39).otherwise(0).alias("factory")))
+    return packets.firings(p.join(mode, ["device", "seq"])).select("device", "seq", "block", "laser", "azimuth")
+
+
+@query("WITH s AS (SELECT vehicle_id, seq AS scan_id, t_us AS beg_us FROM fx_msgs WHERE topic = 'lio'), i AS (SELECT vehicle_id, seq, t_us FROM fx_msgs WHERE topic = 'imu') SELECT s.vehicle_id, scan_id, i.seq AS imu_seq, FALSE AS first FROM s JOIN i ON s.vehicle_id = i.vehicle_id AND t_us BETWEEN beg_us AND beg_us + 500000 UNION ALL SELECT s.vehicle_id, scan_id, arg_max(i.seq, (t_us, i.seq)), TRUE FROM s JOIN i ON s.vehicle_id = i.vehicle_id AND t_us < beg_us GROUP BY 1, 2")
+def scan_imu_groups(spark, sf_dir):
+    lio = msgs(spark, sf_dir, "lio").select("vehicle_id", F.col("seq").alias("scan_id"), F.col("t_us").alias("beg_us"), (F.col("t_us") + 500_000).alias("end_us"))
+    return scans.scan_groups(lio, msgs(spark, sf_dir, "imu").select("vehicle_id", "seq", "t_us")).select("vehicle_id", "scan_id", "imu_seq", "first")
+
+
+@query("WITH c AS (SELECT floor((x + 79.5017) / 0.5)::INT AS ix, floor((y + 8.40812) / 0.5)::INT AS iy, count(*) AS hits FROM fx_points GROUP BY 1, 2), m AS (SELECT *, hits / (max(hits) OVER ())::DOUBLE AS p FROM c) SELECT ix, iy, CASE WHEN p > 0.65e0 THEN 'occupied' WHEN p < 0.196e0 THEN 'free' ELSE 'unknown' END AS class FROM m")
+def occupancy_classes(spark, sf_dir):
+    cells = spatial.occupancy_raster(points(spark, sf_dir), 0.5, (-79.5017, -8.40812))
+    most = cells.agg(F.max("hits").alias("most"))
+    return spatial.occupancy_classes(cells.crossJoin(F.broadcast(most)).withColumn("p", F.col("hits") / F.col("most"))).select("ix", "iy", "class")  # one row
+
+
+@query("SELECT vehicle_id, seq, round(sqrt(std_x**2 + std_y**2), 6) AS std FROM fx_msgs WHERE topic = 'rtk'")
+def unpack_covariance(spark, sf_dir):
+    c = F.array(*(F.col("std_x") ** 2 if i == 0 else F.col("std_y") ** 2 if i == 7 else F.lit(0.0) for i in range(36)))
+    return rounded(trajectory.unpack_covariance(msgs(spark, sf_dir, "rtk").withColumn("covariance", c)).select("vehicle_id", "seq", "std"))
