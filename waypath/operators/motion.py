@@ -45,16 +45,21 @@ def undistort(points: DataFrame, knots: DataFrame, extrinsic: Extrinsic = NONE)
     def part(name: str, n: int) -> tuple[Column, ...]:
         return tuple(F.get(name, F.lit(i)) for i in range(n))
 
-    dt = F.col("t") - F.col("head.t")
-    turn = so3_exp_dt(part("tail.v.gyr", 3), dt)
+    def step(df: DataFrame, name: str, values: tuple[Column, ...]) -> tuple[DataFrame, tuple[Column, ...]]:
+        """Columns of their own for values that many others use, so that no expression holds them over and over."""
+        return df.withColumns({f"_{name}{i}": v for i, v in enumerate(values)}), tuple(F.col(f"_{name}{i}") for i in range(len(values)))
+
     r, t = lit_matrix(extrinsic)
-    rotation, rot_end = mat_mul(part("head.v.rot", 9), turn), part("e.rot", 9)
-    body = tuple(a + b for a, b in zip(mat_vec(r, vec()), t))
+    rows, (dt,) = step(rows, "dt", (F.col("t") - F.col("head.t"),))
+    rows, turn = step(rows, "turn", so3_exp_dt(part("tail.v.gyr", 3), dt))
+    rows, rotation = step(rows, "rot", mat_mul(part("head.v.rot", 9), turn))
+    rows, body = step(rows, "body", tuple(a + b for a, b in zip(mat_vec(r, vec()), t)))
     shift = [p + v * dt + 0.5 * a * dt * dt - q for p, v, a, q in zip(part("head.v.pos", 3), part("head.v.vel", 3), part("tail.v.acc", 3), part("e.pos", 3))]
-    world = tuple(a + b for a, b in zip(mat_vec(rotation, body), shift))
-    out = mat_t_vec(r, tuple(a - b for a, b in zip(mat_t_vec(rot_end, world), t)))
+    rows, world = step(rows, "world", tuple(a + b for a, b in zip(mat_vec(rotation, body), shift)))
+    rows, back = step(rows, "back", tuple(a - b for a, b in zip(mat_t_vec(part("e.rot", 9), world), t)))
+    out = mat_t_vec(r, back)
     rows = rows.withColumns({f"_{c}": F.coalesce(v, F.col(c)) for c, v in zip("xyz", out)})
-    return rows.withColumns({c: F.col(f"_{c}") for c in "xyz"}).drop("_x", "_y", "_z", "head", "tail", "e")
+    return rows.withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*points.columns)
 
 
 def rotation_of(w: np.ndarray) -> np.ndarray:
