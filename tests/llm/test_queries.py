@@ -37,9 +37,9 @@ def edges(spark):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_matches_sql(spark, tmp_path, name):
-    folder = at(spark, tmp_path, documents=edges(spark).coalesce(3), benchmark=table(spark, "benchmark"))
+    folder = at(spark, tmp_path, documents=edges(spark).coalesce(3), benchmark=table(spark, "benchmark"), labels=table(spark, "labels"))
     c = duckdb.connect()
-    for p in ("documents", "benchmark"):
+    for p in ("documents", "benchmark", "labels"):
         c.sql(f"create view {p} as select * from read_parquet('{folder}/{p}.parquet/*.parquet')")
     df = registry.QUERIES[name](spark, folder)
     cols = sorted(df.columns)

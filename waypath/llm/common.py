@@ -51,7 +51,7 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left_semi) with table, whose keys are distinct; weight tells how many rows hold each key.
+    """rows joined (inner, left or left_semi) with table, whose keys are distinct; weight tells how many rows hold each key.
 
     Keys that hold 1 / HEAVY of the rows or more are broadcast, at most HEAVY of them; the others are shuffled, so no task
     gets a hot key's rows. rows and table are read twice: both are written tables or cheap to make. weight goes.
@@ -59,7 +59,7 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how
     total = table.agg(F.sum(weight)).first()[0] or 0
     heavy, light = (table.where(c).drop(weight) for c in (F.col(weight) * HEAVY >= total, F.col(weight) * HEAVY < total))
     hot = F.broadcast(heavy)
-    return rows.join(hot, on, how).unionByName(rows.join(hot, on, "left_anti").join(light, on, how))
+    return rows.join(hot, on, "inner" if how == "left" else how).unionByName(rows.join(hot, on, "left_anti").join(light, on, how))
 
 
 _kept: dict[object, object] = {}

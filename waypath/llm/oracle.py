@@ -58,3 +58,24 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {LOWER} AS x FROM documents
  h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + width)) AS j FROM (SELECT DISTINCT r, i, width FROM o)) GROUP BY r),
  t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT r, item_id FROM o) GROUP BY r)
 SELECT doc_id, len(x)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r"""
+
+
+#: Failing filters as a list of letters; the first of them in an order is the one that removes.
+FILTERS = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+ e AS (SELECT x, min(doc_id) AS first_id FROM d GROUP BY 1),
+ w AS (SELECT doc_id, part, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words FROM d),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+ m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+  list_filter([CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+   CASE WHEN 100 * length(regexp_replace(w.x, '[^A-Z]', '', 'g')) > 3 * length(w.x) THEN 'C' END, CASE WHEN regexp_matches(w.x, '[#$%&*|]') THEN 'D' END, CASE WHEN w.doc_id > first_id THEN 'E' END], lambda z: z IS NOT NULL) AS fails
+  FROM w JOIN e ON w.x = e.x LEFT JOIN l ON w.doc_id = l.doc_id),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+ p AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z),
+ o AS (SELECT a.z || b.z || c.z || d.z || e.z AS filter_order FROM p a, p b, p c, p d, p e WHERE len(list_distinct([a.z, b.z, c.z, d.z, e.z])) = 5),
+ k AS (SELECT c.*, filter_order, list_min(list_transform(fails, lambda z: strpos(filter_order, z))) AS gone FROM c, o),
+ s AS (SELECT *, substr(filter_order, step, 1) AS z FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM k)),
+ r AS (SELECT part, filter_order, step::INT AS step, z, coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone < step AND list_contains(fails, z)), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = [z]), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, z)::BIGINT AS shapley FROM r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
+from waypath.llm import decontaminate, filter_audit, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_decontamination": decontaminate.op10,
+    "op11_filter_audit": filter_audit.op11,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_suffix_dedup": oracle.BYTES,
     "op9_substring_dedup": oracle.REPEATED_WORDS,
     "op10_decontamination": oracle.CONTAMINATION,
+    "op11_filter_audit": oracle.FILTERS,
 }
