@@ -79,3 +79,26 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FR
   coalesce(sum(n) FILTER (gone < step AND list_contains(fails, z)), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = [z]), 0)::BIGINT AS unique_fails,
   coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, z)::BIGINT AS shapley FROM r"""
+
+LEAF = "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + "))"
+#: The crc32 of a decimal number before its last inversion, bit by bit.
+CRC = "list_reduce(flatten(list_transform(str_split(doc_id::VARCHAR, ''), lambda x: list_transform(range(8), lambda k: ((unicode(x) >> k) & 1)::BIGINT))), lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384), 4294967295::BIGINT)"
+
+#: Trees level by level; the subroots are the leaves of one more tree, so a row's way is that of its source's tree and then that of the source.
+MANIFEST = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS tree, {LEAF.format("text")} AS leaf, CASE WHEN {CRC} & 1 = 1 THEN {LEAF.format("replace(text, chr(10), '')")} END AS other FROM documents),
+ q AS (SELECT d.*, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+ u AS (SELECT 0 AS level, tree, pos, n, leaf AS node FROM q UNION ALL SELECT level + 1, tree, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, tree, pos // 3),
+ s AS (SELECT tree, node AS subroot, level AS height FROM u WHERE n = 1),
+ z AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM s),
+ v AS (SELECT 0 AS level, pos, n, subroot AS node FROM z UNION ALL SELECT level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY level, pos // 3),
+ t AS (SELECT node AS root, level AS top FROM v WHERE n = 1),
+ a AS (SELECT r, tree, pos // (3 ** level)::BIGINT AS place, level FROM (SELECT r, tree, pos, unnest(range(height)) AS level FROM q JOIN s USING (tree))),
+ i AS (SELECT a.r, a.level, string_agg(node, '' ORDER BY u.pos) FILTER (u.pos < place) AS lo, string_agg(node, '' ORDER BY u.pos) FILTER (u.pos > place) AS hi FROM a JOIN u ON u.tree = a.tree AND u.level = a.level AND u.pos // 3 = a.place // 3 GROUP BY ALL),
+ b AS (SELECT tree, pos // (3 ** level)::BIGINT AS place, level FROM (SELECT tree, pos, unnest(range(top)) AS level FROM z, t)),
+ j AS (SELECT b.tree, b.level, string_agg(node, '' ORDER BY v.pos) FILTER (v.pos < place) AS lo, string_agg(node, '' ORDER BY v.pos) FILTER (v.pos > place) AS hi FROM b JOIN v ON v.level = b.level AND v.pos // 3 = b.place // 3 GROUP BY ALL),
+ w AS (SELECT r, level, coalesce(lo, '') AS lo, coalesce(hi, '') AS hi FROM i UNION ALL SELECT r, height + level, coalesce(lo, ''), coalesce(hi, '') FROM q JOIN s USING (tree) JOIN j USING (tree)),
+ p AS (SELECT r, sha256(string_agg(lo || hi, '' ORDER BY level)) AS proof FROM w GROUP BY r),
+ f AS (SELECT r, 0 AS level, coalesce(other, leaf) AS node FROM q UNION ALL SELECT f.r, f.level + 1, sha256(lo || node || hi) FROM f JOIN w ON f.r = w.r AND f.level = w.level)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM q JOIN s USING (tree) CROSS JOIN t LEFT JOIN p ON q.r = p.r JOIN f ON q.r = f.r AND f.level = height + top"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, filter_audit, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
+from waypath.llm import decontaminate, filter_audit, manifest, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9,
     "op10_decontamination": decontaminate.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op12_merkle_manifest": manifest.op12,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_substring_dedup": oracle.REPEATED_WORDS,
     "op10_decontamination": oracle.CONTAMINATION,
     "op11_filter_audit": oracle.FILTERS,
+    "op12_merkle_manifest": oracle.MANIFEST,
 }
