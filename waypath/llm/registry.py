@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waypath.llm import decontaminate, filter_audit, manifest, mixing, oracle, pii, quality, simhash, substring_dedup, tokens, toxicity
+from waypath.llm import decontaminate, filter_audit, manifest, mixing, oracle, pii, quality, secret_scan, simhash, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10,
     "op11_filter_audit": filter_audit.op11,
     "op12_merkle_manifest": manifest.op12,
+    "op13_secrets": secret_scan.op13,
 }
 
 ORACLE_SQL = {
