@@ -155,17 +155,34 @@ class Spans:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
+_draws = np.random.default_rng(2024)
+#: A random number for each byte value at each of 256 places in a span.
+PLACED = _draws.integers(0, 2**64, 1 << 16, dtype=np.uint64)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ascending, disjoint spans of bytes, in blocks of about CHUNK_BYTES, so memory is a small multiple of the text."""
-    if len(data) <= 2 * CHUNK_BYTES:
-        return Spans(BYTE_CODES[data]).hash(starts, ends)
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
-        a, b = starts[i], ends[j - 1]
-        out[i:j] = Spans(BYTE_CODES[data[a:b]]).hash(starts[i:j] - a, ends[i:j] - a)
-        i = j
-    return out
+    """Hashes of ascending, disjoint spans of bytes, in blocks of CHUNK_BYTES, so memory is a small multiple of a block.
+
+    A span's hash is the sum of random numbers, one for each pair of byte and place in the span, so no pattern of bytes cancels out
+    (a polynomial modulo 2^64 has such patterns). From place 256 on the number is mixed with the place.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(data), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(data))
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
+        if i == j:
+            continue
+        lo, hi = np.maximum(starts[i:j], a) - a, np.minimum(ends[i:j], b) - a
+        place = np.arange(lo[0] + a, b) - np.repeat(starts[i:j], np.diff(lo, append=b - a))
+        values = PLACED[(place & 255) << 8 | data[a + lo[0] : b]]
+        far = np.flatnonzero(place > 255)
+        if len(far):
+            values[far] = mix(values[far] + (place[far] >> 8).astype(np.uint64) * STEP)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, dtype=np.uint64, out=sums[1:])
+        out[i:j] += sums[hi - lo[0]] - sums[lo - lo[0]]
+    return mix(out + (ends - starts).astype(np.uint64) * STEP)
 
 
 BLANK = np.zeros(256, bool)

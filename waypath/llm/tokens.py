@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, fresh, kept, looked_up, mix, scratch, span_hashes, text_bytes, text_key, written
+from waypath.llm.common import chunks, documents, fresh, kept, looked_up, mix, scratch, text_bytes, text_key, written
+from waypath.llm.lookup import Memo
 
 TOKEN_LIMIT, END_ID = 1024, 0
-#: Pieces whose ids a worker remembers (about 30 bytes each); beyond, it starts anew.
+#: Pieces whose ids a worker remembers (about 60 bytes each); beyond, it starts anew.
 KNOWN_PIECES = 1_000_000
 #: A piece starts at a blank before a byte that is no white space and starts none beyond ASCII.
 OPENS = np.ones(256, bool)
@@ -35,8 +36,8 @@ class Encoder:
     """Ids of whole texts, as the tokenizers (.json) or sentencepiece (.model) library gives them.
 
     A byte-level vocabulary splits text before every blank that precedes a non-blank, whatever stands around it, so
-    the library encodes each distinct piece once, and a text is its pieces' ids end to end. Pieces are told apart by 64-bit
-    hashes of their bytes. Other vocabularies encode every text whole.
+    the library encodes each distinct piece once, and a text is its pieces' ids end to end. Pieces are found by a hash and
+    told apart by their bytes. Other vocabularies encode every text whole.
     """
 
     def __init__(self, path: str):
@@ -59,7 +60,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.first, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
+        self.memo, self.first, self.length, self.ids = Memo(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = self.encode_all(texts)
@@ -76,22 +77,17 @@ class Encoder:
         opens[offsets[offsets < len(data)]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        pieces, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN_PIECES:
+        if self.memo.size > KNOWN_PIECES:
             self._forget()
-        place = np.searchsorted(self.known, pieces)
-        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != pieces) if len(self.known) else np.arange(len(pieces))
-        if len(new):
-            raw = data.tobytes()
-            ids, n = self._encode([raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            self.first = np.insert(self.first, place[new], len(self.ids) + np.cumsum(n) - n)
-            self.length = np.insert(self.length, place[new], n)
-            self.known = np.insert(self.known, place[new], pieces[new])
+        piece, new = self.memo(data, starts, ends)
+        if new:
+            ids, n = self._encode([x.decode() for x in new])
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+            self.length = np.concatenate([self.length, n])
             self.ids = np.concatenate([self.ids, ids])
-            place = np.searchsorted(self.known, pieces)
-        n = self.length[place][which]
+        n = self.length[piece]
         total = np.concatenate([[0], np.cumsum(n)])
-        gather = np.repeat(self.first[place][which] - total[:-1], n) + np.arange(total[-1])
+        gather = np.repeat(self.first[piece] - total[:-1], n) + np.arange(total[-1])
         return self.ids[gather], total[np.searchsorted(starts, offsets)]
 
 
