@@ -242,7 +242,8 @@ def repeated(docs: DataFrame, of: str, width: int, gram: int) -> DataFrame:
     # Windows found twice in one step need no partner, so they are spread: a window of very many texts is no one task's work.
     asked = windows.where("not known").withColumn("a", F.when(F.col("n") == 1, F.col("a")).otherwise(F.xxhash64("t", "lo")))
     single = asked.join(twice, F.col("a") == F.col("b"), "left").where("n <> 1 or b is not null").select("t", pair("lo"))
-    return whole.unionByName(single).groupBy("t").agg(F.collect_list("range").alias("ranges"))
+    # A set: rows with one t hand on the same ranges.
+    return whole.unionByName(single).groupBy("t").agg(F.collect_set("range").alias("ranges"))
 
 
 def same_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:

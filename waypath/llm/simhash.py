@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import documents, looked_up, signed, text_key, written
+from waypath.llm.common import documents, fresh, looked_up, signed, text_key, written
 from waypath.llm.graph import components
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
@@ -185,7 +185,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     kept = docs.join(one, docs["doc_id"].eqNullSafe(one["_doc_id"]) & (text_key() == one["_t"]), "left_semi")
     if found.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
         return kept  # the usual case needs no second shuffle of the texts
-    return kept.withColumn("_t", text_key()).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    t = fresh("_t", docs)
+    return kept.withColumn(t, text_key()).dropDuplicates(["doc_id", t]).drop(t)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

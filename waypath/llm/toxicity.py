@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import chunks, documents, kept, small_batches, text_bytes, text_key, word_bounds
+from waypath.llm.common import chunks, documents, fresh, kept, small_batches, text_bytes, text_key, word_bounds
 from waypath.llm.lookup import WordTable
 
 #: The model is fitted on at most this many labelled rows, drawn by a hash of doc_id, equal texts once.
 TRAIN_ROWS = 20_000
 #: A term of the lexicon is in at least MIN_TOXIC toxic training texts and in PRECISION of its texts is the label 1.
-MIN_TOXIC, PRECISION, MAX_TERMS = 4, 0.8, 20_000
+MIN_TOXIC, PRECISION = 4, 0.8
 #: Shortest term that is also sought misspelt; words on either side that tell quotation from abuse; verdict.
 MIN_FUZZY, CONTEXT, THRESHOLD = 5, 8, 0.3
 MARKS = ".,;:!?()[]{}*#&%$|<>-_/\\+=~^"
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         yield pa.record_batch({"term": pa.array(list(counts), pa.string()), "neg": pa.array([c[0] for c in counts.values()], pa.int64()), "pos": pa.array([c[1] for c in counts.values()], pa.int64())})
 
     counted = train.mapInArrow(words, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(f"term = '' or pos >= {MIN_TOXIC} and pos >= {PRECISION} * (pos + neg)")
-    top = counted.orderBy(F.col("term") != "", F.desc("pos"), "term").limit(MAX_TERMS + 1).collect()
+    top = counted.orderBy(F.col("term") != "", F.desc("pos"), "term").collect()  # of at most `rows` texts
     n_neg, n_pos = (top[0].neg, top[0].pos) if top else (0, 0)
     terms = tuple(r.term for r in top if r.term)
     if not n_pos + n_neg:
@@ -180,13 +180,12 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     """docs with score (0 to 1) and predicted (score >= threshold); only text is read.
 
     Null, empty and blank texts have the score of a text without a match. Rows stay as they are, repeated
-    ones too; columns named score or predicted give way.
+    ones too. Columns named score or predicted stay; the new ones then have underscores in front, as fresh() gives them.
     """
     small_batches(docs.sparkSession)
-    rows = docs.drop("score", "predicted")
-    names = rows.columns
-    out = rows.withColumns({"score": F.lit(None).cast("double"), "predicted": F.lit(None).cast("int")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    names, score_name, verdict = docs.columns, fresh("score", docs), fresh("predicted", docs)
+    out = docs.withColumns({score_name: F.lit(None).cast("double"), verdict: F.lit(None).cast("int")})
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most TRAIN_ROWS texts
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -195,11 +194,17 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             for piece, found in matches(batch, terms):
                 s = [model.score(f) for f in found]
                 own = piece.select(names)
-                yield pa.record_batch([*own.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*names, "score", "predicted"])
+                yield pa.record_batch([*own.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*names, score_name, verdict])
 
     return out.mapInArrow(score, out.schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with their own columns, whatever these are called."""
+    scored = score_toxicity(docs, model, threshold)
+    return scored.where(F.col(fresh("predicted", docs)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
