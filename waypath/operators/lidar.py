@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypath.functions.binary import i16be, u32le
+from waypath.operators.asof import last_seen
+from waypath.operators.automaton import SPAN, finite_scan
 from waypath.operators.cloud import azimuth_sector_mask
 from waypath.operators.packets import FIRINGS, firings
 
@@ -115,17 +117,26 @@ def gps_time(data: Column, date: Column, size: int = 1206) -> Column:
     return F.unix_micros(whole) + u32le(data, at)
 
 
-def gps_second_repair(packets: DataFrame) -> DataFrame:
-    """packets (device, seq, t_us) with t_us mended where the second and its fraction came from different moments.
+def gps_second_repair(packets: DataFrame, span: int = SPAN) -> DataFrame:
+    """packets (device, seq, t_us and others) with t_us mended where the second and its fraction came from different moments.
 
-    A step back of under a second just after a full second gains one; a step of 1 to 1.2 s just before one loses it. Compared is the time before as
-    received, which differs from the mended one only where two packets in a row are wrong.
+    A step back of under a second just after a full second gains one; a step of 1 to 1.2 s just before one loses it. Compared is the time
+    before as it was mended, so a packet's correction (-1, 0 or +1 s) depends on that of the packet before: a scan over three states.
+    Rows without a time stay so and are passed over. Only (device, seq, t_us) is shuffled for it; what was mended, a few packets, is joined back.
     """
-    step = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("device").orderBy("seq"))
-    part = F.pmod(F.col("t_us"), F.lit(1_000_000))
-    back = (step < 0) & (step > -1_000_000) & (part < 100_000)
-    ahead = (step > 1_000_000) & (step < 1_200_000) & (part > 900_000)
-    return packets.withColumn("t_us", F.col("t_us") + F.when(back, 1_000_000).when(ahead, -1_000_000).otherwise(0))
+    second = 1_000_000
+    rows = last_seen(packets.where("t_us is not null").select("device", "seq", "t_us"), {"_before": F.col("t_us")}, ("seq",), "device", before=True, span_us=span)
+    part = F.pmod(F.col("t_us"), F.lit(second))
+
+    def after(correction: int) -> Column:
+        step = F.col("t_us") - (F.col("_before") + correction * second)
+        gains, loses = (step < 0) & (step > -second) & (part < 100_000), (step > second) & (step < 1.2 * second) & (part > 900_000)
+        return F.when(gains, 2).when(loses, 0).otherwise(1)
+
+    state = finite_scan(rows, F.array(*(after(c) for c in (-1, 0, 1))), "seq", "device", 1, span)
+    mended = state.where("state <> 1").select("device", "seq", ((F.col("state") - 1) * second).alias("_shift"))
+    out = packets.join(mended, ["device", "seq"], "left").withColumn("t_us", F.col("t_us") + F.coalesce("_shift", F.lit(0)))
+    return out.select(*(F.col(f"`{c}`") for c in packets.columns))
 
 
 def packet_sweeps(packets: DataFrame, azimuths: str = "azimuths") -> DataFrame:

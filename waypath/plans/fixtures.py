@@ -119,4 +119,7 @@ def with_tables(sql: str) -> str:
     own = [f"{n} AS ({q.strip()})" for n, q in DUCKDB.items() if n in sql]
     if not own:
         return sql
-    return f"WITH {', '.join(own)} {',' if sql.lstrip().upper().startswith('WITH ') else ''} {sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}"
+    head, rest = "WITH", sql.lstrip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        head, rest = "WITH RECURSIVE", f"WITH {rest[15:]}"
+    return f"{head} {', '.join(own)} {',' if rest.upper().startswith('WITH ') else ''} {rest[5:] if rest.upper().startswith('WITH ') else rest}"

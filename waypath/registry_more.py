@@ -46,10 +46,16 @@ def device_status(spark, sf_dir):
     return lidar.device_status(p).select("device", "n", text["corrections"], F.col("angles").isNotNull().alias("configured"), text["date"])
 
 
-@query("WITH l AS (SELECT device, seq, stamp_us, stamp_us - lag(stamp_us) OVER (PARTITION BY device ORDER BY seq) AS step, stamp_us % 1000000 AS part FROM (SELECT device, seq, stamp_us + CASE WHEN seq % 5 = 1 THEN -900000 WHEN seq % 5 = 3 THEN 950000 ELSE 0 END AS stamp_us FROM fx_packets)) SELECT device, seq, stamp_us + CASE WHEN step < 0 AND step > -1000000 AND part < 100000 THEN 1000000 WHEN step > 1000000 AND step < 1200000 AND part > 900000 THEN -1000000 ELSE 0 END AS t_us FROM l")
+@query("""WITH RECURSIVE q AS (SELECT device, seq, row_number() OVER (PARTITION BY device ORDER BY seq) AS i, stamp_us // 8 + 20000000 AS t FROM fx_packets),
+ f AS (SELECT device, seq, i, t + CASE WHEN t % 1000000 < 100000 AND seq % 3 <> 1 THEN -1000000 WHEN t % 1000000 > 900000 AND seq % 3 <> 2 THEN 1000000 WHEN seq % 7 = 3 THEN 950000 ELSE 0 END AS t FROM q),
+ r AS (SELECT device, seq, i, t FROM f WHERE i = 1 UNION ALL SELECT f.device, f.seq, f.i, f.t + CASE WHEN f.t - r.t < 0 AND f.t - r.t > -1000000 AND f.t % 1000000 < 100000 THEN 1000000 WHEN f.t - r.t > 1000000 AND f.t - r.t < 1200000 AND f.t % 1000000 > 900000 THEN -1000000 ELSE 0 END FROM r JOIN f ON f.device = r.device AND f.i = r.i + 1)
+ SELECT device, seq, t AS t_us FROM r""")
 def gps_second_repair(spark, sf_dir):
-    p = table(spark, sf_dir, "fx_packets").select("device", "seq", (F.col("stamp_us") + F.when(F.col("seq") % 5 == 1, -900_000).when(F.col("seq") % 5 == 3, 950_000).otherwise(0)).alias("t_us"))
-    return lidar.gps_second_repair(p)
+    """Times (an eighth of the stamps') of which many near a full second have the wrong one, and some others are late."""
+    t, s = F.floor(F.col("stamp_us") / 8) + 20_000_000, F.col("seq")
+    part = t % 1_000_000
+    wrong = F.when((part < 100_000) & (s % 3 != 1), -1_000_000).when((part > 900_000) & (s % 3 != 2), 1_000_000).when(s % 7 == 3, 950_000).otherwise(0)
+    return lidar.gps_second_repair(table(spark, sf_dir, "fx_packets").select("device", "seq", (t + wrong).alias("t_us")))
 
 
 @query("SELECT device, seq, epoch_us(make_timestamp(2000 + (24 + seq % 3), 1 + seq % 12, 1 + seq % 28, seq % 24, seq % 60, (seq % 50)::DOUBLE)) + ('0x' || substr(packet_hex, 2407, 2) || substr(packet_hex, 2405, 2) || substr(packet_hex, 2403, 2) || substr(packet_hex, 2401, 2))::BIGINT AS t_us FROM fx_packets")
