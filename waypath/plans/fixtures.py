@@ -100,6 +100,14 @@ SELECT device, seq, max(stamp_us) AS stamp_us, concat(string_agg(hx,'' ORDER BY
 """,
 }
 
+#: Reads of a serial line: frames with garbage and false headers before some, cut within frames.
+READS = r"""
+WITH s AS (SELECT vehicle_id, recv_us, row_number() OVER (PARTITION BY vehicle_id ORDER BY recv_us, seq) AS seq, concat(CASE seq % 7 WHEN 0 THEN '5501' WHEN 3 THEN '55' WHEN 5 THEN '0A55510B' ELSE '' END, frame_hex) AS hx, CAST(2 * (seq % 11) AS INT) AS cut FROM ({frames}))
+SELECT vehicle_id, CAST(seq AS BIGINT) AS seq, recv_us, concat(coalesce(lag(substr(hx, cut + 1)) OVER (PARTITION BY vehicle_id ORDER BY seq), ''), substr(hx, 1, cut)) AS read_hex FROM s
+"""
+for _dialect in (SPARK, DUCKDB):
+    _dialect["fx_imu_reads"] = READS.replace("{frames}", _dialect["fx_imu_frames"].strip())
+
 #: The table that each is made from.
 SOURCE = {"fx_points": "lineitem", "fx_map": "embeddings", "fx_trees": "embeddings"}
 

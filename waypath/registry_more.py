@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import binary, geodesy, pose, rotation
-from waypath.operators import cloud, features, filtering, lidar, mapping, motion, navigation, packets, scans, spatial, store, trajectory, vendors
+from waypath.operators import cloud, features, filtering, imu, lidar, mapping, motion, navigation, packets, scans, spatial, store, trajectory, vendors
 from waypath.registry import PACKET, QUERIES, UTM, map_points, msgs, packets_of, points, query, rounded, table
 
 ANGLES = ", ".join(f"{float(v)}e0" for v in lidar.VERTICAL["c32_2"])
@@ -58,6 +58,25 @@ def gps_second_repair(spark, sf_dir):
     return lidar.gps_second_repair(table(spark, sf_dir, "fx_packets").select("device", "seq", (t + wrong).alias("t_us")))
 
 
+@query("""WITH RECURSIVE h AS (SELECT vehicle_id, string_agg(read_hex, '' ORDER BY seq) AS x FROM fx_imu_reads GROUP BY 1),
+ e AS (SELECT vehicle_id, seq, recv_us, sum(len(read_hex) // 2) OVER (PARTITION BY vehicle_id ORDER BY seq) - 1 AS last FROM fx_imu_reads WHERE read_hex <> ''),
+ p AS (SELECT vehicle_id, x, unnest(range(len(x) // 2 - 10)) AS pos FROM h),
+ v AS (SELECT vehicle_id, pos, list_transform(range(11), lambda i: ('0x' || substr(x, (2 * (pos + i) + 1)::INT, 2))::INT) AS b FROM p WHERE substr(x, (2 * pos + 1)::INT, 2) = '55'),
+ k AS (SELECT * FROM v WHERE list_sum(b[1:10]) % 256 = b[11]),
+ n AS MATERIALIZED (SELECT vehicle_id, pos, min(pos) OVER (PARTITION BY vehicle_id ORDER BY pos RANGE BETWEEN 11 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM k),
+ r AS (SELECT vehicle_id, min(pos) AS pos FROM k GROUP BY 1 UNION ALL SELECT r.vehicle_id, n.next FROM r JOIN n ON r.vehicle_id = n.vehicle_id AND r.pos = n.pos WHERE n.next IS NOT NULL),
+ f AS (SELECT k.vehicle_id, k.pos, b[2] AS kind, list_transform([3, 5, 7, 9], lambda i: CASE WHEN b[i] + 256 * b[i + 1] > 32767 THEN b[i] + 256 * b[i + 1] - 65536 ELSE b[i] + 256 * b[i + 1] END) AS q FROM r JOIN k ON r.vehicle_id = k.vehicle_id AND r.pos = k.pos),
+ a AS (SELECT *, last_value(CASE WHEN kind = 81 THEN {'pos': pos, 'q': q} END IGNORE NULLS) OVER w AS acc, last_value(CASE WHEN kind = 89 THEN q END IGNORE NULLS) OVER w AS quat, last_value(CASE WHEN kind = 82 THEN pos END IGNORE NULLS) OVER w AS turned
+  FROM f WINDOW w AS (PARTITION BY vehicle_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT * FROM a WHERE kind = 82 AND acc IS NOT NULL AND acc.pos > coalesce(turned, -1))
+ SELECT g.vehicle_id, g.pos AS place, e.seq, e.recv_us, round(acc.q[1] * 16 * 9.80665e0 / 32768, 6) + 0 AS ax, round(g.q[3] * 2000 * pi() / 180 / 32768, 6) + 0 AS gz, round(coalesce(quat[2] / 32768e0, 0), 6) + 0 AS qx, round(coalesce(quat[1] / 32768e0, 1), 6) + 0 AS qw
+ FROM g ASOF JOIN e ON g.vehicle_id = e.vehicle_id AND g.pos + 10 <= e.last""")
+def decode_imu_stream(spark, sf_dir):
+    """Samples from raw reads of a serial line with garbage, false headers and frames cut by reads."""
+    reads = table(spark, sf_dir, "fx_imu_reads").select("vehicle_id", "seq", "recv_us", F.unhex("read_hex").alias("data"))
+    return rounded(imu.decode_imu_stream(reads).select("vehicle_id", F.col("at").alias("place"), "seq", "recv_us", "ax", "gz", "qx", "qw"))
+
+
 @query("SELECT device, seq, epoch_us(make_timestamp(2000 + (24 + seq % 3), 1 + seq % 12, 1 + seq % 28, seq % 24, seq % 60, (seq % 50)::DOUBLE)) + ('0x' || substr(packet_hex, 2407, 2) || substr(packet_hex, 2405, 2) || substr(packet_hex, 2403, 2) || substr(packet_hex, 2401, 2))::BIGINT AS t_us FROM fx_packets")
 def gps_time(spark, sf_dir):
     s = F.col("seq")
