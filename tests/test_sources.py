@@ -42,9 +42,6 @@ def test_messages_packets_and_origins(spark, tmp_path):
     got = text.read_messages(spark, f"{tmp_path}/log", ["rtk"])
     assert [r.seq for r in got.orderBy("seq").collect()] == [1, 3] and text.read_messages(spark, f"{tmp_path}/log").count() == 3
     assert "PartitionFilters: [isnotnull(topic" in got._jdf.queryExecution().executedPlan().toString()
-    (tmp_path / "dump.bin").write_bytes(b"".join(bytes([7] * 4) + bytes([i] * 10) for i in range(3)) + b"cut")
-    rows = text.read_packets(spark, f"{tmp_path}/dump.bin", 10, 4).orderBy("seq").collect()
-    assert [(r.seq, bytes(r.data)) for r in rows] == [(i, bytes([i] * 10)) for i in range(3)]
     gga = "$GNGGA,1,2330.0000,N,11330.0000,E,{},12,0.8,10.5,M,-3.0,M,,*5A"
     lines = spark.createDataFrame([(1, 1, 10, gga.format(1)), (1, 2, 20, "$GNHDT,90.0,T*1B"), (1, 3, 30, gga.format(4)), (1, 4, 40, gga.format(0)), (2, 5, 50, gga.format(2))], "vehicle_id long, seq long, recv_us long, sentence string")
     origins = navigation.map_origins(navigation.fixes_of(lines))

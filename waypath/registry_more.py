@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from waypath.functions import binary, geodesy, pose, rotation
 from waypath.operators import cloud, features, filtering, imu, lidar, mapping, motion, navigation, packets, scans, spatial, store, trajectory, vendors
+from waypath.sources import packets as sources
+from waypath.streaming.runs import shared_folder
 from waypath.registry import PACKET, QUERIES, UTM, map_points, msgs, packets_of, points, query, rounded, table
 
 ANGLES = ", ".join(f"{float(v)}e0" for v in lidar.VERTICAL["c32_2"])
@@ -77,6 +79,16 @@ def decode_imu_stream(spark, sf_dir):
     return rounded(imu.decode_imu_stream(reads).select("vehicle_id", F.col("at").alias("place"), "seq", "recv_us", "ax", "gz", "qx", "qw"))
 
 
+@query("SELECT device, seq, packet_hex FROM fx_packets")
+def read_packets(spark, sf_dir):
+    """The packets, written as dumps of 50 each and read again in ranges of 20."""
+    path = shared_folder(spark, "dumps")
+    sources.write_packets(packets_of(spark, sf_dir), path, 50)
+    rows = sources.read_packets(spark, path, split=20 * 1206)
+    name = F.regexp_extract("device", r"(\d+)-(\d+)\.bin$", 1), F.regexp_extract("device", r"(\d+)-(\d+)\.bin$", 2)
+    return rows.select(name[0].cast("long").alias("device"), (name[1].cast("long") * 50 + F.col("seq")).alias("seq"), F.hex("data").alias("packet_hex"))
+
+
 @query("SELECT device, seq, epoch_us(make_timestamp(2000 + (24 + seq % 3), 1 + seq % 12, 1 + seq % 28, seq % 24, seq % 60, (seq % 50)::DOUBLE)) + ('0x' || substr(packet_hex, 2407, 2) || substr(packet_hex, 2405, 2) || substr(packet_hex, 2403, 2) || substr(packet_hex, 2401, 2))::BIGINT AS t_us FROM fx_packets")
 def gps_time(spark, sf_dir):
     s = F.col("seq")

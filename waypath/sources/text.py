@@ -43,14 +43,6 @@ def read_messages(spark: SparkSession, path: str, topics: list[str] | None = Non
     return rows if topics is None else rows.where(F.col("topic").isin(topics))
 
 
-def read_packets(spark: SparkSession, path: str, size: int = 1206, header: int = 0) -> DataFrame:
-    """(device, seq, data) of files of packets end to end, each with `header` bytes before it (42 in network captures); a cut last one is left out. device is the file."""
-    files = spark.read.format("binaryFile").load(path)
-    n = F.floor(F.length("content") / (size + header)).cast("int")
-    rows = files.where(n > 0).select(F.col("path").alias("device"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), "content")
-    return rows.select("device", F.col("seq").cast("long").alias("seq"), F.substr("content", F.col("seq") * (size + header) + header + 1, F.lit(size)).alias("data"))
-
-
 def stream_nmea(spark: SparkSession, path: str) -> DataFrame:
     """read_nmea for files as they come."""
     return spark.readStream.text(path).select(F.rtrim("value").alias("sentence")).where(F.col("sentence").startswith("$"))
