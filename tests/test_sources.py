@@ -74,18 +74,6 @@ def test_times_and_intervals(spark, tmp_path):
     assert {r.file_bucket for r in spark.read.parquet(f"{tmp_path}/all").collect()} == {0}
 
 
-def test_streams_carry_state_from_batch_to_batch(spark, tmp_path):
-    """Two files, one a batch: the second goes on where the first ended."""
-    from waypath.streaming import operators
-    from waypath.streaming.runs import settled
-
-    schema = "device long, seq long, azimuth int"
-    for name, rows in (("a", [(1, 1, 35900), (1, 2, 100), (2, 1, 5)]), ("b", [(1, 3, 35950), (1, 4, 50), (2, 2, 40)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    assert sorted(map(tuple, settled(operators.sweeps(stream), "sweeps").collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 2)]
-
-
 def test_ranges_of_time_change_nothing(spark):
     """As-of joins, last values and sums give the same whatever the length of the ranges."""
     from waypath.operators import asof

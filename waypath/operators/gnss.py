@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.operators.asof import asof_backward_state
+from waypath.operators.asof import last_seen
 
 
 def nmea_fields(line: Column) -> Column:
@@ -46,9 +46,14 @@ def heading_to_yaw(heading: Column, bias: float = 0.0) -> Column:
     return F.when(y > 180, y - 360).when(y < -180, y + 360).otherwise(y)
 
 
+def located(lines: DataFrame, sigmas: dict[str, float]) -> DataFrame:
+    """The position sentences of lines, parsed, each with the errors (or those of sigmas) and the heading last received before it, found in one pass."""
+    known = {c: F.when(F.col("sigma_lat").isNotNull(), F.col(c)) for c in sigmas} | {"heading": F.col("heading")}
+    rows = last_seen(parse_nmea(lines), known, ("recv_us", "seq")).where("lat is not null")
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in sigmas.items()})
+
+
 def gnss_to_fix(lines: DataFrame) -> DataFrame:
     """A fix for each position sentence, with the error and heading last received before it."""
-    state = {"sigma_lat": 1.0, "sigma_lon": 1.0, "sigma_alt": 2.0}
-    rows = asof_backward_state(parse_nmea(lines), "sigma_lat is not null", state)
-    rows = asof_backward_state(rows, "heading is not null", {"heading": None})
-    return rows.where("lat is not null").select("vehicle_id", "seq", "recv_us", "lat", "lon", "alt", "quality", *state, "heading", heading_to_yaw(F.col("heading"), 90 - 3.75).alias("yaw"))
+    sigmas = {"sigma_lat": 1.0, "sigma_lon": 1.0, "sigma_alt": 2.0}
+    return located(lines, sigmas).select("vehicle_id", "seq", "recv_us", "lat", "lon", "alt", "quality", *sigmas, "heading", heading_to_yaw(F.col("heading"), 90 - 3.75).alias("yaw"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions.geodesy import with_grid
 from waypath.functions.pose import yaw_to_quat
-from waypath.operators.asof import asof_backward_state
-from waypath.operators.gnss import heading_to_yaw, parse_nmea
+from waypath.operators.gnss import heading_to_yaw, located, parse_nmea
 
 #: By mode: standard deviations before any is received, turn added to the heading (degrees), variance of a known heading.
 MODES = {"local": ((1.0, 1.0, 2.0), 90 - 3.75, 0.01), "absolute": ((0.01, 0.01, 0.02), 0.0, 1e-6)}
@@ -32,9 +31,7 @@ def fixes_of(lines: DataFrame, mode: str = "local") -> DataFrame:
     """lines (vehicle_id, seq, recv_us, sentence) to a fix for each position, with the state received before it and grid coordinates (null out of range)."""
     sigmas, _, _ = MODES[mode]
     state = dict(zip(("sigma_lat", "sigma_lon", "sigma_alt"), sigmas))
-    rows = asof_backward_state(parse_nmea(lines), "sigma_lat is not null", state)
-    rows = asof_backward_state(rows, "heading is not null", {"heading": None}).where("lat is not null")
-    rows = with_grid(rows)
+    rows = with_grid(located(lines, state))
     zone = F.concat(F.col("zone").cast("string"), F.when(F.col("north"), " N").otherwise(" S"))
     return rows.select("vehicle_id", "seq", "recv_us", "lat", "lon", "alt", "quality", *state, "heading", zone.alias("utm_zone"), F.col("grid_x").alias("utm_x"), F.col("grid_y").alias("utm_y"), F.col("alt").alias("utm_z"))
 

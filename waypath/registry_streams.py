@@ -8,7 +8,7 @@ import waypath.registry_more  # noqa: F401  (whose SQL some streams share)
 from waypath.registry import ORACLE_SQL, QUERIES, map_points, query, rounded
 from waypath.registry_scans import IMU
 from waypath.streaming import operators
-from waypath.streaming.runs import settled, shared_folder, stream_table
+from waypath.streaming.runs import Ending, settled, shared_folder, stream_table
 
 
 def same_sql(name: str):
@@ -28,19 +28,22 @@ def timed(df):
 
 @same_sql("gnss_to_fix")
 def stream_nmea_fixes(spark, sf_dir):
-    fixes = settled(operators.nmea_fixes(stream_table(spark, sf_dir, "fx_nmea")), "fixes")
+    end = Ending(stream_table(spark, sf_dir, "fx_nmea"), "vehicle_id", "recv_us")
+    fixes = settled(operators.nmea_fixes(end.stream), "fixes", end)
     return rounded(fixes.select("vehicle_id", "seq", "lat", "quality", "sigma_lat", "heading", "yaw"))
 
 
 @same_sql("simulate_outage_messages")
 def stream_outage(spark, sf_dir):
-    return settled(operators.outage(stream_table(spark, sf_dir, "fx_msgs"), "rtk"), "outage").select("vehicle_id", "topic", "seq")
+    end = Ending(stream_table(spark, sf_dir, "fx_msgs"), "vehicle_id")
+    return settled(operators.outage(end.stream, "rtk"), "outage", end).select("vehicle_id", "topic", "seq")
 
 
 @query("WITH l AS (SELECT vehicle_id AS device, seq, coalesce(lag((seq * 1237) % 36000) OVER (PARTITION BY vehicle_id ORDER BY seq) - (seq * 1237) % 36000 > 35000, FALSE) AS fell FROM fx_msgs), s AS (SELECT device, seq, count(*) FILTER (fell) OVER (PARTITION BY device ORDER BY seq) AS sweep FROM l) SELECT * FROM s WHERE sweep > 0")
 def stream_sweeps(spark, sf_dir):
     m = stream_table(spark, sf_dir, "fx_msgs")
-    return settled(operators.sweeps(m.select(F.col("vehicle_id").alias("device"), "seq", ((F.col("seq") * 1237) % 36000).alias("azimuth"))), "sweeps")
+    end = Ending(m.select(F.col("vehicle_id").alias("device"), "seq", "t_us", ((F.col("seq") * 1237) % 36000).alias("azimuth")), "device")
+    return settled(operators.sweeps(end.stream), "sweeps", end)
 
 
 @query("SELECT s.vehicle_id, s.seq AS scan_id, i.seq AS imu_seq FROM fx_msgs s JOIN fx_msgs i ON s.vehicle_id = i.vehicle_id AND s.topic = 'lio' AND i.topic = 'imu' AND i.t_us BETWEEN s.t_us AND s.t_us + 500000")
@@ -53,22 +56,17 @@ def stream_scan_imu(spark, sf_dir):
 def stream_imu_state(spark, sf_dir):
     m = stream_table(spark, sf_dir, "fx_msgs").where("topic = 'imu'")
     names = dict(zip(("x", "y", "z", "qz", "qw", "std_x"), ("ax", "ay", "az", "gx", "gy", "gz")))
-    return rounded(settled(operators.imu_state(m.select("vehicle_id", "seq", "t_us", *(F.col(a).alias(b) for a, b in names.items()))), "imu_state"))
+    end = Ending(m.select("vehicle_id", "seq", "t_us", *(F.col(a).alias(b) for a, b in names.items())), "vehicle_id")
+    return rounded(settled(operators.imu_state(end.stream), "imu_state", end))
 
 
-@query("WITH p AS (SELECT vehicle_id, t_us, x / 10 AS x, y / 10 AS y FROM fx_msgs), l AS (SELECT max(t_us) // 100000 * 100000 AS last_us FROM p) SELECT vehicle_id, t_us // 100000 * 100000 AS from_us, floor(x / 0.05e0)::INT AS ix, floor(y / 0.05e0)::INT AS iy, count(*) AS hits FROM p, l WHERE abs(x - 1) < 3 AND abs(y - 1.5) < 3 AND t_us // 100000 * 100000 + 100000 <= last_us - 1000000 GROUP BY ALL")
+@query("WITH p AS (SELECT vehicle_id, t_us, x / 10 AS x, y / 10 AS y, t_us % 10000000 / 5e6 AS px, t_us % 4000000 / 2e6 AS py FROM fx_msgs) SELECT vehicle_id, t_us // 100000 * 100000 AS from_us, floor(x / 0.05e0)::INT AS ix, floor(y / 0.05e0)::INT AS iy, count(*) AS hits FROM p WHERE abs(x - px) < 3 AND abs(y - py) < 3 GROUP BY ALL")
 def stream_rolling_grid(spark, sf_dir):
-    """The periods that the watermark has closed, up to a second before the last whole period."""
-    p = timed(stream_table(spark, sf_dir, "fx_msgs")).select("vehicle_id", "ts", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), F.lit(1.0).alias("px"), F.lit(1.5).alias("py"))
-    grid = settled(operators.rolling_grid(p), "grid")
-    last = timed(stream_table_batch(spark, sf_dir)).agg((F.floor(F.max("t_us") / 100_000) * 100_000).alias("last_us"))
-    return grid.join(F.broadcast(last), grid["from_us"] + 100_000 <= last["last_us"] - 1_000_000, "left_semi")
-
-
-def stream_table_batch(spark, sf_dir):
-    from waypath.plans.fixtures import table
-
-    return table(spark, sf_dir, "fx_msgs")
+    """Hits around a vehicle that moves, in all periods."""
+    m = stream_table(spark, sf_dir, "fx_msgs")
+    pose = [(F.col("t_us") % n / d).alias(c) for c, n, d in (("px", 10_000_000, 5e6), ("py", 4_000_000, 2e6))]
+    end = Ending(m.select("vehicle_id", "t_us", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), *pose), "vehicle_id")
+    return settled(operators.rolling_grid(timed(end.stream)), "grid", end)
 
 
 @query("SELECT DISTINCT vehicle_id, t_us // 1000000 AS second FROM fx_msgs")
