@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypath.operators.spatial import box_join
+from waypath.streaming.runs import shared_folder
 
 
 def _hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -28,14 +29,10 @@ def removed_points(points: DataFrame) -> DataFrame:
     return points.where("deleted and not downsampled")
 
 
-def delete_points(points: DataFrame, requests: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """For each request (request_id, x, y, z) one live point within eps on every axis is deleted.
-
-    It is the nearest, then the one of least point_id; the second of equal requests takes the next point, and so on.
-    """
+def candidates(points: DataFrame, places: DataFrame, eps: float) -> DataFrame:
+    """(place, point_id, d2) of the live points within eps on every axis of each place (place, qx, qy, qz)."""
     size = max(1e-3, 2 * eps)
-    order = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("request_id"))
-    asked = requests.select("request_id", *(F.col(c).alias(f"q{c}") for c in "xyz"), order.alias("turn"))
+    asked = places
     for c in "xyz":
         cells = F.array_distinct(F.array(F.floor((F.col(f"q{c}") - eps) / size), F.floor((F.col(f"q{c}") + eps) / size)))
         asked = asked.withColumn(f"c{c}", F.explode(cells))
@@ -44,6 +41,46 @@ def delete_points(points: DataFrame, requests: DataFrame, eps: float = 1e-6) ->
     for c in "xyz":
         near = near.where(F.abs(F.col(c) - F.col(f"q{c}")) <= eps)
     d2 = sum(((F.col(c) - F.col(f"q{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("qx")) ** 2)
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(d2, "point_id"))
-    gone = near.withColumn("_rank", rank).where("_rank = turn").select("point_id").distinct().withColumn("_hit", F.lit(True))
+    return near.select("place", "point_id", d2.alias("d2"))
+
+
+def assigned(requests: DataFrame, near: DataFrame) -> DataFrame:
+    """(point_id, request_id): what a loop over the requests by request_id gives in which each takes the first point of its place's list that is left.
+
+    requests: request_id, place. near: place, point_id, d2, a list by d2, then point_id. In rounds, requests without a point propose and a
+    point keeps the least request_id of those that ever asked for it, so it is only ever taken over by earlier requests; this has one outcome, that of
+    the loop. The requests of one place share a list: the n-th of them asks for the n-th point of the list that its first one may still get, as
+    those before it ask for the points before. So equal requests take one round together, and rounds follow only where places compete for points.
+    """
+    spark = requests.sparkSession
+    kept = None
+    while True:
+        free = requests if kept is None else requests.join(kept, "request_id", "left_anti")
+        by_place = Window.partitionBy("place").orderBy("request_id")
+        free = free.select("request_id", "place", F.row_number().over(by_place).alias("turn"), F.min("request_id").over(Window.partitionBy("place")).alias("first"))
+        lists = near.withColumn("holder", F.lit(None).cast(requests.schema["request_id"].dataType)) if kept is None else near.join(kept.withColumnRenamed("request_id", "holder"), "point_id", "left")
+        lists = lists.join(free.select("place", "first").distinct(), "place").where(F.col("holder").isNull() | (F.col("holder") > F.col("first")))
+        lists = lists.withColumn("turn", F.row_number().over(Window.partitionBy("place").orderBy("d2", "point_id"))).drop("first", "d2")
+        asks = free.join(lists, ["place", "turn"]).where(F.col("holder").isNull() | (F.col("holder") > F.col("request_id"))).select("point_id", "request_id")
+        asks = asks.withColumn("new", F.lit(True))
+        both = asks if kept is None else kept.withColumn("new", F.lit(False)).unionByName(asks)
+        best = both.groupBy("point_id").agg(F.min("request_id").alias("request_id"), F.max("new").alias("new"))
+        path = shared_folder(spark, "assigned")
+        best.write.parquet(path)
+        best = spark.read.schema(best.schema).parquet(path)
+        kept = best.drop("new")
+        if best.where("new").isEmpty():
+            return kept
+
+
+def delete_points(points: DataFrame, requests: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """points of which, for each request (request_id, x, y, z) in the order of request_id, one live point within eps on every axis is deleted.
+
+    It is the nearest that no earlier request took, then the one of least point_id. Requests without any left delete nothing.
+    """
+    asked = requests.select("request_id", F.struct(*((F.col(c).cast("double") + 0.0).alias(f"q{c}") for c in "xyz")).alias("place"))
+    path = shared_folder(points.sparkSession, "candidates")
+    near = candidates(points, asked.select("place").distinct().select("place", "place.*"), eps)
+    near.write.parquet(path)
+    gone = assigned(asked, points.sparkSession.read.schema(near.schema).parquet(path)).select("point_id", F.lit(True).alias("_hit"))
     return points.join(gone, "point_id", "left").withColumn("deleted", F.col("deleted") | F.col("_hit").isNotNull()).drop("_hit")

@@ -330,3 +330,17 @@ def delete_points(spark, sf_dir):
     m = map_points(spark, sf_dir).drop("label").withColumns({"deleted": F.lit(False), "downsampled": F.lit(False)})
     asked = m.where("point_id % 3 = 0").select(F.col("point_id").alias("request_id"), *((F.col(c) + 5e-7).alias(c) for c in "xyz"))
     return store.delete_points(m, asked).select("point_id", "deleted")
+
+
+@query("""WITH RECURSIVE m AS (SELECT point_id, round(x / 3) * 3 + point_id % 2 * 0.1e0 AS x, round(y / 3) * 3 AS y, round(z / 3) * 3 AS z FROM fx_map),
+ q AS (SELECT row_number() OVER (ORDER BY point_id) AS i, x + 0.04e0 * (point_id % 5 - 2) AS x, y, z FROM m WHERE point_id % 4 = 1 OR point_id % 9 = 2),
+ r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT r.i + 1, list_append(gone, (SELECT arg_min(point_id, {'d': (m.x - q.x)**2 + (m.y - q.y)**2 + (m.z - q.z)**2, 'p': point_id}) FROM m, q WHERE q.i = r.i + 1 AND abs(m.x - q.x) <= 0.15e0 AND abs(m.y - q.y) <= 0.15e0 AND abs(m.z - q.z) <= 0.15e0 AND NOT list_contains(gone, point_id))) FROM r WHERE r.i < (SELECT count(*) FROM q)),
+ g AS (SELECT DISTINCT unnest(gone) AS point_id FROM r WHERE i = (SELECT count(*) FROM q))
+ SELECT m.point_id, g.point_id IS NOT NULL AS deleted FROM m LEFT JOIN g ON m.point_id = g.point_id""")
+def delete_contested_points(spark, sf_dir):
+    """Requests that compete for points of clusters; each takes one that is left."""
+    x, y, z = ((F.round(F.col(c) / 3) * 3).alias(c) for c in "xyz")
+    m = map_points(spark, sf_dir).select("point_id", (x + F.col("point_id") % 2 * 0.1).alias("x"), y, z).withColumns({"deleted": F.lit(False), "downsampled": F.lit(False)})
+    p = F.col("point_id")
+    asked = m.where((p % 4 == 1) | (p % 9 == 2)).select(p.alias("request_id"), (F.col("x") + 0.04 * (p % 5 - 2)).alias("x"), "y", "z")
+    return store.delete_points(m, asked, 0.15).select("point_id", "deleted")
