@@ -87,6 +87,8 @@ def test_ranges_of_time_change_nothing(spark):
         last = sorted(map(tuple, asof.last_seen(left, {"v": odd}, span_us=span).select("vehicle_id", "seq", "v").collect()), key=str)
         prior = sorted(map(tuple, asof.last_seen(left, {"v": odd}, before=True, span_us=span).select("vehicle_id", "seq", "v").collect()), key=str)
         sums = sorted(map(tuple, asof.running_sum(left, "s", odd, span_us=span).select("vehicle_id", "seq", "s").collect()))
+        middle = sorted(map(tuple, asof.nth_row(left, lambda n: F.floor(n / 2) + 1, span_us=span).collect()))
+        assert middle == [(1, 19 * 130, 19), (2, 7, 1)] and asof.nth_row(left, lambda n: n + 1, span_us=span).count() == 0
         results.append((near, last, prior, sums))
     assert results[0] == results[1] == results[2] and results[0][0][1, 3] == 99 and (1, 4, 3) in results[0][1] and (1, 3, 0) in results[0][2]
 

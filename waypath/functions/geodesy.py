@@ -1,4 +1,4 @@
-"""Latitude and longitude (WGS84) to universal transverse Mercator coordinates and back, by the Krueger series."""
+"""Latitude and longitude (WGS84) to universal transverse Mercator coordinates and back, by the Krueger series; earth-centred coordinates and tangent planes."""
 
 from __future__ import annotations
 
@@ -110,3 +110,59 @@ def with_grid(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     polar_y = F.when(F.col("north"), -F.col("_rho")).otherwise(F.col("_rho")) * F.cos(F.radians(lo))
     df = df.withColumns({"grid_x": F.when(known, F.when(cap, CAP_ORIGIN + F.col("_rho") * F.sin(F.radians(lo))).otherwise(x)), "grid_y": F.when(known, F.when(cap, CAP_ORIGIN + polar_y).otherwise(y))})
     return df.drop("_s", "_t", "_a", "_away", "_xi", "_eta", "_rho")
+
+
+E2 = FLATTENING * (2 - FLATTENING)
+
+
+def geocentric(lat: Column, lon: Column, height: Column | float = 0.0) -> tuple[Column, Column, Column]:
+    """Earth-centred x, y, z in metres."""
+    la, lo = F.radians(lat), F.radians(lon)
+    normal = A / F.sqrt(1 - E2 * F.sin(la) * F.sin(la))
+    return (normal + height) * F.cos(la) * F.cos(lo), (normal + height) * F.cos(la) * F.sin(lo), (normal * (1 - E2) + height) * F.sin(la)
+
+
+def geodetic(x: Column, y: Column, z: Column) -> Column:
+    """struct<lat, lon, height> of earth-centred coordinates. Three rounds of Bowring's formula: below a micrometre up to satellites' heights; not at the earth's centre.
+
+    Names come from arrays of one, so that no expression holds another many times over.
+    """
+    b = A * (1 - FLATTENING)
+
+    def latitude(p: Column, tan: Column) -> Column:
+        return F.atan2(p["z"] + E2 / (1 - E2) * b * F.pow(F.sin(tan), 3), p["flat"] - E2 * A * F.pow(F.cos(tan), 3))
+
+    def reduced(lat: Column) -> Column:
+        return F.atan2((1 - FLATTENING) * F.sin(lat), F.cos(lat))
+
+    def named(value: Column, f: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), f)[0]
+
+    def place(p: Column) -> Column:
+        tan = F.aggregate(F.sequence(F.lit(1), F.lit(2)), F.atan2(p["z"] * A, p["flat"] * b), lambda t, _: named(latitude(p, t), reduced))
+
+        def shown(lat: Column) -> Column:
+            height = p["flat"] * F.cos(lat) + p["z"] * F.sin(lat) - A * F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
+            return F.struct(F.degrees(lat).alias("lat"), p["lon"].alias("lon"), height.alias("height"))
+
+        return named(named(tan, lambda t: latitude(p, t)), shown)
+
+    return named(F.struct(F.sqrt(x * x + y * y).alias("flat"), z.alias("z"), F.degrees(F.atan2(y, x)).alias("lon")), place)
+
+
+def tangent_axes(lat: Column, lon: Column) -> tuple[tuple[Column, Column, Column], ...]:
+    """East, north and up at a place, as earth-centred directions."""
+    s, c, so, co = F.sin(F.radians(lat)), F.cos(F.radians(lat)), F.sin(F.radians(lon)), F.cos(F.radians(lon))
+    return (-so, co, F.lit(0.0)), (-s * co, -s * so, c), (c * co, c * so, s)
+
+
+def tangent_forward(at: tuple[Column, Column, Column], lat0: Column, lon0: Column) -> tuple[Column, ...]:
+    """East, north and up in the plane that touches the ellipsoid at lat0, lon0, of an earth-centred place."""
+    d = [a - o for a, o in zip(at, geocentric(lat0, lon0))]
+    return tuple(axis[0] * d[0] + axis[1] * d[1] + axis[2] * d[2] for axis in tangent_axes(lat0, lon0))
+
+
+def tangent_inverse(east: Column, north: Column, up: Column, lat0: Column, lon0: Column) -> tuple[Column, ...]:
+    """The earth-centred place of east, north and up."""
+    e, n, u = tangent_axes(lat0, lon0)
+    return tuple(o + e[i] * east + n[i] * north + u[i] * up for i, o in enumerate(geocentric(lat0, lon0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def running_sum(rows: DataFrame, name: str, value: Column, order: tuple[str, ...
     return held.withColumn(name, F.col("_v") + F.coalesce("_before", F.lit(0))).drop("_span", "_v", "_before")
 
 
+def nth_row(rows: DataFrame, rank: Callable[[Column], Column], order: tuple[str, ...] = ("t_us", "seq"), key: str = "vehicle_id", span_us: int = SPAN_US) -> DataFrame:
+    """Of each key the row at place rank(n) of its n rows, counted from 1, in the order. Ranges of time are counted; only the rows of the range that holds the place are ordered."""
+    held = rows.withColumn("_span", F.coalesce(F.floor(F.col(order[0]) / span_us), F.lit(-(2**62))))
+    runs = Window.partitionBy(key)
+    counts = held.groupBy(key, "_span").agg(F.count("*").alias("_own"))
+    counts = counts.withColumns({"_upto": F.sum("_own").over(runs.orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)), "_rank": rank(F.sum("_own").over(runs)).cast("long")})
+    chosen = counts.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_own"))).select(key, "_span", (F.col("_rank") - F.col("_upto") + F.col("_own")).alias("_rank"))
+    inside = F.row_number().over(Window.partitionBy(key, "_span").orderBy(*order))
+    return held.join(chosen, [key, "_span"]).withColumn("_i", inside).where("_i = _rank").drop("_i", "_rank", "_span")
+
+
 def asof_backward_state(events: DataFrame, state: str, keep: dict[str, object], key: str = "vehicle_id") -> DataFrame:
     """events with each column of keep as last seen in rows where `state` held, up to the row; the dict's value before any."""
     rows = last_seen(events, {c: F.when(F.expr(state), F.col(c)) for c in keep}, ("recv_us", "seq"), key)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.functions.geodesy import grid_inverse, with_grid
+from waypath.functions.geodesy import A, geocentric, geodetic, tangent_forward, tangent_inverse
 from waypath.functions.pose import quat
 from waypath.functions.rotation import mat_t_vec, mat_vec, quat_to_matrix
 from waypath.operators.scans import plane_fit
@@ -46,27 +46,36 @@ def tree_spacing(trees: DataFrame) -> DataFrame:
 
 
 def georeference_fit(trees: DataFrame) -> DataFrame:
-    """One row: the planar turn (radians) and shift that take local x, y to the grid coordinates of lat, lon, by least squares, the residual's root mean square,
-    and the grid's zone. All trees are taken to lie in the zone of the first one by tree_id; others are left out."""
-    rows = with_grid(trees).select("tree_id", "x", "y", "zone", "north", F.col("grid_x").alias("e"), F.col("grid_y").alias("n"))
-    zone = rows.agg(F.min_by(F.struct("zone", "north"), "tree_id").alias("z")).select("z.zone", "z.north")
-    rows = rows.join(F.broadcast(zone), ["zone", "north"])  # one row
-    mean = rows.groupBy("zone", "north").agg(*(F.avg(c).alias(f"m{c}") for c in ("x", "y", "e", "n")))
-    rows = rows.join(F.broadcast(mean), ["zone", "north"]).select("zone", "north", *(f"m{c}" for c in ("x", "y", "e", "n")), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in ("x", "y", "e", "n")))
-    names = ["zone", "north", "mx", "my", "me", "mn"]
-    sums = rows.groupBy(*names).agg(F.count("*").alias("trees"), F.sum(F.expr("x * e + y * n")).alias("a"), F.sum(F.expr("x * n - y * e")).alias("b"), F.sum(F.expr("x * x + y * y + e * e + n * n")).alias("s"))
-    turn = F.atan2("b", "a")
-    out = sums.withColumn("turn", turn).withColumns({"shift_x": F.expr("me - (cos(turn) * mx - sin(turn) * my)"), "shift_y": F.expr("mn - (sin(turn) * mx + cos(turn) * my)")})
-    left = F.greatest(F.lit(0.0), F.col("s") - 2 * F.sqrt(F.expr("a * a + b * b")))
-    return out.select("zone", "north", "trees", "turn", "shift_x", "shift_y", F.sqrt(left / F.col("trees")).alias("residual"))
+    """One row: the planar turn (radians), scale and shift that take local x, y to east and north in the plane that touches the earth at lat0, lon0, by least squares, and
+    the residual's root mean square. That place is the tree of least tree_id that has one; all trees with coordinates take part, wherever they
+    are. The scale is that of the grid in which a local map was made (about 1.0003 some degrees from a zone's middle), else 1."""
+    rows = trees.select("tree_id", "x", "y", "lat", "lon").where("x is not null and y is not null and lat is not null and lon is not null")
+    origin = rows.agg(F.min_by(F.struct(F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "tree_id").alias("o")).select("o.*")
+    rows = rows.crossJoin(F.broadcast(origin))  # one row
+    east, north, _ = tangent_forward(geocentric(F.col("lat"), F.col("lon")), F.col("lat0"), F.col("lon0"))
+    rows = rows.select("lat0", "lon0", "x", "y", east.alias("e"), north.alias("n"))
+    mean = rows.agg(*(F.avg(c).alias(f"m{c}") for c in ("x", "y", "e", "n")))
+    rows = rows.crossJoin(F.broadcast(mean)).select("lat0", "lon0", *(f"m{c}" for c in ("x", "y", "e", "n")), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in ("x", "y", "e", "n")))  # one row
+    sums = rows.groupBy("lat0", "lon0", "mx", "my", "me", "mn").agg(F.count("*").alias("trees"), F.sum(F.expr("x * e + y * n")).alias("a"), F.sum(F.expr("x * n - y * e")).alias("b"), F.sum(F.expr("x * x + y * y")).alias("s"))
+    scale = F.when(F.col("s") > 0, F.sqrt(F.expr("a * a + b * b")) / F.col("s")).otherwise(1.0)
+    out = sums.withColumns({"turn": F.atan2("b", "a"), "scale": scale})
+    out = out.withColumns({"shift_x": F.expr("me - scale * (cos(turn) * mx - sin(turn) * my)"), "shift_y": F.expr("mn - scale * (sin(turn) * mx + cos(turn) * my)")})
+    # The residual from the rows themselves: as a difference of sums of squares it would lose the millimetres.
+    fit = out.select("lat0", "lon0", "trees", "turn", "scale", "shift_x", "shift_y")
+    left = rows.crossJoin(F.broadcast(fit.select("turn", "scale"))).agg(F.sum(F.expr("pow(e - scale * (cos(turn) * x - sin(turn) * y), 2) + pow(n - scale * (sin(turn) * x + cos(turn) * y), 2)")).alias("_s"))  # one row
+    return fit.crossJoin(F.broadcast(left)).withColumn("residual", F.sqrt(F.col("_s") / F.col("trees"))).drop("_s")
 
 
 def georeference(points: DataFrame, fit: DataFrame) -> DataFrame:
     """points (x, y) with lat and lon by the one row of fit."""
-    rows = points.crossJoin(F.broadcast(fit.select("zone", "north", "turn", "shift_x", "shift_y")))  # one row
-    e, n = F.expr("shift_x + cos(turn) * x - sin(turn) * y"), F.expr("shift_y + sin(turn) * x + cos(turn) * y")
-    at = grid_inverse(F.col("zone"), F.col("north"), e, n)
-    return rows.withColumn("_at", at).withColumns({"lat": F.col("_at.lat"), "lon": F.col("_at.lon")}).drop("_at", "zone", "north", "turn", "shift_x", "shift_y")
+    rows = points.crossJoin(F.broadcast(fit.select("lat0", "lon0", "turn", "scale", "shift_x", "shift_y")))  # one row
+    rows = rows.withColumns({"_e": F.expr("shift_x + scale * (cos(turn) * x - sin(turn) * y)"), "_n": F.expr("shift_y + scale * (sin(turn) * x + cos(turn) * y)")})
+    # The plane lies above the ellipsoid, by the square of the distance over twice the earth's radius.
+    up = -(F.col("_e") * F.col("_e") + F.col("_n") * F.col("_n")) / (2 * A)
+    place = tangent_inverse(F.col("_e"), F.col("_n"), up, F.col("lat0"), F.col("lon0"))
+    rows = rows.withColumns({f"_{k}": v for k, v in zip("abc", place)})
+    rows = rows.withColumn("_at", geodetic(F.col("_a"), F.col("_b"), F.col("_c")))
+    return rows.withColumns({"lat": F.col("_at.lat"), "lon": F.col("_at.lon")}).drop("_at", "_e", "_n", "_a", "_b", "_c", "lat0", "lon0", "turn", "scale", "shift_x", "shift_y")
 
 
 def tree_map_report(trees: DataFrame) -> DataFrame:

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypath.functions.pose import quat, quat_rotate, quat_to_yaw, relative_translation, vec, wrap_pi
-from waypath.operators.asof import asof_nearest, last_seen, running_sum
+from waypath.operators.asof import asof_nearest, last_seen, nth_row, running_sum
 
 ORDER = ("t_us", "seq")
 
 
-def by_run(key: str = "vehicle_id"):
-    return Window.partitionBy(key).orderBy(*ORDER)
-
-
 def naive_fusion(truth: DataFrame, rtk: DataFrame, lio: DataFrame, rtk_us: int = 150_000, lio_us: int = 100_000) -> DataFrame:
     """truth with fused position fx, fy, fz: RTK where there is some, else dead reckoning from the last anchors.
 
@@ -81,11 +77,10 @@ def outage_segments(msgs: DataFrame, gap_us: int) -> DataFrame:
 
 def signal_degradation(msgs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Onset (first standard deviation over the threshold, else the middle row's time) and extents before and overall."""
-    rows = msgs.withColumns({"std": F.sqrt(F.col("std_x") ** 2 + F.col("std_y") ** 2), "i": F.row_number().over(by_run())})
-    run = rows.groupBy("vehicle_id").agg(F.min(F.when(F.col("std") > threshold, F.col("t_us"))).alias("over"), F.count("*").alias("n"))
-    rows = rows.join(run, "vehicle_id")
-    middle = rows.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("vehicle_id", F.coalesce("over", "t_us").alias("onset_us"))
-    rows = rows.join(middle, "vehicle_id")
+    rows = msgs.withColumn("std", F.sqrt(F.col("std_x") ** 2 + F.col("std_y") ** 2))
+    over = rows.groupBy("vehicle_id").agg(F.min(F.when(F.col("std") > threshold, F.col("t_us"))).alias("over"))
+    middle = nth_row(rows.select("vehicle_id", *ORDER), lambda n: F.floor(n / 2) + 1).select("vehicle_id", "t_us")
+    rows = rows.join(over.join(middle, "vehicle_id").select("vehicle_id", F.coalesce("over", "t_us").alias("onset_us")), "vehicle_id")
     low = F.col("t_us") < F.col("onset_us")
     return rows.groupBy("vehicle_id", "onset_us").agg(F.count("*").alias("n"), F.count_if(low).alias("n_before"), F.max("std").alias("max_std"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.max(F.when(low, F.col("std"))).alias("max_std_before"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waypath.functions import binary, geodesy, pose, rotation
@@ -384,17 +385,34 @@ def tree_spacing(spark, sf_dir):
     return rounded(mapping.tree_spacing(table(spark, sf_dir, "fx_trees")).select("tree_id", "distance"))
 
 
-FIT = f"""g AS (SELECT * FROM fx_trees), {UTM}, mm AS (SELECT *, avg(x) OVER () AS mx, avg(y) OVER () AS my, avg(east) OVER () AS me, avg(north) OVER () AS mn FROM utm),
- fit AS (SELECT any_value(mx) AS mx, any_value(my) AS my, any_value(me) AS me, any_value(mn) AS mn, count(*) AS trees, sum((x - mx) * (east - me) + (y - my) * (north - mn)) AS a, sum((x - mx) * (north - mn) - (y - my) * (east - me)) AS b, sum((x - mx)**2 + (y - my)**2 + (east - me)**2 + (north - mn)**2) AS s FROM mm)"""
+FIT = """gg AS (SELECT tree_id, x, y, radians(lat) AS la, radians(lon) AS lo, 6378137e0 / sqrt(1 - 0.006694379990141317e0 * sin(radians(lat))**2) AS nn FROM fx_trees),
+ cc AS (SELECT *, nn * cos(la) * cos(lo) AS cx, nn * cos(la) * sin(lo) AS cy, nn * (1 - 0.006694379990141317e0) * sin(la) AS cz FROM gg),
+ oo AS (SELECT arg_min({'la': la, 'lo': lo, 'x': cx, 'y': cy, 'z': cz}, tree_id) AS o FROM cc),
+ en AS (SELECT x, y, cos(o.lo) * (cy - o.y) - sin(o.lo) * (cx - o.x) AS east, cos(o.la) * (cz - o.z) - sin(o.la) * (cos(o.lo) * (cx - o.x) + sin(o.lo) * (cy - o.y)) AS north FROM cc, oo),
+ mm AS (SELECT *, avg(x) OVER () AS mx, avg(y) OVER () AS my, avg(east) OVER () AS me, avg(north) OVER () AS mn FROM en),
+ ab AS (SELECT any_value(mx) AS mx, any_value(my) AS my, any_value(me) AS me, any_value(mn) AS mn, count(*) AS trees, sum((x - mx) * (east - me) + (y - my) * (north - mn)) AS a, sum((x - mx) * (north - mn) - (y - my) * (east - me)) AS b, sum((x - mx)**2 + (y - my)**2) AS s FROM mm),
+ tt AS (SELECT mx AS ax, my AS ay, me AS ae, mn AS an, trees, atan2(b, a) AS turn, sqrt(a * a + b * b) / s AS scale FROM ab),
+ fit AS (SELECT any_value(ax) AS mx, any_value(ay) AS my, any_value(ae) AS me, any_value(an) AS mn, any_value(trees) AS trees, any_value(turn) AS turn, any_value(scale) AS scale, sqrt(avg((east - ae - scale * (cos(turn) * (x - ax) - sin(turn) * (y - ay)))**2 + (north - an - scale * (sin(turn) * (x - ax) + cos(turn) * (y - ay)))**2)) AS residual FROM en, tt)"""
 
 
-@query(f"WITH {FIT} SELECT trees, round(atan2(b, a), 6) AS turn, round(me - (cos(atan2(b, a)) * mx - sin(atan2(b, a)) * my), 2) AS shift_x, round(mn - (sin(atan2(b, a)) * mx + cos(atan2(b, a)) * my), 2) AS shift_y, round(sqrt(greatest(0, s - 2 * sqrt(a * a + b * b)) / trees), 3) AS residual FROM fit")
+@query(f"WITH {FIT} SELECT trees, round(turn, 6) AS turn, round(scale, 8) AS scale, round(me - scale * (cos(turn) * mx - sin(turn) * my), 4) AS shift_x, round(mn - scale * (sin(turn) * mx + cos(turn) * my), 4) AS shift_y, round(residual, 4) AS residual FROM fit")
 def georeference_fit(spark, sf_dir):
     f = mapping.georeference_fit(table(spark, sf_dir, "fx_trees"))
-    return f.select("trees", F.round("turn", 6).alias("turn"), F.round("shift_x", 2).alias("shift_x"), F.round("shift_y", 2).alias("shift_y"), F.round("residual", 3).alias("residual"))
+    return f.select("trees", F.round("turn", 6).alias("turn"), F.round("scale", 8).alias("scale"), *(F.round(c, 4).alias(c) for c in ("shift_x", "shift_y", "residual")))
 
 
-@query(f"WITH {FIT}, sp AS (SELECT min(d) AS least, avg(d) AS mean, max(d) AS most FROM (SELECT min(sqrt((p.x - q.x)**2 + (p.y - q.y)**2)) AS d FROM fx_trees p JOIN fx_trees q ON p.tree_id <> q.tree_id GROUP BY p.tree_id)), ex AS (SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM fx_trees) SELECT n, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(min_y, 4) AS min_y, round(max_y, 4) AS max_y, round(least, 4) AS least_spacing, round(mean, 4) AS mean_spacing, round(most, 4) AS most_spacing, round(atan2(b, a), 4) AS turn, round(sqrt(greatest(0, s - 2 * sqrt(a * a + b * b)) / trees), 3) AS residual FROM fit, sp, ex")
+@query(f"""WITH {FIT.replace("FROM fx_trees", "FROM (SELECT tree_id, x, y, lat, lon + 0.6075e0 AS lon FROM fx_trees)")}, ee AS (SELECT tree_id, 23.5915e0 + (x * 0.17e0 - y * 0.98e0) / 110800e0 AS lat, 114e0 + (y * 0.17e0 - x * 0.98e0) / 102000e0 AS lon FROM fx_trees) SELECT tree_id, lon >= 114 AS east_of_border, residual < 80 AND trees = count(*) OVER () AS good FROM ee, fit""")
+def georeference_across_zones(spark, sf_dir):
+    """Trees on both sides of a grid's border, all fitted, and placed on earth again within the fit's residual."""
+    t = table(spark, sf_dir, "fx_trees").withColumn("lon", F.col("lon") + 0.6075)
+    fit = mapping.georeference_fit(t)
+    placed = mapping.georeference(t.select("tree_id", "x", "y", F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon")), fit)
+    off = F.sqrt(F.pow((F.col("lat") - F.col("own_lat")) * 110_800, 2) + F.pow((F.col("lon") - F.col("own_lon")) * 102_000, 2))
+    n = F.count("*").over(Window.partitionBy())
+    return placed.crossJoin(F.broadcast(fit.select("residual", "trees"))).select("tree_id", (F.col("own_lon") >= 114).alias("east_of_border"), ((off < 80) & (F.col("trees") == n)).alias("good"))
+
+
+@query(f"WITH {FIT}, sp AS (SELECT min(d) AS least, avg(d) AS mean, max(d) AS most FROM (SELECT min(sqrt((p.x - q.x)**2 + (p.y - q.y)**2)) AS d FROM fx_trees p JOIN fx_trees q ON p.tree_id <> q.tree_id GROUP BY p.tree_id)), ex AS (SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM fx_trees) SELECT n, round(min_x, 4) AS min_x, round(max_x, 4) AS max_x, round(min_y, 4) AS min_y, round(max_y, 4) AS max_y, round(least, 4) AS least_spacing, round(mean, 4) AS mean_spacing, round(most, 4) AS most_spacing, round(turn, 4) AS turn, round(residual, 3) AS residual FROM fit, sp, ex")
 def tree_map_report(spark, sf_dir):
     r = mapping.tree_map_report(table(spark, sf_dir, "fx_trees"))
     return r.select("n", *(F.round(c, 3 if c == "residual" else 4).alias(c) for c in r.columns if c != "n"))
