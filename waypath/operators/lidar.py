@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypath.functions.binary import i16be, u32le
-from waypath.operators.asof import last_seen
-from waypath.operators.automaton import SPAN, finite_scan
+from waypath.operators.asof import last_seen, running_sum
+from waypath.operators.automaton import finite_scan
 from waypath.operators.cloud import azimuth_sector_mask
-from waypath.operators.packets import FIRINGS, firings
+from waypath.operators.packets import BLOCKS, FIRINGS, SPAN, batches_of, with_gap
 
 #: Fixed values of the devices: vertical angles in degrees by laser.
 VERTICAL = {
@@ -139,41 +142,82 @@ def gps_second_repair(packets: DataFrame, span: int = SPAN) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in packets.columns))
 
 
-def packet_sweeps(packets: DataFrame, azimuths: str = "azimuths") -> DataFrame:
-    """packets (device, seq, and the array of all firings' azimuths) with split (the first firing of a new sweep, or null) and sweep (of the firings from it on).
+def packet_sweeps(packets: DataFrame, least: float, most: float, unit: float, span: int = SPAN) -> DataFrame:
+    """A narrow row for each valid packet (device, seq, data): split, the first of its firings in a new sweep, or null; sweep, that of the firings from it
+    on (counted from 0 by device); and size_before and size_after, how many of its firings in the range of distances lie before and from the split on.
 
-    A sweep starts where azimuth falls by over 350 degrees, at most once a packet. Only a packet's numbers are ordered by device, not its firings.
+    A sweep starts where azimuth falls by over 350 degrees from one firing to the next, at most once a packet. Packets are taken apart where they are;
+    their few numbers are ordered by device in ranges of seq.
     """
-    w = Window.partitionBy("device").orderBy("seq")
-    before = F.lag(F.element_at(azimuths, -1)).over(w)
-    rows = packets.withColumn("_last", before)
-    fell = F.transform(F.col(azimuths), lambda a, i: F.coalesce(F.when(i == 0, F.col("_last")).otherwise(F.get(azimuths, i - 1)) - a > 35000, F.lit(False)))
-    rows = rows.withColumn("split", F.nullif(F.array_position(fell, True), F.lit(0)) - 1).drop("_last")
-    return rows.withColumn("sweep", F.count("split").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-
-def decode_lidar_packets(packets: DataFrame, status: DataFrame | None = None, model: str = "c32_2", fpga: int = 3, unit: float = 0.4, least: float = 0.15, most: float = 150.0, sector: tuple[int, int] | None = None, x_forward: bool = True, fewest: int = 65) -> DataFrame:
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, b in batches_of(batches):
+            azimuth = b.azimuths()
+            fell = azimuth[:, :-1] - azimuth[:, 1:] > 35000
+            inner = np.where(fell.any(axis=1), fell.argmax(axis=1) + 1, -1)
+            distance = b.units * (0.01 * unit)
+            upto = np.concatenate([np.zeros((len(b.row), 1), np.int64), np.cumsum((distance >= least) & (distance < most), axis=1)], axis=1)
+            at = pa.array(b.row)
+            values = [azimuth[:, 0], azimuth[:, -1], inner, upto[np.arange(len(b.row)), np.maximum(inner, 0)], upto[:, -1]]
+            yield pa.record_batch([piece.column("device").take(at), piece.column("seq").take(at), *(pa.array(v.astype(np.int32)) for v in values)], names=["device", "seq", "begin", "final", "inner", "early", "whole"])
+
+    kinds = dict(packets.dtypes)
+    rows = packets.select("device", "seq", "data").mapInArrow(summary, f"device {kinds['device']}, seq {kinds['seq']}, begin int, final int, inner int, early int, whole int")
+    rows = last_seen(rows, {"_last": F.col("final")}, ("seq",), "device", before=True, span_us=span)
+    split = F.when(F.coalesce(F.col("_last") - F.col("begin") > 35000, F.lit(False)), 0).when(F.col("inner") >= 0, F.col("inner"))
+    rows = rows.withColumn("split", split)
+    rows = running_sum(rows, "sweep", F.col("split").isNotNull().cast("long"), ("seq",), "device", span)
+    before = F.when(F.col("split") == 0, 0).when(F.col("split") > 0, F.col("early")).otherwise(0)
+    return rows.select("device", "seq", "split", "sweep", before.alias("size_before"), (F.col("whole") - before).alias("size_after"))
+
+
+def whole_sweeps(packets: DataFrame, fewest: int) -> DataFrame:
+    """packet_sweeps with keep_before and keep_after: whether the sweep before the split, and the one from it on, count from 1 and have `fewest` points."""
+    rows = packets.withColumn("part", F.explode(F.array(F.struct((F.col("sweep") - F.col("split").isNotNull().cast("long")).alias("s"), F.col("size_before").alias("n")), F.struct(F.col("sweep").alias("s"), F.col("size_after").alias("n")))))
+    full = rows.groupBy("device", F.col("part.s").alias("s")).agg(F.sum("part.n").alias("n")).where((F.col("s") > 0) & (F.col("n") >= fewest)).select(F.col("device").alias("_d"), "s")
+    earlier, later = full.select("_d", F.col("s").alias("_e")), full.select(F.col("_d").alias("_c"), F.col("s").alias("_l"))
+    out = packets.join(earlier, (F.col("device") == F.col("_d")) & (F.col("sweep") - F.col("split").isNotNull().cast("long") == F.col("_e")), "left")
+    out = out.join(later, (F.col("device") == F.col("_c")) & (F.col("sweep") == F.col("_l")), "left")
+    return out.select("device", "seq", "split", "sweep", F.col("_e").isNotNull().alias("keep_before"), F.col("_l").isNotNull().alias("keep_after"))
+
+
+def decode_lidar_packets(packets: DataFrame, status: DataFrame | None = None, model: str = "c32_2", fpga: int = 3, unit: float = 0.4, least: float = 0.15, most: float = 150.0, sector: tuple[int, int] | None = None, x_forward: bool = True, fewest: int = 65, span: int = SPAN) -> DataFrame:
     """packets (device, seq, stamp_us, data) to points: device, sweep, seq, i, ring, azimuth, distance, intensity, x, y, z, t_us.
 
     status is what device_status gives: devices without two status packets have no points. The firings before a device's first sweep and sweeps of
     fewer than `fewest` points go; the last sweep stays, though it may be partial. Sweeps are told by the azimuths before calibration; the
-    range gate and the sector come after. Invalid packets are left out.
+    range gate and the sector come after. Invalid packets are left out. Packets are shuffled once, beside their sweeps, and taken apart last: no firing is shuffled.
     """
-    n = lasers(model)
-    rows = firings(packets, unit)
-    at = packet_sweeps(rows.groupBy("device", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "laser", "azimuth"))), lambda f: f["azimuth"]).alias("azimuths"))).drop("azimuths")
-    rows = rows.join(at, ["device", "seq"]).withColumns({"i": F.col("block") * FIRINGS + F.col("laser"), "laser": F.col("laser") % n})
-    rows = rows.withColumn("sweep", F.when(F.col("i") >= F.coalesce("split", F.lit(0)), F.col("sweep")).otherwise(F.col("sweep") - 1)).where("sweep > 0")
+    n, kinds = lasers(model), dict(packets.dtypes)
+    own = packets.select("device", "seq", "stamp_us", "data")
+    beside = whole_sweeps(packet_sweeps(own, least, most, unit, span), fewest).where("keep_before or keep_after")
+    if status is not None:
+        beside = beside.join(status.where("n >= 2").select("device"), "device", "left_semi")
+    number = np.arange(BLOCKS * FIRINGS)
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, b in batches_of(batches):
+            split, sweep, before, after, stamp, gap = (piece.column(c).to_numpy(zero_copy_only=False)[b.row] for c in ("split", "sweep", "keep_before", "keep_after", "stamp_us", "gap"))
+            split = np.nan_to_num(split.astype(np.float64), nan=-1).astype(np.int64)[:, None]
+            late = number >= split  # also where there is no split: then all firings are of `sweep`
+            distance = b.units * (0.01 * unit)
+            keep = np.where(late, after.astype(bool)[:, None], before.astype(bool)[:, None]) & (distance >= least) & (distance < most)
+            row, i = np.nonzero(keep)
+            at = pa.array(b.row[row])
+            t = stamp.astype(np.float64)[row] - (len(number) - 1 - i) * (gap.astype(np.float64) / len(number))[row]
+            values = [(sweep[row] - ~late[row, i]).astype(np.int64), i.astype(np.int32), (i % n).astype(np.int32), b.azimuths()[row, i].astype(np.int32), distance[row, i], b.intensity[row, i].astype(np.int32), t]
+            yield pa.record_batch([piece.column("device").take(at), piece.column("seq").take(at), *map(pa.array, values)], names=["device", "seq", "sweep", "i", "laser", "azimuth", "distance", "intensity", "t_us"])
+
+    rows = with_gap(own, span).join(beside, ["device", "seq"])
+    rows = rows.mapInArrow(fire, f"device {kinds['device']}, seq {kinds['seq']}, sweep long, i int, laser int, azimuth int, distance double, intensity int, t_us double")
     if status is None:
         rows = rows.withColumns({"corrections": F.lit(None).cast("array<int>"), "angles": F.lit(None).cast("array<double>")})
-    else:
-        rows = rows.join(status.where("n >= 2").select("device", "corrections", "angles"), "device")
+    else:  # one row a device, which Spark broadcasts while it is small
+        rows = rows.join(status.select("device", "corrections", "angles"), "device")
     rows = rows.withColumn("azimuth", azimuth_calibrate(F.col("azimuth"), F.col("laser"), F.col("corrections"), model, fpga))
-    rows = ring_angle_lookup(range_gate(rows, least, most), model, fpga, "angles")
+    rows = ring_angle_lookup(rows, model, fpga, "angles")
     x, y, z = polar_to_xyz(F.col("distance"), F.col("azimuth"), F.col("vertical"), n, x_forward)
     rows = rows.select("device", "sweep", "seq", "i", "ring", "azimuth", "distance", "intensity", x.alias("x"), y.alias("y"), z.alias("z"), "t_us")
-    whole = rows.groupBy("device", "sweep").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).select("device", "sweep")
-    rows = rows.join(whole, ["device", "sweep"], "left_semi")
     return azimuth_sector_mask(rows, *sector) if sector else rows
 
 

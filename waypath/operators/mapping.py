@@ -11,7 +11,7 @@ from waypath.functions.geodesy import A, geocentric, geodetic, tangent_forward,
 from waypath.functions.pose import quat
 from waypath.functions.rotation import mat_t_vec, mat_vec, quat_to_matrix
 from waypath.operators.scans import plane_fit
-from waypath.operators.spatial import around, box_join, in_cells, knn_join, map_extent, voxel_keep_center
+from waypath.operators.spatial import around, box_join, in_cells, knn_join, map_extent, voxel_keep_center, write_index
 
 
 def height_band(points: DataFrame, mark: tuple[float, float] = (0.15, 1.5), clear: tuple[float, float] = (-2.0, 2.0), mark_range: float = 5.0, clear_range: float = 6.0) -> DataFrame:
@@ -164,20 +164,23 @@ def scan_to_map_register(scans: DataFrame, poses: DataFrame, points: DataFrame,
     """Poses (scan_id, px..pz, qx..qw, done) of scans (scan_id, seq, x, y, z) against a map (point_id, x, y, z), from the poses given.
 
     Each round moves all points of all scans, finds their k nearest map points and the planes through these, and steps every pose that is not done. Between rounds the
-    poses are checkpointed (one row a scan). Points without k neighbours or a plane within `most` have no part.
+    poses are checkpointed (one row a scan). Points without k neighbours or a plane within `most` have no part. The map is written once, bucketed
+    by cell, and never shuffled again: rounds move poses and points only.
     """
+    index = write_index(points, size)
     now = poses.select("scan_id", *(f"p{c}" for c in "xyz"), *(f"q{c}" for c in "xyzw")).withColumn("done", F.lit(False))
     for _ in range(rounds):
         moved = scans.select("scan_id", "seq", *(F.col(c).alias(f"b{c}") for c in "xyz")).join(now, "scan_id").where("not done")
         world = mat_vec(quat_to_matrix(quat()), tuple(F.col(f"b{c}") for c in "xyz"))
         moved = moved.withColumns({c: a + F.col(f"p{c}") for a, c in zip(world, "xyz")}).withColumn("query_id", F.struct("scan_id", "seq"))
-        near = knn_join(moved.select("query_id", "x", "y", "z"), points, k, size)
+        near = knn_join(moved.select("query_id", "x", "y", "z"), index, k)
         full = near.groupBy("query_id").agg(F.count("*").alias("held")).where(F.col("held") >= k).drop("held")
         planes = plane_fit(near.join(full, "query_id", "left_semi").select("query_id", *(F.col(f"m_{c}").alias(c) for c in "xyz")), most=most)
         matches = moved.drop("x", "y", "z").withColumnsRenamed({f"b{c}": c for c in "xyz"}).join(planes, "query_id")
         now = step_poses(now, point_to_plane_normal_equations(matches), limit=limit).checkpoint()
         if now.where("not done").isEmpty():
             break
+    index.drop()
     return now
 
 

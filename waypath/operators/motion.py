@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions.pose import quat, quat_rotate, vec
 from waypath.functions.rotation import Matrix, mat_mul, mat_t_vec, mat_vec, so3_exp_dt
-from waypath.operators.scans import GRAVITY, asof_bracket
+from waypath.operators.scans import GRAVITY, bracketed, knot_arrays
 
 Extrinsic = tuple[tuple[float, ...], tuple[float, float, float]]
 #: Scanner to inertial sensor: rotation (row-major) and translation.
@@ -37,10 +37,10 @@ def undistort(points: DataFrame, knots: DataFrame, extrinsic: Extrinsic = NONE)
     before it (rotation, velocity, position) and the one after it (acceleration, turn rate). Points at or before the first knot, and
     scans without two knots, stay as they are. Each point is moved once.
     """
-    state = F.struct("acc", "gyr", "vel", "pos", "rot")
-    end = knots.groupBy("scan_id").agg(F.max_by(F.struct("pos", "rot"), F.struct("t", "seq")).alias("e"))
-    found = asof_bracket(points.select("scan_id", "seq", "t"), knots.select("scan_id", "seq", "t", state.alias("v"))).drop("t")
-    rows = points.join(found, ["scan_id", "seq"], "left").join(end, "scan_id", "left")
+    arrays = knot_arrays(knots.select("scan_id", "seq", "t", F.struct("acc", "gyr", "vel", "pos", "rot").alias("v")))
+    rows = bracketed(points, arrays, "left").withColumn("_head", F.when(F.col("_head") >= 0, F.col("_head")))
+    head, tail, end = F.get("_values", F.col("_head")), F.get("_values", F.col("_head") + 1), F.get("_values", F.size("_values") - 1)
+    rows = rows.withColumns({"head": head, "tail": tail, "e": F.struct(end["v"]["pos"].alias("pos"), end["v"]["rot"].alias("rot"))}).drop("_times", "_values", "_head")
 
     def part(name: str, n: int) -> tuple[Column, ...]:
         return tuple(F.get(name, F.lit(i)) for i in range(n))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +12,36 @@ from waypath.operators.asof import last_seen
 GRAVITY = 9.81
 
 
+def knot_arrays(knots: DataFrame, value: str = "v") -> DataFrame:
+    """(scan_id, _times, _values): the knots of each scan of two or more in order of t, then seq. A scan lasts a tenth of a second or so, which bounds its knots."""
+    rows = knots.where("t is not null").groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col(value).alias("v")))).alias("k")).where(F.size("k") > 1)
+    return rows.select("scan_id", F.col("k.t").alias("_times"), F.transform("k", lambda k: F.struct(k["t"].alias("t"), k["v"].alias("v"))).alias("_values"))
+
+
+def times_before(times: Column, t: Column) -> Column:
+    """How many of an ascending array of times are below t, by bisection: from the largest power of two within the array's length down, a step is taken if the time there is below t."""
+    steps = F.transform(F.reverse(F.sequence(F.lit(0), F.log2(F.size(times).cast("double")).cast("int"))), lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+    def step(at: Column, n: Column) -> Column:
+        return at + F.when((at + n <= F.size(times)) & (F.get(times, at + n - 1) < t), n).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def bracketed(points: DataFrame, knots: DataFrame, how: str = "inner") -> DataFrame:
+    """points (scan_id, t and others) joined once with their scan's knot_arrays, with _head: the place in these of asof_bracket's head, from 0; null or absent where there is none."""
+    rows = points.join(knots, "scan_id", how)
+    return rows.withColumn("_head", F.least(times_before(F.col("_times"), F.col("t")), F.size("_times") - 1) - 1)
+
+
 def asof_bracket(points: DataFrame, knots: DataFrame) -> DataFrame:
     """points (scan_id, seq, t) with `head`, the last knot strictly before t that has a successor, and `tail`, that one.
 
     knots (scan_id, seq, t, v); equal times go by seq. Points at or before the first knot are left out, as are scans of
-    fewer than two knots.
+    fewer than two knots. A scan's knots are one sorted array, joined once and searched by bisection in the row.
     """
-    by_scan = Window.partitionBy("scan_id").orderBy("t", "seq")
-    ends = knots.select("scan_id", "seq", "t", F.struct("t", "v").alias("head")).withColumn("tail", F.lead("head").over(by_scan)).where("tail is not null")
-    both = points.select("scan_id", "seq", "t", F.lit(0).alias("kind"), F.lit(None).cast(ends.schema["head"].dataType).alias("head"), F.lit(None).cast(ends.schema["tail"].dataType).alias("tail"))
-    both = both.unionByName(ends.withColumn("kind", F.lit(1)))
-    upto = Window.partitionBy("scan_id").orderBy("t", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 1, F.struct("head", "tail")), True).over(upto)
-    return both.withColumn("b", last).where("kind = 0 and b is not null").select("scan_id", "seq", "t", "b.head", "b.tail")
+    rows = bracketed(points.select("scan_id", "seq", "t"), knot_arrays(knots)).where("_head >= 0")
+    return rows.select("scan_id", "seq", "t", F.get("_values", F.col("_head")).alias("head"), F.get("_values", F.col("_head") + 1).alias("tail"))
 
 
 def interval_join(scans: DataFrame, imu: DataFrame, bucket_us: int = 200_000) -> DataFrame:
@@ -103,13 +120,82 @@ def run_average(labels: DataFrame, n: int = 4) -> DataFrame:
     return out.select("scan_id", "ring", "seq", *(F.when(F.col("size") == n, F.col(f"l{c}")).otherwise(F.col(f"m{c}")).alias(c) for c in "xyz"))
 
 
+#: Cells of a tile's side.
+TILE = 256
+
+
+def column_distances(mask: np.ndarray, reach: int) -> np.ndarray:
+    """How many cells lie between each cell and the nearest one of the mask in its column; reach + 1 beyond that."""
+    n = len(mask)
+    rows = np.arange(n)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -reach - n - 1), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, 2 * n + reach + 1)[::-1], axis=0)[::-1]
+    return np.minimum(np.minimum(rows - above, below - rows), reach + 1)
+
+
+def squared_distances(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Squared distance to the nearest cell of the mask within reach cells each way, exactly: first by columns, then along rows."""
+    high = column_distances(mask, reach)
+    far = 2 * (reach + 1) ** 2
+    high = np.where(high > reach, far, high * high)
+    out = high.copy()
+    for dx in range(1, reach + 1):
+        np.minimum(out[:, dx:], high[:, :-dx] + dx * dx, out=out[:, dx:])
+        np.minimum(out[:, :-dx], high[:, dx:] + dx * dx, out=out[:, :-dx])
+    return out
+
+
+def inflated(costs: np.ndarray, reach: int, factor: np.ndarray) -> np.ndarray:
+    """The largest cost * factor[squared distance] at each cell; NaN where a cell has no cost, or none within reach. factor is NaN from beyond the radius.
+
+    A cost that many cells share reaches a cell from the nearest of these, so each level of cost is one distance transform. Where levels are many, or
+    costs negative, all offsets are taken one by one.
+    """
+    out = np.full(costs.shape, np.nan)
+    levels = np.unique(costs[~np.isnan(costs)])
+    if not len(levels):
+        return out
+    if len(levels) <= max(1, reach) and levels[0] >= 0:
+        far = len(factor) - 1
+        for level in levels:
+            out = np.fmax(out, level * factor[np.minimum(squared_distances(costs == level, reach), far)])
+        return out
+    n, m = costs.shape
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            f = factor[min(dx * dx + dy * dy, len(factor) - 1)]
+            if not np.isnan(f) and abs(dy) < n and abs(dx) < m:
+                to = out[max(0, dy) : n + min(0, dy), max(0, dx) : m + min(0, dx)]
+                np.fmax(to, f * costs[max(0, -dy) : n + min(0, -dy), max(0, -dx) : m + min(0, -dx)], out=to)
+    return out
+
+
 def inflate_cells(cells: DataFrame, size: float = 0.5, radius: float = 1.0, k: float = 2.0) -> DataFrame:
-    """Costs of a grid (map_id, ix, iy, cost) spread to all cells within radius, falling by exp(-k * distance); the largest stays."""
-    reach = int(radius / size)
-    offsets = [(dx, dy, math.exp(-k * size * math.hypot(dx, dy))) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if size * math.hypot(dx, dy) <= radius]
-    around = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(f).alias("f")) for dx, dy, f in offsets)))
-    spread = cells.withColumn("o", around).select("map_id", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("cost") * F.col("o.f")).alias("cost"))
-    return spread.groupBy("map_id", "ix", "iy").agg(F.max("cost").alias("cost"))
+    """Costs of a grid (map_id, ix, iy, cost) spread to all cells within radius, falling by exp(-k * distance); the largest stays.
+
+    The grid is cut in tiles; a cell is sent to those that it can reach (four at most, but for radii beyond a tile) and each tile is an array of its own. Cells without
+    a cost are left out, of repeated ones the largest cost holds.
+    """
+    reach = int(radius / size + 1e-9)
+    tile = max(TILE, reach)
+    d2 = np.arange(2 * reach * reach + 2)
+    factor = np.where((size * np.sqrt(d2) <= radius) & (d2 <= 2 * reach * reach), np.exp(-k * size * np.sqrt(d2)), np.nan)
+    kind = cells.schema["map_id"].dataType.simpleString()
+
+    def spread(group: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(group["tx"].iloc[0]) * tile - reach, int(group["ty"].iloc[0]) * tile - reach
+        costs = np.full((tile + 2 * reach, tile + 2 * reach), -np.inf)
+        np.maximum.at(costs, (group["ix"].to_numpy() - tx, group["iy"].to_numpy() - ty), group["cost"].to_numpy())
+        out = inflated(np.where(np.isinf(costs), np.nan, costs), reach, factor)[reach : reach + tile, reach : reach + tile]
+        x, y = np.nonzero(~np.isnan(out))
+        return pd.DataFrame({"map_id": group["map_id"].iloc[0], "ix": (x + tx + reach).astype(np.int64), "iy": (y + ty + reach).astype(np.int64), "cost": out[x, y]})
+
+    dealt = cells.where("cost is not null").select("map_id", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("cost").cast("double").alias("cost"))
+    for c in "xy":
+        dealt = dealt.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(f"i{c}") - reach) / tile), F.floor((F.col(f"i{c}") + reach) / tile))))
+    out = dealt.groupBy("map_id", "tx", "ty").applyInPandas(spread, f"map_id {kind}, ix long, iy long, cost double")
+    kinds = dict(cells.dtypes)
+    return out.select("map_id", *(F.col(c).cast(kinds[c]).alias(c) for c in ("ix", "iy")), "cost")
 
 
 def ring_times(points: DataFrame, rate: float = 10.0) -> DataFrame:
@@ -131,8 +217,8 @@ def ring_times(points: DataFrame, rate: float = 10.0) -> DataFrame:
 
 def return_mode(packets: DataFrame) -> DataFrame:
     """packets (device, seq, factory) with `dual`: true from the first packet whose factory byte says so."""
-    w = Window.partitionBy("device").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return packets.select("device", "seq", F.max(F.col("factory") == 0x39).over(w).alias("dual"))
+    first = packets.where(F.col("factory") == 0x39).groupBy("device").agg(F.min("seq").alias("_from"))
+    return packets.select("device", "seq").join(first, "device", "left").select("device", "seq", F.coalesce(F.col("seq") >= F.col("_from"), F.lit(False)).alias("dual"))
 
 
 def local_enu(positions: DataFrame, origins: DataFrame) -> DataFrame:

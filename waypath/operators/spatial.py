@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waypath.streaming.runs import shared_folder
+
+#: Rows of a bucket of a written map index, once there are more than Spark's own partitions take.
+BUCKET_ROWS = 5_000_000
+
 
 def cell(size: float, axis: str) -> Column:
     return F.floor(F.col(axis) / size)
@@ -40,28 +47,71 @@ def at_levels(points: DataFrame, size: float, levels: range, low: tuple[float, .
     return rows.withColumns({f"c{c}": F.floor((F.col(f"m_{c}") - o) / side) for c, o in zip("xyz", low)})
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
-    """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
+CELLS = ("level", "cx", "cy", "cz")
 
-    The map is counted in cells of size, twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
-    map's nearest place to it) with k points; these give the radius in which its k nearest lie, and a radius join in at most 27 cells of
-    that order finds them. Two joins settle all queries, dense or far away; each sends a map point once a level.
+
+@dataclass(frozen=True)
+class MapIndex:
+    """A map for nearest neighbours: its points once for each level with their cell (stored), cells with their counts (full), its extent and number of levels.
+
+    Written by write_index, both are tables bucketed by cell, so joins on cells move only the other side.
     """
+
+    stored: DataFrame
+    full: DataFrame
+    n: int
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    top: int
+    size: float
+    tables: tuple[str, ...] = ()
+
+    def drop(self) -> None:
+        """Takes the tables out of the catalog; their files stay in the shared folder."""
+        for t in self.tables:
+            self.stored.sparkSession.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def map_index(points: DataFrame, size: float = 2.0) -> MapIndex:
+    """The index of points (point_id, x, y, z) in cells of size, twice size and so on, up to one cell. One pass finds the extent; nothing is written."""
     spread = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    need = min(k, spread.n)
     low, high = (tuple(spread[f"{n}{c}"] or 0.0 for c in "xyz") for n in ("lo", "hi"))
     width = max(h - o for h, o in zip(high, low))
     top = max(0, math.ceil(math.log2(max(width, size) / size)) + 1)
-    levels, cells = range(top + 1), ["level", "cx", "cy", "cz"]
-    stored = at_levels(points, size, levels, low)
-    full = stored.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= need).drop("_n")
+    stored = at_levels(points, size, range(top + 1), low)
+    return MapIndex(stored, stored.groupBy(*CELLS).agg(F.count("*").alias("_n")), spread.n, low, high, top, size)
+
+
+def write_index(points: DataFrame, size: float = 2.0, buckets: int | None = None) -> MapIndex:
+    """map_index as two tables in the shared folder, bucketed and sorted by cell: a map is dealt by cell once, however often it is joined."""
+    index, spark = map_index(points, size), points.sparkSession
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.n * (index.top + 1) // BUCKET_ROWS)
+    names = []
+    for kind, df in (("points", index.stored), ("cells", index.full)):
+        names.append(f"map_{kind}_{uuid.uuid4().hex}")
+        dealt = df.repartition(buckets, *CELLS)
+        dealt.write.bucketBy(buckets, *CELLS).sortBy(*CELLS).option("path", shared_folder(spark, kind)).saveAsTable(names[-1])
+    return replace(index, stored=spark.table(names[0]), full=spark.table(names[1]), tables=tuple(names))
+
+
+def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
+    """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
+
+    The map is counted in cells of size, twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
+    map's nearest place to it) with k points; these give the radius in which its k nearest lie, and a radius join in at most 27 cells of
+    that order finds them. Two joins settle all queries, dense or far away. points may be a MapIndex, whose size then holds; one that was written is not shuffled again.
+    """
+    index = points if isinstance(points, MapIndex) else map_index(points, size)
+    size, low, high, top, stored = index.size, index.low, index.high, index.top, index.stored
+    need, cells = min(k, index.n), list(CELLS)
+    full = index.full.where(F.col("_n") >= need).drop("_n")
     side = size * F.pow(F.lit(2.0), F.col("level"))
 
     def place(c: str, shift: Column | float, o: float, h: float) -> Column:
         return F.floor((F.least(F.greatest(F.col(c) + shift, F.lit(float(o))), F.lit(float(h))) - o) / side)
 
     asked = queries.select("query_id", "x", "y", "z")
-    start = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    start = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(top + 1)))))
     start = start.withColumns({f"c{c}": place(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
     start = start.groupBy("query_id").agg(F.min(F.struct(*cells, "x", "y", "z")).alias("s")).select("query_id", "s.*")
     d2 = distance2()

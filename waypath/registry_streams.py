@@ -11,6 +11,12 @@ from waypath.streaming import operators
 from waypath.streaming.runs import Ending, settled, shared_folder, stream_table
 
 
+#: One point a voxel among the first ones; then, in voxels with a new point, one of what was kept and the new ones.
+FIRST_KEPT = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY floor(x / {size}), floor(y / {size}), floor(z / {size}) ORDER BY (x - (floor(x / {size}) + 0.5e0) * {size})**2 + (y - (floor(y / {size}) + 0.5e0) * {size})**2 + (z - (floor(z / {size}) + 0.5e0) * {size})**2, point_id) AS n FROM fx_map WHERE point_id % 3 <> 0),
+ b AS (SELECT point_id, x, y, z FROM a WHERE n = 1 UNION ALL SELECT point_id, x, y, z FROM fx_map WHERE point_id % 3 = 0)
+ SELECT point_id FROM (SELECT *, row_number() OVER (PARTITION BY floor(x / {size}), floor(y / {size}), floor(z / {size}) ORDER BY (x - (floor(x / {size}) + 0.5e0) * {size})**2 + (y - (floor(y / {size}) + 0.5e0) * {size})**2 + (z - (floor(z / {size}) + 0.5e0) * {size})**2, point_id % 3 <> 0, point_id) AS n FROM b) WHERE n = 1"""
+
+
 def same_sql(name: str):
     """Registers a query whose rows are another's."""
 
@@ -75,12 +81,22 @@ def stream_throttle(spark, sf_dir):
     return settled(operators.throttled(rows), "throttle").select("vehicle_id", F.floor(F.unix_micros("second") / 1_000_000).alias("second"))
 
 
-@same_sql("voxel_keep_center")
-def stream_map(spark, sf_dir):
-    """Two of three map points come first, then the others, as batches of a stream."""
+def kept_map(spark, sf_dir, size):
+    """Two of three map points come first, then the others, as batches of streams."""
     path, m = shared_folder(spark, "map"), map_points(spark, sf_dir).drop("label")
-    build = operators.IncrementalMap(path, 2.0)
-    build.regions(m.where("point_id % 3 <> 0")).write.partitionBy("region").parquet(path)
+    operators.IncrementalMap(path, size, name="first")(m.where("point_id % 3 <> 0"), 0)
+    build = operators.IncrementalMap(path, size)
     stream = stream_table(spark, sf_dir, "fx_map").select("point_id", "x", "y", "z").where("point_id % 3 = 0")
     stream.writeStream.foreachBatch(build).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).select("point_id", (F.col("point_id") % 3 == 0).cast("int").alias("is_new"))
+    return build.read(spark).select("point_id", (F.col("point_id") % 3 == 0).cast("int").alias("is_new"))
+
+
+@query("SELECT point_id, (point_id % 3 = 0)::INT AS is_new FROM (" + FIRST_KEPT.format(size="2e0") + ")")
+def stream_map(spark, sf_dir):
+    return kept_map(spark, sf_dir, 2.0)
+
+
+@query("SELECT point_id, (point_id % 3 = 0)::INT AS is_new FROM (" + FIRST_KEPT.format(size="0.3e0") + ")")
+def stream_map_fine(spark, sf_dir):
+    """Voxels of which 64 m hold no whole number."""
+    return kept_map(spark, sf_dir, 0.3)
