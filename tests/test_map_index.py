@@ -13,12 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def exchanged(plan, what):
-    """Whether a scan of `what` lies below an exchange in the plan's text."""
+    """Whether a scan of `what` lies below an exchange in the plan's text, without a join between."""
     lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.splitlines()]
     for i, (depth, text) in enumerate(lines):
         if "Exchange" in text:
             for d, t in lines[i + 1 :]:
-                if d <= depth:
+                if d <= depth or "Join" in t:
                     break
                 if what in t:
                     return True
@@ -29,6 +29,7 @@ def test_index_gives_the_same_without_an_exchange(spark):
     m = map_points(spark, SF).drop("label")
     asked = points(spark, SF).where("scan_id < 20").select(F.struct("scan_id", "seq").alias("query_id"), *((F.col(c) / 5).alias(c) for c in "xyz"))
     index = spatial.write_index(m, 2.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a map that is no small table
     try:
         got, want = spatial.knn_join(asked, index, 5), spatial.knn_join(asked, m, 5, 2.0)
         key = ("query_id", "rank", "point_id")
@@ -36,7 +37,10 @@ def test_index_gives_the_same_without_an_exchange(spark):
         with_plan = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
         name = index.tables[0]
         assert name in with_plan[0] and not exchanged(with_plan[1], name)
+        loose = want._jdf.queryExecution().executedPlan().toString()
+        assert exchanged(loose, "embeddings.parquet")
     finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         index.drop()
     assert not [t for t in spark.catalog.listTables() if t.name in index.tables]
 

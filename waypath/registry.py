@@ -155,20 +155,23 @@ def map_points(spark, sf_dir):
 
 
 def scan_queries(spark, sf_dir):
-    return points(spark, sf_dir).where("seq = 0").select(F.col("scan_id").alias("query_id"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
+    return points(spark, sf_dir).select(F.struct("scan_id", "seq").alias("query_id"), *((F.col(c) / 10).alias(c) for c in "xyz"))
 
 
-PAIRS = "q AS (SELECT scan_id AS query_id, x / 10 AS x, y / 10 AS y, z / 10 AS z FROM fx_points WHERE seq = 0), p AS (SELECT q.query_id, m.point_id, (q.x - m.x)**2 + (q.y - m.y)**2 + (q.z - m.z)**2 AS d2, m.x AS mx FROM q, fx_map m)"
+PAIRS = "q AS (SELECT scan_id, seq, x / 10 AS x, y / 10 AS y, z / 10 AS z FROM fx_points), p AS (SELECT q.scan_id, q.seq, m.point_id, (q.x - m.x)**2 + (q.y - m.y)**2 + (q.z - m.z)**2 AS d2, m.x AS mx FROM q, fx_map m)"
 
 
-@query(f"WITH {PAIRS} SELECT query_id, point_id, round(d2, 6) AS d2 FROM p WHERE d2 <= 1.5 * 1.5")
+@query(f"WITH {PAIRS} SELECT scan_id, seq, count(*) AS n, sum(point_id)::BIGINT AS ids, round(sum(d2), 6) AS d2 FROM p WHERE d2 <= 1.5 * 1.5 GROUP BY 1, 2")
 def radius_join(spark, sf_dir):
-    return rounded(spatial.radius_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 1.5).select("query_id", "point_id", "d2"))
+    """All points of all scans; each with the number of its neighbours, and the sums of their ids and distances."""
+    near = spatial.radius_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 1.5)
+    return rounded(near.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"), F.sum("d2").alias("d2")).select("query_id.*", "n", "ids", "d2"))
 
 
-@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, mx, point_id) AS rank FROM p) SELECT query_id, point_id, rank::INT AS rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5")
+@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, seq ORDER BY d2, mx, point_id) AS rank FROM p) SELECT scan_id, seq, point_id, rank::INT AS rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5")
 def knn_join(spark, sf_dir):
-    return rounded(spatial.knn_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 5, 2.0).select("query_id", "point_id", "rank", "d2"))
+    """All points of all scans."""
+    return rounded(spatial.knn_join(scan_queries(spark, sf_dir), map_points(spark, sf_dir), 5, 2.0).select("query_id.scan_id", "query_id.seq", "point_id", "rank", "d2"))
 
 
 def map_queries(spark, sf_dir):
@@ -266,11 +269,15 @@ def utm_inverse(spark, sf_dir):
     return rounded(df.select("seq", "p.lat", "p.lon"), 7)
 
 
-@query("SELECT scan_id, round(x / 20, 5) + 0 AS x, round(y / 20, 5) + 0 AS y, round(z / 20, 5) + 0 AS z FROM fx_points WHERE seq = 0 AND sqrt(x*x + y*y + z*z) / 20 BETWEEN 0.01 AND 3")
+@query("WITH p AS (SELECT scan_id, seq, x / 20 AS x, y / 20 AS y, z / 20 AS z FROM fx_points), a AS (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM p) SELECT scan_id, seq, round(1 + 2 * cos(n), 6) + 0 AS trace, round(CASE WHEN n > 0 THEN 2 * sin(n) / n * z ELSE 0 END, 6) + 0 AS skew, round(CASE WHEN n > pi() THEN 2 * pi() - n ELSE n END + 1.37e-5, 4) + 0 AS angle FROM a")
 def so3_log_of_exp(spark, sf_dir):
-    p = points(spark, sf_dir).where("seq = 0 and sqrt(x*x + y*y + z*z) / 20 between 0.01 and 3")
-    back = rotation.so3_log(rotation.so3_exp(tuple(F.col(c) / 20 for c in "xyz")))
-    return rounded(p.select("scan_id", *(v.alias(c) for c, v in zip("xyz", back))), 5)
+    """Trace and skew part of the rotation by a vector, as sine and cosine give them, and the angle that its logarithm finds."""
+    m = rotation.so3_exp(tuple(F.col(c) / 20 for c in "xyz"))
+    p = points(spark, sf_dir).select("scan_id", "seq", *(v.alias(f"m{i}") for i, v in enumerate(m)))
+    back = rotation.so3_log(tuple(F.col(f"m{i}") for i in range(9)))
+    p = p.withColumns({f"b{i}": v for i, v in enumerate(back)})
+    angle = F.sqrt(sum((F.col(f"b{i}") * F.col(f"b{i}") for i in (1, 2)), F.col("b0") * F.col("b0")))
+    return p.select("scan_id", "seq", *((F.round(v, d) + 0.0).alias(c) for c, v, d in (("trace", F.col("m0") + F.col("m4") + F.col("m8"), 6), ("skew", F.col("m3") - F.col("m1"), 6), ("angle", angle + 1.37e-5, 4))))
 
 
 @query("SELECT scan_id, seq, round(x / 20, 5) + 0 AS x, round(y / 20, 5) + 0 AS y, round(z / 20, 5) + 0 AS z FROM fx_points")

@@ -30,21 +30,27 @@ FIRED = f"""p AS (SELECT *, coalesce(stamp_us - lag(stamp_us) OVER (PARTITION BY
  w AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY device ORDER BY seq, i) AS sweep FROM n)"""
 
 
-@query(f"""WITH {FIRED}, c AS (SELECT *, (raw + CASE WHEN k % 4 <= 1 THEN 370 ELSE -30 END + 36000) % 36000 AS azimuth, [{ANGLES}][k + 1] AS vertical, k // 2 + CASE WHEN k % 2 = 0 THEN 0 ELSE 16 END AS ring FROM w WHERE sweep > 0 AND distance >= 0.15e0 AND distance < 100),
- m AS (SELECT *, count(*) OVER (PARTITION BY device, sweep) AS size FROM c)
+@query(f"""WITH {FIRED}, t AS (SELECT device, arg_min([{words(186, True)}, {words(190, True)}], seq) AS c FROM fx_packets WHERE seq % 3 = 0 GROUP BY 1 HAVING count(*) >= 2),
+ c AS (SELECT w.*, (raw + CASE WHEN c[2] - c[1] > 300 AND c[2] - c[1] < 460 THEN CASE WHEN k % 4 <= 1 THEN c[2] ELSE c[1] END WHEN k % 2 = 0 THEN c[1] ELSE -c[1] END) AS turned, [{ANGLES}][k + 1] AS vertical, k // 2 + CASE WHEN k % 2 = 0 THEN 0 ELSE 16 END AS ring FROM w JOIN t ON w.device = t.device WHERE sweep > 0 AND distance >= 0.15e0 AND distance < 100),
+ m AS (SELECT *, ((turned % 36000) + 36000) % 36000 AS azimuth, count(*) OVER (PARTITION BY device, sweep) AS size FROM c)
  SELECT device, sweep, seq, i, ring::INT AS ring, azimuth, round(distance, 4) AS distance, intensity, round(distance * cos(radians(vertical)) * cos(radians(azimuth * 0.01e0)) + 0.0494e0 * cos(radians(azimuth * 0.01e0 - 12.98e0)), 5) + 0 AS x,
  round(-distance * cos(radians(vertical)) * sin(radians(azimuth * 0.01e0)) - 0.0494e0 * sin(radians(azimuth * 0.01e0 - 12.98e0)), 5) + 0 AS y, round(distance * sin(radians(vertical)), 5) + 0 AS z, round(t_us, 2) + 0 AS t_us
  FROM m WHERE size >= 65 AND NOT (azimuth > 9000 AND azimuth < 12000)""")
 def decode_lidar_packets(spark, sf_dir):
+    """Points with the corrections of each device's own status packets, which every third packet's bytes are read as."""
     p = packets_of(spark, sf_dir)
-    status = p.groupBy("device").agg(F.lit(2).alias("n"), F.array(F.lit(-30), F.lit(370), F.lit(0), F.lit(0)).alias("corrections"), F.lit(None).cast("array<double>").alias("angles"))
-    out = lidar.decode_lidar_packets(p, status, most=100.0, sector=(9000, 12000))
+    out = lidar.decode_lidar_packets(p, lidar.device_status(status_packets(p)), most=100.0, sector=(9000, 12000))
     return out.select("device", "sweep", "seq", "i", "ring", "azimuth", F.round("distance", 4).alias("distance"), "intensity", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"), (F.round("t_us", 2) + 0.0).alias("t_us"))
 
 
+def status_packets(p):
+    """Every third packet with a status packet's first bytes; the others as they are."""
+    return p.withColumn("data", F.when(F.col("seq") % 3 == 0, F.concat(F.unhex(F.lit(lidar.MAGIC)), F.substr("data", F.lit(5), F.lit(1202)))).otherwise(F.col("data")))
+
+
 @query("WITH s AS (SELECT device, seq, 'A5FF005A' || substr(packet_hex, 9) AS packet_hex FROM fx_packets WHERE seq % 3 = 0), r AS (SELECT device, seq, [" + ", ".join(words(o, True) for o in (186, 190, 188, 192)) + "] AS corrections, " + "greatest(" + ", ".join(f"abs({words(245 + 2 * (i // 2 + i % 2 * 16), True)} * 0.01e0 - {float(v)}e0)" for i, v in enumerate(lidar.VERTICAL["c32_2"])) + ") <= 3 AS near_, [" + ", ".join(f"('0x' || substr(packet_hex, {2 * (57 - i) + 1}, 2))::INT" for i in range(6)) + "] AS date FROM s) SELECT device, count(*) AS n, arg_min(array_to_string(corrections, ','), seq) AS corrections, arg_min(near_, seq) AS configured, arg_max(array_to_string(date, ','), seq) AS date FROM r GROUP BY 1")
 def device_status(spark, sf_dir):
-    p = packets_of(spark, sf_dir).withColumn("data", F.when(F.col("seq") % 3 == 0, F.concat(F.unhex(F.lit(lidar.MAGIC)), F.substr("data", F.lit(5), F.lit(1202)))).otherwise(F.col("data")))
+    p = status_packets(packets_of(spark, sf_dir))
     text = {c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("corrections", "date")}
     return lidar.device_status(p).select("device", "n", text["corrections"], F.col("angles").isNotNull().alias("configured"), text["date"])
 

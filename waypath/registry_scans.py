@@ -62,11 +62,12 @@ def run_average(spark, sf_dir):
     return rounded(scans.run_average(points(spark, sf_dir).withColumn("plane", F.col("tag") < 48)))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT scan_id AS map_id, CAST(floor(x / 0.5e0) AS BIGINT) AS ix, CAST(floor(y / 0.5e0) AS BIGINT) AS iy FROM fx_points WHERE tag < 8),
+@query(f"""WITH c AS (SELECT scan_id AS map_id, CAST(floor(x / 0.5e0) AS BIGINT) AS ix, CAST(floor(y / 0.5e0) AS BIGINT) AS iy, max(1e0 + tag % 5) AS cost FROM fx_points GROUP BY ALL),
  o(dx, dy) AS (VALUES {", ".join(map(str, COST))})
-SELECT map_id, ix + dx AS ix, iy + dy AS iy, round(max(exp(-1e0 * sqrt(dx * dx + dy * dy))), 6) AS cost FROM c, o GROUP BY ALL""")
+SELECT map_id, ix + dx AS ix, iy + dy AS iy, round(max(cost * exp(-1e0 * sqrt(dx * dx + dy * dy))), 6) AS cost FROM c, o GROUP BY ALL""")
 def inflate_cells(spark, sf_dir):
-    cells = points(spark, sf_dir).where("tag < 8").select(F.col("scan_id").alias("map_id"), F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy"), F.lit(1.0).alias("cost")).distinct()
+    """Cells of five levels of cost: more than the radius has cells, so all offsets are taken."""
+    cells = points(spark, sf_dir).groupBy(F.col("scan_id").alias("map_id"), F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy")).agg(F.max(1.0 + F.col("tag") % 5).alias("cost"))
     return rounded(scans.inflate_cells(cells))
 
 
