@@ -30,13 +30,6 @@ def transposed(m: Matrix) -> Matrix:
     return tuple(m[3 * j + i] for i in range(3) for j in range(3))
 
 
-def so3_exp_dt(rate: Vec, dt: Column) -> Matrix:
-    """Rotation by a turn rate held for dt; the identity for rates of 1e-7 or less, however long they are held."""
-    small = F.sqrt(rate[0] * rate[0] + rate[1] * rate[1] + rate[2] * rate[2]) <= 1e-7
-    turned = so3_exp(tuple(w * dt for w in rate))
-    return tuple(F.when(small, 1.0 if i % 4 == 0 else 0.0).otherwise(v) for i, v in enumerate(turned))
-
-
 def quat_to_matrix(q: tuple[Column, ...]) -> Matrix:
     """Of a quaternion x, y, z, w of any length; null for a zero one."""
     x, y, z, w = q

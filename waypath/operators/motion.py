@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypath.functions.pose import quat, quat_rotate, vec
-from waypath.functions.rotation import Matrix, mat_mul, mat_t_vec, mat_vec, so3_exp_dt
+from waypath.functions.rotation import Matrix, mat_mul, mat_t_vec, mat_vec, transposed
 from waypath.operators.scans import GRAVITY, bracketed, knot_arrays
 
 Extrinsic = tuple[tuple[float, ...], tuple[float, float, float]]
@@ -37,29 +37,47 @@ def undistort(points: DataFrame, knots: DataFrame, extrinsic: Extrinsic = NONE)
     before it (rotation, velocity, position) and the one after it (acceleration, turn rate). Points at or before the first knot, and
     scans without two knots, stay as they are. Each point is moved once.
     """
-    arrays = knot_arrays(knots.select("scan_id", "seq", "t", F.struct("acc", "gyr", "vel", "pos", "rot").alias("v")))
-    rows = bracketed(points, arrays, "left").withColumn("_head", F.when(F.col("_head") >= 0, F.col("_head")))
-    head, tail, end = F.get("_values", F.col("_head")), F.get("_values", F.col("_head") + 1), F.get("_values", F.size("_values") - 1)
-    rows = rows.withColumns({"head": head, "tail": tail, "e": F.struct(end["v"]["pos"].alias("pos"), end["v"]["rot"].alias("rot"))}).drop("_times", "_values", "_head")
+    rows = bracketed(points, motions(knots, extrinsic), "left").withColumn("_m", F.get("_values", F.col("_head"))).drop("_times", "_values", "_head")
+    r, t = lit_matrix(extrinsic)
+    rows = rows.withColumns({"_dt": F.col("t") - F.col("_m.t"), **{f"_b{i}": a + b for i, (a, b) in enumerate(zip(mat_vec(r, vec()), t))}})
+    rows = rows.withColumns({"_sin": F.sin(F.col("_m.rate") * F.col("_dt")), "_cos": F.cos(F.col("_m.rate") * F.col("_dt")), "_along": sum((F.col(f"_m.axis{i}") * F.col(f"_b{i}") for i in (1, 2)), F.col("_m.axis0") * F.col("_b0"))})
+    axis, b = [F.col(f"_m.axis{i}") for i in range(3)], [F.col(f"_b{i}") for i in range(3)]
+    cross = [axis[1] * b[2] - axis[2] * b[1], axis[2] * b[0] - axis[0] * b[2], axis[0] * b[1] - axis[1] * b[0]]
+    rows = rows.withColumns({f"_e{i}": b[i] * F.col("_cos") + cross[i] * F.col("_sin") + axis[i] * F.col("_along") * (1 - F.col("_cos")) for i in range(3)})
+    moved = mat_vec(tuple(F.col(f"_m.m{i}") for i in range(9)), tuple(F.col(f"_e{i}") for i in range(3)))
+    out = [v + F.col(f"_m.place{i}") + (F.col(f"_m.speed{i}") + F.col(f"_m.pull{i}") * F.col("_dt")) * F.col("_dt") for i, v in enumerate(moved)]
+    rows = rows.withColumns({f"_{c}": F.coalesce(v, F.col(c)) for c, v in zip("xyz", out)})
+    return rows.withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*points.columns)
+
+
+def motions(knots: DataFrame, extrinsic: Extrinsic = NONE) -> DataFrame:
+    """(scan_id, _times, _values): for each scan its knots' times, and for each knot but the last what moves a point after it to the scan's end.
+
+    That is a turn about an axis at a rate, then a matrix and a place with speed and pull, all in the scanner's frame at the end: what is the same for all
+    points of a knot is worked out once a knot, so that little is left to do a point.
+    """
+    state = F.struct("acc", "gyr", "vel", "pos", "rot")
+    arrays = knot_arrays(knots.select("scan_id", "seq", "t", state.alias("v")))
+    rows = arrays.select("scan_id", "_times", F.posexplode("_values").alias("_i", "head"), "_values").where("_i < size(_values) - 1")
+    rows = rows.select("scan_id", "_times", "_i", "head", F.get("_values", F.col("_i") + 1)["v"].alias("tail"), F.get("_values", F.size("_values") - 1)["v"].alias("e"))
 
     def part(name: str, n: int) -> tuple[Column, ...]:
         return tuple(F.get(name, F.lit(i)) for i in range(n))
 
-    def step(df: DataFrame, name: str, values: tuple[Column, ...]) -> tuple[DataFrame, tuple[Column, ...]]:
-        """Columns of their own for values that many others use, so that no expression holds them over and over."""
-        return df.withColumns({f"_{name}{i}": v for i, v in enumerate(values)}), tuple(F.col(f"_{name}{i}") for i in range(len(values)))
-
     r, t = lit_matrix(extrinsic)
-    rows, (dt,) = step(rows, "dt", (F.col("t") - F.col("head.t"),))
-    rows, turn = step(rows, "turn", so3_exp_dt(part("tail.v.gyr", 3), dt))
-    rows, rotation = step(rows, "rot", mat_mul(part("head.v.rot", 9), turn))
-    rows, body = step(rows, "body", tuple(a + b for a, b in zip(mat_vec(r, vec()), t)))
-    shift = [p + v * dt + 0.5 * a * dt * dt - q for p, v, a, q in zip(part("head.v.pos", 3), part("head.v.vel", 3), part("tail.v.acc", 3), part("e.pos", 3))]
-    rows, world = step(rows, "world", tuple(a + b for a, b in zip(mat_vec(rotation, body), shift)))
-    rows, back = step(rows, "back", tuple(a - b for a, b in zip(mat_t_vec(part("e.rot", 9), world), t)))
-    out = mat_t_vec(r, back)
-    rows = rows.withColumns({f"_{c}": F.coalesce(v, F.col(c)) for c, v in zip("xyz", out)})
-    return rows.withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*points.columns)
+    rate = F.sqrt(sum((F.get("tail.gyr", F.lit(i)) * F.get("tail.gyr", F.lit(i)) for i in (1, 2)), F.get("tail.gyr", F.lit(0)) * F.get("tail.gyr", F.lit(0))))
+    rows = rows.withColumn("_rate", F.when(rate > 1e-7, rate).otherwise(rate * 0))  # the identity for rates of 1e-7 or less, however long they are held
+    end = part("e.rot", 9)
+    back = mat_mul(transposed(r), transposed(end))
+    rows = rows.withColumns({f"_k{i}": v for i, v in enumerate(back)})
+    back = tuple(F.col(f"_k{i}") for i in range(9))
+    matrix = mat_mul(back, part("head.v.rot", 9))
+    place = [a - b for a, b in zip(mat_vec(back, tuple(p - q for p, q in zip(part("head.v.pos", 3), part("e.pos", 3)))), mat_t_vec(r, t))]
+    speed, pull = mat_vec(back, part("head.v.vel", 3)), [v / 2 for v in mat_vec(back, part("tail.acc", 3))]
+    axis = [F.when(F.col("_rate") > 0, v / F.col("_rate")).otherwise(v * 0) for v in part("tail.gyr", 3)]
+    names = {"t": F.col("head.t"), "rate": F.col("_rate"), **{f"{n}{i}": v for n, values in (("axis", axis), ("m", matrix), ("place", place), ("speed", speed), ("pull", pull)) for i, v in enumerate(values)}}
+    rows = rows.select("scan_id", "_times", F.struct("_i", *(v.alias(n) for n, v in names.items())).alias("_m"))
+    return rows.groupBy("scan_id").agg(F.first("_times").alias("_times"), F.array_sort(F.collect_list("_m")).alias("_values"))
 
 
 def rotation_of(w: np.ndarray) -> np.ndarray:

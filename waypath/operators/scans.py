@@ -18,20 +18,19 @@ def knot_arrays(knots: DataFrame, value: str = "v") -> DataFrame:
     return rows.select("scan_id", F.col("k.t").alias("_times"), F.transform("k", lambda k: F.struct(k["t"].alias("t"), k["v"].alias("v"))).alias("_values"))
 
 
-def times_before(times: Column, t: Column) -> Column:
-    """How many of an ascending array of times are below t, by bisection: from the largest power of two within the array's length down, a step is taken if the time there is below t."""
-    steps = F.transform(F.reverse(F.sequence(F.lit(0), F.log2(F.size(times).cast("double")).cast("int"))), lambda i: F.call_function("shiftleft", F.lit(1), i))
-
-    def step(at: Column, n: Column) -> Column:
-        return at + F.when((at + n <= F.size(times)) & (F.get(times, at + n - 1) < t), n).otherwise(0)
+def bracketed(points: DataFrame, knots: DataFrame, how: str = "inner") -> DataFrame:
+    """points (scan_id, t and others) joined once with their scan's knot_arrays, with _head: the place in these of asof_bracket's head, from 0; null where there is none.
 
-    return F.aggregate(steps, F.lit(0), step)
+    It is found by bisection: from the largest power of two within the array's length down, a step is taken if the time there is below t. The steps are made once a scan.
+    """
+    steps = F.transform(F.reverse(F.sequence(F.lit(0), F.log2(F.size("_times").cast("double")).cast("int"))), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    rows = points.join(knots.withColumns({"_steps": steps, "_size": F.size("_times")}), "scan_id", how)
 
+    def step(at: Column, n: Column) -> Column:
+        return F.when((at + n <= F.col("_size")) & (F.get("_times", at + n - 1) < F.col("t")), at + n).otherwise(at)
 
-def bracketed(points: DataFrame, knots: DataFrame, how: str = "inner") -> DataFrame:
-    """points (scan_id, t and others) joined once with their scan's knot_arrays, with _head: the place in these of asof_bracket's head, from 0; null or absent where there is none."""
-    rows = points.join(knots, "scan_id", how)
-    return rows.withColumn("_head", F.least(times_before(F.col("_times"), F.col("t")), F.size("_times") - 1) - 1)
+    rows = rows.withColumn("_below", F.least(F.aggregate("_steps", F.lit(0), step), F.col("_size") - 1))
+    return rows.withColumn("_head", F.when(F.col("_below") > 0, F.col("_below") - 1)).drop("_steps", "_size", "_below")
 
 
 def asof_bracket(points: DataFrame, knots: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def asof_bracket(points: DataFrame, knots: DataFrame) -> DataFrame:
     knots (scan_id, seq, t, v); equal times go by seq. Points at or before the first knot are left out, as are scans of
     fewer than two knots. A scan's knots are one sorted array, joined once and searched by bisection in the row.
     """
-    rows = bracketed(points.select("scan_id", "seq", "t"), knot_arrays(knots)).where("_head >= 0")
+    rows = bracketed(points.select("scan_id", "seq", "t"), knot_arrays(knots)).where("_head is not null")
     return rows.select("scan_id", "seq", "t", F.get("_values", F.col("_head")).alias("head"), F.get("_values", F.col("_head") + 1).alias("tail"))
 
 
