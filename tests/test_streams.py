@@ -39,14 +39,14 @@ def messages(spark):
 
 def test_fixes(spark, tmp_path):
     lines = table(spark, SF, "fx_nmea").where("vehicle_id < 3")
-    end = Ending(dealt(spark, lines, f"{tmp_path}/in", "recv_us", 6, 2_000_000), "vehicle_id", "recv_us")
+    end = Ending(dealt(spark, lines, f"{tmp_path}/in", "recv_us", 4, 2_000_000), "vehicle_id", "recv_us")
     got = settled(operators.nmea_fixes(end.stream, "3 seconds"), "fixes", end)
     want = gnss.gnss_to_fix(lines)
     assert got.count() > 50 and same(got.select(*want.columns).collect(), want.collect())
 
 
 def test_outage(spark, messages, tmp_path):
-    end = Ending(dealt(spark, messages, f"{tmp_path}/in", "t_us", 5, 1_500_000), "vehicle_id")
+    end = Ending(dealt(spark, messages, f"{tmp_path}/in", "t_us", 3, 1_500_000), "vehicle_id")
     got = settled(operators.outage(end.stream, "rtk", 2, 1, "2 seconds"), "outage", end)
     want = trajectory.simulate_outage(messages, "rtk", 2, 1).select("vehicle_id", "topic", "seq", "t_us")
     assert want.count() < messages.count() and same(got.collect(), want.collect())
@@ -54,7 +54,7 @@ def test_outage(spark, messages, tmp_path):
 
 def test_sweeps_and_inertial_state(spark, messages, tmp_path):
     firings = messages.select(F.col("vehicle_id").alias("device"), "seq", "t_us", F.when(F.col("seq") % 5 == 0, 100).otherwise(35_900).alias("azimuth"))
-    end = Ending(dealt(spark, firings, f"{tmp_path}/in", "t_us", 4, 1_000_000), "device")
+    end = Ending(dealt(spark, firings, f"{tmp_path}/in", "t_us", 3, 1_000_000), "device")
     got = settled(operators.sweeps(end.stream, "2 seconds"), "sweeps", end)
     want = []
     for _, own in firings.toPandas().sort_values(["t_us", "seq"]).groupby("device"):
@@ -63,14 +63,14 @@ def test_sweeps_and_inertial_state(spark, messages, tmp_path):
     assert len(want) > 100 and same(got.collect(), want)
 
     imu = messages.where("topic = 'imu'").select("vehicle_id", "seq", "t_us", *(F.col(a).alias(b) for a, b in zip(("x", "y", "z", "qz", "qw", "std_x"), ("ax", "ay", "az", "gx", "gy", "gz"))))
-    one, many = (Ending(dealt(spark, imu, f"{tmp_path}/imu{n}", "t_us", n, 1_000_000, n), "vehicle_id") for n in (1, 5))
+    one, many = (Ending(dealt(spark, imu, f"{tmp_path}/imu{n}", "t_us", n, 1_000_000, n), "vehicle_id") for n in (1, 3))
     a, b = (settled(operators.imu_state(e.stream, late="2 seconds"), "state", e).collect() for e in (one, many))
     assert len(a) == 3 and same(a, b)
 
 
 def test_grid_of_all_periods(spark, messages, tmp_path):
     rows = messages.select("vehicle_id", "t_us", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("t_us") % 10_000_000 / 5e6).alias("px"), F.lit(1.5).alias("py"))
-    end = Ending(dealt(spark, rows, f"{tmp_path}/in", "t_us", 4, 500_000), "vehicle_id")
+    end = Ending(dealt(spark, rows, f"{tmp_path}/in", "t_us", 3, 500_000), "vehicle_id")
     grid = settled(operators.rolling_grid(end.stream.withColumn("ts", F.timestamp_micros("t_us")), late="1 second"), "grid", end)
     near = rows.where("abs(x - px) < 3 and abs(y - py) < 3").count()
     assert grid.agg(F.sum("hits")).first()[0] == near > 0
