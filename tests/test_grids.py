@@ -64,6 +64,16 @@ def test_bisection(spark):
     assert have == want and len(want) > 100
 
 
+def test_no_row_holds_a_scan(spark):
+    """A scan's knots may be many: they are passed in order of time, never gathered in an array that each point's row holds."""
+    n = 20_000
+    knots = spark.range(n).select(F.lit(1).cast("long").alias("scan_id"), F.col("id").alias("seq"), (F.col("id") * 2.0).alias("t"), F.col("id").alias("v"))
+    pts = spark.range(2 * n).select(F.lit(1).cast("long").alias("scan_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("t"))
+    got = scans.asof_bracket(pts, knots)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("head.v <> least(floor((t - 1) / 2), 19998) or tail.v <> head.v + 1").isEmpty() and got.count() == 2 * n - 1
+
+
 def batch(spark, lo, n, seed):
     rng = np.random.default_rng(seed)
     return spark.createDataFrame([(lo + i, *map(float, rng.random(3) * 3 - 1.5)) for i in range(n)], "point_id long, x double, y double, z double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions.pose import quat, quat_rotate, vec
 from waypath.functions.rotation import Matrix, mat_mul, mat_t_vec, mat_vec, transposed
-from waypath.operators.scans import GRAVITY, bracketed, knot_arrays
+from waypath.operators.scans import GRAVITY, bracketed, followed
 
 Extrinsic = tuple[tuple[float, ...], tuple[float, float, float]]
 #: Scanner to inertial sensor: rotation (row-major) and translation.
@@ -37,7 +37,7 @@ def undistort(points: DataFrame, knots: DataFrame, extrinsic: Extrinsic = NONE)
     before it (rotation, velocity, position) and the one after it (acceleration, turn rate). Points at or before the first knot, and
     scans without two knots, stay as they are. Each point is moved once.
     """
-    rows = bracketed(points, motions(knots, extrinsic), "left").withColumn("_m", F.get("_values", F.col("_head"))).drop("_times", "_values", "_head")
+    rows = bracketed(points, motions(knots, extrinsic), "_m")
     r, t = lit_matrix(extrinsic)
     rows = rows.withColumns({"_dt": F.col("t") - F.col("_m.t"), **{f"_b{i}": a + b for i, (a, b) in enumerate(zip(mat_vec(r, vec()), t))}})
     rows = rows.withColumns({"_sin": F.sin(F.col("_m.rate") * F.col("_dt")), "_cos": F.cos(F.col("_m.rate") * F.col("_dt")), "_along": sum((F.col(f"_m.axis{i}") * F.col(f"_b{i}") for i in (1, 2)), F.col("_m.axis0") * F.col("_b0"))})
@@ -51,15 +51,13 @@ def undistort(points: DataFrame, knots: DataFrame, extrinsic: Extrinsic = NONE)
 
 
 def motions(knots: DataFrame, extrinsic: Extrinsic = NONE) -> DataFrame:
-    """(scan_id, _times, _values): for each scan its knots' times, and for each knot but the last what moves a point after it to the scan's end.
+    """(scan_id, seq, t, _m): for each knot but a scan's last what moves a point after it to the scan's end.
 
     That is a turn about an axis at a rate, then a matrix and a place with speed and pull, all in the scanner's frame at the end: what is the same for all
     points of a knot is worked out once a knot, so that little is left to do a point.
     """
     state = F.struct("acc", "gyr", "vel", "pos", "rot")
-    arrays = knot_arrays(knots.select("scan_id", "seq", "t", state.alias("v")))
-    rows = arrays.select("scan_id", "_times", F.posexplode("_values").alias("_i", "head"), "_values").where("_i < size(_values) - 1")
-    rows = rows.select("scan_id", "_times", "_i", "head", F.get("_values", F.col("_i") + 1)["v"].alias("tail"), F.get("_values", F.size("_values") - 1)["v"].alias("e"))
+    rows = followed(knots.select("scan_id", "seq", "t", state.alias("v"))).select("scan_id", "seq", "t", "head", F.col("tail.v").alias("tail"), F.col("end.v").alias("e"))
 
     def part(name: str, n: int) -> tuple[Column, ...]:
         return tuple(F.get(name, F.lit(i)) for i in range(n))
@@ -76,8 +74,7 @@ def motions(knots: DataFrame, extrinsic: Extrinsic = NONE) -> DataFrame:
     speed, pull = mat_vec(back, part("head.v.vel", 3)), [v / 2 for v in mat_vec(back, part("tail.acc", 3))]
     axis = [F.when(F.col("_rate") > 0, v / F.col("_rate")).otherwise(v * 0) for v in part("tail.gyr", 3)]
     names = {"t": F.col("head.t"), "rate": F.col("_rate"), **{f"{n}{i}": v for n, values in (("axis", axis), ("m", matrix), ("place", place), ("speed", speed), ("pull", pull)) for i, v in enumerate(values)}}
-    rows = rows.select("scan_id", "_times", F.struct("_i", *(v.alias(n) for n, v in names.items())).alias("_m"))
-    return rows.groupBy("scan_id").agg(F.first("_times").alias("_times"), F.array_sort(F.collect_list("_m")).alias("_values"))
+    return rows.select("scan_id", "seq", "t", F.struct(*(v.alias(n) for n, v in names.items())).alias("_m"))
 
 
 def rotation_of(w: np.ndarray) -> np.ndarray:
