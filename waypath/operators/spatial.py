@@ -13,6 +13,8 @@ from waypath.streaming.runs import shared_folder
 
 #: Rows of a bucket of a written map index, once there are more than Spark's own partitions take.
 BUCKET_ROWS = 5_000_000
+#: Map points of a part of the largest cell.
+PART_ROWS = 8192
 
 
 def cell(size: float, axis: str) -> Column:
@@ -72,11 +74,33 @@ class MapIndex:
             self.stored.sparkSession.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+#: Points that share a cell of the smallest size with a point, itself included, on average; halvings that one pass tries.
+CROWD, HALVINGS = 16, 4
+
+
+def fitting_size(points: DataFrame, size: float, low: tuple[float, ...]) -> float:
+    """size, halved until a point shares its cell with CROWD points on average, or until halving no longer parts them (as with copies)."""
+    crowd = None
+    while True:
+        cells = at_levels(points, size, range(0, -HALVINGS - 1, -1), low).groupBy(*CELLS).agg(F.count("*").alias("_n"))
+        found = cells.groupBy("level").agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("crowd")).collect()  # a row a level
+        for level, crowded in sorted(((r["level"], r["crowd"]) for r in found), reverse=True):
+            if crowded <= CROWD:
+                return size * 2.0**level
+        if not found or crowd is not None and crowded > crowd / 2:
+            return size
+        size, crowd = size * 2.0**-HALVINGS, crowded
+
+
 def map_index(points: DataFrame, size: float = 2.0) -> MapIndex:
-    """The index of points (point_id, x, y, z) in cells of size, twice size and so on, up to one cell. One pass finds the extent; nothing is written."""
+    """The index of points (point_id, x, y, z) in cells of size (halved where the map is dense), twice that and so on, up to one cell.
+
+    One pass finds the extent and a few find the smallest size; nothing is written.
+    """
     spread = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).first()
     low, high = (tuple(spread[f"{n}{c}"] or 0.0 for c in "xyz") for n in ("lo", "hi"))
     width = max(h - o for h, o in zip(high, low))
+    size = fitting_size(points, size, low)
     top = max(0, math.ceil(math.log2(max(width, size) / size)) + 1)
     stored = at_levels(points, size, range(top + 1), low)
     return MapIndex(stored, stored.groupBy(*CELLS).agg(F.count("*").alias("_n")), spread.n, low, high, top, size)
@@ -97,39 +121,45 @@ def write_index(points: DataFrame, size: float = 2.0, buckets: int | None = None
 def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
     """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
 
-    The map is counted in cells of size, twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
+    The map is counted in cells of size (halved where it is dense), twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
     map's nearest place to it) with k points; these give the radius in which its k nearest lie, and a radius join in at most 27 cells of
-    that order finds them. Two joins settle all queries, dense or far away. points may be a MapIndex, whose size then holds; one that was written is not shuffled again.
+    that order finds them. Two joins settle all queries, dense or far away; queries at one place are settled once. points may be a MapIndex, whose size then
+    holds; one that was written is not shuffled again.
     """
     index = points if isinstance(points, MapIndex) else map_index(points, size)
     size, low, high, top, stored = index.size, index.low, index.high, index.top, index.stored
-    need, cells = min(k, index.n), list(CELLS)
+    need, cells, place = min(k, index.n), list(CELLS), ["x", "y", "z"]
     full = index.full.where(F.col("_n") >= need).drop("_n")
     side = size * F.pow(F.lit(2.0), F.col("level"))
 
-    def place(c: str, shift: Column | float, o: float, h: float) -> Column:
+    def cell_of(c: str, shift: Column | float, o: float, h: float) -> Column:
         return F.floor((F.least(F.greatest(F.col(c) + shift, F.lit(float(o))), F.lit(float(h))) - o) / side)
 
-    asked = queries.select("query_id", "x", "y", "z")
+    asked = queries.select(*place).distinct()
     start = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(top + 1)))))
-    start = start.withColumns({f"c{c}": place(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
-    start = start.groupBy("query_id").agg(F.min(F.struct(*cells, "x", "y", "z")).alias("s")).select("query_id", "s.*")
+    start = start.withColumns({f"c{c}": cell_of(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
+    start = start.groupBy(*place).agg(F.min(F.struct(*cells)).alias("s")).select(*place, "s.*")
     d2 = distance2()
-    reach = start.join(stored, cells).select("query_id", "x", "y", "z", d2.alias("d2"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("d2"))
+    reach = start.join(stored, cells).select(*place, d2.alias("d2"))
+    nth = F.row_number().over(Window.partitionBy(*place).orderBy("d2"))
     reach = reach.withColumn("_r", nth).where(F.col("_r") == need).drop("_r").withColumn("r", F.sqrt("d2") * (1 + 1e-9) + 1e-12)
     if max_dist is not None:
         reach = reach.withColumn("r", F.least("r", F.lit(float(max_dist))))
     reach = reach.withColumn("level", F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / size)).cast("int"))))
     for c, o, h in zip("xyz", low, high):
-        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(place(c, -F.col("r"), o, h), place(c, F.col("r"), o, h))))
-    near = reach.drop("d2").join(stored, cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r") * F.col("r")).drop(*cells, "r")
+        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(cell_of(c, -F.col("r"), o, h), cell_of(c, F.col("r"), o, h))))
+    reach = reach.drop("d2")
+    if not index.tables:
+        # Far queries look at large cells: these are dealt in parts, by level, so that no task joins all with all.
+        parts = F.greatest(F.lit(1), F.floor(index.n / PART_ROWS / F.pow(F.lit(4.0), top - F.col("level"))).cast("int"))
+        reach = reach.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        stored, cells = stored.withColumn("_part", F.pmod(F.xxhash64("point_id"), parts).cast("int")), [*cells, "_part"]
+    near = reach.join(stored, cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r") * F.col("r")).drop(*cells, "r")
     if max_dist is not None:
         near = near.where(F.col("d2") <= max_dist * max_dist)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "m_x", "point_id"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("d2", "m_x", "point_id"))
     near = near.withColumn("rank", rank).where(F.col("rank") <= k)
-    more = [c for c in queries.columns if c not in ("query_id", "x", "y", "z")]
-    return near.join(queries.select("query_id", *more), "query_id") if more else near
+    return queries.join(near, place).select("query_id", *near.columns, *(c for c in queries.columns if c not in ("query_id", *place)))
 
 
 def box_join(boxes: DataFrame, points: DataFrame, size: float = 5.0) -> DataFrame:
