@@ -24,6 +24,13 @@ def test_nearest_in_a_dense_map(spark):
     assert got == {(i, j + 1): int(p) for i in range(len(q)) for j, p in enumerate(sorted(range(len(m)), key=lambda p: (d2[i, p], m[p, 0], p))[:4])}
 
 
+def test_equal_places_are_looked_up_once(spark):
+    points, asked, m, q, d2 = tables(spark)
+    got = {r.query_id: (r.n, r.ids, round(r.d2, 6)) for r in spatial.radius_counts(asked, points, 0.7).collect()}
+    near = d2 <= 0.7 * 0.7
+    assert got == {i: (int(w.sum()), int(np.flatnonzero(w).sum()), round(float(d2[i][w].sum()), 6)) for i, w in enumerate(near) if w.any()}
+
+
 def test_copies_do_not_halve_cells_for_ever(spark):
     same = spark.range(100).select(F.col("id").alias("point_id"), *(F.lit(1.0).alias(c) for c in "xyz"))
     assert spatial.map_index(same).size > 1e-3

@@ -33,7 +33,8 @@ def in_cells(df: DataFrame, size: float) -> DataFrame:
 
 
 def distance2(a: str = "", b: str = "m_") -> Column:
-    return sum((F.col(f"{a}{c}") - F.col(f"{b}{c}")) ** 2 for c in "xyz")
+    away = [F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in "xyz"]
+    return away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -42,6 +43,25 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
     return around(queries, radius).join(right, ["cx", "cy", "cz"]).withColumn("d2", distance2()).where(F.col("d2") <= radius * radius).drop("cx", "cy", "cz")
 
 
+def radius_counts(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """queries (x, y, z and others) that have points (point_id, x, y, z) at most radius away, with their number n, the sum of their ids and that of d2.
+
+    Equal places are looked up once, in cells of half the radius: a point is sent to the cells whose places it may reach.
+    """
+    size = radius / 2
+    right = around(points.select("point_id", "x", "y", "z"), size, 2).withColumnsRenamed({c: f"m_{c}" for c in "xyz"})
+    # How far the point is from the cell, by axis; the cells at the corners are out of reach.
+    gaps = [F.greatest(F.lit(0.0), F.col(f"c{c}") * size - F.col(f"m_{c}"), F.col(f"m_{c}") - (F.col(f"c{c}") + 1) * size) for c in "xyz"]
+    right = right.where(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] <= radius * radius * (1 + 1e-9))
+    places = in_cells(queries.select("x", "y", "z").distinct(), size)
+    # Little is shuffled and much compared: a number that is given is not lessened by the tables' small size.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places, right = (t.repartition(parts, "cx", "cy", "cz") for t in (places, right))
+    near = places.join(right, ["cx", "cy", "cz"]).withColumn("d2", distance2()).where(F.col("d2") <= radius * radius)
+    found = near.groupBy("x", "y", "z").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"), F.sum("d2").alias("d2"))
+    return queries.join(found, ["x", "y", "z"])
+
+
 def at_levels(points: DataFrame, size: float, levels: range, low: tuple[float, ...]) -> DataFrame:
     """points (point_id, m_x, m_y, m_z) once for each level, with their cell: of size * 2^level, counted from low."""
     rows = points.select("point_id", *(F.col(c).alias(f"m_{c}") for c in "xyz")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
