@@ -43,3 +43,10 @@ def test_fit_across_a_border(spark):
     placed = mapping.georeference(df.where("tree_id >= 0").withColumnsRenamed({"lat": "a", "lon": "b"}), mapping.georeference_fit(df))
     off = placed.agg(F.max(F.abs(F.col("lat") - F.col("a")) * 111_000), F.max(F.abs(F.col("lon") - F.col("b")) * 102_000), F.count_if(F.col("b") < 114), F.count_if(F.col("b") >= 114)).first()
     assert off[0] < 2 and off[1] < 2 and off[2] > 20 and off[3] > 20
+
+
+def test_caps_antimeridian_has_one_sign(spark):
+    places = spark.range(600).select((84 + F.col("id") / 100).alias("lat"), F.lit(-180.0).alias("lon"))
+    u = places.select(geodesy.grid_forward(F.col("lat"), F.col("lon")).alias("u"))
+    lons = [r.lon for r in u.select(geodesy.grid_inverse(*(F.col(f"u.{c}") for c in ("zone", "north", "x", "y")))["lon"].alias("lon")).collect()]
+    assert len(lons) == 600 and max(lons) < -179.999999

@@ -84,11 +84,11 @@ def grid_forward(lat: Column, lon: Column) -> Column:
 
 
 def grid_inverse(zone: Column, north: Column, x: Column, y: Column) -> Column:
-    """struct<lat, lon> of grid_forward's results."""
+    """struct<lat, lon> of grid_forward's results; on a cap's antimeridian lon is -180."""
     dx, dy = x - CAP_ORIGIN, F.when(north, CAP_ORIGIN - y).otherwise(y - CAP_ORIGIN)
     chi = math.pi / 2 - 2 * F.atan(F.sqrt(dx * dx + dy * dy) / CAP_RADIUS)
     lat = chi + series(LATITUDE, F.sin, chi)
-    cap = F.struct((F.degrees(lat) * F.when(north, 1.0).otherwise(-1.0)).alias("lat"), F.degrees(F.atan2(dx, dy)).alias("lon"))
+    cap = F.struct((F.degrees(lat) * F.when(north, 1.0).otherwise(-1.0)).alias("lat"), F.when((dx == 0) & (dy < 0), -180.0).otherwise(F.degrees(F.atan2(dx, dy))).alias("lon"))
     return F.when(zone == 0, cap).otherwise(utm_inverse(zone, north, x, y))
 
 
