@@ -143,7 +143,7 @@ def poses(spark, sf_dir):
 @query(f"WITH {POSES}, b AS (SELECT scan_id, seq, scan_id % 8 AS vehicle_id, -y + 0.1e0 AS bx, x - 0.2e0 AS by_, z + 0.3e0 AS bz FROM fx_points) SELECT scan_id, seq, round((qw*qw - qz*qz) * bx - 2 * qw * qz * by_ + px, 5) + 0 AS x, round(2 * qw * qz * bx + (qw*qw - qz*qz) * by_ + py, 5) + 0 AS y, round(bz + pz, 5) + 0 AS z FROM b JOIN o ON b.vehicle_id = o.vehicle_id")
 def transform_cloud(spark, sf_dir):
     p = points(spark, sf_dir).select("scan_id", "seq", (F.col("scan_id") % 8).alias("vehicle_id"), "x", "y", "z")
-    return rounded(motion.transform_cloud(p, poses(spark, sf_dir), QUARTER, "vehicle_id").select("scan_id", "seq", "x", "y", "z"), 5)
+    return rounded(motion.transform_cloud(p, F.broadcast(poses(spark, sf_dir)), QUARTER, "vehicle_id").select("scan_id", "seq", "x", "y", "z"), 5)
 
 
 @query("""WITH k AS (SELECT scan_id, seq, time_s AS t, y / 25 AS th, intensity / 50 AS w, x / 10 AS a, z AS v, y / 5 AS p FROM fx_points WHERE tag < 6),
@@ -448,7 +448,7 @@ TERMS = ["nx", "ny", "nz", "y * mz - z * my", "z * mx - x * mz", "x * my - y * m
 @query(f"WITH {POSES}, b AS (SELECT scan_id, x, y, z, x / 50 AS nx, y / 50 AS ny, z / 50 AS nz, intensity / 100 AS d, qw*qw - qz*qz AS c, 2 * qw * qz AS s, px, py, pz FROM fx_points JOIN o ON scan_id % 8 = vehicle_id), m AS (SELECT *, c * nx + s * ny AS mx, -s * nx + c * ny AS my, nz AS mz, nx * (c * x - s * y + px) + ny * (s * x + c * y + py) + nz * (z + pz) + d AS r FROM b) SELECT scan_id, count(*) AS n, round(sum(r * r), 3) AS cost, " + ", ".join(f"round(sum(({TERMS[i]}) * ({TERMS[j]})), 3) + 0 AS h{i}{j}" for i in range(6) for j in range(i, 6)) + ", " + ", ".join(f"round(sum(({TERMS[i]}) * r), 3) + 0 AS g{i}" for i in range(6)) + " FROM m GROUP BY 1")
 def point_to_plane_normal_equations(spark, sf_dir):
     p = points(spark, sf_dir).select("scan_id", (F.col("scan_id") % 8).alias("vehicle_id"), "x", "y", "z", *((F.col(c) / 50).alias(f"n{c}") for c in "xyz"), (F.col("intensity") / 100).alias("d"))
-    return rounded(mapping.point_to_plane_normal_equations(p.join(poses(spark, sf_dir), "vehicle_id")), 3)
+    return rounded(mapping.point_to_plane_normal_equations(p.join(F.broadcast(poses(spark, sf_dir)), "vehicle_id")), 3)  # a row a vehicle, with which no scan is moved
 
 
 def without_sql(f):
