@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Length of a range of time.
-SPAN_US = 60_000_000
+#: Length of a range of time: a second, which holds about a thousand rows of the fastest sensors, and still few where many of them share a key.
+SPAN_US = 1_000_000
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, name: str, key: str = "vehicle_id", span_us: int = SPAN_US) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypath.functions.binary import byte_at, byte_sum, i16le
 from waypath.operators.asof import SPAN_US, last_seen, running_sum
 from waypath.operators.automaton import finite_scan
 
@@ -28,9 +30,9 @@ def decode_imu(frames: DataFrame, order: tuple[str, ...] = ("recv_us", "seq"), s
     one before; it carries the latest acceleration and orientation (x, y, z, w; 0, 0, 0, 1 before the first).
     order ranks the frames of a run; its first column is a number, cut in ranges of `span`, so no task orders a run.
     """
-    f = F.col("frame")
-    good = frames.where((F.length(f) == FRAME) & (byte_at(f, 0) == HEADER) & (byte_sum(f, 10) == byte_at(f, 10)))
-    kind = good.select("vehicle_id", *dict.fromkeys(("seq", "recv_us", *order)), byte_at(f, 1).alias("kind"), F.array(*(i16le(f, i) for i in (2, 4, 6, 8))).alias("v"))
+    names = [*dict.fromkeys(("vehicle_id", "seq", "recv_us", *order))]
+    kinds = dict(frames.dtypes)
+    kind = frames.select(*names, "frame").mapInArrow(frame_numbers, ", ".join(f"{c} {kinds[c]}" for c in names) + ", kind int, v array<int>")
     at = F.struct(*order)
     rows = last_seen(kind, {"acc": F.when(F.col("kind") == IS_ACC, F.struct(at.alias("at"), "v")), "quat": F.when(F.col("kind") == IS_QUAT, F.col("v")), "turned": F.when(F.col("kind") == IS_GYRO, at)}, order, before=True, span_us=span)
     rows = rows.where((F.col("kind") == IS_GYRO) & F.col("acc").isNotNull() & (F.col("turned").isNull() | (F.col("acc.at") > F.col("turned"))))
@@ -40,6 +42,22 @@ def decode_imu(frames: DataFrame, order: tuple[str, ...] = ("recv_us", "seq"), s
     return rows.select("vehicle_id", *dict.fromkeys(("seq", "recv_us", *order)), *acc, *gyro, *quat)
 
 
+def frame_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a right `frame`, which gives way to its kind and four signed numbers v: the bytes of a batch are one array."""
+    for batch in batches:
+        frames = batch.column("frame").cast(pa.large_binary())
+        row = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.binary_length(frames), FRAME), False)))
+        data = np.frombuffer(b"".join(frames.take(pa.array(row)).to_pylist()), np.uint8).reshape(len(row), FRAME).astype(np.int32)
+        right = (data[:, 0] == HEADER) & (data[:, : FRAME - 1].sum(axis=1) % 256 == data[:, FRAME - 1])
+        row, data = row[right], data[right]
+        v = data[:, 2:10:2] + 256 * data[:, 3:10:2]
+        v = np.where(v > 32767, v - 65536, v).astype(np.int32)
+        at = pa.array(row)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 4, dtype=np.int32)), pa.array(v.ravel()))
+        own = [n for n in batch.schema.names if n != "frame"]
+        yield pa.record_batch([*(batch.column(n).take(at) for n in own), pa.array(data[:, 1]), lists], names=[*own, "kind", "v"])
+
+
 def frame_starts(data: np.ndarray) -> np.ndarray:
     """Places at which the bytes look like a frame: the header, and the sum of ten bytes in the eleventh."""
     n = len(data) - FRAME + 1

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range, and of one read within it.
 SPLIT, READ = 128 << 20, 8 << 20
+#: Tasks that small ranges are dealt to, at least.
+TASKS = 64
 #: Fixed sizes: a capture's own header, that of each record, and those of Ethernet, IPv4 and UDP; the longest record.
 CAPTURE, RECORD, NETWORK, LONGEST = 24, 16, 42, 262_144
 #: Fixed marks of captures: their first four bytes (little-endian), and parts of a second in their times.
@@ -59,6 +61,13 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Range(InputPartition):
     """Records first..last-1 of a dump, or bytes first..last-1 of a capture."""
@@ -68,6 +77,12 @@ class Range(InputPartition):
     last: int
 
 
+def shared(ranges: list[Range], size: int) -> list[Range] | list[Ranges]:
+    """Ranges of size bytes together, of which small ones share a task: there are TASKS of these, or more where each would hold over READ bytes."""
+    each = len(ranges) // max(TASKS, size // READ)
+    return ranges if each <= 1 else [Ranges(ranges[i : i + each]) for i in range(0, len(ranges), each)]
+
+
 class DumpReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -80,9 +95,13 @@ class DumpReader(DataSourceReader):
         for path, size in files_of(self.path):
             n = max(0, size - self.skip) // self.stride
             out += [Range(path, i, min(n, i + step)) for i in range(0, n, step)]
-        return out or [Range("", 0, 0)]
+        return shared(out, sum(r.last - r.first for r in out) * self.stride) or [Range("", 0, 0)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        for one in part.ranges if isinstance(part, Ranges) else [part]:
+            yield from self.records(one)
+
+    def records(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.first == part.last:
             return
         system, own = opened(part.path)
