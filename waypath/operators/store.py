@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypath.operators.spatial import box_join
@@ -44,33 +45,64 @@ def candidates(points: DataFrame, places: DataFrame, eps: float) -> DataFrame:
     return near.select("place", "point_id", d2.alias("d2"))
 
 
-def assigned(requests: DataFrame, near: DataFrame) -> DataFrame:
+def meeting(near: DataFrame, steps: int = 2) -> DataFrame:
+    """(place, tile) of the places of near (place, point_id): places that have a point in common, or each one with a third, mostly share a tile."""
+    tiles = near.select("place").distinct().withColumn("tile", F.xxhash64("place"))
+    for _ in range(steps):
+        points = near.join(tiles, "place").groupBy("point_id").agg(F.min("tile").alias("tile"))
+        tiles = near.join(points, "point_id").groupBy("place").agg(F.min("tile").alias("tile"))
+    return tiles
+
+
+def looped(asked: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """The loop over requests (request_id, place) by request_id: each takes the first point (place, point_id, d2, other) of its list that neither it nor an earlier one holds."""
+    lists = lists.sort_values(["place", "d2", "point_id"])
+    own = {place: (g["point_id"].tolist(), g["other"].tolist()) for place, g in lists.groupby("place", sort=False)}
+    at, taken = dict.fromkeys(own, 0), {}
+    asked = asked.sort_values("request_id")
+    for request, place in zip(asked["request_id"].tolist(), asked["place"].tolist()):
+        points, others = own.get(place, ([], []))
+        i = at.get(place, 0)
+        while i < len(points) and (points[i] in taken or others[i] < request):
+            i += 1
+        if i < len(points):
+            taken[points[i]] = request
+        at[place] = i + 1
+    return pd.DataFrame({"point_id": list(taken.keys()), "request_id": list(taken.values())}, dtype="int64")
+
+
+def assigned(requests: DataFrame, near: DataFrame, tile: Column | None = None) -> DataFrame:
     """(point_id, request_id): what a loop over the requests by request_id gives in which each takes the first point of its place's list that is left.
 
-    requests: request_id, place. near: place, point_id, d2, a list by d2, then point_id. In rounds, requests without a point propose and a
-    point keeps the least request_id of those that ever asked for it, so it is only ever taken over by earlier requests; this has one outcome, that of
-    the loop. The requests of one place share a list: the n-th of them asks for the n-th point of the list that its first one may still get, as
-    those before it ask for the points before. So equal requests take one round together, and rounds follow only where places compete for points.
+    requests: request_id, place. near: place, point_id, d2, a list by d2, then point_id. tile is an expression of place; a task loops over the requests of a tile. A point
+    keeps the least request_id of those that ever took it, and a tile whose requests lost points to another's loops again, until nothing changes. A point is only ever
+    taken over by earlier requests, so this has one outcome, that of the loop. Rounds follow only where tiles compete for points.
     """
-    spark = requests.sparkSession
+    spark, number = requests.sparkSession, F.xxhash64("place") if tile is None else tile
+    asked = requests.select(number.alias("tile"), "request_id", F.col("place").cast("string").alias("place"))
+    lists = near.select(number.alias("tile"), F.col("place").cast("string").alias("place"), "point_id", "d2")
+    kinds = f"tile {dict(asked.dtypes)['tile']}, point_id long, request_id long"
+
+    def settle(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = looped(left, right)
+        out.insert(0, "tile", pd.Series([key[0]] * len(out)))
+        return out
+
     kept = None
     while True:
-        free = requests if kept is None else requests.join(kept, "request_id", "left_anti")
-        by_place = Window.partitionBy("place").orderBy("request_id")
-        free = free.select("request_id", "place", F.row_number().over(by_place).alias("turn"), F.min("request_id").over(Window.partitionBy("place")).alias("first"))
-        lists = near.withColumn("holder", F.lit(None).cast(requests.schema["request_id"].dataType)) if kept is None else near.join(kept.withColumnRenamed("request_id", "holder"), "point_id", "left")
-        lists = lists.join(free.select("place", "first").distinct(), "place").where(F.col("holder").isNull() | (F.col("holder") > F.col("first")))
-        lists = lists.withColumn("turn", F.row_number().over(Window.partitionBy("place").orderBy("d2", "point_id"))).drop("first", "d2")
-        asks = free.join(lists, ["place", "turn"]).where(F.col("holder").isNull() | (F.col("holder") > F.col("request_id"))).select("point_id", "request_id")
-        asks = asks.withColumn("new", F.lit(True))
-        both = asks if kept is None else kept.withColumn("new", F.lit(False)).unionByName(asks)
-        best = both.groupBy("point_id").agg(F.min("request_id").alias("request_id"), F.max("new").alias("new"))
+        held = lists.withColumn("holder", F.lit(None).cast("long")) if kept is None else lists.join(kept.select("point_id", F.col("request_id").alias("holder"), F.col("tile").alias("_of")), "point_id", "left")
+        other = F.lit(None).cast("long") if kept is None else F.when(F.col("_of") != F.col("tile"), F.col("holder"))
+        held = held.select("tile", "place", "point_id", "d2", F.coalesce(other, F.lit(2**63 - 1)).alias("other"))
+        found = asked.groupBy("tile").cogroup(held.groupBy("tile")).applyInPandas(settle, kinds).withColumn("new", F.lit(True))
+        both = found if kept is None else kept.withColumn("new", F.lit(False)).unionByName(found)
+        # Of equal claims the one known before counts, so that a round without changes has no new ones.
+        best = both.groupBy("point_id").agg(F.min(F.struct("request_id", "new", "tile")).alias("b")).select("point_id", "b.*")
         path = shared_folder(spark, "assigned")
         best.write.parquet(path)
         best = spark.read.schema(best.schema).parquet(path)
         kept = best.drop("new")
         if best.where("new").isEmpty():
-            return kept
+            return kept.drop("tile")
 
 
 def delete_points(points: DataFrame, requests: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -82,5 +114,9 @@ def delete_points(points: DataFrame, requests: DataFrame, eps: float = 1e-6) ->
     path = shared_folder(points.sparkSession, "candidates")
     near = candidates(points, asked.select("place").distinct().select("place", "place.*"), eps)
     near.write.parquet(path)
-    gone = assigned(asked, points.sparkSession.read.schema(near.schema).parquet(path)).select("point_id", F.lit(True).alias("_hit"))
+    near = points.sparkSession.read.schema(near.schema).parquet(path)
+    tiles = shared_folder(points.sparkSession, "tiles")
+    meeting(near).write.parquet(tiles)
+    tiles = points.sparkSession.read.schema("place struct<qx:double,qy:double,qz:double>, tile long").parquet(tiles)
+    gone = assigned(asked.join(tiles, "place"), near.join(tiles, "place"), F.col("tile")).select("point_id", F.lit(True).alias("_hit"))
     return points.join(gone, "point_id", "left").withColumn("deleted", F.col("deleted") | F.col("_hit").isNotNull()).drop("_hit")
