@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypath.functions.pose import Vec
@@ -40,20 +40,28 @@ def quat_to_matrix(q: tuple[Column, ...]) -> Matrix:
     )
 
 
-def matrix_to_quat(m: Matrix) -> tuple[Column, ...]:
-    """x, y, z, w with w >= 0, from the largest of the four squares, so that no division is by a small number."""
+def four_rows(m: Matrix) -> tuple[tuple[Column, ...], ...]:
+    """x, y, z, w of a rotation matrix, up to a factor, in four ways; the factor of row i is four times its i-th number, squared."""
     four = (1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8], 1 + m[0] + m[4] + m[8])
-    rows = (
+    return (
         (four[0], m[1] + m[3], m[2] + m[6], m[7] - m[5]), (m[1] + m[3], four[1], m[5] + m[7], m[2] - m[6]),
         (m[2] + m[6], m[5] + m[7], four[2], m[3] - m[1]), (m[7] - m[5], m[2] - m[6], m[3] - m[1], four[3]),
     )
-    most, out = F.greatest(*four), []
-    for k in range(4):
-        value = F.lit(None).cast("double")
-        for i in range(4):
-            value = F.when(four[i] == most, rows[i][k] / (2 * F.sqrt(four[i])) * F.when(rows[i][3] < 0, -1.0).otherwise(1.0)).otherwise(value)
-        out.append(value)
-    return tuple(out)
+
+
+def with_quat(df: DataFrame, m: Matrix, names: tuple[str, ...]) -> DataFrame:
+    """df with x, y, z, w of a rotation matrix under these names: w >= 0, from the largest of the four squares, so that no division is by a small number.
+
+    It takes steps of columns, as one expression of all would be too long for the compiler of generated code.
+    """
+    rows = four_rows(m)
+    own = {f"_four{i}": rows[i][i] for i in range(4)}
+    df = df.withColumns(own).withColumn("_most", F.greatest(*own))
+    largest = [F.col(f"_four{i}") == F.col("_most") for i in range(4)]
+    chosen = {f"_chosen{k}": F.when(largest[3], rows[3][k]).when(largest[2], rows[2][k]).when(largest[1], rows[1][k]).when(largest[0], rows[0][k]) for k in range(4)}
+    scale = F.when(F.col("_chosen3") < 0, -1.0).otherwise(1.0)
+    df = df.withColumns(chosen).withColumns({n: F.col(c) / (2 * F.sqrt("_most")) * scale for n, c in zip(names, chosen)})
+    return df.drop(*own, "_most", *chosen)
 
 
 def state_boxplus(pos: Vec, rot: Matrix, others: tuple[Column, ...], delta: tuple[Column, ...]) -> tuple[Vec, Matrix, tuple[Column, ...]]:

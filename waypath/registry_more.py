@@ -166,21 +166,28 @@ def turned(scale: float):
 
 @query("WITH p AS (SELECT *, sqrt(x*x + y*y + z*z) / 20 AS a FROM fx_points), q AS (SELECT *, CASE WHEN a > 1e-7 THEN sin(a / 2) / a ELSE 0.5e0 END / 20 AS k FROM p) SELECT scan_id, seq, round(x * k, 6) + 0 AS qx, round(y * k, 6) + 0 AS qy, round(z * k, 6) + 0 AS qz, round(cos(a / 2), 6) + 0 AS qw FROM q")
 def matrix_to_quat(spark, sf_dir):
-    q = rotation.matrix_to_quat(turned(20))
-    return rounded(points(spark, sf_dir).select("scan_id", "seq", *(v.alias(f"q{c}") for v, c in zip(q, "xyzw"))))
+    rows = points(spark, sf_dir).select("scan_id", "seq", *(v.alias(f"r{i}") for i, v in enumerate(turned(20))))
+    names = tuple(f"q{c}" for c in "xyzw")
+    return rounded(rotation.with_quat(rows, tuple(F.col(f"r{i}") for i in range(9)), names).select("scan_id", "seq", *names))
 
 
 @query("SELECT scan_id, seq, round(z, 5) + 0 AS px, round(x, 5) + 0 AS py, round(y, 5) + 0 AS pz, round(y / 30, 5) + 0 AS wx, round(z / 30, 5) + 0 AS wy, round(x / 30, 5) + 0 AS wz FROM fx_points")
 def rigid_motions(spark, sf_dir):
     """What takes a pose to its product with another is that other, by composition, inverse and relative pose."""
-    a = (pose.vec(), rotation.matrix_to_quat(turned(20)))
-    b = (tuple(F.col(c) for c in "zxy"), rotation.matrix_to_quat(rotation.so3_exp(tuple(F.col(c) / 30 for c in "yzx"))))
-    rows = points(spark, sf_dir).select("scan_id", "seq", "x", "y", "z", *(v.alias(f"a{c}") for v, c in zip(a[1], "xyzw")), *(v.alias(f"b{c}") for v, c in zip(b[1], "xyzw")))
-    qa, qb = (tuple(F.col(f"{k}{c}") for c in "xyzw") for k in "ab")
-    product = pose.rigid_compose(pose.vec(), qa, b[0], qb)
-    rows = rows.select("scan_id", "seq", "x", "y", "z", *(f"a{c}" for c in "xyzw"), *(v.alias(f"p{c}") for v, c in zip(product[0], "xyz")), *(v.alias(f"q{c}") for v, c in zip(product[1], "xyzw")))
-    there = pose.relative_pose(pose.vec(), qa, tuple(F.col(f"p{c}") for c in "xyz"), pose.quat())
-    back = pose.rigid_inverse(*pose.rigid_inverse(*there))
+    # Each step is columns of its own: written into one another, the expressions grow manifold with every step.
+    rows = points(spark, sf_dir).select("scan_id", "seq", "x", "y", "z")
+    for k, m in (("a", turned(20)), ("b", rotation.so3_exp(tuple(F.col(c) / 30 for c in "yzx")))):
+        rows = rows.withColumns({f"m{i}": v for i, v in enumerate(m)})
+        rows = rotation.with_quat(rows, tuple(F.col(f"m{i}") for i in range(9)), tuple(f"{k}q{c}" for c in "xyzw"))
+
+    def kept(k: str, motion) -> tuple:
+        nonlocal rows
+        rows = rows.withColumns(dict(zip((*(f"{k}{c}" for c in "xyz"), *(f"{k}q{c}" for c in "xyzw")), (*motion[0], *motion[1]))))
+        return pose.vec(k), pose.quat(k)
+
+    a, b = (pose.vec(), pose.quat("a")), (tuple(F.col(c) for c in "zxy"), pose.quat("b"))
+    there = kept("t", pose.relative_pose(*a, *kept("p", pose.rigid_compose(*a, *b))))
+    back = kept("j", pose.rigid_inverse(*kept("i", pose.rigid_inverse(*there))))
     rows = rows.select("scan_id", "seq", *(v.alias(f"p{c}") for v, c in zip(back[0], "xyz")), *(v.alias(f"m{i}") for i, v in enumerate(rotation.quat_to_matrix(back[1]))))
     w = rotation.so3_log(tuple(F.col(f"m{i}") for i in range(9)))
     return rounded(rows.select("scan_id", "seq", "px", "py", "pz", *(v.alias(f"w{c}") for v, c in zip(w, "xyz"))), 5)
