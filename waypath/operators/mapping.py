@@ -163,7 +163,7 @@ def step_poses(poses: DataFrame, equations: DataFrame, key: str = "scan_id", lim
 def scan_to_map_register(scans: DataFrame, poses: DataFrame, points: DataFrame, rounds: int = 3, k: int = 5, size: float = 2.0, most: float = 0.1, limit: float = 1e-3) -> DataFrame:
     """Poses (scan_id, px..pz, qx..qw, done) of scans (scan_id, seq, x, y, z) against a map (point_id, x, y, z), from the poses given.
 
-    Each round moves all points of all scans, finds their k nearest map points and the planes through these, and steps every pose that is not done. Between rounds the
+    Each round moves all points of all scans, finds the k nearest map points of every place among them and the planes through these, and steps every pose that is not done. Between rounds the
     poses are checkpointed (one row a scan). Points without k neighbours or a plane within `most` have no part. The map is written once, bucketed
     by cell, and never shuffled again: rounds move poses and points only.
     """
@@ -172,10 +172,9 @@ def scan_to_map_register(scans: DataFrame, poses: DataFrame, points: DataFrame,
     for _ in range(rounds):
         moved = scans.select("scan_id", "seq", *(F.col(c).alias(f"b{c}") for c in "xyz")).join(now, "scan_id").where("not done")
         world = mat_vec(quat_to_matrix(quat()), tuple(F.col(f"b{c}") for c in "xyz"))
-        moved = moved.withColumns({c: a + F.col(f"p{c}") for a, c in zip(world, "xyz")}).withColumn("query_id", F.struct("scan_id", "seq"))
-        near = knn_join(moved.select("query_id", "x", "y", "z"), index, k)
-        full = near.groupBy("query_id").agg(F.count("*").alias("held")).where(F.col("held") >= k).drop("held")
-        planes = plane_fit(near.join(full, "query_id", "left_semi").select("query_id", *(F.col(f"m_{c}").alias(c) for c in "xyz")), most=most)
+        moved = moved.withColumns({c: a + F.col(f"p{c}") for a, c in zip(world, "xyz")}).withColumn("query_id", F.struct("x", "y", "z"))
+        near = knn_join(moved.select("query_id", "x", "y", "z").distinct(), index, k)
+        planes = plane_fit(near.select("query_id", *(F.col(f"m_{c}").alias(c) for c in "xyz")), most=most, least=k)
         matches = moved.drop("x", "y", "z").withColumnsRenamed({f"b{c}": c for c in "xyz"}).join(planes, "query_id")
         now = step_poses(now, point_to_plane_normal_equations(matches), limit=limit).checkpoint()
         if now.where("not done").isEmpty():

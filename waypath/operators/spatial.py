@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waypath.streaming.runs import shared_folder
@@ -138,13 +141,83 @@ def write_index(points: DataFrame, size: float = 2.0, buckets: int | None = None
     return replace(index, stored=spark.table(names[0]), full=spark.table(names[1]), tables=tuple(names))
 
 
+#: Distances that a task holds at once.
+HELD = 2_000_000
+
+
+def spread_by_level(index: MapIndex, most: int) -> Column:
+    """most for the largest cell, a fourth of it for the next smaller ones and so on; 1 at least."""
+    return F.greatest(F.lit(1), F.floor(most / F.pow(F.lit(4.0), index.top - F.col("level"))).cast("int"))
+
+
+def blocks_of(spark: SparkSession, index: MapIndex) -> Column:
+    """The block of a place among those of its cell: far places share the few large cells, so these are dealt to many."""
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64("x", "y", "z"), spread_by_level(index, tasks))
+
+
+def in_blocks(places: DataFrame, block: Column) -> DataFrame:
+    """places (x, y, z, r, with their cell) as arrays, a row for each cell and block."""
+    return places.groupBy(*CELLS, block.alias("_block")).agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("places"))
+
+
+def in_parts(index: MapIndex) -> DataFrame:
+    """The map's points as arrays, ordered by m_x, then point_id, a row for each cell and part of it. A written index isn't shuffled for it."""
+    part = F.pmod(F.xxhash64("point_id"), spread_by_level(index, max(1, index.n // PART_ROWS)))
+    rows = index.stored.groupBy(*CELLS, part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct("m_x", "point_id", "m_y", "m_z"))).alias("points"))
+    return rows.drop("_part")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.StructArray, np.ndarray]]:
+    """Of each row's places and points: some of the places (x, y, z, r), the points and their squared distances, a line a place."""
+    for batch in batches:
+        for places, points in zip(batch.column("places"), batch.column("points")):
+            asked = np.stack([places.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "r")], axis=1)
+            xyz = [points.values.field(f"m_{c}").to_numpy(zero_copy_only=False).astype(float) for c in "xyz"]
+            step = max(1, HELD // len(xyz[0]))
+            for i in range(0, len(asked), step):
+                own = asked[i : i + step]
+                away = [own[:, j, None] - xyz[j][None] for j in range(3)]
+                yield own, points.values, away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
+
+
+def reaches(need: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Squared distances from each place to its nth (`need`) and to its farthest point; no nth where there are fewer points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, d2 in met(batches):
+            nth = pa.array(np.partition(d2, need - 1, axis=1)[:, need - 1]) if 1 <= need <= d2.shape[1] else pa.nulls(len(own), pa.float64())
+            yield pa.record_batch([*(pa.array(own[:, j]) for j in range(3)), nth, pa.array(d2.max(axis=1))], names=["x", "y", "z", "nth", "most"])
+
+    return run
+
+
+def nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the points within r of each place the k nearest; the first ones of equally near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, points, d2 in met(batches):
+            row, at = np.nonzero(d2 <= (own[:, 3] * own[:, 3])[:, None])
+            far = d2[row, at]
+            order = np.lexsort((at, far, row))
+            row, at, far = row[order], at[order], far[order]
+            first = np.searchsorted(row, np.arange(len(own)))
+            kept = np.arange(len(row)) - first[row] < k
+            row, found = row[kept], points.take(pa.array(at[kept]))
+            names = ["point_id", "m_x", "m_y", "m_z"]
+            yield pa.record_batch([*(pa.array(own[row, j]) for j in range(3)), *(found.field(c) for c in names), pa.array(far[kept])], names=["x", "y", "z", *names, "d2"])
+
+    return run
+
+
 def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
     """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
 
     The map is counted in cells of size (halved where it is dense), twice size and so on, up to one cell. A query starts in the smallest cell around it (or around the
     map's nearest place to it) with k points; these give the radius in which its k nearest lie, and a radius join in at most 27 cells of
-    that order finds them. Two joins settle all queries, dense or far away; queries at one place are settled once. points may be a MapIndex, whose size then
-    holds; one that was written is not shuffled again.
+    that order finds them. Two joins settle all queries, dense or far away; queries at one place are settled once. Both sides are joined as arrays, places of a cell
+    with the cell's points, and only what is among the k nearest of a part becomes rows. points may be a MapIndex, whose size then holds; one that was written
+    is not shuffled again.
     """
     index = points if isinstance(points, MapIndex) else map_index(points, size)
     size, low, high, top, stored = index.size, index.low, index.high, index.top, index.stored
@@ -155,26 +228,22 @@ def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size:
     def cell_of(c: str, shift: Column | float, o: float, h: float) -> Column:
         return F.floor((F.least(F.greatest(F.col(c) + shift, F.lit(float(o))), F.lit(float(h))) - o) / side)
 
-    asked = queries.select(*place).distinct()
+    asked = queries.select(*(F.col(c).cast("double").alias(c) for c in place)).distinct()
     start = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(top + 1)))))
     start = start.withColumns({f"c{c}": cell_of(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
     start = start.groupBy(*place).agg(F.min(F.struct(*cells)).alias("s")).select(*place, "s.*")
-    d2 = distance2()
-    reach = start.join(stored, cells).select(*place, d2.alias("d2"))
-    nth = F.row_number().over(Window.partitionBy(*place).orderBy("d2"))
-    reach = reach.withColumn("_r", nth).where(F.col("_r") == need).drop("_r").withColumn("r", F.sqrt("d2") * (1 + 1e-9) + 1e-12)
+    held, blocks = in_parts(index), blocks_of(queries.sparkSession, index)
+    kind = stored.schema
+    reach = in_blocks(start.withColumn("r", F.lit(float("inf"))), blocks).join(held, cells).select("places", "points").mapInArrow(reaches(need), "x double, y double, z double, nth double, most double")
+    # A part's own nth place is no nearer than the cell's, so the least of these is far enough; where every part has too few, the farthest place is.
+    reach = reach.groupBy(*place).agg(F.coalesce(F.min("nth"), F.max("most")).alias("d2")).withColumn("r", F.sqrt("d2") * (1 + 1e-9) + 1e-12)
     if max_dist is not None:
         reach = reach.withColumn("r", F.least("r", F.lit(float(max_dist))))
     reach = reach.withColumn("level", F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / size)).cast("int"))))
     for c, o, h in zip("xyz", low, high):
         reach = reach.withColumn(f"c{c}", F.explode(F.sequence(cell_of(c, -F.col("r"), o, h), cell_of(c, F.col("r"), o, h))))
-    reach = reach.drop("d2")
-    if not index.tables:
-        # Far queries look at large cells: these are dealt in parts, by level, so that no task joins all with all.
-        parts = F.greatest(F.lit(1), F.floor(index.n / PART_ROWS / F.pow(F.lit(4.0), top - F.col("level"))).cast("int"))
-        reach = reach.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        stored, cells = stored.withColumn("_part", F.pmod(F.xxhash64("point_id"), parts).cast("int")), [*cells, "_part"]
-    near = reach.join(stored, cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r") * F.col("r")).drop(*cells, "r")
+    near = in_blocks(reach, blocks).join(held, cells).select("places", "points")
+    near = near.mapInArrow(nearest(k), "x double, y double, z double, " + ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in ("point_id", "m_x", "m_y", "m_z")) + ", d2 double")
     if max_dist is not None:
         near = near.where(F.col("d2") <= max_dist * max_dist)
     rank = F.row_number().over(Window.partitionBy(*place).orderBy("d2", "m_x", "point_id"))
