@@ -18,7 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of a Jaccard similarity of at least 0.8.
+    """One document of each group of near-duplicates: op8's SimHash fingerprints within four bits, or five-word shingles of a Jaccard similarity of at least 0.8.
 
     The least doc_id stays (null last); all texts without words are one group.
     """

@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide."""
+"""Near-duplicates by SimHash, as op8 links them, and by Jaccard similarity of word shingles, for which MinHash bands find candidates and exact sets decide."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waypath.llm import simhash
 from waypath.llm.common import Spans, chunks, fresh, looked_up, mix, signed, small_batches, span_hashes, text_bytes, text_key, word_bounds, written
 from waypath.llm.graph import components
 
@@ -56,7 +57,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, t, k, bands): t the text's hash, k that of its set of shingles, bands its keys (none without words)."""
+    """(doc_id, t, k, bands, fp): t the text's hash, k that of its set of shingles, bands its keys (none without words), fp op8's fingerprint."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,10 +69,11 @@ def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     for i, x in zip(full, signed(bands([sets[i] for i in full]))):
                         own[i] = x
                 k = signed(np.array([set_key(s) for s in sets], np.uint64))
-                yield pa.record_batch([piece.column("doc_id"), piece.column("t"), pa.array(k), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "t", "k", "bands"])
+                fp = signed(np.array([simhash.fingerprint(x.as_buffer().to_pybytes()) for x in piece.column("text")], np.uint64))
+                yield pa.record_batch([piece.column("doc_id"), piece.column("t"), pa.array(k), pa.array(own, pa.list_(pa.int64())), pa.array(fp)], names=["doc_id", "t", "k", "bands", "fp"])
 
     rows = docs.select("doc_id", text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(add, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, k long, bands array<long>")
+    return rows.mapInArrow(add, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, k long, bands array<long>, fp long")
 
 
 def linked(keys: list[int], sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
@@ -94,12 +96,23 @@ def linked(keys: list[int], sets: list[np.ndarray], similarity: tuple[int, int]
     return out
 
 
+def alike(found: DataFrame) -> DataFrame:
+    """Links (a, b) between sets k of found (k, fp) that hold texts with fingerprints within op8's distance: enough to connect all that are linked."""
+    own = written(found.select("fp", "k").distinct(), "fingerprints")
+    first = written(own.groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("n")), "first")
+    same = looked_up(own, first, ["fp"], "n").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))
+    near, first = simhash.links(first.select("fp")), first.select("fp", "first")
+    for c in "ab":
+        near = near.join(first.withColumnsRenamed({"fp": c, "first": f"_{c}"}), c)
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(k, one, root): the sets of shingles, the document that stands for each (none, doc_id, t), and the component of the set.
 
-    Sets are linked when their Jaccard similarity is at least `similarity`. Equal sets count once before anything is compared.
+    Sets are linked when texts of theirs have fingerprints within op8's distance, or when their Jaccard similarity is at least `similarity`. Equal sets count once before anything is compared.
     Sets that share a band key, directly or through others, are candidates; only exact comparison of sets links
-    them. Texts without words have the same (empty) set. Empty table: empty result.
+    them so. Texts without words have the same (empty) set. Empty table: empty result.
     """
     small_batches(docs.sparkSession)
     found = written(prints(docs, shingle), "prints")
@@ -134,7 +147,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int,
             yield out(own)
 
     links = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, "a long, b long")
-    roots = components(links.distinct()).withColumnRenamed("node", "k")
+    roots = components(links.unionByName(alike(found)).distinct()).withColumnRenamed("node", "k")
     return classes.drop("bands").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
