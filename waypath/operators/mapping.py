@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypath.functions.geodesy import A, geocentric, geodetic, tangent_forward, tangent_inverse
 from waypath.functions.pose import quat
 from waypath.functions.rotation import mat_t_vec, mat_vec, quat_to_matrix
-from waypath.operators.scans import plane_fit
-from waypath.operators.spatial import around, box_join, in_cells, knn_join, map_extent, voxel_keep_center, write_index
+from waypath.operators.scans import det3
+from waypath.operators.spatial import around, box_candidates, box_join, in_cells, knn_join, map_extent, voxel_keep_center, write_index
+from waypath.streaming.runs import shared_folder
 
 
 def height_band(points: DataFrame, mark: tuple[float, float] = (0.15, 1.5), clear: tuple[float, float] = (-2.0, 2.0), mark_range: float = 5.0, clear_range: float = 6.0) -> DataFrame:
@@ -160,23 +164,155 @@ def step_poses(poses: DataFrame, equations: DataFrame, key: str = "scan_id", lim
     return rows.mapInPandas(solve, poses.select(*names).schema)
 
 
+#: Distances that a task holds at once; places of a cube that one task takes.
+TOGETHER, CROWDED = 250_000, 100_000
+
+
+def nearest_few(held: np.ndarray, places: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The k nearest of held to each place, some of the places at a time; of equally near ones those that come first.
+
+    What is farther from the box around all places than its farthest corner is from k others is left aside at first.
+    """
+    low, high = places.min(axis=0), places.max(axis=0)
+    gap = np.maximum(np.maximum(low - held, held - high), 0)
+    corner = np.maximum(held - low, high - held)
+    most = np.partition((corner * corner).sum(axis=1), k - 1)[k - 1]
+    held = held[(gap * gap).sum(axis=1) <= most * (1 + 1e-9)]
+    step = max(1, TOGETHER // len(held))
+    for i in range(0, len(places), step):
+        own = places[i : i + step]
+        away = [own[:, j, None] - held[None, :, j] for j in range(3)]
+        d2 = away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
+        at = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        tied = np.count_nonzero(d2 <= np.take_along_axis(d2, at, axis=1).max(axis=1)[:, None], axis=1) > k
+        if tied.any():
+            at[tied] = np.argsort(d2[tied], axis=1, kind="stable")[:, :k]
+        yield held[at]
+
+
+def plane_through(points: np.ndarray, most: float, singular: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups of points (group, point, axis) have a plane, and nx, ny, nz, d of these, as plane_fit has them."""
+    sums = {f"{a}{b}": (points[:, :, i] * points[:, :, j]).sum(axis=1) for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j}
+    m, one = [[sums["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"], points.sum(axis=1)
+    with np.errstate(all="ignore"):
+        det = det3(m)
+        fit = np.abs(det) > singular * ((m[0][0] + m[1][1] + m[2][2]) / 3) ** 3
+        u = np.stack([det3([[-one[:, r] if c == i else m[r][c] for c in range(3)] for r in range(3)]) / det for i in range(3)], axis=1)
+        norm = np.sqrt((u * u).sum(axis=1))
+        plane = np.concatenate([u, np.ones((len(u), 1))], axis=1) / norm[:, None]
+        off = np.abs((points * plane[:, None, :3]).sum(axis=2) + plane[:, 3, None])
+        fit &= (norm > 0) & (off <= most).all(axis=1)
+    return fit, plane[fit]
+
+
+def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cubes with x, y, z of their points (m_x, m_y, m_z), one point after the other, as bytes."""
+    for batch in batches:
+        held = [np.stack([own.values.field(f"m_{c}").to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], axis=1).tobytes() for own in batch.column("points")]
+        yield pa.record_batch([*(batch.column(c) for c in ("cx", "cy", "cz")), pa.array(held, pa.binary())], names=["cx", "cy", "cz", "points"])
+
+
+#: Of a scan's matches: their number, squared residuals, products of derivatives (upper half), products with the residual.
+PAIRS = [(a, b) for a in range(6) for b in range(a, 6)]
+SUMS = ["n", "cost", *(f"h{a}{b}" for a, b in PAIRS), *(f"g{a}" for a in range(6))]
+
+
+def sums_by_cube(k: int, most: float, origin: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(scan_id, SUMS) of places (scan_id, x, y, z) against the planes through their k nearest map points, with turns about origin in the world; many rows a scan.
+
+    Places of a cube come behind a row with the map's points around it (points: x, y, z of each as bytes).
+    """
+
+    def sums(scan: np.ndarray, at: np.ndarray, plane: np.ndarray) -> pa.RecordBatch:
+        n = plane[:, :3]
+        r = (n * at).sum(axis=1) + plane[:, 3]
+        j = np.concatenate([n, np.cross(at - np.array(origin), n)], axis=1).T
+        of, place = np.unique(scan, return_inverse=True)
+        terms = [np.ones(len(r)), r * r, *(j[a] * j[b] for a, b in PAIRS), *(j[a] * r for a in range(6))]
+        return pa.record_batch([pa.array(of), *(pa.array(np.bincount(place, t, len(of))) for t in terms)], names=["scan_id", *SUMS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 3))
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+            maps, rows, planes = batch.column("points"), [], []
+            heads = np.flatnonzero(maps.is_valid().to_numpy(zero_copy_only=False))
+            for head, a, b in zip([-1, *heads], [0, *heads + 1], [*heads, batch.num_rows]):
+                if head >= 0:
+                    held = np.frombuffer(maps[head].as_buffer()).reshape(-1, 3)
+                if a == b or len(held) < k:
+                    continue
+                for near in nearest_few(held, places[a:b], k):
+                    fit, plane = plane_through(near, most)
+                    rows.append(a + np.flatnonzero(fit))
+                    planes.append(plane)
+                    a += len(near)
+            if rows and len(at := np.concatenate(rows)):
+                yield sums(batch.column("scan_id").take(pa.array(at)).to_numpy(zero_copy_only=False), places[at], np.concatenate(planes))
+
+    return run
+
+
+def about_poses(sums: DataFrame, poses: DataFrame, origin: tuple[float, ...]) -> DataFrame:
+    """SUMS of scans with turns about origin in the world, as point_to_plane_normal_equations has them for their poses (px..pz, rotation r0..r8). One row a scan is turned in Python."""
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for row in df.to_dict("records"):
+                rot = np.array([row[f"r{i}"] for i in range(9)]).reshape(3, 3)
+                x, y, z = (o - row[f"p{c}"] for o, c in zip(origin, "xyz"))
+                t = np.eye(6)
+                t[3:, :3], t[3:, 3:] = rot.T @ np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]]), rot.T
+                h = t @ np.array([[row[f"h{min(a, b)}{max(a, b)}"] for b in range(6)] for a in range(6)]) @ t.T
+                out.append([row["scan_id"], row["n"], row["cost"], *(h[a, b] for a, b in PAIRS), *(t @ np.array([row[f"g{a}"] for a in range(6)]))])
+            yield pd.DataFrame(out, columns=["scan_id", *SUMS])
+
+    return sums.join(poses, "scan_id").mapInPandas(turn, sums.schema)
+
+
 def scan_to_map_register(scans: DataFrame, poses: DataFrame, points: DataFrame, rounds: int = 3, k: int = 5, size: float = 2.0, most: float = 0.1, limit: float = 1e-3) -> DataFrame:
     """Poses (scan_id, px..pz, qx..qw, done) of scans (scan_id, seq, x, y, z) against a map (point_id, x, y, z), from the poses given.
 
-    Each round moves all points of all scans, finds the k nearest map points of every place among them and the planes through these, and steps every pose that is not done. Between rounds the
-    poses are checkpointed (one row a scan). Points without k neighbours or a plane within `most` have no part. The map is written once, bucketed
-    by cell, and never shuffled again: rounds move poses and points only.
+    Each round moves all points of all scans, finds the k nearest map points of every place among them and the planes through these, and steps every pose that is not done. Places are sorted by small cubes; the map
+    points that may be near a place in a cube are looked up once a cube, and written for the rounds that follow. Between rounds the poses are written (one row a scan). Points
+    without k neighbours or a plane within `most` have no part. The map is written once, bucketed by cell, and never shuffled again: rounds move poses and points only.
     """
-    index = write_index(points, size)
+    spark, cube = points.sparkSession, ["cx", "cy", "cz"]
+    folder = shared_folder(spark, "registration")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    # Of points at one place only the k first by point_id can be among the k nearest of any place.
+    copies = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("point_id"))
+    index = write_index(points.select("point_id", "x", "y", "z").withColumn("_copy", copies).where(F.col("_copy") <= k).drop("_copy"), size)
+    side = index.size / 2
     now = poses.select("scan_id", *(f"p{c}" for c in "xyz"), *(f"q{c}" for c in "xyzw")).withColumn("done", F.lit(False))
-    for _ in range(rounds):
-        moved = scans.select("scan_id", "seq", *(F.col(c).alias(f"b{c}") for c in "xyz")).join(now, "scan_id").where("not done")
-        world = mat_vec(quat_to_matrix(quat()), tuple(F.col(f"b{c}") for c in "xyz"))
-        moved = moved.withColumns({c: a + F.col(f"p{c}") for a, c in zip(world, "xyz")}).withColumn("query_id", F.struct("x", "y", "z"))
-        near = knn_join(moved.select("query_id", "x", "y", "z").distinct(), index, k)
-        planes = plane_fit(near.select("query_id", *(F.col(f"m_{c}").alias(c) for c in "xyz")), most=most, least=k)
-        matches = moved.drop("x", "y", "z").withColumnsRenamed({f"b{c}": c for c in "xyz"}).join(planes, "query_id")
-        now = step_poses(now, point_to_plane_normal_equations(matches), limit=limit).checkpoint()
+    maps: DataFrame | None = None
+    for i in range(rounds):
+        motion = now.where("not done").withColumns({f"r{i}": e for i, e in enumerate(quat_to_matrix(quat()))})
+        moved = scans.select("scan_id", *(F.col(c).cast("double").alias(f"b{c}") for c in "xyz")).join(motion, "scan_id")
+        world = mat_vec(tuple(F.col(f"r{i}") for i in range(9)), tuple(F.col(f"b{c}") for c in "xyz"))
+        moved = moved.select("scan_id", *((a + F.col(f"p{c}")).alias(c) for a, c in zip(world, "xyz")))
+        for c, o in zip("xyz", index.low):
+            moved = moved.where(F.abs(F.col(c)) < F.lit(float("inf"))).withColumn(f"c{c}", F.floor((F.col(c) - float(o)) / side))
+        counts = stored(moved.groupBy(*cube).agg(F.count("*").alias("n")), f"cubes-{i}")
+        new = counts if maps is None else counts.join(maps.select(*cube), cube, "left_anti")
+        added = box_candidates(new.select(*cube), index, k, side).mapInArrow(as_bytes, "cx long, cy long, cz long, points binary")
+        added = stored(added, f"maps-{i}")
+        maps = added if maps is None else maps.unionByName(added)
+        # A cube with very many places is dealt to several tasks.
+        blocks = F.floor((F.col("n") - 1) / CROWDED) + 1
+        heads = counts.join(maps, cube, "left").select(*cube, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.coalesce("points", F.lit(b"")).alias("points"))
+        dealt = moved.join(F.broadcast(counts.where(F.col("n") > CROWDED)), cube, "left")  # at most a row for CROWDED points
+        dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("scan_id", "x", "y", "z"), blocks), F.lit(0).cast("long"))).drop("n")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = dealt.unionByName(heads, allowMissingColumns=True).repartition(parts, *cube, "block").sortWithinPartitions(*cube, "block", F.col("points").isNull())
+        sums = rows.select("scan_id", "x", "y", "z", "points").mapInArrow(sums_by_cube(k, most, index.low), f"scan_id {dict(scans.dtypes)['scan_id']}, " + ", ".join(f"{c} double" for c in SUMS))
+        sums = sums.groupBy("scan_id").agg(*(F.sum(c).alias(c) for c in SUMS))
+        now = stored(step_poses(now, about_poses(sums, motion, index.low), limit=limit), f"poses-{i}")
         if now.where("not done").isEmpty():
             break
     index.drop()

@@ -158,7 +158,9 @@ def blocks_of(spark: SparkSession, index: MapIndex) -> Column:
 
 def in_blocks(places: DataFrame, block: Column) -> DataFrame:
     """places (x, y, z, r, with their cell) as arrays, a row for each cell and block."""
-    return places.groupBy(*CELLS, block.alias("_block")).agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("places"))
+    # Little is shuffled and much compared: a number that is given is not lessened by the table's small size.
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.withColumn("_block", block).repartition(parts, *CELLS, "_block").groupBy(*CELLS, "_block").agg(F.collect_list(F.struct("x", "y", "z", "r")).alias("places"))
 
 
 def in_parts(index: MapIndex) -> DataFrame:
@@ -210,6 +212,43 @@ def nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points within r of each place, as a list."""
+    for own, points, d2 in met(batches):
+        row, at = np.nonzero(d2 <= (own[:, 3] * own[:, 3])[:, None])
+        ends = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
+        yield pa.record_batch([*(pa.array(own[:, j]) for j in range(3)), pa.ListArray.from_arrays(ends, points.take(pa.array(at)))], names=["x", "y", "z", "points"])
+
+
+def cell_of(index: MapIndex, axis: str, shift: Column | float) -> Column:
+    """The map's cell, of the row's level, that is nearest to axis + shift."""
+    o, h = (float(limit["xyz".index(axis)]) for limit in (index.low, index.high))
+    return F.floor((F.least(F.greatest(F.col(axis) + shift, F.lit(o)), F.lit(h)) - o) / (index.size * F.pow(F.lit(2.0), F.col("level"))))
+
+
+def around_places(reach: DataFrame, index: MapIndex) -> DataFrame:
+    """(places, points) of places (x, y, z, r): arrays that together hold each place beside all points within r, which lie in at most 27 cells of that order."""
+    reach = reach.withColumn("level", F.least(F.lit(index.top), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / index.size)).cast("int"))))
+    for c in "xyz":
+        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(cell_of(index, c, -F.col("r")), cell_of(index, c, F.col("r")))))
+    return in_blocks(reach, blocks_of(reach.sparkSession, index)).join(in_parts(index), list(CELLS)).select("places", "points")
+
+
+def box_candidates(boxes: DataFrame, index: MapIndex, k: int, side: float) -> DataFrame:
+    """(cx, cy, cz, points) of cubes (cx, cy, cz) of that side, counted from the map's low end: all points that are among the k nearest of any place in the cube, and some more; ordered by m_x, then point_id.
+
+    A place is at most half the diagonal from the centre, so its kth point is at most that much farther than the centre's, and its k nearest are at most the whole diagonal farther from the centre.
+    """
+    centres = boxes.select(*(((F.col(f"c{c}") + 0.5) * side + float(o)).alias(c) for c, o in zip("xyz", index.low)))
+    far = knn_join(centres.withColumn("query_id", F.lit(0)), index, k).groupBy("x", "y", "z").agg(F.max("d2").alias("d2"))
+    reach = far.select("x", "y", "z", ((F.sqrt("d2") + side * math.sqrt(3)) * (1 + 1e-9) + 1e-12).alias("r"))
+    point = dict(index.stored.dtypes)
+    kind = f"array<struct<m_x:{point['m_x']},point_id:{point['point_id']},m_y:{point['m_y']},m_z:{point['m_z']}>>"
+    found = around_places(reach, index).mapInArrow(within, f"x double, y double, z double, points {kind}")
+    found = found.groupBy("x", "y", "z").agg(F.sort_array(F.flatten(F.collect_list("points"))).alias("points"))
+    return found.select(*(F.floor((F.col(c) - float(o)) / side).alias(f"c{c}") for c, o in zip("xyz", index.low)), "points")
+
+
 def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size: float = 2.0, max_dist: float | None = None) -> DataFrame:
     """The k nearest map points of each query (query_id, x, y, z), by distance, then m_x, then point_id; fewer where the map or max_dist has fewer.
 
@@ -220,29 +259,20 @@ def knn_join(queries: DataFrame, points: DataFrame | MapIndex, k: int = 5, size:
     is not shuffled again.
     """
     index = points if isinstance(points, MapIndex) else map_index(points, size)
-    size, low, high, top, stored = index.size, index.low, index.high, index.top, index.stored
     need, cells, place = min(k, index.n), list(CELLS), ["x", "y", "z"]
     full = index.full.where(F.col("_n") >= need).drop("_n")
-    side = size * F.pow(F.lit(2.0), F.col("level"))
-
-    def cell_of(c: str, shift: Column | float, o: float, h: float) -> Column:
-        return F.floor((F.least(F.greatest(F.col(c) + shift, F.lit(float(o))), F.lit(float(h))) - o) / side)
-
     asked = queries.select(*(F.col(c).cast("double").alias(c) for c in place)).distinct()
-    start = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(top + 1)))))
-    start = start.withColumns({f"c{c}": cell_of(c, 0.0, o, h) for c, o, h in zip("xyz", low, high)}).join(full, cells)
+    start = asked.withColumn("level", F.explode(F.array(*map(F.lit, range(index.top + 1)))))
+    start = start.withColumns({f"c{c}": cell_of(index, c, 0.0) for c in "xyz"}).join(full, cells)
     start = start.groupBy(*place).agg(F.min(F.struct(*cells)).alias("s")).select(*place, "s.*")
     held, blocks = in_parts(index), blocks_of(queries.sparkSession, index)
-    kind = stored.schema
+    kind = index.stored.schema
     reach = in_blocks(start.withColumn("r", F.lit(float("inf"))), blocks).join(held, cells).select("places", "points").mapInArrow(reaches(need), "x double, y double, z double, nth double, most double")
     # A part's own nth place is no nearer than the cell's, so the least of these is far enough; where every part has too few, the farthest place is.
     reach = reach.groupBy(*place).agg(F.coalesce(F.min("nth"), F.max("most")).alias("d2")).withColumn("r", F.sqrt("d2") * (1 + 1e-9) + 1e-12)
     if max_dist is not None:
         reach = reach.withColumn("r", F.least("r", F.lit(float(max_dist))))
-    reach = reach.withColumn("level", F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / size)).cast("int"))))
-    for c, o, h in zip("xyz", low, high):
-        reach = reach.withColumn(f"c{c}", F.explode(F.sequence(cell_of(c, -F.col("r"), o, h), cell_of(c, F.col("r"), o, h))))
-    near = in_blocks(reach, blocks).join(held, cells).select("places", "points")
+    near = around_places(reach, index)
     near = near.mapInArrow(nearest(k), "x double, y double, z double, " + ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in ("point_id", "m_x", "m_y", "m_z")) + ", d2 double")
     if max_dist is not None:
         near = near.where(F.col("d2") <= max_dist * max_dist)
